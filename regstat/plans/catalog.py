@@ -41,5 +41,49 @@ def _q_tasa_incidencia(spark: SparkSession, sf: str) -> DataFrame:
     return M.tasa_incidencia(_fact(spark, sf), _pob(spark, sf))
 
 
+# ---------------------------------------------------------------------------
+# Aggregations
+# ---------------------------------------------------------------------------
+from regstat.operators import ranking as W  # noqa: E402
+from regstat.operators import trend as T  # noqa: E402
+
+
+def _simple(name, fn):
+    Q[name] = lambda spark, sf: fn(_fact(spark, sf))
+
+
+_simple("distribucion_sexo", M.distribucion_sexo)
+_simple("distribucion_edad", M.distribucion_edad)
+_simple("ranking_departamentos", M.ranking_departamentos)
+_simple("tendencia_mensual", M.tendencia_mensual)
+_simple("provincias", M.provincias)
+_simple("resumen_depto_total", M.resumen_depto_total)
+_simple("mensual_detalle", M.mensual_detalle)
+_simple("edad_por_depto", M.edad_por_depto)
+_simple("atenciones", M.atenciones)
+Q["resumen_depto_anio"] = lambda spark, sf: M.resumen_depto_anio(_fact(spark, sf), _pob(spark, sf))
+
+# ---------------------------------------------------------------------------
+# Windows, top-k, KPIs
+# ---------------------------------------------------------------------------
+_simple("top5_departamentos", lambda f: W.top_departamentos(f, 5))
+_simple("top_provincia", W.top_provincia)
+_simple("top_provincias", W.top_provincias)
+_simple("ranking_anual", W.ranking_anual)
+_simple("participacion", W.participacion)
+_simple("intensidad", W.intensidad)
+_simple("pico_mensual", W.pico_mensual)
+_simple("kpi_departamento", W.kpi_departamento)
+_simple("kpi_nacional", W.kpi_nacional)
+_simple("escala_mapa", W.escala_mapa)
+
+# ---------------------------------------------------------------------------
+# Trend (T1-T5)
+# ---------------------------------------------------------------------------
+Q["tendencia_regresion"] = lambda spark, sf: T.tendencia_regresion(_fact(spark, sf), _pob(spark, sf))
+Q["tendencia_clase"] = lambda spark, sf: T.tendencia_clase(_fact(spark, sf), _pob(spark, sf))
+Q["tendencia_proyeccion"] = lambda spark, sf: T.tendencia_proyeccion(_fact(spark, sf), _pob(spark, sf))
+
+
 def queries() -> dict:
     return dict(Q)

@@ -97,5 +97,141 @@ SQL["tasa_incidencia"] = with_("tasa") + \
     "select departamento, anio, casos, poblacion, tasa from tasa"
 
 
+# ---------------------------------------------------------------------------
+# Aggregations
+# ---------------------------------------------------------------------------
+_F = with_("fact")
+SQL["distribucion_sexo"] = _F + "select departamento, sexo, count(*) casos from fact group by departamento, sexo"
+SQL["distribucion_edad"] = _F + f"""select departamento, grupo_etario, count(*) casos from fact
+  where grupo_etario <> '{cfg.UNKNOWN}' group by departamento, grupo_etario"""
+SQL["edad_por_depto"] = SQL["distribucion_edad"]
+SQL["ranking_departamentos"] = _F + "select departamento, count(*) casos from fact group by departamento"
+_MONTHS = "[" + ", ".join(f"'{m}'" for m in cfg.MONTH_LABELS) + "]"
+SQL["tendencia_mensual"] = _F + f"""select departamento, anio, mes, count(*) casos,
+  coalesce({_MONTHS}[mes], 'M' || cast(mes as varchar)) etiqueta
+  from fact group by departamento, anio, mes"""
+SQL["provincias"] = _F + "select departamento, provincia, count(*) casos from fact group by departamento, provincia"
+SQL["mensual_detalle"] = _F + "select departamento, anio, mes, count(*) casos from fact group by departamento, anio, mes"
+SQL["resumen_depto_total"] = _F + f"""select departamento, count(*) casos,
+  count_if(sexo = 'FEMENINO') femenino, {r2('avg(edad)', 1)} edad_promedio
+  from fact group by departamento"""
+SQL["resumen_depto_anio"] = with_("fact", "poblacion") + f"""
+, a as (select departamento, anio, count(*) casos, count_if(sexo = 'FEMENINO') femenino,
+         count_if(sexo = 'MASCULINO') masculino, {r2('avg(edad)', 1)} edad_promedio
+       from fact group by departamento, anio)
+select a.*, p.total is not null con_poblacion, {rate('a.casos', 'p.total')} tasa
+from a left join poblacion p on p.departamento = a.departamento and p.anio = a.anio"""
+SQL["atenciones"] = _F + f"""select departamento, anio,
+  coalesce({r2('avg(cant_atenciones)', 2)}, 0::double) promedio,
+  coalesce(cast(median(cant_atenciones) as double), 0::double) mediana,
+  coalesce(cast(max(cant_atenciones) as bigint), 0::bigint) maximo,
+  count(cant_atenciones) n_valores
+  from fact group by departamento, anio"""
+
+# ---------------------------------------------------------------------------
+# Windows, top-k, KPIs
+# ---------------------------------------------------------------------------
+_RK = with_("fact") + ", rk as (select departamento, count(*) casos from fact group by departamento)\n"
+_PV = with_("fact") + ", pv as (select departamento, provincia, count(*) casos from fact group by departamento, provincia)\n"
+SQL["top5_departamentos"] = _RK + """select departamento, casos,
+  cast(row_number() over (order by casos desc, departamento) as int) posicion
+  from rk qualify posicion <= 5"""
+SQL["top_provincia"] = _PV + """select departamento, provincia, casos from pv
+  qualify row_number() over (partition by departamento order by casos desc, provincia) = 1"""
+SQL["top_provincias"] = _PV + f"""select departamento, posicion, provincia, casos, pct from (
+  select departamento, provincia, casos,
+    cast(row_number() over (partition by departamento order by casos desc, provincia) as int) posicion,
+    count(*) over (partition by departamento) n_provincias,
+    {share('casos', 'sum(casos) over (partition by departamento)')} pct
+  from pv) where posicion <= {cfg.TOP_PROVINCES} and n_provincias >= {cfg.MIN_PROVINCES_FOR_CHUNK}"""
+SQL["ranking_anual"] = with_("cpa") + f"""select departamento, anio, casos,
+  cast(sum(casos) over (partition by anio) as bigint) total_nacional,
+  cast(row_number() over (partition by anio order by casos desc, departamento) as int) posicion
+  from cpa qualify posicion <= {cfg.TOP_RANKING_CHUNK}"""
+SQL["participacion"] = with_("fact") + f"""
+, s as (select departamento, 'sexo' seccion, sexo clave, count(*) casos from fact group by 1, 2, 3
+  union all select departamento, 'edad', grupo_etario, count(*) from fact
+    where grupo_etario <> '{cfg.UNKNOWN}' group by 1, 2, 3
+  union all select departamento, 'provincia', provincia, count(*) from fact group by 1, 2, 3)
+select departamento, seccion, clave, casos,
+  {share('casos', 'sum(casos) over (partition by departamento, seccion)')} pct from s"""
+SQL["intensidad"] = with_("fact") + """
+, s as (select departamento, 'provincia' seccion, cast(null as int) anio, provincia clave, count(*) casos
+        from fact group by departamento, provincia
+  union all select departamento, 'mes', anio, cast(mes as varchar), count(*) from fact
+        group by departamento, anio, mes)
+select departamento, seccion, anio, clave, casos,
+  cast(casos as double) / cast(greatest(max(casos) over (partition by departamento, seccion, anio), 1) as double) relativo
+from s"""
+SQL["pico_mensual"] = with_("fact") + """
+, m as (select departamento, anio, mes, count(*) casos from fact group by departamento, anio, mes)
+select departamento, anio, first(mes order by casos desc, mes) mes_pico, max(casos) casos_pico
+from m group by departamento, anio"""
+SQL["kpi_departamento"] = with_("fact") + f"""
+, y as (select departamento, anio, count(*) casos from fact group by departamento, anio)
+, a as (select departamento, cast(sum(casos) as bigint) total_casos, max(anio) ultimo_anio,
+          arg_max(casos, anio) casos_ultimo_anio from y group by departamento)
+, s as (select departamento, count_if(sexo = 'FEMENINO') femenino, count(*) total_sexo
+        from fact group by departamento)
+, pv as (select departamento, provincia, count(*) casos from fact group by departamento, provincia)
+, t as (select departamento, provincia top_provincia, casos casos_top_provincia from pv
+        qualify row_number() over (partition by departamento order by casos desc, provincia) = 1)
+select a.*, s.femenino, t.top_provincia, t.casos_top_provincia,
+  {share('s.femenino', 's.total_sexo')} pct_femenino
+from a join s using (departamento) left join t using (departamento)"""
+SQL["kpi_nacional"] = _RK + """, o as (select departamento, casos,
+    row_number() over (order by casos desc, departamento) pos from rk)
+select cast(sum(casos) as bigint) total_casos, count(*) departamentos,
+  max(case when pos = 1 then departamento end) primero, max(case when pos = 1 then casos end) casos_primero,
+  max(case when pos = 2 then departamento end) segundo, max(case when pos = 2 then casos end) casos_segundo
+from o"""
+_ZONES = "map {" + ", ".join(f"'{k}': '{v}'" for k, v in cfg.ZONE_COLORS.items()) + "}"
+
+
+def _channel(bs):
+    base, slope = bs
+    return f"cast({r2(f'{base} + i * {slope}', 0)} as varchar)"
+
+
+SQL["escala_mapa"] = _RK + f"""select departamento, casos, {r2('i', 4)} intensidad,
+  'rgb(' || {_channel(cfg.MAP_RED)} || ',' || {_channel(cfg.MAP_GREEN)} || ',' || {_channel(cfg.MAP_BLUE)} || ')' color,
+  coalesce({_ZONES}[departamento], '{cfg.MAP_DEFAULT_FILL}') color_zona
+from (select *, cast(casos as double) / cast(max(casos) over () as double) i from rk)"""
+
+# ---------------------------------------------------------------------------
+# Trend
+# ---------------------------------------------------------------------------
+CTE["coef"] = f"""pts as (select departamento, anio, y100, coalesce(y100 <> 0, false) pt from tasa),
+sums as (
+  select departamento, cast(count_if(pt) as bigint) n,
+    cast(sum(case when pt then cast(anio as bigint) end) as bigint) sx,
+    cast(sum(case when pt then y100 end) as bigint) sy,
+    cast(sum(case when pt then cast(anio as bigint) * y100 end) as bigint) sxy,
+    cast(sum(case when pt then cast(anio as bigint) * cast(anio as bigint) end) as bigint) sxx,
+    cast(sum(case when pt then y100 * y100 end) as bigint) syy
+  from pts group by departamento),
+coef as (
+  select departamento, n n_puntos,
+    case when n >= {cfg.MIN_TREND_POINTS} then cast(n * sxy - sx * sy as double) / cast(n * sxx - sx * sx as double) / 100 end m,
+    case when n >= {cfg.MIN_TREND_POINTS} then cast(sy * sxx - sx * sxy as double) / cast(n * sxx - sx * sx as double) / 100 end b,
+    case when n >= {cfg.MIN_TREND_POINTS} and n * syy - sy * sy <> 0 then
+      cast(n * sxy - sx * sy as double) * cast(n * sxy - sx * sy as double)
+      / (cast(n * sxx - sx * sx as double) * cast(n * syy - sy * sy as double)) end r2,
+    case when n >= {cfg.MIN_TREND_POINTS} then cast(sy as double) / n end media100,
+    case when n >= {cfg.MIN_TREND_POINTS} then sqrt(cast(n * syy - sy * sy as double)) / n end sd100
+  from sums)"""
+DEPS["coef"] = ["tasa"]
+SQL["tendencia_regresion"] = with_("coef") + f"""select departamento, n_puntos,
+  {r2('m', 2)} pendiente, {r2('b', 2)} intercepto, {r2('r2', 3)} r_cuadrado,
+  floor(media100 + 0.5::double) / 100 media_tasa, floor(sd100 + 0.5::double) / 100 desviacion from coef"""
+_UP, _DOWN, _FLAT = cfg.TREND_LABELS
+SQL["tendencia_clase"] = with_("coef") + f"""select departamento, {r2('m', 2)} pendiente,
+  case when m > {cfg.TREND_THRESHOLD} then '{_UP}' when m < -{cfg.TREND_THRESHOLD} then '{_DOWN}'
+       when m is not null then '{_FLAT}' end tendencia from coef"""
+SQL["tendencia_proyeccion"] = with_("coef") + f"""select t.departamento, t.anio, t.casos, t.tasa,
+  {r2('c.m * t.anio + c.b', 2)} tasa_proyectada
+from tasa t left join coef c using (departamento)"""
+
+
 def oracle_sql() -> dict:
     return dict(SQL)

@@ -179,7 +179,38 @@ def hojas_poblacion(spark: SparkSession, sf_dir: str,
 
 
 def poblacion(spark: SparkSession, sf_dir: str, params: cfg.Params = cfg.STANDIN) -> DataFrame:
-    """Long population table (departamento, anio, total, hombres, mujeres)."""
+    """Long population table (departamento, anio, total, hombres, mujeres).
+
+    Same values as ``read_population(hojas_poblacion(...))`` restricted to
+    the year range, computed from one customer aggregate (one row per
+    nation, then per region) and a generator over the years, instead of
+    re-reading every sheet.
+    """
+    customer = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
+    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
+    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
+    per_region = (customer.groupBy("c_nationkey")
+                  .agg(F.count(F.lit(1)).alias("n"),
+                       F.count_if(F.col("c_acctbal") >= 0).alias("h"))
+                  .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
+                  .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
+                  .groupBy("r_name").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
+                  .where(F.col("r_name") != "MIDDLE EAST"))
+    base_year = min(min(ys) for ys in params.sheet_years.values())
+    years = F.sequence(F.lit(params.first_year), F.lit(params.last_year))
+    step = F.col("anio") - F.lit(base_year)
+    total = F.col("n") * 1000 + F.col("n") * (step * 7)
+    men = F.col("h") * 1000 + F.col("h") * (step * 7)
+    return (per_region.select(F.col("r_name").alias("departamento"), "n", "h",
+                              F.explode(years).alias("anio"))
+            .select("departamento", F.col("anio").cast("int").alias("anio"),
+                    total.cast("bigint").alias("total"), men.cast("bigint").alias("hombres"),
+                    (total - men).cast("bigint").alias("mujeres")))
+
+
+def poblacion_desde_hojas(spark: SparkSession, sf_dir: str,
+                          params: cfg.Params = cfg.STANDIN) -> DataFrame:
+    """S2 over the wide stand-in sheets."""
     return read_population(hojas_poblacion(spark, sf_dir, params), params)
 
 
