@@ -9,9 +9,11 @@ from regstat import config as cfg
 
 # Characters removed by a JavaScript-style trim (white space and line
 # terminators); Spark's ``trim`` only removes U+0020.
+JS_SPACE_CODES = (0x09, 0x0A, 0x0B, 0x0C, 0x0D, 0x20, 0xA0, 0x1680,
+                  *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000, 0xFEFF)
+JS_SPACE_CHARS = "".join(chr(c) for c in JS_SPACE_CODES)
 JS_SPACE = ("[\\t\\n\\x{0B}\\f\\r \\x{A0}\\x{1680}\\x{2000}-\\x{200A}"
             "\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}\\x{FEFF}]")
-JS_TRIM_PATTERN = f"^{JS_SPACE}+|{JS_SPACE}+$"
 INT_PREFIX_PATTERN = f"^{JS_SPACE}*([+-]?[0-9]+)"
 
 
@@ -20,8 +22,9 @@ def col_(c) -> Column:
 
 
 def js_trim(c) -> Column:
-    """Trim every JavaScript white-space character at both ends."""
-    return F.regexp_replace(col_(c), JS_TRIM_PATTERN, "")
+    """Trim every JavaScript white-space character at both ends (a plain
+    character-set trim, no regular expression)."""
+    return F.btrim(col_(c), F.lit(JS_SPACE_CHARS))
 
 
 def clean_text(c, upper: bool = False) -> Column:
@@ -29,7 +32,7 @@ def clean_text(c, upper: bool = False) -> Column:
 
     A null input becomes the empty string, as in the source.
     """
-    out = F.regexp_replace(js_trim(F.coalesce(col_(c), F.lit(""))), '"', "")
+    out = F.replace(js_trim(F.coalesce(col_(c), F.lit(""))), F.lit('"'), F.lit(""))
     return F.upper(out) if upper else out
 
 
@@ -44,10 +47,18 @@ def clean_header(name: str) -> str:
 
 
 def lenient_int(c) -> Column:
-    """Leading integer of a text ("45.7" -> 45, "12abc" -> 12, "" -> null)."""
-    digits = F.regexp_extract(col_(c), INT_PREFIX_PATTERN, 1)
-    return F.when(digits == "", F.lit(None).cast("int")).otherwise(
-        digits.try_cast("int"))
+    """Leading integer of a text ("45.7" -> 45, "12abc" -> 12, "" -> null).
+
+    Plain integers take the cast (no regular expression); only cells that
+    do not cast go through the prefix pattern. The cast is skipped when the
+    text starts or ends with an ASCII control character, which the cast
+    would strip but a JavaScript parse would not.
+    """
+    x = col_(c)
+    plain = F.when((F.ascii(x) > 32) & (F.ascii(F.right(x, F.lit(1))) > 32), x.try_cast("int"))
+    digits = F.regexp_extract(x, INT_PREFIX_PATTERN, 1)
+    prefix = F.when(digits == "", F.lit(None).cast("int")).otherwise(digits.try_cast("int"))
+    return F.coalesce(plain, prefix)
 
 
 def lenient_number(c) -> Column:

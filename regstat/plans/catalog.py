@@ -85,5 +85,56 @@ Q["tendencia_clase"] = lambda spark, sf: T.tendencia_clase(_fact(spark, sf), _po
 Q["tendencia_proyeccion"] = lambda spark, sf: T.tendencia_proyeccion(_fact(spark, sf), _pob(spark, sf))
 
 
+# ---------------------------------------------------------------------------
+# Raw registry cleaning, star schema, audit
+# ---------------------------------------------------------------------------
+from pyspark.sql import functions as F  # noqa: E402
+
+from regstat.operators import clean as CL  # noqa: E402
+from regstat.operators import warehouse as WH  # noqa: E402
+
+
+def _raw(spark, sf):
+    return S.registro_csv(spark, sf)
+
+
+def _modes(national, regional):
+    return lambda spark, sf: CL.comparar_modos(_raw(spark, sf), national, regional, P)
+
+
+Q["limpiar_texto"] = _modes(["uuid_hash", "sexo"], ["sexo"])
+Q["entero_tolerante"] = _modes(["edad", "cant_atenciones"], [])
+Q["periodo_valido"] = _modes(["fecha", "anio", "mes", "valido"], ["incluido"])
+Q["grupo_etario"] = _modes(["edad", "grupo_etario"], ["grupo_etario"])
+Q["separar_lugar"] = _modes(["departamento", "provincia", "distrito"], ["provincia"])
+
+
+@key("filtro_contiene")
+def _q_filtro_contiene(spark, sf):
+    reg = CL.asignar_regiones(CL.limpiar_regional(_raw(spark, sf), P), S.gazetteer_regiones(spark, sf))
+    return reg.groupBy("departamento").agg(F.count(F.lit(1)).alias("filas"),
+                                           F.count_if("incluido").alias("filas_incluidas"))
+
+
+def _clean(spark, sf):
+    return CL.limpiar_nacional(_raw(spark, sf), P)
+
+
+def _valid(spark, sf):
+    return _clean(spark, sf).where(F.col("valido"))
+
+
+def _star(spark, sf):
+    return WH.construir_estrella(spark, _clean(spark, sf), _pob(spark, sf), P)
+
+
+Q["dim_tiempo"] = lambda spark, sf: WH.dim_tiempo(_valid(spark, sf), P).drop("tiempo_id")
+Q["dim_geografia"] = lambda spark, sf: WH.dim_geografia(_valid(spark, sf)).drop("geografia_id")
+Q["dim_paciente"] = lambda spark, sf: WH.dim_paciente(_valid(spark, sf)).drop("paciente_id")
+Q["auditoria_carga"] = lambda spark, sf: WH.auditoria_carga(_clean(spark, sf), _pob(spark, sf))
+Q["conteo_tablas"] = lambda spark, sf: WH.conteo_tablas(_clean(spark, sf), _pob(spark, sf))
+Q["integridad_referencial"] = lambda spark, sf: WH.integridad_referencial(_star(spark, sf))
+
+
 def queries() -> dict:
     return dict(Q)

@@ -233,5 +233,129 @@ SQL["tendencia_proyeccion"] = with_("coef") + f"""select t.departamento, t.anio,
 from tasa t left join coef c using (departamento)"""
 
 
+# ---------------------------------------------------------------------------
+# Raw registry text and its cleaning
+# ---------------------------------------------------------------------------
+from regstat.functions.columns import JS_SPACE_CODES, INT_PREFIX_PATTERN  # noqa: E402
+
+_JS_CHARS = " || ".join(f"chr({c})" for c in JS_SPACE_CODES)
+
+
+def jt(x: str) -> str:
+    return f"trim({x}, {_JS_CHARS})"
+
+
+def ct(x: str, upper: bool = False) -> str:
+    out = f"replace({jt(f'coalesce({x}, {chr(39)}{chr(39)})')}, '\"', '')"
+    return f"upper({out})" if upper else out
+
+
+def li(x: str) -> str:
+    d = f"regexp_extract({x}, '{INT_PREFIX_PATTERN}', 1)"
+    return f"case when {d} = '' then null else try_cast({d} as integer) end"
+
+
+CTE["rawbase"] = """rawbase as (
+  select o_orderkey, o_orderstatus, o_orderdate, o_orderpriority p, c_acctbal, c_mktsegment,
+         n_nationkey, n_name, r_regionkey, r_name, v.cant_atenciones cant,
+         day(o_orderdate) d, strftime(o_orderdate, '%Y%m%d') ymd,
+         case o_orderstatus when 'F' then 'FEMENINO' when 'O' then 'MASCULINO' else 'X' end sb,
+         cast(cast(floor(abs(c_acctbal) / 100) as int) as varchar) et,
+         ' ' || r_name || '-' || n_name || '-' || c_mktsegment lb
+  from orders join customer on o_custkey = c_custkey
+  join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
+  left join visits v on v.l_orderkey = o_orderkey)"""
+CTE["raw"] = """raw as (select
+  lpad(cast(o_orderkey as varchar), 12, '0') || '-' || p || '-' || lower(c_mktsegment) "UUID",
+  cast(o_orderkey as varchar) "HISTORIA",
+  case when d = 31 then substring(ymd, 1, 5)
+       when d = 30 and p = '1-URGENT' then substring(ymd, 1, 4) || '13' || substring(ymd, 7, 2)
+       when d = 29 and p = '1-URGENT' then 'ABCDEFGH'
+       when d = 28 and p = '1-URGENT' then cast(year(o_orderdate) - 10 as varchar) || substring(ymd, 5, 4)
+       when d = 27 and p = '1-URGENT' then ' "' || ymd || '"'
+       else ymd end "FEC_FILIACION",
+  case when p = '2-HIGH' then ' "' || lower(sb) || '" '
+       when p = '3-MEDIUM' and d <= 3 then '" ' || lower(sb) || ' "' else sb end "SEXO",
+  case when d = 1 then et || '.7' when d = 2 then et || 'abc'
+       when d = 3 and p = '5-LOW' then '' when d = 4 and p = '5-LOW' then '-1'
+       when d = 5 and p = '5-LOW' then ' ' || et else et end "EDAD",
+  lpad(cast(r_regionkey + 1 as varchar), 2, '0') || lpad(cast(n_nationkey + 1 as varchar), 2, '0') || '01'
+    "UBIGEO_LUGAR_RESIDENCIA",
+  case when p = '4-NOT SPECIFIED' and d = 5 then ' ' || r_name
+       when p = '4-NOT SPECIFIED' and d = 6 then r_name || '--' || c_mktsegment
+       when p = '4-NOT SPECIFIED' and d = 7 then r_name || '-  -' || c_mktsegment
+       when p = '4-NOT SPECIFIED' and d = 8 then n_name || '-' || n_name || '-' || r_name
+       when p = '5-LOW' and d = 9 then lower(lb)
+       when p = '3-MEDIUM' and d = 10 then chr(9) || lb || chr(160)
+       when p = '2-HIGH' and d = 11 then '"' || lb || '"'
+       else lb end "LUGAR_RESIDENCIA",
+  case when p = '5-LOW' and d = 12 then ' ' || cast(cant as varchar) || 'x'
+       else coalesce(cast(cant as varchar), '') end "CANT_ATENCIONES_CEX"
+  from rawbase)"""
+_fec = ct('"FEC_FILIACION"')
+_sx = ct('"SEXO"', True)
+_ed = li(ct('"EDAD"'))
+_parts = f"string_split({ct('"LUGAR_RESIDENCIA"')}, '-')"
+_years_txt = ", ".join(f"'{y}'" for y in P.report_years)
+CTE["nac"] = f"""nac0 as (select "HISTORIA" historia, {_fec} fecha, {_sx} sx, {_ed} edad,
+    {_parts} parts, {ct('"UBIGEO_LUGAR_RESIDENCIA"')} ubigeo,
+    {li(ct('"CANT_ATENCIONES_CEX"'))} cant_atenciones, substring({ct('"UUID"')}, 1, 16) uuid_hash,
+    "LUGAR_RESIDENCIA" lugar_crudo
+  from raw),
+nac as (select *, {li('substring(fecha, 1, 4)')} anio, {li('substring(fecha, 5, 2)')} mes,
+    coalesce(length(fecha) >= 6 and {li('substring(fecha, 1, 4)')} between {P.first_year} and {P.last_year}
+      and {li('substring(fecha, 5, 2)')} between 1 and 12, false) valido,
+    case when sx in ('FEMENINO', 'MASCULINO') then sx else '{cfg.UNKNOWN}' end sexo,
+    case when sx in ('FEMENINO', 'MASCULINO') then sx end sexo_regional,
+    {_band('edad')} grupo_etario,
+    {_band('edad', cfg.UNKNOWN_BAND_REGIONAL)} grupo_etario_regional,
+    upper({jt(f"coalesce(nullif(parts[1], ''), '{cfg.UNKNOWN}')")}) departamento,
+    upper({jt(f"coalesce(nullif(parts[2], ''), '{cfg.UNKNOWN}')")}) provincia,
+    upper({jt("coalesce(nullif(parts[3], ''), '')")}) distrito,
+    case when len(parts) >= 2 then {jt('parts[2]')} else '{cfg.UNKNOWN_PROVINCE_REGIONAL}' end provincia_regional,
+    length(fecha) >= 6 and substring(fecha, 1, 4) in ({_years_txt}) incluido_regional
+  from nac0)"""
+DEPS.update({"rawbase": ["visits"], "raw": ["rawbase"], "nac": ["raw"]})
+_N = with_("nac")
+SQL["limpiar_texto"] = _N + "select historia, uuid_hash, sexo, sexo_regional from nac"
+SQL["entero_tolerante"] = _N + "select historia, edad, cant_atenciones from nac"
+SQL["periodo_valido"] = _N + "select historia, fecha, anio, mes, valido, incluido_regional from nac"
+SQL["grupo_etario"] = _N + "select historia, edad, grupo_etario, grupo_etario_regional from nac"
+SQL["separar_lugar"] = _N + "select historia, departamento, provincia, distrito, provincia_regional from nac"
+SQL["filtro_contiene"] = _N + """select r_name departamento, count(*) filas, count_if(incluido_regional) filas_incluidas
+  from nac join region on contains(upper(lugar_crudo), r_name) group by r_name"""
+SQL["dim_tiempo"] = _N + f"""select distinct anio, mes, cast(ceil(mes / 3) as int) trimestre,
+  anio <> {P.partial_year} completo from nac where valido"""
+SQL["dim_geografia"] = _N + """select departamento, provincia, distrito, min(ubigeo) ubigeo
+  from nac where valido group by departamento, provincia, distrito"""
+SQL["dim_paciente"] = _N + "select distinct sexo, grupo_etario from nac where valido"
+SQL["auditoria_carga"] = with_("nac", "poblacion") + """select
+  count_if(valido) insertados, count_if(not valido) descartados,
+  (select count(*) from (select distinct departamento from nac where valido)) departamentos,
+  (select count(*) from (select distinct departamento, provincia, distrito from nac where valido)) geografias,
+  (select count(*) from (select distinct anio, mes from nac where valido)) periodos,
+  (select count(*) from (select distinct sexo, grupo_etario from nac where valido)) grupos_paciente,
+  (select count(distinct departamento) from poblacion) regiones_poblacion
+  from nac"""
+SQL["conteo_tablas"] = with_("nac", "poblacion") + """
+select 'fact_oncologia' tabla, count(*) filas from nac where valido
+union all select 'dim_tiempo', count(*) from (select distinct anio, mes from nac where valido)
+union all select 'dim_geografia', count(*) from (select distinct departamento, provincia, distrito from nac where valido)
+union all select 'dim_paciente', count(*) from (select distinct sexo, grupo_etario from nac where valido)
+union all select 'dim_fuente', 1
+union all select 'poblacion', count(*) from poblacion"""
+_checks = []
+for _k in ("tiempo_id", "geografia_id", "paciente_id", "fuente_id"):
+    _checks.append(f"select 'fk_huerfana' chequeo, '{_k}' detalle, 0::bigint n")
+for _k in ("uuid_hash", "tiempo_id", "geografia_id", "paciente_id", "fuente_id"):
+    _expr = "count_if(uuid_hash is null)" if _k == "uuid_hash" else "count_if(false)"
+    _checks.append(f"select 'nulo', '{_k}', cast((select {_expr} from nac where valido) as bigint)")
+for _k in ("tiempo_id", "geografia_id", "paciente_id"):
+    _checks.append(f"select 'colision_id', '{_k}', 0::bigint")
+_checks.append("""select 'sin_poblacion', departamento, count(*) from nac
+  where valido and departamento not in (select departamento from poblacion) group by departamento""")
+SQL["integridad_referencial"] = with_("nac", "poblacion") + "\nunion all ".join(_checks)
+
+
 def oracle_sql() -> dict:
     return dict(SQL)

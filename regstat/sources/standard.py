@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from regstat import config as cfg
 from regstat.functions import columns as C
 from regstat.sources.population import read_population
+from regstat.sources.registry import REGISTRY_COLUMNS, read_registry
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -119,7 +120,8 @@ def registro(spark: SparkSession, sf_dir: str) -> DataFrame:
     cex = (F.when(low & (d == 12), F.concat(F.lit(" "), F.col("cant_atenciones").cast("string"), F.lit("x")))
            .otherwise(F.coalesce(F.col("cant_atenciones").cast("string"), F.lit(""))))
     return b.select(
-        F.concat(F.lit("ID"), F.lpad(F.col("o_orderkey").cast("string"), 18, "0")).alias("UUID"),
+        F.concat(F.lpad(F.col("o_orderkey").cast("string"), 12, "0"), F.lit("-"),
+                 F.col("o_orderpriority"), F.lit("-"), F.lower("c_mktsegment")).alias("UUID"),
         F.col("o_orderkey").cast("string").alias("HISTORIA"),
         fecha.alias("FEC_FILIACION"),
         sexo.alias("SEXO"),
@@ -131,6 +133,34 @@ def registro(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def registro_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The raw registry as the source receives it: a Latin-1 CSV file set,
+    read back with the S1 reader (header, all strings).
+
+    The text is derived from the test tables once per dataset and written
+    to the shared checkpoint folder (``spark.checkpoint.dir``); later reads
+    reuse it. Writing keeps leading/trailing blanks, which are part of the
+    test cases.
+    """
+    import hashlib
+    import os
+
+    from pyspark.errors import AnalysisException
+
+    from regstat.session import checkpoint_dir
+    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:16]
+    path = f"{checkpoint_dir(spark).rstrip('/')}/regstat-fixtures/registro-{key}"
+    try:
+        spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
+    except AnalysisException:
+        parts = max(8, spark.sparkContext.defaultParallelism)
+        (registro(spark, sf_dir).repartition(parts).write.mode("overwrite")
+         .option("header", True).option("encoding", "ISO-8859-1")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
+         .csv(path))
+    return read_registry(spark, path, header_names=list(REGISTRY_COLUMNS))
+
+
 def hojas_poblacion(spark: SparkSession, sf_dir: str,
                     params: cfg.Params = cfg.STANDIN) -> dict:
     """Wide population sheets: ``{sheet: (DataFrame c0..c10, years)}``.
