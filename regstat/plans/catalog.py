@@ -136,5 +136,19 @@ Q["conteo_tablas"] = lambda spark, sf: WH.conteo_tablas(_clean(spark, sf), _pob(
 Q["integridad_referencial"] = lambda spark, sf: WH.integridad_referencial(_star(spark, sf))
 
 
+# ---------------------------------------------------------------------------
+# Text chunks
+# ---------------------------------------------------------------------------
+from regstat.operators import chunks as X  # noqa: E402
+
+Q["chunk_depto_anio"] = lambda spark, sf: X.chunk_depto_anio(_fact(spark, sf), _pob(spark, sf), P)
+Q["chunk_depto_total"] = lambda spark, sf: X.chunk_depto_total(_fact(spark, sf), P)
+Q["chunk_mensual"] = lambda spark, sf: X.chunk_mensual(_fact(spark, sf))
+Q["chunk_ranking"] = lambda spark, sf: X.chunk_ranking(_fact(spark, sf), P)
+Q["chunk_edad"] = lambda spark, sf: X.chunk_edad(_fact(spark, sf), P)
+Q["chunk_provincias"] = lambda spark, sf: X.chunk_provincias(_fact(spark, sf), P)
+Q["chunks_todos"] = lambda spark, sf: X.chunks_todos(_fact(spark, sf), _pob(spark, sf), P)
+
+
 def queries() -> dict:
     return dict(Q)
