@@ -150,5 +150,64 @@ Q["chunk_provincias"] = lambda spark, sf: X.chunk_provincias(_fact(spark, sf), P
 Q["chunks_todos"] = lambda spark, sf: X.chunks_todos(_fact(spark, sf), _pob(spark, sf), P)
 
 
+# ---------------------------------------------------------------------------
+# Vectors (S4, V1-V4, F4)
+# ---------------------------------------------------------------------------
+from regstat.functions import columns as C  # noqa: E402
+from regstat.operators import vectors as V  # noqa: E402
+from regstat.sources.registry import scan_chunks  # noqa: E402
+
+TOPK_TYPES = [cfg.CHUNK_MENSUAL, cfg.CHUNK_PROVINCIAS]
+
+
+def _scan(spark, sf):
+    return scan_chunks(S.corpus(spark, sf))
+
+
+@key("chunks_scan")
+def _q_chunks_scan(spark, sf):
+    return _scan(spark, sf).select("vec_id", "chunk_type", "meta_departamento", "meta_anio",
+                                   F.size("embedding").alias("dim"),
+                                   C.round_half_up(V.norma("embedding"), 6).alias("norma"))
+
+
+def _with_rep(spark, sf):
+    c = _scan(spark, sf)
+    return c.join(V.representantes(c), "label")
+
+
+@key("vector_coseno")
+def _q_vector_coseno(spark, sf):
+    return _with_rep(spark, sf).select(
+        "vec_id", "label", C.round_half_up(V.coseno("embedding", "q_embedding"), 6).alias("coseno"))
+
+
+@key("vector_boost")
+def _q_vector_boost(spark, sf):
+    j = _with_rep(spark, sf)
+    s = V.boost(V.coseno("embedding", "q_embedding"), "meta_departamento", "meta_anio",
+                "q_departamento", "q_anio")
+    return j.select("vec_id", "label", C.round_half_up(s, 6).alias("puntaje"))
+
+
+def _topk(spark, sf, types=None):
+    c = _scan(spark, sf)
+    q = V.representantes(c).withColumn("query_id", F.col("label").cast("long"))
+    r = V.topk(q, c, cfg.TOP_K, types)
+    return r.select("query_id", "vec_id", "posicion", C.round_half_up("score", 6).alias("puntaje"))
+
+
+Q["vector_topk"] = lambda spark, sf: _topk(spark, sf)
+Q["vector_topk_tipo"] = lambda spark, sf: _topk(spark, sf, TOPK_TYPES)
+
+
+@key("embeber_chunks")
+def _q_embeber_chunks(spark, sf):
+    ch = X.chunks_todos(_fact(spark, sf), _pob(spark, sf), P)
+    e = V.embed(ch, "content", 64)
+    return e.select("chunk_type", "chunk_key", F.size("embedding").alias("dim"),
+                    C.round_half_up(V.norma("embedding"), 6).alias("norma"))
+
+
 def queries() -> dict:
     return dict(Q)

@@ -461,5 +461,68 @@ CHUNK_KEYS = ("chunk_depto_anio", "chunk_depto_total", "chunk_mensual", "chunk_r
 SQL["chunks_todos"] = "\nunion all\n".join(f"select * from ({SQL[k]})" for k in CHUNK_KEYS)
 
 
+# ---------------------------------------------------------------------------
+# Vectors
+# ---------------------------------------------------------------------------
+CTE["scan"] = f"""scan0 as (
+  select vec_id, label, embedding,
+    case when label <= 1 then '{cfg.CHUNK_DEPTO_ANIO}' when label <= 3 then '{cfg.CHUNK_DEPTO_TOTAL}'
+         when label <= 5 then '{cfg.CHUNK_MENSUAL}' when label = 6 then '{cfg.CHUNK_RANKING}'
+         when label = 7 then '{cfg.CHUNK_EDAD}' else '{cfg.CHUNK_PROVINCIAS}' end chunk_type,
+    'NATION_' || cast(label * 2 + case when embedding[1] >= 0 then 1 else 0 end as varchar) dep,
+    cast(1995 + cast(floor(label / 2) as int) + case when embedding[2] >= 0 then 1 else 0 end as varchar) yr
+  from embeddings),
+scan as (
+  select vec_id, label, embedding, chunk_type,
+    json_extract_string(coalesce(m, '{{}}'), '$.departamento') meta_departamento,
+    try_cast(json_extract(coalesce(m, '{{}}'), '$."año"') as int) meta_anio
+  from (select *, case when label = 9 then null when label = 6 then '{{"año":' || yr || '}}'
+        else '{{"departamento":"' || dep || '","año":' || yr || '}}' end m from scan0)
+  where embedding is not null),
+reps as (
+  select label, arg_min_null(embedding, vec_id) q_embedding, arg_min_null(meta_departamento, vec_id) q_departamento,
+    arg_min_null(meta_anio, vec_id) q_anio from scan group by label)"""
+
+
+def dot(a: str, b: str) -> str:
+    return (f"list_reduce(list_transform(range(1, len({a}) + 1), lambda i: cast({a}[i] as double) * cast({b}[i] as double)),"
+            f" lambda x, y: x + y, 0::double)")
+
+
+def cos(a: str, b: str) -> str:
+    return f"({dot(a, b)} / nullif(sqrt({dot(a, a)}) * sqrt({dot(b, b)}), 0::double))"
+
+
+def boosted(a, b, cd, cy, qd, qy) -> str:
+    s1 = f"(case when {qd} is not null and {cd} = {qd} then {cos(a, b)} * {cfg.REGION_BOOST}::double else {cos(a, b)} end)"
+    return f"(case when {qy} is not null and {cy} = {qy} then {s1} * {cfg.YEAR_BOOST}::double else {s1} end)"
+
+
+SQL["chunks_scan"] = with_("scan") + f"""select vec_id, chunk_type, meta_departamento, meta_anio,
+  cast(len(embedding) as int) dim, {r2('sqrt(' + dot('embedding', 'embedding') + ')', 6)} norma from scan"""
+SQL["vector_coseno"] = with_("scan") + f"""select vec_id, label, {r2(cos('embedding', 'q_embedding'), 6)} coseno
+  from scan join reps using (label)"""
+SQL["vector_boost"] = with_("scan") + f"""select vec_id, label,
+  {r2(boosted('embedding', 'q_embedding', 'meta_departamento', 'meta_anio', 'q_departamento', 'q_anio'), 6)} puntaje
+  from scan join reps using (label)"""
+
+
+def _topk_sql(types=None) -> str:
+    where = ""
+    if types:
+        where = "where c.chunk_type in (" + ", ".join(f"'{t}'" for t in types) + ")"
+    return with_("scan") + f"""
+, s as (select cast(r.label as bigint) query_id, c.vec_id,
+     {boosted('c.embedding', 'r.q_embedding', 'c.meta_departamento', 'c.meta_anio', 'r.q_departamento', 'r.q_anio')} score
+   from scan c cross join reps r {where})
+select query_id, vec_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) posicion,
+  {r2('score', 6)} puntaje
+from s where score is not null qualify posicion <= {cfg.TOP_K}"""
+
+
+SQL["vector_topk"] = _topk_sql()
+SQL["vector_topk_tipo"] = _topk_sql([cfg.CHUNK_MENSUAL, cfg.CHUNK_PROVINCIAS])
+
+
 def oracle_sql() -> dict:
     return dict(SQL)

@@ -63,5 +63,5 @@ def scan_chunks(chunks: DataFrame) -> DataFrame:
     return (chunks.where(F.col("embedding").isNotNull())
             .withColumn("_meta", meta)
             .withColumn("meta_departamento", F.try_variant_get("_meta", "$.departamento", "string"))
-            .withColumn("meta_anio", F.try_variant_get("_meta", "$.año", "int"))
+            .withColumn("meta_anio", F.try_variant_get("_meta", "$['año']", "int"))
             .drop("_meta"))

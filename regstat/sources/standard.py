@@ -263,7 +263,7 @@ def corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
     meta = (F.when(lab == 9, F.lit(None).cast("string"))
             .when(lab == 6, F.concat(F.lit('{"año":'), anio, F.lit("}")))
             .otherwise(F.concat(F.lit('{"departamento":"'), depto, F.lit('","año":'), anio, F.lit("}"))))
-    return e.select("vec_id", tipo.alias("chunk_type"), "embedding", meta.alias("metadata_json"))
+    return e.select("vec_id", "label", tipo.alias("chunk_type"), "embedding", meta.alias("metadata_json"))
 
 
 def preguntas(spark: SparkSession, sf_dir: str) -> DataFrame:
