@@ -35,7 +35,13 @@ def coeficientes(fact: DataFrame, poblacion: DataFrame,
                  min_points: int = cfg.MIN_TREND_POINTS,
                  scale: int = cfg.RATE_SCALE) -> DataFrame:
     """Unrounded slope ``m`` and intercept ``b`` plus the exact sums."""
-    agg = M.casos_por_anio(fact)
+    return coeficientes_desde(M.casos_por_anio(fact), poblacion, min_points, scale)
+
+
+def coeficientes_desde(agg: DataFrame, poblacion: DataFrame,
+                       min_points: int = cfg.MIN_TREND_POINTS,
+                       scale: int = cfg.RATE_SCALE) -> DataFrame:
+    """Same, from precomputed (departamento, anio, casos) rows."""
     pob = poblacion.select("departamento", "anio", F.col("total").alias("_pob"))
     rates = (agg.join(pob, ["departamento", "anio"], "left")
              .withColumn("y100", C.rate_hundredths(F.col("casos"), F.col("_pob"), scale)))

@@ -209,5 +209,40 @@ def _q_embeber_chunks(spark, sf):
                     C.round_half_up(V.norma("embedding"), 6).alias("norma"))
 
 
+# ---------------------------------------------------------------------------
+# Questions and answers (Q1, Q2, Q4-Q7)
+# ---------------------------------------------------------------------------
+from regstat.operators import questions as QA  # noqa: E402
+
+
+@key("detectar_filtros")
+def _q_detectar_filtros(spark, sf):
+    names = QA.gazetteer_list(S.gazetteer_regiones(spark, sf))
+    return QA.detectar_filtros(S.preguntas(spark, sf), names, P.years)
+
+
+def _parsed(spark, sf):
+    return QA.parsear_respuestas(S.respuestas(spark, sf))
+
+
+Q["parsear_respuestas"] = lambda spark, sf: _parsed(spark, sf).select(
+    "conv_id", "turn", "texto", "tiene_grafica", "grafica_tipo", "n_datos")
+Q["grafica_valida"] = lambda spark, sf: QA.grafica_valida(_parsed(spark, sf), ["conv_id", "turn"])
+Q["historial"] = lambda spark, sf: QA.historial(S.conversaciones(spark, sf))
+
+
+# ---------------------------------------------------------------------------
+# Report bundles (R1-R4) and the population sheets
+# ---------------------------------------------------------------------------
+from regstat.operators import reports as R  # noqa: E402
+
+Q["resumen_departamento"] = lambda spark, sf: R.resumen_departamento(_fact(spark, sf), _pob(spark, sf))
+Q["panel_departamento"] = lambda spark, sf: R.panel_departamento(_fact(spark, sf), None, P)
+Q["panel_nacional"] = lambda spark, sf: R.panel_nacional(_fact(spark, sf))
+Q["reporte_regional"] = lambda spark, sf: R.reporte_regional(
+    _raw(spark, sf), S.gazetteer_regiones(spark, sf), _pob(spark, sf), P)
+Q["poblacion_unpivot"] = lambda spark, sf: S.poblacion_desde_hojas(spark, sf, P)
+
+
 def queries() -> dict:
     return dict(Q)

@@ -524,5 +524,142 @@ SQL["vector_topk"] = _topk_sql()
 SQL["vector_topk_tipo"] = _topk_sql([cfg.CHUNK_MENSUAL, cfg.CHUNK_PROVINCIAS])
 
 
+# ---------------------------------------------------------------------------
+# Questions and answers
+# ---------------------------------------------------------------------------
+from regstat.operators.questions import FENCE_OPEN, year_pattern  # noqa: E402
+
+CTE["preguntas"] = """preguntas as (
+  select c_custkey pregunta_id, case c_mktsegment
+    when 'AUTOMOBILE' then '¿Cuántos casos hubo en ' || lower(r_name) || ' durante ' || y || '?'
+    when 'BUILDING' then 'Casos en ' || lower(n_name) || ' (' || lower(r_name) || ') en el año ' || y
+    when 'FURNITURE' then 'Resumen general sin filtros, año' || y
+    when 'HOUSEHOLD' then 'Compare eurasia con ' || lower(r_name) || ' en ' || y || 'x'
+    else '¿qué significa ' || y || ' para ' || lower(n_name) || '?' end texto
+  from (select *, cast(1995 + c_custkey % 8 as varchar) y from customer) c
+  join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+SQL["detectar_filtros"] = with_("preguntas") + f"""select pregunta_id, texto,
+  try_cast(nullif(regexp_extract(texto, '{year_pattern(P.years)}', 2), '') as int) anio,
+  list_filter((select list(r_name order by r_regionkey) from region), lambda d: contains(upper(texto), d))[1] departamento
+from preguntas"""
+CTE["respuestas"] = """resp0 as (
+  select conv_id, turn, text,
+    case conv_id % 4 when 0 then 'bar' when 1 then 'pie' when 2 then 'scatter' else 'line' end tipo,
+    case when turn % 5 = 4 then '[]' else '[{"nombre":"a","valor":' || cast(length(text) as varchar)
+      || '},{"nombre":"b","valor":' || cast(turn + 1 as varchar) || '},{"nombre":"c","valor":'
+      || cast(conv_id as varchar) || '}]' end datos
+  from conversations where role = 'assistant'),
+respuestas as (
+  select conv_id, turn, case (conv_id + turn) % 6
+    when 0 then '```json' || chr(10) || obj || chr(10) || '```' when 1 then obj when 2 then text
+    when 3 then 'null' when 4 then '[1]' else '{"texto":5}' end respuesta
+  from (select *, '{"texto":"respuesta ' || cast(conv_id as varchar) || '-' || cast(turn as varchar)
+    || '","grafica":{"tipo":"' || tipo || '","titulo":"t","datos":' || datos || ',"ejeX":"x","ejeY":"y"}}' obj
+    from resp0))"""
+_c1 = f"regexp_replace({jt('respuesta')}, '{FENCE_OPEN[4:]}', '', 'i')"
+_c2 = jt(f"regexp_replace({_c1}, '(?s)^(.*?)\\s*```(?m:$)', '\\1')")
+CTE["parsed"] = f"""parsed00 as (select *, {_c2} c0 from respuestas),
+parsed0 as (select *, case when json_valid(c0) then c0 end c from parsed00),
+parsed1 as (select *, coalesce(json_type(c) = 'OBJECT', false) is_obj from parsed0),
+parsed as (select conv_id, turn, respuesta, c,
+    case when is_obj and json_type(c, '$.texto') = 'VARCHAR' then json_extract_string(c, '$.texto') else respuesta end texto,
+    is_obj and coalesce(json_type(c, '$.grafica') <> 'NULL', false) tiene_grafica
+  from parsed1),
+parsed2 as (select *,
+    case when tiene_grafica and json_type(c, '$.grafica.tipo') = 'VARCHAR' then json_extract_string(c, '$.grafica.tipo') end grafica_tipo,
+    case when tiene_grafica and json_type(c, '$.grafica.datos') = 'ARRAY' then cast(json_array_length(c, '$.grafica.datos') as int) end n_datos
+  from parsed)"""
+DEPS.update({"parsed": ["respuestas"]})
+SQL["parsear_respuestas"] = with_("parsed") + "select conv_id, turn, texto, tiene_grafica, grafica_tipo, n_datos from parsed2"
+_types = ", ".join(f"'{t}'" for t in cfg.CHART_TYPES)
+SQL["grafica_valida"] = with_("parsed") + f"""
+, g as (select conv_id, turn, grafica_tipo tipo,
+    from_json(json_extract(c, '$.grafica.datos'), '[{{"nombre":"VARCHAR","valor":"DOUBLE"}}]') d
+  from parsed2 where grafica_tipo in ({_types}) and n_datos > 0)
+, e as (select conv_id, turn, tipo,
+    list_reduce(list_transform(d, lambda x: coalesce(x.valor, 0::double)), lambda a, b: a + b, 0::double) total,
+    unnest(range(1, len(d) + 1)) posicion, unnest(d) item from g)
+select conv_id, turn, tipo, cast(posicion as int) posicion, item.nombre nombre, item.valor valor,
+  {share('item.valor', 'total')} pct,
+  case when tipo = 'pie' then coalesce(item.nombre, '') || ' ' || cast({share('item.valor', 'total')} as varchar) || '%' end etiqueta
+from e"""
+SQL["historial"] = """select conv_id, turn, case when role = 'assistant' then 'model' else 'user' end rol, text texto
+from conversations"""
+
+
+# ---------------------------------------------------------------------------
+# Report bundles and population sheets
+# ---------------------------------------------------------------------------
+SQL["poblacion_unpivot"] = with_("poblacion") + "select departamento, anio, total, hombres, mujeres from poblacion"
+
+_stats = [("pendiente", r2("m", 2)), ("intercepto", r2("b", 2)), ("r_cuadrado", r2("r2", 3)),
+          ("media_tasa", "floor(media100 + 0.5::double) / 100"), ("desviacion", "floor(sd100 + 0.5::double) / 100")]
+SQL["resumen_departamento"] = with_("fact", "coef") + "\nunion all ".join([
+    "select departamento, 'total' seccion, 'casos' clave, cast(count(*) as double) valor from fact group by departamento",
+    f"select departamento, 'total', 'edad_promedio', coalesce({r2('avg(edad)', 1)}, 0::double) from fact group by departamento",
+    "select departamento, 'por_anio', cast(anio as varchar), cast(casos as double) from cpa",
+    "select departamento, 'sexo', sexo, cast(count(*) as double) from fact group by departamento, sexo",
+    f"select departamento, 'edad', grupo_etario, cast(count(*) as double) from fact where grupo_etario <> '{cfg.UNKNOWN}' group by departamento, grupo_etario",
+    "select departamento, 'provincias', provincia, cast(count(*) as double) from fact group by departamento, provincia",
+    *[f"select departamento, 'tendencia', '{n}', cast({e} as double) from coef" for n, e in _stats],
+    f"""select departamento, 'tendencia_clase', case when m > {cfg.TREND_THRESHOLD} then '{_UP}'
+        when m < -{cfg.TREND_THRESHOLD} then '{_DOWN}' else '{_FLAT}' end, {r2('m', 2)} from coef where m is not null""",
+    f"select t.departamento, 'tasa_proyectada', cast(t.anio as varchar), {r2('c.m * t.anio + c.b', 2)} from tasa t join coef c using (departamento) where c.m is not null",
+    "select departamento, 'tasa', cast(anio as varchar), tasa from tasa",
+])
+SQL["panel_departamento"] = with_("fact") + "\nunion all ".join([
+    "select departamento, 'por_anio' seccion, cast(anio as varchar) clave, count(*) casos from fact group by departamento, anio",
+    "select departamento, 'sexo', sexo, count(*) from fact group by departamento, sexo",
+    f"select departamento, 'edad', grupo_etario, count(*) from fact where grupo_etario <> '{cfg.UNKNOWN}' group by departamento, grupo_etario",
+    "select departamento, 'provincias', provincia, count(*) from fact group by departamento, provincia",
+    f"select departamento, 'mensual', cast(mes as varchar), count(*) from fact where anio = {P.default_trend_year} group by departamento, mes",
+])
+SQL["panel_nacional"] = with_("fact") + """select 'ranking' seccion, departamento clave, count(*) casos, 'todos' anio
+from fact group by departamento
+union all select 'total', 'PERU', count(*), 'todos' from fact"""
+_yl = "[" + ", ".join(f"'{y}'" for y in P.report_years) + "]"
+_yl_t = "[" + ", ".join(f"'{y}'" for y in P.report_years) + ", 'total']"
+CTE["reg"] = f"""reg as (select r.r_name departamento, substring(n.fecha, 1, 4) anio_t,
+    coalesce(cast(n.mes as varchar), 'NaN') mes_t, n.sexo_regional sexo, n.grupo_etario_regional grupo_etario,
+    n.provincia_regional provincia, n.cant_atenciones
+  from nac n join region r on contains(upper(n.lugar_crudo), r.r_name) where n.incluido_regional),
+rframe as (select r_name departamento, unnest({_yl}) anio_t from region),
+rcnt as (select departamento, anio_t, count(*) n from reg group by departamento, anio_t),
+rvis as (select departamento, anio_t, avg(cant_atenciones) a, cast(median(cant_atenciones) as double) md,
+    max(cant_atenciones) mx from reg group by departamento, anio_t),
+rvist as (select departamento, avg(cant_atenciones) a from reg group by departamento),
+rpy as (select f.departamento, f.anio_t, coalesce(c.n, 0) casos, coalesce(p.total, 0) pob,
+    coalesce(p.hombres, 0) h, coalesce(p.mujeres, 0) mu, v.a, v.md, v.mx
+  from rframe f left join rcnt c using (departamento, anio_t)
+  left join poblacion p on p.departamento = f.departamento and cast(p.anio as varchar) = f.anio_t
+  left join rvis v using (departamento, anio_t))"""
+DEPS["reg"] = ["nac", "poblacion"]
+_py = [("por_anio", "casos", "casos"), ("por_anio", "poblacion", "pob"),
+       ("por_anio", "tasa_por_100k", rate("casos", "nullif(pob, 0)")),
+       ("por_anio", "completo", f"case when anio_t <> '{P.partial_year}' then 1.0 else 0.0 end"),
+       ("atenciones", "promedio", f"coalesce({r2('a', 2)}, 0::double)"),
+       ("atenciones", "mediana", "coalesce(md, 0::double)"), ("atenciones", "max", "coalesce(mx, 0)"),
+       ("poblacion_inei", "total", "pob"), ("poblacion_inei", "hombres", "h"), ("poblacion_inei", "mujeres", "mu")]
+_sexes = "[" + ", ".join(f"'{x}'" for x in cfg.SEXES) + "]"
+SQL["reporte_regional"] = with_("reg") + "\nunion all ".join([
+    *[f"select departamento, '{sec}' seccion, anio_t anio, '{k}' clave, cast({e} as double) valor from rpy"
+      for sec, k, e in _py],
+    f"""select f.departamento, 'por_sexo', f.anio, f.clave, cast(coalesce(c.n, 0) as double) from
+      (select departamento, anio, unnest({_sexes}) clave from
+         (select r_name departamento, unnest({_yl_t}) anio from region)) f
+      left join (select departamento, anio_t anio, sexo clave, count(*) n from reg where sexo is not null
+                 group by departamento, anio_t, sexo
+                 union all select departamento, 'total', sexo, count(*) from reg where sexo is not null
+                 group by departamento, sexo) c using (departamento, anio, clave)""",
+    f"""select r_name, 'atenciones', 'total', 'promedio_total', coalesce({r2('v.a', 2)}, 0::double)
+      from region left join rvist v on v.departamento = r_name""",
+    "select departamento, 'por_mes', anio_t, mes_t, cast(count(*) as double) from reg group by departamento, anio_t, mes_t",
+    "select departamento, 'por_grupo_etario', anio_t, grupo_etario, cast(count(*) as double) from reg group by departamento, anio_t, grupo_etario",
+    "select departamento, 'por_grupo_etario', 'total', grupo_etario, cast(count(*) as double) from reg group by departamento, grupo_etario",
+    "select departamento, 'por_provincia', anio_t, provincia, cast(count(*) as double) from reg group by departamento, anio_t, provincia",
+    "select departamento, 'por_provincia', 'total', provincia, cast(count(*) as double) from reg group by departamento, provincia",
+])
+
+
 def oracle_sql() -> dict:
     return dict(SQL)
