@@ -120,3 +120,122 @@ def historial(turns: DataFrame) -> DataFrame:
                          F.when(F.col("role") == "assistant", F.lit("model")).otherwise(F.lit("user")).alias("rol"),
                          F.col("text").alias("texto"))
             .orderBy("conv_id", "turn"))
+
+
+# ---------------------------------------------------------------------------
+# Q3: context assembly
+# ---------------------------------------------------------------------------
+MAX_CORPUS = 200_000
+
+CONTEXT_SCHEMA = T.StructType([
+    T.StructField("pregunta_id", T.LongType()), T.StructField("n_chunks", T.IntegerType()),
+    T.StructField("contexto", T.StringType())])
+
+
+def contexto_rag(questions: DataFrame, corpus: DataFrame, dim: int, k: int = cfg.TOP_K,
+                 embedder=None, text: str = "texto") -> DataFrame:
+    """Retrieved context per question: the texts of its top-k chunks by
+    boosted cosine (V1-V3), joined by a blank line in score order.
+
+    The chunk corpus is bounded (regions x years x families): it is
+    size-checked and shipped to every task, and questions are embedded and
+    scored where they live (``mapInPandas``), with no shuffle. A corpus
+    above the bound goes through ``vectors.topk`` instead (corpus stays
+    partitioned, questions in bounded batches).
+    """
+    import numpy as np
+    import pandas as pd
+
+    from regstat.operators import vectors as V
+
+    rows = corpus.select("content", "embedding", "meta_departamento", "meta_anio") \
+                 .limit(MAX_CORPUS + 1).collect()
+    if len(rows) > MAX_CORPUS:
+        return _contexto_grande(questions, corpus, dim, k, embedder, text)
+    rows.sort(key=lambda r: r["content"] or "")  # deterministic tie order
+    fn = embedder or V.hash_embed_texts
+    contents = [r["content"] for r in rows]
+    cm = (np.array([np.asarray(r["embedding"], dtype=np.float32) for r in rows]).astype(np.float64)
+          if rows else np.zeros((0, dim)))
+    cnorm = V._seq_norm(cm) if rows else np.zeros(0)
+    cdep = np.array([r["meta_departamento"] for r in rows], dtype=object)
+    cyear = np.array([np.nan if r["meta_anio"] is None else float(r["meta_anio"]) for r in rows])
+    order_ids = np.arange(len(rows))
+
+    def run(batches):
+        for pdf in batches:
+            if pdf.empty:
+                continue
+            qm = np.asarray(fn(pdf[text].tolist(), dim), dtype=np.float32).astype(np.float64)
+            dot = V._seq_dot(cm, qm)  # chunks x questions
+            den = cnorm[:, None] * V._seq_norm(qm)[None, :]
+            with np.errstate(divide="ignore", invalid="ignore"):
+                s = np.where(den == 0.0, np.nan, dot / den)
+            qdep = pdf["departamento"].to_numpy(dtype=object)
+            qyear = pdf["anio"].astype("float64").to_numpy()
+            hit_d = (qdep[None, :] != None) & (cdep[:, None] == qdep[None, :])  # noqa: E711
+            s = np.where(hit_d, s * cfg.REGION_BOOST, s)
+            hit_y = ~np.isnan(qyear)[None, :] & (cyear[:, None] == qyear[None, :])
+            s = np.where(hit_y, s * cfg.YEAR_BOOST, s)
+            ctx, n = [], []
+            for j in range(s.shape[1]):
+                col = s[:, j]
+                ok = np.flatnonzero(~np.isnan(col))
+                top = ok[np.lexsort((order_ids[ok], -col[ok]))[:k]]
+                ctx.append("\n\n".join(contents[i] for i in top))
+                n.append(int(top.size))
+            yield pd.DataFrame({"pregunta_id": pdf["pregunta_id"].astype("int64"),
+                                "n_chunks": np.array(n, dtype=np.int32), "contexto": ctx})
+
+    return questions.select(F.col("pregunta_id").cast("long").alias("pregunta_id"), text,
+                            "departamento", "anio").mapInPandas(run, CONTEXT_SCHEMA)
+
+
+def _contexto_grande(questions, corpus, dim, k, embedder, text):
+    """Large-corpus path: embed the questions, then exact top-k with the
+    corpus partitioned, one bounded batch of questions at a time."""
+    from regstat.operators import vectors as V
+
+    n = questions.count()
+    # Twice as many hash batches as strictly needed, so no batch exceeds the
+    # query bound; every batch is processed (no question is left out).
+    batches = max(1, 2 * -(-n // V.MAX_QUERY_BATCH))
+    emb = V.embed(questions, text, dim, "q_embedding", embedder=embedder)
+    corpus = corpus.withColumn("_cid", F.monotonically_increasing_id())
+    parts = []
+    for b in range(batches):
+        q = emb.where(F.pmod(F.xxhash64("pregunta_id"), F.lit(batches)) == b) if batches > 1 else emb
+        q = q.select(F.col("pregunta_id").alias("query_id"), "q_embedding",
+                     F.col("departamento").alias("q_departamento"), F.col("anio").alias("q_anio"))
+        parts.append(V.topk(q, corpus, k, id_col="_cid"))
+    hits = parts[0]
+    for p in parts[1:]:
+        hits = hits.unionByName(p)
+    hits = hits.join(corpus.select("_cid", "content"), "_cid")
+    return (hits.groupBy("query_id")
+            .agg(F.array_sort(F.collect_list(F.struct("posicion", "content"))).alias("c"))
+            .select(F.col("query_id").alias("pregunta_id"), F.size("c").cast("int").alias("n_chunks"),
+                    F.concat_ws("\n\n", F.transform("c", lambda x: x["content"])).alias("contexto")))
+
+
+def contexto_preguntas(questions: DataFrame, corpus: DataFrame, resumen_json: DataFrame,
+                       ranking_json: DataFrame, dim: int, k: int = cfg.TOP_K,
+                       template: str = cfg.PROMPT_TEMPLATE, embedder=None) -> DataFrame:
+    """Q3: prompt per question. Exact figures: the region summary (JSON) when
+    a region was detected, else the top-10 ranking for the detected year or
+    all years (``anio`` 0 in ``ranking_json``); fallback texts when empty.
+    ``resumen_json``: departamento, datos_sql; ``ranking_json``: anio, datos_sql."""
+    ctx = contexto_rag(questions, corpus, dim, k, embedder)
+    q = questions.select("pregunta_id", "departamento", "anio")
+    rs = resumen_json.select("departamento", F.col("datos_sql").alias("_rs"))
+    rk = ranking_json.select(F.col("anio").alias("_ranio"), F.col("datos_sql").alias("_rk"))
+    j = (q.join(ctx, "pregunta_id", "left")
+         .join(rs, "departamento", "left")
+         .join(rk, F.coalesce(F.col("anio"), F.lit(0)) == F.col("_ranio"), "left"))
+    sql = F.when(F.col("departamento").isNotNull(), F.col("_rs")).otherwise(F.col("_rk"))
+    rag = F.coalesce(F.nullif(F.col("contexto"), F.lit("")), F.lit(cfg.NO_CONTEXT))
+    data = F.coalesce(F.nullif(sql, F.lit("")), F.lit(cfg.NO_SQL_DATA))
+    prompt = F.replace(F.replace(F.lit(template), F.lit(cfg.CONTEXT_PLACEHOLDER), rag),
+                       F.lit(cfg.SQL_PLACEHOLDER), data)
+    return j.select("pregunta_id", "departamento", "anio",
+                    F.coalesce(F.col("n_chunks"), F.lit(0)).alias("n_chunks"), prompt.alias("prompt"))

@@ -244,5 +244,37 @@ Q["reporte_regional"] = lambda spark, sf: R.reporte_regional(
 Q["poblacion_unpivot"] = lambda spark, sf: S.poblacion_desde_hojas(spark, sf, P)
 
 
+# ---------------------------------------------------------------------------
+# Context assembly (Q3): questions -> filters -> embedded chunks -> prompt
+# ---------------------------------------------------------------------------
+EMBED_DIM = 64
+
+
+def _resumen_json(fact, pob):
+    long = R.resumen_departamento(fact, pob)
+    return (long.groupBy("departamento")
+            .agg(F.to_json(F.array_sort(F.collect_list(F.struct("seccion", "clave", "valor")))).alias("datos_sql")))
+
+
+def _ranking_json(fact):
+    by_year = W.ranking_anual(fact, cfg.TOP_RANKING_CONTEXT).select("anio", "posicion", "departamento", "casos")
+    overall = W.top_departamentos(fact, cfg.TOP_RANKING_CONTEXT).select(
+        F.lit(0).alias("anio"), "posicion", "departamento", "casos")
+    both = by_year.unionByName(overall)
+    return both.groupBy("anio").agg(F.to_json(F.struct(F.transform(
+        F.array_sort(F.collect_list(F.struct("posicion", "departamento", "casos"))),
+        lambda x: F.struct(x["departamento"].alias("departamento"), x["casos"].alias("casos"))
+    ).alias("ranking"))).alias("datos_sql"))
+
+
+@key("contexto_preguntas")
+def _q_contexto_preguntas(spark, sf):
+    fact, pob = _fact(spark, sf), _pob(spark, sf)
+    names = QA.gazetteer_list(S.gazetteer_regiones(spark, sf))
+    qs = QA.detectar_filtros(S.preguntas(spark, sf), names, P.years)
+    chunks = scan_chunks(V.embed(X.chunks_todos(fact, pob, P), "content", EMBED_DIM))
+    return QA.contexto_preguntas(qs, chunks, _resumen_json(fact, pob), _ranking_json(fact), EMBED_DIM)
+
+
 def queries() -> dict:
     return dict(Q)
