@@ -25,7 +25,7 @@ def make_corpus(spark, n=60, dim=8, seed=3):
     return spark.createDataFrame(rows, CORPUS), rows
 
 
-def brute(rows, q, qdep, qyear, k, types=None):
+def brute(rows, q, qdep, qyear, k, types=None, tie=None):
     out = []
     qv = np.asarray(q, dtype=np.float32).astype(np.float64)
     for vid, emb, t, dep, yr in rows:
@@ -40,8 +40,8 @@ def brute(rows, q, qdep, qyear, k, types=None):
             s *= cfg.REGION_BOOST
         if qyear is not None and yr == qyear:
             s *= cfg.YEAR_BOOST
-        out.append((-s, vid))
-    return [vid for _, vid in sorted(out)[:k]]
+        out.append((-s, tie[vid] if tie else vid, vid))
+    return [vid for _, _, vid in sorted(out)[:k]]
 
 
 def test_topk_matches_brute_force(spark):
@@ -112,8 +112,7 @@ def test_context_matches_brute_force(spark):
     got = {r["pregunta_id"]: r for r in QA.contexto_rag(qs, corpus, dim, 4).collect()}
     qv = V.hash_embed_texts(qtexts, dim)
     for i, (dep, yr) in enumerate(zip(["LIMA", None, "ICA"], [2024, None, None])):
-        ids = brute(rows, qv[i], dep, yr, 4)
-        # ties are broken by text in the Spark path; scores here have no ties
+        ids = brute(rows, qv[i], dep, yr, 4, tie=texts)  # equal scores: text order
         assert got[i]["contexto"] == "\n\n".join(texts[j] for j in ids)
         assert got[i]["n_chunks"] == len(ids)
 
