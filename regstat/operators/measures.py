@@ -6,6 +6,14 @@ region in one grouped job; the optional ``departamento`` / ``anio``
 arguments are plain filters (F1) that Catalyst pushes to the scans.
 Counts are ``COUNT(*)`` with map-side partial aggregation, so a region
 holding a third of all rows costs one partial row per task, not a hot task.
+
+Every count and mean is derived from one pre-aggregate of the fact, the
+``cubo`` (region, province, year, month, sex, band -> cases, sum and count
+of ages). Its size is bounded by the dimension cardinalities, not by the
+fact; a bundle that needs many breakdowns builds the same cube plan in each
+branch, so Spark reuses one exchange and the fact is scanned once. Sums of
+integer counts and of integer ages are exact, so the derived values equal a
+direct aggregation bit for bit.
 """
 
 from __future__ import annotations
@@ -16,9 +24,33 @@ from pyspark.sql import functions as F
 from regstat import config as cfg
 from regstat.functions import columns as C
 
+CUBE_KEYS = ("departamento", "provincia", "anio", "mes", "sexo", "grupo_etario")
+
+
+def cubo(fact: DataFrame) -> DataFrame:
+    """Pre-aggregate of the fact over the low-cardinality dimensions."""
+    return fact.groupBy(*CUBE_KEYS).agg(
+        F.count(F.lit(1)).alias("casos"),
+        F.sum("edad").cast("bigint").alias("suma_edad"),
+        F.count("edad").alias("n_edad"))
+
 
 def cases():
-    return F.count(F.lit(1)).alias("casos")
+    """COUNT(*) of the fact, as a sum over cube rows."""
+    return F.sum("casos").cast("bigint").alias("casos")
+
+
+def mean_age():
+    """AVG(edad) of the fact over cube rows (null when no age is known)."""
+    return F.sum("suma_edad") / F.nullif(F.sum("n_edad"), F.lit(0))
+
+
+def females():
+    return F.sum(F.when(F.col("sexo") == "FEMENINO", F.col("casos")).otherwise(F.lit(0))).cast("bigint")
+
+
+def males():
+    return F.sum(F.when(F.col("sexo") == "MASCULINO", F.col("casos")).otherwise(F.lit(0))).cast("bigint")
 
 
 def filtrar(fact: DataFrame, departamento: str | None = None, anio: int | None = None) -> DataFrame:
@@ -33,7 +65,7 @@ def filtrar(fact: DataFrame, departamento: str | None = None, anio: int | None =
 def casos_por_anio(fact: DataFrame, departamento: str | None = None,
                    anio: int | None = None) -> DataFrame:
     """A1: cases per (region, year)."""
-    return filtrar(fact, departamento, anio).groupBy("departamento", "anio").agg(cases())
+    return filtrar(cubo(fact), departamento, anio).groupBy("departamento", "anio").agg(cases())
 
 
 def con_poblacion(agg: DataFrame, poblacion: DataFrame,
@@ -60,19 +92,19 @@ def tasa_incidencia(fact: DataFrame, poblacion: DataFrame, departamento: str | N
 def distribucion_sexo(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A3: cases per sex."""
-    return filtrar(fact, departamento, anio).groupBy("departamento", "sexo").agg(cases())
+    return filtrar(cubo(fact), departamento, anio).groupBy("departamento", "sexo").agg(cases())
 
 
 def distribucion_edad(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A4 (+F2): cases per age band, unknown band excluded."""
-    return (filtrar(fact, departamento, anio).where(F.col("grupo_etario") != cfg.UNKNOWN)
+    return (filtrar(cubo(fact), departamento, anio).where(F.col("grupo_etario") != cfg.UNKNOWN)
             .groupBy("departamento", "grupo_etario").agg(cases()))
 
 
 def ranking_departamentos(fact: DataFrame, anio: int | None = None) -> DataFrame:
     """A5: cases per region (order: cases desc, then name)."""
-    return filtrar(fact, None, anio).groupBy("departamento").agg(cases())
+    return filtrar(cubo(fact), None, anio).groupBy("departamento").agg(cases())
 
 
 def ordenar_ranking(ranking: DataFrame) -> DataFrame:
@@ -82,27 +114,26 @@ def ordenar_ranking(ranking: DataFrame) -> DataFrame:
 def tendencia_mensual(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A6 (+C14): cases per (region, year, month) with the month label."""
-    return (filtrar(fact, departamento, anio).groupBy("departamento", "anio", "mes").agg(cases())
+    return (filtrar(cubo(fact), departamento, anio).groupBy("departamento", "anio", "mes").agg(cases())
             .withColumn("etiqueta", C.month_label("mes")))
 
 
 def provincias(fact: DataFrame, departamento: str | None = None,
                anio: int | None = None) -> DataFrame:
     """Cases per province."""
-    return filtrar(fact, departamento, anio).groupBy("departamento", "provincia").agg(cases())
+    return filtrar(cubo(fact), departamento, anio).groupBy("departamento", "provincia").agg(cases())
 
 
 def _sex_counts():
-    return [F.count_if(F.col("sexo") == "FEMENINO").alias("femenino"),
-            F.count_if(F.col("sexo") == "MASCULINO").alias("masculino")]
+    return [females().alias("femenino"), males().alias("masculino")]
 
 
 def resumen_depto_anio(fact: DataFrame, poblacion: DataFrame,
                        scale: int = cfg.RATE_SCALE) -> DataFrame:
     """A8 + J5: per (region, year) cases, women, men, mean age (1 digit),
     population flag and rate (0 without population)."""
-    agg = (fact.groupBy("departamento", "anio")
-           .agg(cases(), *_sex_counts(), C.round_half_up(F.avg("edad"), 1).alias("edad_promedio")))
+    agg = (cubo(fact).groupBy("departamento", "anio")
+           .agg(cases(), *_sex_counts(), C.round_half_up(mean_age(), 1).alias("edad_promedio")))
     pob = poblacion.select("departamento", "anio", F.col("total").alias("_pob"))
     return (agg.join(pob, ["departamento", "anio"], "left")
             .withColumn("con_poblacion", F.col("_pob").isNotNull())
@@ -112,14 +143,14 @@ def resumen_depto_anio(fact: DataFrame, poblacion: DataFrame,
 
 def resumen_depto_total(fact: DataFrame) -> DataFrame:
     """Per region cases, women and mean age (1 digit)."""
-    return fact.groupBy("departamento").agg(
-        cases(), F.count_if(F.col("sexo") == "FEMENINO").alias("femenino"),
-        C.round_half_up(F.avg("edad"), 1).alias("edad_promedio"))
+    return cubo(fact).groupBy("departamento").agg(
+        cases(), females().alias("femenino"),
+        C.round_half_up(mean_age(), 1).alias("edad_promedio"))
 
 
 def mensual_detalle(fact: DataFrame) -> DataFrame:
     """A10: cases per (region, year, month)."""
-    return fact.groupBy("departamento", "anio", "mes").agg(cases())
+    return cubo(fact).groupBy("departamento", "anio", "mes").agg(cases())
 
 
 def edad_por_depto(fact: DataFrame) -> DataFrame:
@@ -152,9 +183,9 @@ def atenciones_promedio_total(fact: DataFrame, visits: str = "cant_atenciones")
 
 def resumen_departamento_total(fact: DataFrame, departamento: str | None = None) -> DataFrame:
     """Per region total cases and mean age (1 digit, 0 when absent)."""
-    return filtrar(fact, departamento).groupBy("departamento").agg(
-        F.count(F.lit(1)).alias("total_casos"),
-        F.coalesce(C.round_half_up(F.avg("edad"), 1), F.lit(0.0)).alias("edad_promedio"))
+    return filtrar(cubo(fact), departamento).groupBy("departamento").agg(
+        F.sum("casos").cast("bigint").alias("total_casos"),
+        F.coalesce(C.round_half_up(mean_age(), 1), F.lit(0.0)).alias("edad_promedio"))
 
 
 def total_nacional(ranking: DataFrame) -> DataFrame:

@@ -101,9 +101,8 @@ def kpi_departamento(fact: DataFrame) -> DataFrame:
                .agg(F.sum("casos").cast("bigint").alias("total_casos"),
                     F.max("anio").alias("ultimo_anio"),
                     F.max_by("casos", "anio").alias("casos_ultimo_anio")))
-    sexo = (fact.groupBy("departamento")
-            .agg(F.count_if(F.col("sexo") == "FEMENINO").alias("femenino"),
-                 F.count(F.lit(1)).alias("total_sexo")))
+    sexo = (M.cubo(fact).groupBy("departamento")
+            .agg(M.females().alias("femenino"), F.sum("casos").alias("total_sexo")))
     top = top_provincia(fact).select("departamento", F.col("provincia").alias("top_provincia"),
                                      F.col("casos").alias("casos_top_provincia"))
     return (by_year.join(sexo, "departamento").join(top, "departamento", "left")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from regstat import config as cfg
 from regstat.functions import columns as C
 from regstat.operators import clean as CL
+from regstat.operators import measures as M
 from regstat.operators import trend as T
 
 
@@ -47,7 +48,7 @@ def resumen_departamento(fact: DataFrame, poblacion: DataFrame,
     sets = {"total": ("departamento",), "por_anio": ("departamento", "anio"),
             "sexo": ("departamento", "sexo"), "edad": ("departamento", "grupo_etario"),
             "provincias": ("departamento", "provincia")}
-    g = _sets(fact, sets, [F.count(F.lit(1)).alias("casos"), F.avg("edad").alias("edad_avg")])
+    g = _sets(M.cubo(fact), sets, [M.cases(), M.mean_age().alias("edad_avg")])
     sec = F.col("seccion")
     total = g.where(sec == "total")
     parts = [
@@ -90,11 +91,11 @@ def panel_departamento(fact: DataFrame, anio: int | None = None,
     year or the default year - long form (departamento, seccion, clave, casos)."""
     mes_year = anio if anio is not None else params.default_trend_year
     in_year = F.lit(True) if anio is None else (F.col("anio") == F.lit(int(anio)))
-    f = fact.withColumn("_y", in_year).withColumn("_m", F.col("anio") == F.lit(int(mes_year)))
+    f = M.cubo(fact).withColumn("_y", in_year).withColumn("_m", F.col("anio") == F.lit(int(mes_year)))
     sets = {"por_anio": ("departamento", "anio"), "sexo": ("departamento", "_y", "sexo"),
             "edad": ("departamento", "_y", "grupo_etario"), "provincias": ("departamento", "_y", "provincia"),
             "mensual": ("departamento", "_m", "mes")}
-    g = _sets(f, sets, [F.count(F.lit(1)).alias("casos")])
+    g = _sets(f, sets, [M.cases()])
     sec = F.col("seccion")
     key = (F.when(sec == "por_anio", F.col("anio").cast("string"))
            .when(sec == "sexo", F.col("sexo")).when(sec == "edad", F.col("grupo_etario"))
@@ -108,9 +109,8 @@ def panel_departamento(fact: DataFrame, anio: int | None = None,
 def panel_nacional(fact: DataFrame, anio: int | None = None) -> DataFrame:
     """National total (A16) and the ranking (A5) for the year or all
     years ("todos") - long form (seccion, clave, casos, anio)."""
-    f = fact if anio is None else fact.where(F.col("anio") == F.lit(int(anio)))
-    g = f.rollup("departamento").agg(F.count(F.lit(1)).alias("casos"),
-                                     F.grouping_id().alias("_gid"))
+    f = M.cubo(fact) if anio is None else M.cubo(fact).where(F.col("anio") == F.lit(int(anio)))
+    g = f.rollup("departamento").agg(M.cases(), F.grouping_id().alias("_gid"))
     label = F.lit("todos") if anio is None else F.lit(str(anio))
     return g.select(F.when(F.col("_gid") == 1, F.lit("total")).otherwise(F.lit("ranking")).alias("seccion"),
                     F.coalesce(F.col("departamento"), F.lit("PERU")).alias("clave"),
