@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -65,3 +67,21 @@ def scan_chunks(chunks: DataFrame) -> DataFrame:
             .withColumn("meta_departamento", F.try_variant_get("_meta", "$.departamento", "string"))
             .withColumn("meta_anio", F.try_variant_get("_meta", "$['año']", "int"))
             .drop("_meta"))
+
+
+def decodificar_blob(col) -> F.Column:
+    """S4 legacy form: little-endian float32 bytes -> array<float>
+    (Arrow-batched pandas UDF; null stays null)."""
+    @F.pandas_udf(T.ArrayType(T.FloatType()))
+    def _decode(b: pd.Series) -> pd.Series:
+        return b.map(lambda x: None if x is None else np.frombuffer(bytes(x), dtype="<f4").astype(np.float32))
+
+    return _decode(F.col(col) if isinstance(col, str) else col)
+
+
+def guardar_chunks(chunks: DataFrame, path: str) -> None:
+    """K3: chunk table (type, key, text, vector, metadata JSON) as Parquet;
+    the vector stays a native array<float> column."""
+    (chunks.select("chunk_type", "chunk_key", "content", F.col("embedding").cast("array<float>"),
+                   "metadata_json")
+     .write.mode("overwrite").parquet(path))
