@@ -113,11 +113,11 @@ SQL["tendencia_mensual"] = _F + f"""select departamento, anio, mes, count(*) cas
 SQL["provincias"] = _F + "select departamento, provincia, count(*) casos from fact group by departamento, provincia"
 SQL["mensual_detalle"] = _F + "select departamento, anio, mes, count(*) casos from fact group by departamento, anio, mes"
 SQL["resumen_depto_total"] = _F + f"""select departamento, count(*) casos,
-  count_if(sexo = 'FEMENINO') femenino, {r2('avg(edad)', 1)} edad_promedio
+  cast(count_if(sexo = 'FEMENINO') as bigint) femenino, {r2('avg(edad)', 1)} edad_promedio
   from fact group by departamento"""
 SQL["resumen_depto_anio"] = with_("fact", "poblacion") + f"""
-, a as (select departamento, anio, count(*) casos, count_if(sexo = 'FEMENINO') femenino,
-         count_if(sexo = 'MASCULINO') masculino, {r2('avg(edad)', 1)} edad_promedio
+, a as (select departamento, anio, count(*) casos, cast(count_if(sexo = 'FEMENINO') as bigint) femenino,
+         cast(count_if(sexo = 'MASCULINO') as bigint) masculino, {r2('avg(edad)', 1)} edad_promedio
        from fact group by departamento, anio)
 select a.*, p.total is not null con_poblacion, {rate('a.casos', 'p.total')} tasa
 from a left join poblacion p on p.departamento = a.departamento and p.anio = a.anio"""
@@ -171,7 +171,7 @@ SQL["kpi_departamento"] = with_("fact") + f"""
 , y as (select departamento, anio, count(*) casos from fact group by departamento, anio)
 , a as (select departamento, cast(sum(casos) as bigint) total_casos, max(anio) ultimo_anio,
           arg_max(casos, anio) casos_ultimo_anio from y group by departamento)
-, s as (select departamento, count_if(sexo = 'FEMENINO') femenino, count(*) total_sexo
+, s as (select departamento, cast(count_if(sexo = 'FEMENINO') as bigint) femenino, count(*) total_sexo
         from fact group by departamento)
 , pv as (select departamento, provincia, count(*) casos from fact group by departamento, provincia)
 , t as (select departamento, provincia top_provincia, casos casos_top_provincia from pv
@@ -322,7 +322,7 @@ SQL["entero_tolerante"] = _N + "select historia, edad, cant_atenciones from nac"
 SQL["periodo_valido"] = _N + "select historia, fecha, anio, mes, valido, incluido_regional from nac"
 SQL["grupo_etario"] = _N + "select historia, edad, grupo_etario, grupo_etario_regional from nac"
 SQL["separar_lugar"] = _N + "select historia, departamento, provincia, distrito, provincia_regional from nac"
-SQL["filtro_contiene"] = _N + """select r_name departamento, count(*) filas, count_if(incluido_regional) filas_incluidas
+SQL["filtro_contiene"] = _N + """select r_name departamento, count(*) filas, cast(count_if(incluido_regional) as bigint) filas_incluidas
   from nac join region on contains(upper(lugar_crudo), r_name) group by r_name"""
 SQL["dim_tiempo"] = _N + f"""select distinct anio, mes, cast(ceil(mes / 3) as int) trimestre,
   anio <> {P.partial_year} completo from nac where valido"""

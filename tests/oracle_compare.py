@@ -27,6 +27,10 @@ def duck(sf_dir: str):
     return con
 
 
+SPARK_TO_DUCK = {"int": "INTEGER", "bigint": "BIGINT", "double": "DOUBLE", "string": "VARCHAR",
+                 "boolean": "BOOLEAN", "float": "FLOAT"}
+
+
 def _norm(v):
     if v is None:
         return (0, "")
@@ -57,10 +61,15 @@ def compare(spark, con, name, fn, sql, sf_dir):
     drows = res.fetchall()
     scols, s = rows_of(sdf.columns, srows)
     dcols2, d = rows_of(dcols, drows)
-    ok = scols == dcols2 and s == d
+    stypes = {n: SPARK_TO_DUCK.get(t, t) for n, t in sdf.dtypes}
+    dtypes = {c[0]: str(c[1]) for c in res.description}
+    type_diff = {n: (stypes[n], dtypes.get(n)) for n in stypes if stypes[n] != dtypes.get(n)}
+    ok = scols == dcols2 and s == d and not type_diff
     detail = ""
     if scols != dcols2:
         detail = f"columns {scols} vs {dcols2}"
+    elif type_diff:
+        detail = f"types {type_diff}"
     elif len(s) != len(d):
         detail = f"rows {len(s)} vs {len(d)}"
     elif s != d:
@@ -74,7 +83,12 @@ def main(argv):
     wanted = argv[2:]
     from regstat.session import get_session
     import __spark_entry__ as E
-    spark = get_session("local[8]", 8)
+    if os.environ.get("PLAIN_SESSION"):
+        from pyspark.sql import SparkSession
+        spark = (SparkSession.builder.master("local[*]")
+                 .config("spark.sql.shuffle.partitions", "8").getOrCreate())
+    else:
+        spark = get_session("local[8]", 8)
     con = duck(sf_dir)
     qs, sqls = E.queries(), E.oracle_sql()
     bad = 0
