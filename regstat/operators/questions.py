@@ -161,8 +161,11 @@ def contexto_rag(questions: DataFrame, corpus: DataFrame, dim: int, k: int = cfg
     cdep = np.array([r["meta_departamento"] for r in rows], dtype=object)
     cyear = np.array([np.nan if r["meta_anio"] is None else float(r["meta_anio"]) for r in rows])
     order_ids = np.arange(len(rows))
+    # Shipped once per executor (not once per task).
+    shared = corpus.sparkSession.sparkContext.broadcast((contents, cm, cnorm, cdep, cyear, order_ids))
 
     def run(batches):
+        contents, cm, cnorm, cdep, cyear, order_ids = shared.value
         for pdf in batches:
             if pdf.empty:
                 continue
@@ -201,7 +204,8 @@ def _contexto_grande(questions, corpus, dim, k, embedder, text):
     # query bound; every batch is processed (no question is left out).
     batches = max(1, 2 * -(-n // V.MAX_QUERY_BATCH))
     emb = V.embed(questions, text, dim, "q_embedding", embedder=embedder)
-    corpus = corpus.withColumn("_cid", F.monotonically_increasing_id())
+    # Deterministic chunk id (stable if a lost partition is recomputed).
+    corpus = corpus.withColumn("_cid", F.xxhash64("chunk_key"))
     parts = []
     for b in range(batches):
         q = emb.where(F.pmod(F.xxhash64("pregunta_id"), F.lit(batches)) == b) if batches > 1 else emb

@@ -108,8 +108,11 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = cfg.TOP_K,
     qdep = np.array([r["q_departamento"] for r in rows], dtype=object)
     qyear = np.array([np.nan if r["q_anio"] is None else float(r["q_anio"]) for r in rows])
     qnorm = _seq_norm(qm)
+    # Shipped once per executor (not once per task).
+    shared = corpus.sparkSession.sparkContext.broadcast((qid, qm, qdep, qyear, qnorm))
 
     def score(batches):
+        qid, qm, qdep, qyear, qnorm = shared.value
         for pdf in batches:
             if pdf.empty:
                 continue

@@ -330,7 +330,7 @@ SQL["dim_geografia"] = _N + """select departamento, provincia, distrito, min(ubi
   from nac where valido group by departamento, provincia, distrito"""
 SQL["dim_paciente"] = _N + "select distinct sexo, grupo_etario from nac where valido"
 SQL["auditoria_carga"] = with_("nac", "poblacion") + """select
-  count_if(valido) insertados, count_if(not valido) descartados,
+  cast(count_if(valido) as bigint) insertados, cast(count_if(not valido) as bigint) descartados,
   (select count(*) from (select distinct departamento from nac where valido)) departamentos,
   (select count(*) from (select distinct departamento, provincia, distrito from nac where valido)) geografias,
   (select count(*) from (select distinct anio, mes from nac where valido)) periodos,
