@@ -24,15 +24,20 @@ def _parts():
     return F.split(C.clean_text("LUGAR_RESIDENCIA"), "-", -1)
 
 
-def exprs_nacional(params: cfg.Params = cfg.SOURCE) -> dict:
+def exprs_nacional(params: cfg.Params = cfg.SOURCE, hash_id: bool = False) -> dict:
     """National-mode cleaned columns (name -> expression over the raw row).
 
     A row is accepted (``valido``) when the cleaned date has at least 6
     characters, its leading year is within the range and its month within
     1..12; a date whose year or month is not a number is a discard.
+    ``uuid_hash`` is the identifier truncated to 16 characters, as in the
+    source (not a hash); ``hash_id=True`` stores SHA-256 of the whole
+    identifier instead.
     """
     fec = C.clean_text("FEC_FILIACION")
     anio = C.lenient_int(F.substring(fec, 1, 4))
+    uuid = C.clean_text("UUID")
+    uuid_out = F.sha2(uuid, 256) if hash_id else F.substring(uuid, 1, 16)
     mes = C.lenient_int(F.substring(fec, 5, 2))
     valido = F.coalesce((F.length(fec) >= 6) & anio.between(params.first_year, params.last_year)
                         & mes.between(1, 12), F.lit(False))
@@ -43,7 +48,7 @@ def exprs_nacional(params: cfg.Params = cfg.SOURCE) -> dict:
     def part(i, default):
         return F.upper(C.js_trim(F.coalesce(F.nullif(F.get(parts, i), F.lit("")), F.lit(default))))
     return {
-        "uuid_hash": F.substring(C.clean_text("UUID"), 1, 16),
+        "uuid_hash": uuid_out,
         "fecha": fec, "anio": anio, "mes": mes, "valido": valido,
         "sexo": F.when(sexo.isin(*cfg.SEXES), sexo).otherwise(F.lit(cfg.UNKNOWN)),
         "edad": edad, "grupo_etario": C.age_band(edad, cfg.UNKNOWN),
@@ -55,9 +60,10 @@ def exprs_nacional(params: cfg.Params = cfg.SOURCE) -> dict:
     }
 
 
-def limpiar_nacional(raw: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFrame:
+def limpiar_nacional(raw: DataFrame, params: cfg.Params = cfg.SOURCE,
+                     hash_id: bool = False) -> DataFrame:
     """National-mode cleaning (one projection)."""
-    return raw.select(*[e.alias(n) for n, e in exprs_nacional(params).items()])
+    return raw.select(*[e.alias(n) for n, e in exprs_nacional(params, hash_id).items()])
 
 
 def exprs_regional(params: cfg.Params = cfg.SOURCE) -> dict:

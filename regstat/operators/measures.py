@@ -159,18 +159,22 @@ def edad_por_depto(fact: DataFrame) -> DataFrame:
 
 
 def atenciones(fact: DataFrame, departamento: str | None = None,
-               visits: str = "cant_atenciones") -> DataFrame:
+               visits: str = "cant_atenciones", aproximado: bool = False,
+               precision: int = 10000) -> DataFrame:
     """Visits per (region, year): mean (2 digits), exact median, max;
     nulls excluded, zeros when a group has no value.
 
     Spark's exact ``median`` keeps a value -> count map per group, so memory
     follows the number of distinct visit counts, not the group size, and it
-    merges partial maps across tasks; a hot region is not a hot task.
+    merges partial maps across tasks; a hot region is not a hot task. With
+    ``aproximado`` the median is ``percentile_approx`` (bounded sketch, for
+    values with very many distinct levels); it is then not interpolated.
     """
     v = F.col(visits)
+    med = F.percentile_approx(v, 0.5, precision) if aproximado else F.median(v)
     return (filtrar(fact, departamento).groupBy("departamento", "anio")
             .agg(F.coalesce(C.round_half_up(F.avg(v), 2), F.lit(0.0)).alias("promedio"),
-                 F.coalesce(F.median(v).cast("double"), F.lit(0.0)).alias("mediana"),
+                 F.coalesce(med.cast("double"), F.lit(0.0)).alias("mediana"),
                  F.coalesce(F.max(v).cast("bigint"), F.lit(0).cast("bigint")).alias("maximo"),
                  F.count(v).alias("n_valores")))
 

@@ -39,18 +39,28 @@ def gazetteer_list(gazetteer: DataFrame) -> list:
     return [r["nombre"] for r in sorted(rows, key=lambda r: r["orden"])]
 
 
-def detectar_lugar(text, names: list) -> F.Column:
+def detectar_lugar(text, names: list, palabra_completa: bool = False) -> F.Column:
     """Q2: first name of the list (list order) contained in the upper-cased
-    text; plain substring semantics, accents not folded."""
-    arr = F.array(*[F.lit(n) for n in names])
+    text; plain substring semantics (SIGNIFICA contains ICA), accents not
+    folded. ``palabra_completa=True`` only accepts a name standing as whole
+    words (ASCII word boundaries)."""
+    import re
     up = F.upper(C.col_(text))
-    return F.get(F.filter(arr, lambda d: up.contains(d)), 0)
-
-
-def detectar_filtros(questions: DataFrame, names: list, years, text: str = "texto") -> DataFrame:
+    if not palabra_completa:
+        arr = F.array(*[F.lit(n) for n in names])
+        return F.get(F.filter(arr, lambda d: up.contains(d)), 0)
+    out = F.lit(None).cast("string")
+    for n in reversed(names):
+        pat = f"(^|[^{WORD}]){re.escape(n)}([^{WORD}]|$)"
+        out = F.when(up.rlike(pat), F.lit(n)).otherwise(out)
+    return out
+
+
+def detectar_filtros(questions: DataFrame, names: list, years, text: str = "texto",
+                     palabra_completa: bool = False) -> DataFrame:
     """Q1 + Q2 for every question."""
     return questions.withColumn("anio", detectar_anio(text, years)) \
-                    .withColumn("departamento", detectar_lugar(text, names))
+                    .withColumn("departamento", detectar_lugar(text, names, palabra_completa))
 
 
 FENCE_OPEN = "(?i)^```(?:json)?\\s*"
