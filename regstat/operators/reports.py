@@ -136,12 +136,16 @@ def reporte_regional(raw: DataFrame, gazetteer: DataFrame, poblacion: DataFrame,
     sets = {"mes": ("departamento", "anio_t", "mes_t"), "sexo": ("departamento", "anio_t", "sexo"),
             "sexo_t": ("departamento", "sexo"), "grupo": ("departamento", "anio_t", "grupo_etario"),
             "grupo_t": ("departamento", "grupo_etario"), "prov": ("departamento", "anio_t", "provincia"),
-            "prov_t": ("departamento", "provincia"), "anio": ("departamento", "anio_t")}
-    g = _sets(reg, sets, [F.count(F.lit(1)).alias("n")])
+            "prov_t": ("departamento", "provincia"), "anio": ("departamento", "anio_t"),
+            "dep": ("departamento",)}
     v = F.col("cant_atenciones")
-    visits = reg.rollup("departamento", "anio_t").agg(
-        F.avg(v).alias("avg"), F.median(v).alias("med"), F.max(v).alias("mx"))
+    # One pass: counts for every set, visit statistics read from the
+    # (place, year) and (place) sets. The exact median's state is a
+    # value -> count map, bounded by the distinct visit counts.
+    g = _sets(reg, sets, [F.count(F.lit(1)).alias("n"), F.avg(v).alias("avg"),
+                          F.median(v).alias("med"), F.max(v).alias("mx")])
     sec = F.col("seccion")
+    visits = (g.where(sec == "anio").select("departamento", "anio_t", "avg", "med", "mx"))
 
     def sparse(seccion, name, key, total):
         return g.where(sec == name).select(
@@ -155,7 +159,7 @@ def reporte_regional(raw: DataFrame, gazetteer: DataFrame, poblacion: DataFrame,
                            ["departamento", "anio_t"], "left")
                 .join(poblacion.select("departamento", F.col("anio").cast("string").alias("anio_t"),
                                        "total", "hombres", "mujeres"), ["departamento", "anio_t"], "left")
-                .join(visits.where(F.col("anio_t").isNotNull()), ["departamento", "anio_t"], "left"))
+                .join(visits, ["departamento", "anio_t"], "left"))
     casos = F.coalesce(F.col("n"), F.lit(0)).cast("bigint")
     pob = F.coalesce(F.col("total"), F.lit(0)).cast("bigint")
     anio_items = [("casos", casos), ("poblacion", pob),
@@ -185,8 +189,7 @@ def reporte_regional(raw: DataFrame, gazetteer: DataFrame, poblacion: DataFrame,
     sexo = (sex_frame.join(sex_counts, ["departamento", "anio", "clave"], "left")
             .select("departamento", F.lit("por_sexo").alias("seccion"), "anio", "clave",
                     F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("valor")))
-    avg_total = (visits.where(F.col("anio_t").isNull() & F.col("departamento").isNotNull())
-                 .select("departamento", "avg"))
+    avg_total = g.where(sec == "dep").select("departamento", "avg")
     promedio_total = (gazetteer.select(F.col("nombre").alias("departamento"))
                       .join(avg_total, "departamento", "left")
                       .select("departamento", F.lit("atenciones").alias("seccion"), F.lit("total").alias("anio"),

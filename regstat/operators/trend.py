@@ -38,13 +38,25 @@ def coeficientes(fact: DataFrame, poblacion: DataFrame,
     return coeficientes_desde(M.casos_por_anio(fact), poblacion, min_points, scale)
 
 
+def tasas(agg: DataFrame, poblacion: DataFrame, scale: int = cfg.RATE_SCALE) -> DataFrame:
+    """(departamento, anio, casos) + population, rate and exact rate x 100."""
+    pob = poblacion.select("departamento", "anio", F.col("total").alias("_pob"))
+    return (agg.join(pob, ["departamento", "anio"], "left")
+            .withColumn("poblacion", F.coalesce(F.col("_pob"), F.lit(0).cast("bigint")))
+            .withColumn("tasa", C.crude_rate(F.col("casos"), F.col("_pob"), scale))
+            .withColumn("y100", C.rate_hundredths(F.col("casos"), F.col("_pob"), scale))
+            .drop("_pob"))
+
+
 def coeficientes_desde(agg: DataFrame, poblacion: DataFrame,
                        min_points: int = cfg.MIN_TREND_POINTS,
                        scale: int = cfg.RATE_SCALE) -> DataFrame:
     """Same, from precomputed (departamento, anio, casos) rows."""
-    pob = poblacion.select("departamento", "anio", F.col("total").alias("_pob"))
-    rates = (agg.join(pob, ["departamento", "anio"], "left")
-             .withColumn("y100", C.rate_hundredths(F.col("casos"), F.col("_pob"), scale)))
+    return coeficientes_de_tasas(tasas(agg, poblacion, scale), min_points)
+
+
+def coeficientes_de_tasas(rates: DataFrame, min_points: int = cfg.MIN_TREND_POINTS) -> DataFrame:
+    """Same, from a rate table with the exact ``y100`` column."""
     s = _sums(rates)
     n = F.col("n_puntos").cast("bigint")
     ok = F.col("n_puntos") >= min_points
@@ -93,8 +105,8 @@ def tendencia_clase(fact: DataFrame, poblacion: DataFrame) -> DataFrame:
 def tendencia_proyeccion(fact: DataFrame, poblacion: DataFrame) -> DataFrame:
     """T5: projected rate m*x + b (2 digits) for every year of the region,
     including years left out of the fit."""
-    k = coeficientes(fact, poblacion).select("departamento", "m", "b")
-    rates = M.tasa_incidencia(fact, poblacion)
+    rates = tasas(M.casos_por_anio(fact), poblacion)
+    k = coeficientes_de_tasas(rates).select("departamento", "m", "b")
     return (rates.join(k, "departamento", "left")
             .withColumn("tasa_proyectada",
                         C.round_half_up(F.col("m") * F.col("anio") + F.col("b"), 2))
