@@ -207,3 +207,40 @@ def integridad_referencial(star: dict) -> DataFrame:
             (F.count(F.lit(1)) - F.count_distinct(key)).cast("bigint").alias("n"))
             .select(F.lit("colision_id").alias("chequeo"), F.lit(key).alias("detalle"), "n"))
     return out
+
+
+# K4: table schemas of the star (NOT NULL columns are nullable=False here and
+# are enforced by the checks of ``integridad_referencial``).
+def _f(name, typ, nullable=True):
+    from pyspark.sql import types as T
+    return T.StructField(name, getattr(T, typ)(), nullable)
+
+
+def esquemas():
+    from pyspark.sql import types as T
+    return {
+        "dim_tiempo": T.StructType([_f("tiempo_id", "LongType", False), _f("anio", "IntegerType", False),
+                                    _f("mes", "IntegerType", False), _f("trimestre", "IntegerType"),
+                                    _f("completo", "BooleanType", False)]),
+        "dim_geografia": T.StructType([_f("geografia_id", "LongType", False),
+                                       _f("departamento", "StringType", False),
+                                       _f("provincia", "StringType", False), _f("distrito", "StringType"),
+                                       _f("ubigeo", "StringType")]),
+        "dim_paciente": T.StructType([_f("paciente_id", "LongType", False), _f("sexo", "StringType", False),
+                                      _f("grupo_etario", "StringType", False)]),
+        "dim_fuente": T.StructType([_f("fuente_id", "LongType", False), _f("nombre", "StringType", False),
+                                    _f("rango_fechas", "StringType"), _f("nota", "StringType")]),
+        "fact_oncologia": T.StructType([_f("uuid_hash", "StringType", False), _f("tiempo_id", "LongType", False),
+                                        _f("geografia_id", "LongType", False), _f("paciente_id", "LongType", False),
+                                        _f("fuente_id", "LongType", False), _f("edad", "IntegerType"),
+                                        _f("cant_atenciones", "IntegerType"), _f("anio", "IntegerType", False)]),
+        "poblacion": T.StructType([_f("departamento", "StringType", False), _f("anio", "IntegerType", False),
+                                   _f("total", "LongType", False), _f("hombres", "LongType"),
+                                   _f("mujeres", "LongType")]),
+    }
+
+
+def conforme(df: DataFrame, schema) -> bool:
+    """Column names and types equal the declared schema (nullability is
+    checked by the data checks, not by the plan)."""
+    return [(f.name, f.dataType) for f in df.schema.fields] == [(f.name, f.dataType) for f in schema.fields]

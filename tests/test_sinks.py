@@ -68,3 +68,20 @@ def test_chunk_table_round_trip_and_blob(spark, scratch_dir):
     blobs = spark.createDataFrame([(bytearray(vec.tobytes()),), (None,)], "b binary")
     got = [r[0] for r in blobs.select(RG.decodificar_blob("b")).collect()]
     assert list(got[0]) == [0.5, -1.25, 3.0] and got[1] is None
+
+
+def test_star_matches_declared_schemas(spark):
+    star = K._star(spark, SF_SMALL)
+    sch = WH.esquemas()
+    for name, df in star.items():
+        assert WH.conforme(df, sch[name]), (name, df.schema.simpleString())
+
+
+def test_point_lookup_of_region_code(spark):
+    from regstat.sources.population import population_for_code
+    sheets = S.hojas_poblacion(spark, SF_SMALL, cfg.STANDIN)
+    rows = {r["anio"]: r["total"] for r in population_for_code(sheets, "010000").collect()}
+    assert len(rows) == 12 and all(v > 0 for v in rows.values())
+    long = {r["anio"]: r["total"] for r in S.poblacion(spark, SF_SMALL, cfg.STANDIN)
+            .where(F.col("departamento") == "AFRICA").collect()}
+    assert all(rows[y] == long[y] for y in long)
