@@ -78,6 +78,29 @@ PARTIAL_NOTE_SHORT = " (datos parciales)"
 SOURCE_NAME = "INEN"
 SOURCE_RANGE = "Enero 2022 - Noviembre 2025"
 SOURCE_NOTE = "Listado de Pacientes Nuevos registrados en el INEN"
+# Chunk sentences (X1-X6), with their list items and optional parts;
+# {names} are filled per row. The year span of the source ("2022", "2025")
+# is the {desde}/{hasta} parameter here.
+TPL_DEPTO_ANIO = ("En {anio}{parcial}, el departamento de {departamento} registró {casos} casos "
+                  "oncológicos nuevos en el {fuente}{tasa}. Distribución por sexo: {pct_femenino}% "
+                  "femenino, {pct_masculino}% masculino. Edad promedio: {edad} años.")
+TPL_DEPTO_ANIO_TASA = ", tasa de {tasa} por 100,000 habitantes"
+TPL_DEPTO_TOTAL = ("El departamento de {departamento} acumuló {casos} casos oncológicos nuevos "
+                   "entre {desde} y {hasta} en el {fuente}. {pct_femenino}% son mujeres, edad "
+                   "promedio {edad} años.{provincia}")
+TPL_DEPTO_TOTAL_PROV = " La provincia con mayor carga es {provincia} con {casos} casos ({pct}%)."
+TPL_MENSUAL = ("En {departamento} {anio}, la distribución mensual de casos fue: {serie}. El pico "
+               "se registró en {mes_pico} con {casos_pico} casos. Promedio mensual: {promedio}.")
+TPL_MENSUAL_ITEM = "{mes}={casos}"
+TPL_RANKING = ("Ranking de departamentos por número de casos oncológicos registrados en {fuente} "
+               "{anio}{parcial}: {ranking}. Total nacional: {total} casos.")
+TPL_RANKING_ITEM = "{posicion}. {departamento} ({casos})"
+TPL_EDAD = ("Distribución por grupo etario en {departamento} ({desde}-{hasta}): {grupos}. El grupo "
+            "con mayor incidencia es {grupo} con {casos} casos ({pct}%).")
+TPL_EDAD_ITEM = "{grupo}: {casos} ({pct}%)"
+TPL_PROVINCIAS = "Principales provincias de {departamento} por casos oncológicos ({desde}-{hasta}): {provincias}."
+TPL_PROVINCIAS_ITEM = "{provincia}: {casos} ({pct}%)"
+TPL_LIST_SEPARATOR = ", "
 NO_CONTEXT = "No se encontró contexto relevante."
 NO_SQL_DATA = "No disponible."
 CONTEXT_PLACEHOLDER = "[CONTEXTO_RAG]"

@@ -130,3 +130,17 @@ def js_number(x, digits: int) -> Column:
     if digits == 0:
         return fixed
     return F.regexp_replace(fixed, "\\.?0+$", "")
+
+
+def template(tpl: str, **values) -> Column:
+    """Fill a ``{name}`` template with columns (or plain strings) as one
+    ``concat``; every value is cast to string."""
+    import string
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(tpl):
+        if literal:
+            parts.append(F.lit(literal))
+        if field is not None:
+            v = values[field]
+            parts.append(F.lit(v) if isinstance(v, str) else v.cast("string"))
+    return F.concat(*parts)

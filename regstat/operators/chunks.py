@@ -46,13 +46,10 @@ def chunk_depto_anio(fact: DataFrame, poblacion: DataFrame,
     edad = F.coalesce(C.js_number("edad_promedio", 1), F.lit("null"))
     tasa = C.js_number("tasa", 2)
     parcial = F.when(F.col("anio") == params.partial_year, F.lit(cfg.PARTIAL_NOTE_LONG)).otherwise(F.lit(""))
-    tasa_txt = F.when(F.col("con_poblacion"),
-                      F.concat(F.lit(", tasa de "), tasa, F.lit(" por 100,000 habitantes"))).otherwise(F.lit(""))
-    content = F.concat(
-        F.lit("En "), _s("anio"), parcial, F.lit(", el departamento de "), F.col("departamento"),
-        F.lit(" registró "), _s("casos"), F.lit(f" casos oncológicos nuevos en el {cfg.SOURCE_NAME}"),
-        tasa_txt, F.lit(". Distribución por sexo: "), _s(pct), F.lit("% femenino, "),
-        _s(F.lit(100) - pct), F.lit("% masculino. Edad promedio: "), edad, F.lit(" años."))
+    tasa_txt = F.when(F.col("con_poblacion"), C.template(cfg.TPL_DEPTO_ANIO_TASA, tasa=tasa)).otherwise(F.lit(""))
+    content = C.template(cfg.TPL_DEPTO_ANIO, anio=F.col("anio"), parcial=parcial,
+                         departamento=F.col("departamento"), casos=F.col("casos"), fuente=cfg.SOURCE_NAME,
+                         tasa=tasa_txt, pct_femenino=pct, pct_masculino=F.lit(100) - pct, edad=edad)
     meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"), F.lit(',"año":'), _s("anio"),
                     F.lit(',"casos":'), _s("casos"), F.lit(',"tasa":'), tasa, F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_"), _s("anio"))
@@ -68,13 +65,12 @@ def chunk_depto_total(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataF
     a = a.join(top, "departamento", "left")
     pct = C.share_pct("femenino", "casos")
     edad = F.coalesce(C.js_number("edad_promedio", 1), F.lit("null"))
-    prov = F.when(F.col("top_prov").isNotNull(), F.concat(
-        F.lit(" La provincia con mayor carga es "), F.col("top_prov"), F.lit(" con "), _s("top_casos"),
-        F.lit(" casos ("), _s(C.share_pct("top_casos", "casos")), F.lit("%)."))).otherwise(F.lit(""))
-    content = F.concat(
-        F.lit("El departamento de "), F.col("departamento"), F.lit(" acumuló "), C.thousands("casos"),
-        F.lit(f" casos oncológicos nuevos entre {params.first_year} y {params.last_year} en el {cfg.SOURCE_NAME}. "),
-        _s(pct), F.lit("% son mujeres, edad promedio "), edad, F.lit(" años."), prov)
+    prov = F.when(F.col("top_prov").isNotNull(), C.template(
+        cfg.TPL_DEPTO_TOTAL_PROV, provincia=F.col("top_prov"), casos=F.col("top_casos"),
+        pct=C.share_pct("top_casos", "casos"))).otherwise(F.lit(""))
+    content = C.template(cfg.TPL_DEPTO_TOTAL, departamento=F.col("departamento"), casos=C.thousands("casos"),
+                         desde=str(params.first_year), hasta=str(params.last_year), fuente=cfg.SOURCE_NAME,
+                         pct_femenino=pct, edad=edad, provincia=prov)
     meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"),
                     F.lit(',"casos":'), _s("casos"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_total"))
@@ -92,14 +88,12 @@ def chunk_mensual(fact: DataFrame, min_months: int = cfg.MIN_MONTHS_FOR_CHUNK) -
               F.max("casos").alias("casos_pico"),
               F.sum("casos").alias("suma"), F.count(F.lit(1)).alias("n_meses"))
          .where(F.col("n_meses") >= min_months))
-    serie = F.concat_ws(", ", F.transform("serie", lambda x: F.concat(
-        C.month_label(x["mes"]), F.lit("="), x["casos"].cast("string"))))
+    serie = F.concat_ws(cfg.TPL_LIST_SEPARATOR, F.transform("serie", lambda x: C.template(
+        cfg.TPL_MENSUAL_ITEM, mes=C.month_label(x["mes"]), casos=x["casos"])))
     prom = C.round_half_up(F.col("suma") / F.col("n_meses"), 0)
-    content = F.concat(
-        F.lit("En "), F.col("departamento"), F.lit(" "), _s("anio"),
-        F.lit(", la distribución mensual de casos fue: "), serie, F.lit(". El pico se registró en "),
-        C.month_label("mes_pico"), F.lit(" con "), _s("casos_pico"), F.lit(" casos. Promedio mensual: "),
-        _s(prom), F.lit("."))
+    content = C.template(cfg.TPL_MENSUAL, departamento=F.col("departamento"), anio=F.col("anio"),
+                         serie=serie, mes_pico=C.month_label("mes_pico"), casos_pico=F.col("casos_pico"),
+                         promedio=prom)
     meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"),
                     F.lit(',"año":'), _s("anio"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_"), _s("anio"))
@@ -117,15 +111,13 @@ def chunk_ranking(fact: DataFrame, params: cfg.Params = cfg.SOURCE,
                 .agg(F.array_sort(F.collect_list(F.struct("posicion", "departamento", "casos"))).alias("top"),
                      F.max("total_nacional").alias("total")))
     g = years.join(per_year, "anio", "left")
-    rank = F.concat_ws(", ", F.transform(F.coalesce("top", F.array().cast(per_year.schema["top"].dataType)),
-                                         lambda x: F.concat(x["posicion"].cast("string"), F.lit(". "),
-                                                            x["departamento"], F.lit(" ("),
-                                                            x["casos"].cast("string"), F.lit(")"))))
+    rank = F.concat_ws(cfg.TPL_LIST_SEPARATOR, F.transform(
+        F.coalesce("top", F.array().cast(per_year.schema["top"].dataType)),
+        lambda x: C.template(cfg.TPL_RANKING_ITEM, posicion=x["posicion"], departamento=x["departamento"],
+                             casos=x["casos"])))
     parcial = F.when(F.col("anio") == params.partial_year, F.lit(cfg.PARTIAL_NOTE_SHORT)).otherwise(F.lit(""))
-    content = F.concat(
-        F.lit(f"Ranking de departamentos por número de casos oncológicos registrados en {cfg.SOURCE_NAME} "),
-        _s("anio"), parcial, F.lit(": "), rank, F.lit(". Total nacional: "),
-        C.thousands(F.coalesce(F.col("total"), F.lit(0).cast("bigint"))), F.lit(" casos."))
+    content = C.template(cfg.TPL_RANKING, fuente=cfg.SOURCE_NAME, anio=F.col("anio"), parcial=parcial,
+                         ranking=rank, total=C.thousands(F.coalesce(F.col("total"), F.lit(0).cast("bigint"))))
     meta = F.concat(F.lit('{"año":'), _s("anio"), F.lit("}"))
     key = F.concat(F.lit("ranking_"), _s("anio"))
     return _out(g, cfg.CHUNK_RANKING, key, content, meta)
@@ -140,14 +132,12 @@ def chunk_edad(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFrame:
               F.sum("casos").alias("total"),
               F.min_by("grupo_etario", F.struct(-F.col("casos"), F.col("grupo_etario"))).alias("g_max"),
               F.max("casos").alias("c_max")))
-    grupos = F.concat_ws(", ", F.transform("grupos", lambda x: F.concat(
-        x["grupo_etario"], F.lit(": "), x["casos"].cast("string"), F.lit(" ("),
-        C.share_pct(x["casos"], F.col("total")).cast("string"), F.lit("%)"))))
-    content = F.concat(
-        F.lit("Distribución por grupo etario en "), F.col("departamento"),
-        F.lit(f" ({params.first_year}-{params.last_year}): "), grupos,
-        F.lit(". El grupo con mayor incidencia es "), F.col("g_max"), F.lit(" con "), _s("c_max"),
-        F.lit(" casos ("), _s(C.share_pct("c_max", "total")), F.lit("%)."))
+    grupos = F.concat_ws(cfg.TPL_LIST_SEPARATOR, F.transform("grupos", lambda x: C.template(
+        cfg.TPL_EDAD_ITEM, grupo=x["grupo_etario"], casos=x["casos"],
+        pct=C.share_pct(x["casos"], F.col("total")))))
+    content = C.template(cfg.TPL_EDAD, departamento=F.col("departamento"), desde=str(params.first_year),
+                         hasta=str(params.last_year), grupos=grupos, grupo=F.col("g_max"),
+                         casos=F.col("c_max"), pct=C.share_pct("c_max", "total"))
     meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_edad"))
     return _out(g, cfg.CHUNK_EDAD, key, content, meta)
@@ -159,12 +149,10 @@ def chunk_provincias(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFr
     t = W.top_provincias(fact)
     g = (t.groupBy("departamento")
          .agg(F.array_sort(F.collect_list(F.struct("posicion", "provincia", "casos", "pct"))).alias("p")))
-    provs = F.concat_ws(", ", F.transform("p", lambda x: F.concat(
-        x["provincia"], F.lit(": "), x["casos"].cast("string"), F.lit(" ("),
-        x["pct"].cast("string"), F.lit("%)"))))
-    content = F.concat(F.lit("Principales provincias de "), F.col("departamento"),
-                       F.lit(f" por casos oncológicos ({params.first_year}-{params.last_year}): "),
-                       provs, F.lit("."))
+    provs = F.concat_ws(cfg.TPL_LIST_SEPARATOR, F.transform("p", lambda x: C.template(
+        cfg.TPL_PROVINCIAS_ITEM, provincia=x["provincia"], casos=x["casos"], pct=x["pct"])))
+    content = C.template(cfg.TPL_PROVINCIAS, departamento=F.col("departamento"), desde=str(params.first_year),
+                         hasta=str(params.last_year), provincias=provs)
     meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_provincias"))
     return _out(g, cfg.CHUNK_PROVINCIAS, key, content, meta)

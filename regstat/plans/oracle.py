@@ -376,6 +376,28 @@ def vc(x: str) -> str:
     return f"cast({x} as varchar)"
 
 
+def tsql(tpl: str, **exprs) -> str:
+    """Render a ``{name}`` template of ``config`` as a SQL ``||`` chain;
+    plain Python strings are literals, other values SQL expressions."""
+    import string
+    parts = []
+    for literal, field, _, _ in string.Formatter().parse(tpl):
+        if literal:
+            parts.append("'" + literal.replace("'", "''") + "'")
+        if field is not None:
+            v = exprs[field]
+            parts.append("'" + v.replace("'", "''") + "'" if isinstance(v, Lit) else f"cast({v} as varchar)")
+    return "(" + " || ".join(parts) + ")"
+
+
+class Lit(str):
+    """A literal string value for ``tsql``."""
+
+
+_SEP = "'" + cfg.TPL_LIST_SEPARATOR + "'"
+_FUENTE = Lit(cfg.SOURCE_NAME)
+_DESDE, _HASTA = Lit(str(P.first_year)), Lit(str(P.last_year))
+
 SQL["chunk_depto_anio"] = with_("fact", "poblacion") + f"""
 , a as (select departamento, anio, count(*) casos, count_if(sexo = 'FEMENINO') femenino,
          {r2('avg(edad)', 1)} edad_promedio from fact group by departamento, anio)
@@ -383,12 +405,12 @@ SQL["chunk_depto_anio"] = with_("fact", "poblacion") + f"""
          {share('a.femenino', 'a.casos')} pct
        from a left join poblacion p on p.departamento = a.departamento and p.anio = a.anio)
 select '{cfg.CHUNK_DEPTO_ANIO}' chunk_type, departamento || '_' || {vc('anio')} chunk_key,
-  'En ' || {vc('anio')} || (case when anio = {P.partial_year} then '{cfg.PARTIAL_NOTE_LONG}' else '' end)
-  || ', el departamento de ' || departamento || ' registró ' || {vc('casos')}
-  || ' casos oncológicos nuevos en el {cfg.SOURCE_NAME}'
-  || (case when con_poblacion then ', tasa de ' || {js_num('tasa', 2)} || ' por 100,000 habitantes' else '' end)
-  || '. Distribución por sexo: ' || {vc('pct')} || '% femenino, ' || {vc('100 - pct')}
-  || '% masculino. Edad promedio: ' || coalesce({js_num('edad_promedio', 1)}, 'null') || ' años.' content,
+  {tsql(cfg.TPL_DEPTO_ANIO, anio='anio',
+        parcial=f"(case when anio = {P.partial_year} then '{cfg.PARTIAL_NOTE_LONG}' else '' end)",
+        departamento='departamento', casos='casos', fuente=_FUENTE,
+        tasa=f"(case when con_poblacion then {tsql(cfg.TPL_DEPTO_ANIO_TASA, tasa=js_num('tasa', 2))} else '' end)",
+        pct_femenino='pct', pct_masculino='100 - pct',
+        edad=f"coalesce({js_num('edad_promedio', 1)}, 'null')")} content,
   '{{"departamento":' || {jstr('departamento')} || ',"año":' || {vc('anio')} || ',"casos":' || {vc('casos')}
   || ',"tasa":' || {js_num('tasa', 2)} || '}}' metadata_json
 from b"""
@@ -399,36 +421,36 @@ SQL["chunk_depto_total"] = with_("fact") + f"""
 , t as (select departamento, provincia top_prov, casos top_casos from pv
         qualify row_number() over (partition by departamento order by casos desc, provincia) = 1)
 select '{cfg.CHUNK_DEPTO_TOTAL}' chunk_type, departamento || '_total' chunk_key,
-  'El departamento de ' || departamento || ' acumuló ' || {thou('casos')}
-  || ' casos oncológicos nuevos entre {P.first_year} y {P.last_year} en el {cfg.SOURCE_NAME}. '
-  || {vc(share('femenino', 'casos'))} || '% son mujeres, edad promedio '
-  || coalesce({js_num('edad_promedio', 1)}, 'null') || ' años.'
-  || (case when top_prov is not null then ' La provincia con mayor carga es ' || top_prov || ' con '
-      || {vc('top_casos')} || ' casos (' || {vc(share('top_casos', 'casos'))} || '%).' else '' end) content,
+  {tsql(cfg.TPL_DEPTO_TOTAL, departamento='departamento', casos=thou('casos'), desde=_DESDE, hasta=_HASTA,
+        fuente=_FUENTE, pct_femenino=share('femenino', 'casos'),
+        edad=f"coalesce({js_num('edad_promedio', 1)}, 'null')",
+        provincia=f"(case when top_prov is not null then "
+                  f"{tsql(cfg.TPL_DEPTO_TOTAL_PROV, provincia='top_prov', casos='top_casos', pct=share('top_casos', 'casos'))}"
+                  f" else '' end)")} content,
   '{{"departamento":' || {jstr('departamento')} || ',"casos":' || {vc('casos')} || '}}' metadata_json
 from a left join t using (departamento)"""
 SQL["chunk_mensual"] = with_("fact") + f"""
 , m as (select departamento, anio, mes, count(*) casos from fact group by departamento, anio, mes)
 , g as (select departamento, anio,
-    string_agg({mlabel('mes')} || '=' || {vc('casos')}, ', ' order by mes) serie,
+    string_agg({tsql(cfg.TPL_MENSUAL_ITEM, mes=mlabel('mes'), casos='casos')}, {_SEP} order by mes) serie,
     first(mes order by casos desc, mes) mes_pico, max(casos) casos_pico, sum(casos) suma, count(*) n_meses
   from m group by departamento, anio having count(*) >= {cfg.MIN_MONTHS_FOR_CHUNK})
 select '{cfg.CHUNK_MENSUAL}' chunk_type, departamento || '_' || {vc('anio')} chunk_key,
-  'En ' || departamento || ' ' || {vc('anio')} || ', la distribución mensual de casos fue: ' || serie
-  || '. El pico se registró en ' || {mlabel('mes_pico')} || ' con ' || {vc('casos_pico')}
-  || ' casos. Promedio mensual: ' || {vc(r2('suma / n_meses', 0))} || '.' content,
+  {tsql(cfg.TPL_MENSUAL, departamento='departamento', anio='anio', serie='serie', mes_pico=mlabel('mes_pico'),
+        casos_pico='casos_pico', promedio=r2('suma / n_meses', 0))} content,
   '{{"departamento":' || {jstr('departamento')} || ',"año":' || {vc('anio')} || '}}' metadata_json
 from g"""
 SQL["chunk_ranking"] = with_("cpa") + f"""
 , years as (select cast(unnest(range({P.first_year}, {P.last_year + 1})) as int) anio)
 , rk as (select *, row_number() over (partition by anio order by casos desc, departamento) pos,
            sum(casos) over (partition by anio) total from cpa)
-, t as (select anio, string_agg({vc('pos')} || '. ' || departamento || ' (' || {vc('casos')} || ')', ', ' order by pos)
-           filter (where pos <= {cfg.TOP_RANKING_CHUNK}) rnk, max(total) total from rk group by anio)
+, t as (select anio, string_agg({tsql(cfg.TPL_RANKING_ITEM, posicion='pos', departamento='departamento', casos='casos')},
+           {_SEP} order by pos) filter (where pos <= {cfg.TOP_RANKING_CHUNK}) rnk, max(total) total
+        from rk group by anio)
 select '{cfg.CHUNK_RANKING}' chunk_type, 'ranking_' || {vc('y.anio')} chunk_key,
-  'Ranking de departamentos por número de casos oncológicos registrados en {cfg.SOURCE_NAME} ' || {vc('y.anio')}
-  || (case when y.anio = {P.partial_year} then '{cfg.PARTIAL_NOTE_SHORT}' else '' end) || ': '
-  || coalesce(rnk, '') || '. Total nacional: ' || {thou('coalesce(total, 0)')} || ' casos.' content,
+  {tsql(cfg.TPL_RANKING, fuente=_FUENTE, anio='y.anio',
+        parcial=f"(case when y.anio = {P.partial_year} then '{cfg.PARTIAL_NOTE_SHORT}' else '' end)",
+        ranking="coalesce(rnk, '')", total=thou('coalesce(total, 0)'))} content,
   '{{"año":' || {vc('y.anio')} || '}}' metadata_json
 from years y left join t on t.anio = y.anio"""
 SQL["chunk_edad"] = with_("fact") + f"""
@@ -436,22 +458,20 @@ SQL["chunk_edad"] = with_("fact") + f"""
         where grupo_etario <> '{cfg.UNKNOWN}' group by departamento, grupo_etario)
 , e2 as (select *, sum(casos) over (partition by departamento) total from e)
 , g as (select departamento,
-    string_agg(grupo_etario || ': ' || {vc('casos')} || ' (' || {vc(share('casos', 'total'))} || '%)', ', '
-               order by grupo_etario) grupos,
+    string_agg({tsql(cfg.TPL_EDAD_ITEM, grupo='grupo_etario', casos='casos', pct=share('casos', 'total'))},
+               {_SEP} order by grupo_etario) grupos,
     first(grupo_etario order by casos desc, grupo_etario) g_max, max(casos) c_max, max(total) total
   from e2 group by departamento)
 select '{cfg.CHUNK_EDAD}' chunk_type, departamento || '_edad' chunk_key,
-  'Distribución por grupo etario en ' || departamento || ' ({P.first_year}-{P.last_year}): ' || grupos
-  || '. El grupo con mayor incidencia es ' || g_max || ' con ' || {vc('c_max')} || ' casos ('
-  || {vc(share('c_max', 'total'))} || '%).' content,
+  {tsql(cfg.TPL_EDAD, departamento='departamento', desde=_DESDE, hasta=_HASTA, grupos='grupos', grupo='g_max',
+        casos='c_max', pct=share('c_max', 'total'))} content,
   '{{"departamento":' || {jstr('departamento')} || '}}' metadata_json
 from g"""
 _TOPP = SQL["top_provincias"][len(_PV):]
 SQL["chunk_provincias"] = _PV + f""", tp as ({_TOPP})
 select '{cfg.CHUNK_PROVINCIAS}' chunk_type, departamento || '_provincias' chunk_key,
-  'Principales provincias de ' || departamento || ' por casos oncológicos ({P.first_year}-{P.last_year}): '
-  || string_agg(provincia || ': ' || {vc('casos')} || ' (' || {vc('pct')} || '%)', ', ' order by posicion)
-  || '.' content,
+  {tsql(cfg.TPL_PROVINCIAS, departamento='departamento', desde=_DESDE, hasta=_HASTA,
+        provincias=f"string_agg({tsql(cfg.TPL_PROVINCIAS_ITEM, provincia='provincia', casos='casos', pct='pct')}, {_SEP} order by posicion)")} content,
   '{{"departamento":' || {jstr('departamento')} || '}}' metadata_json
 from tp group by departamento"""
 
