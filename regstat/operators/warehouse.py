@@ -97,14 +97,19 @@ def guardar_estrella(star: dict, out_dir: str) -> dict:
     return paths
 
 
-def vista_analitica(star: dict) -> DataFrame:
+def vista_analitica(star: dict, checked_broadcast: bool = False) -> DataFrame:
     """Fact joined back to its dimensions (the analytic fact of the
-    measures). Dimensions are broadcast only behind a row-count check;
-    above it the planner shuffles (AQE can still convert at runtime)."""
+    measures). The broadcast decision is left to size evidence: persisted
+    dimensions are broadcast by the planner from their file size, and
+    dimensions computed in the same job are broadcast by AQE from the
+    measured size of their shuffle output (a sort-merge join otherwise).
+    ``checked_broadcast=True`` adds an explicit row-count check, meant for
+    persisted dimensions only (on in-job dimensions the check would cost a
+    pass over the fact)."""
     f = star["fact_oncologia"].drop("anio")
-    t = broadcast_if_small(star["dim_tiempo"], MAX_DIMENSION_ROWS)
-    g = broadcast_if_small(star["dim_geografia"].drop("ubigeo"), MAX_DIMENSION_ROWS)
-    p = broadcast_if_small(star["dim_paciente"], MAX_DIMENSION_ROWS)
+    t, g, p = star["dim_tiempo"], star["dim_geografia"].drop("ubigeo"), star["dim_paciente"]
+    if checked_broadcast:
+        t, g, p = (broadcast_if_small(d, MAX_DIMENSION_ROWS) for d in (t, g, p))
     return (f.join(t, "tiempo_id").join(g, "geografia_id").join(p, "paciente_id")
             .select("departamento", "provincia", "distrito", "anio", "mes", "sexo",
                     "edad", "grupo_etario", "cant_atenciones"))
