@@ -206,26 +206,15 @@ def contexto_rag(questions: DataFrame, corpus: DataFrame, dim: int, k: int = cfg
 
 def _contexto_grande(questions, corpus, dim, k, embedder, text):
     """Large-corpus path: embed the questions, then exact top-k with the
-    corpus partitioned, one bounded batch of questions at a time."""
+    corpus partitioned (``vectors.topk`` batches the questions)."""
     from regstat.operators import vectors as V
 
-    n = questions.count()
-    # Twice as many hash batches as strictly needed, so no batch exceeds the
-    # query bound; every batch is processed (no question is left out).
-    batches = max(1, 2 * -(-n // V.MAX_QUERY_BATCH))
     emb = V.embed(questions, text, dim, "q_embedding", embedder=embedder)
     # Deterministic chunk id (stable if a lost partition is recomputed).
     corpus = corpus.withColumn("_cid", F.xxhash64("chunk_key"))
-    parts = []
-    for b in range(batches):
-        q = emb.where(F.pmod(F.xxhash64("pregunta_id"), F.lit(batches)) == b) if batches > 1 else emb
-        q = q.select(F.col("pregunta_id").alias("query_id"), "q_embedding",
-                     F.col("departamento").alias("q_departamento"), F.col("anio").alias("q_anio"))
-        parts.append(V.topk(q, corpus, k, id_col="_cid"))
-    hits = parts[0]
-    for p in parts[1:]:
-        hits = hits.unionByName(p)
-    hits = hits.join(corpus.select("_cid", "content"), "_cid")
+    q = emb.select(F.col("pregunta_id").alias("query_id"), "q_embedding",
+                   F.col("departamento").alias("q_departamento"), F.col("anio").alias("q_anio"))
+    hits = V.topk(q, corpus, k, id_col="_cid").join(corpus.select("_cid", "content"), "_cid")
     return (hits.groupBy("query_id")
             .agg(F.array_sort(F.collect_list(F.struct("posicion", "content"))).alias("c"))
             .select(F.col("query_id").alias("pregunta_id"), F.size("c").cast("int").alias("n_chunks"),

@@ -88,21 +88,41 @@ TOPK_SCHEMA = T.StructType([
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int = cfg.TOP_K,
-         types: list | None = None, id_col: str = "vec_id") -> DataFrame:
+         types: list | None = None, id_col: str = "vec_id", _salt: int = 0) -> DataFrame:
     """V3 (+V2, F4): exact top-k chunks per query by boosted cosine.
 
-    ``queries``: query_id, q_embedding, q_departamento, q_anio (at most
-    ``MAX_QUERY_BATCH`` rows; larger query sets are processed in batches by
-    the caller). ``corpus``: ``id_col``, embedding, chunk_type,
-    meta_departamento, meta_anio. Result: query_id, ``id_col``, score,
-    posicion (1..k; ties by id ascending). Zero vectors are never ranked.
+    ``queries``: query_id, q_embedding, q_departamento, q_anio.
+    ``corpus``: ``id_col``, embedding, chunk_type, meta_departamento,
+    meta_anio. Result: query_id, ``id_col``, score, posicion (1..k; ties by
+    id ascending). Zero vectors are never ranked. Up to ``MAX_QUERY_BATCH``
+    queries go in one pass over the corpus; a larger query set is split
+    into hash batches; a batch that is still too large is split again with
+    a new hash salt, so every batch is within the bound (every query is
+    scored, none dropped; query ids are unique).
     """
+    from regstat.functions.sizing import bounded_rows
+    if bounded_rows(queries, MAX_QUERY_BATCH) is None:
+        n = queries.count()
+        batches = max(2, 2 * -(-n // MAX_QUERY_BATCH))
+        bucket = F.pmod(F.xxhash64(F.col("query_id"), F.lit(_salt)), F.lit(batches))
+        parts = [topk(queries.where(bucket == b), corpus, k, types, id_col, _salt + 1)
+                 for b in range(batches)]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
+    return _topk_batch(queries, corpus, k, types, id_col)
+
+
+def _topk_batch(queries: DataFrame, corpus: DataFrame, k: int, types, id_col: str) -> DataFrame:
     if types:
         corpus = corpus.where(F.col("chunk_type").isin(*types))
     rows = collect_bounded(queries.select("query_id", "q_embedding", "q_departamento", "q_anio"),
                            MAX_QUERY_BATCH)
     if not rows:
-        return corpus.sparkSession.createDataFrame([], TOPK_SCHEMA.add("posicion", T.IntegerType()))
+        empty = T.StructType(TOPK_SCHEMA.fields + [T.StructField("posicion", T.IntegerType())])
+        out = corpus.sparkSession.createDataFrame([], empty)
+        return out.withColumnRenamed("vec_id", id_col) if id_col != "vec_id" else out
     qid = np.array([r["query_id"] for r in rows], dtype=np.int64)
     qm = np.array([np.asarray(r["q_embedding"], dtype=np.float32) for r in rows]).astype(np.float64)
     qdep = np.array([r["q_departamento"] for r in rows], dtype=object)

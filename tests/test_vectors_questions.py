@@ -136,3 +136,24 @@ def test_star_ids_deterministic_and_one_geo_row(spark):
     assert all(v == 0 for (c, _), v in checks.items() if c != "sin_poblacion")
     view = WH.vista_analitica(star1).collect()
     assert len(view) == 2 and {r["mes"] for r in view} == {1, 2}
+
+
+def test_topk_query_batches_and_large_corpus_path(spark, monkeypatch):
+    corpus, rows = make_corpus(spark, n=40)
+    queries = [(100 + i, rows[i][1], None, None) for i in range(9)]
+    qdf = spark.createDataFrame(queries, "query_id long, q_embedding array<float>, q_departamento string, q_anio int")
+    whole = sorted(map(tuple, V.topk(qdf, corpus, 5).collect()))
+    monkeypatch.setattr(V, "MAX_QUERY_BATCH", 2)     # force several batches
+    batched = sorted(map(tuple, V.topk(qdf, corpus, 5).collect()))
+    assert whole == batched and len(whole) == 8 * 5   # query 5 is the zero vector: no hits
+    # context through the large-corpus path equals the shipped-corpus path
+    texts = [f"texto {i} sobre region {i % 5}" for i in range(40)]
+    emb = V.hash_embed_texts(texts, 8)
+    crow = [(i, [float(x) for x in emb[i]], cfg.CHUNK_TYPES[0], None, None, texts[i], f"k{i}") for i in range(40)]
+    cdf = spark.createDataFrame(crow, CORPUS + ", content string, chunk_key string")
+    qs = spark.createDataFrame([(1, "region 3", None, None), (2, "texto 7", None, None)],
+                               "pregunta_id long, texto string, departamento string, anio int")
+    small = {r["pregunta_id"]: r["n_chunks"] for r in QA.contexto_rag(qs, cdf, 8, 4).collect()}
+    monkeypatch.setattr(QA, "MAX_CORPUS", 10)
+    big = {r["pregunta_id"]: r["n_chunks"] for r in QA.contexto_rag(qs, cdf, 8, 4).collect()}
+    assert small == big == {1: 4, 2: 4}
