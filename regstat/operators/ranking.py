@@ -111,22 +111,19 @@ def kpi_departamento(fact: DataFrame) -> DataFrame:
 
 
 def kpi_nacional(fact: DataFrame, anio: int | None = None) -> DataFrame:
-    """National total, number of regions with data, #1 and #2."""
+    """National total, number of regions with data, #1 and #2 (cases
+    desc, name asc). One aggregate over the per-region ranking, whose size
+    is the number of regions (a dimension), so ordering it in one group is
+    bounded."""
     ranking = M.ranking_departamentos(fact, anio)
-    # The top two come from a TakeOrderedAndProject (bounded to 2 rows).
-    w = Window.orderBy(F.col("casos").desc(), F.col("departamento").asc())
-    top2 = ranking.orderBy(F.col("casos").desc(), F.col("departamento").asc()).limit(2) \
-        .withColumn("pos", F.row_number().over(w))
-    firsts = top2.agg(
-        F.max(F.when(F.col("pos") == 1, F.col("departamento"))).alias("primero"),
-        F.max(F.when(F.col("pos") == 1, F.col("casos"))).alias("casos_primero"),
-        F.max(F.when(F.col("pos") == 2, F.col("departamento"))).alias("segundo"),
-        F.max(F.when(F.col("pos") == 2, F.col("casos"))).alias("casos_segundo"))
-    totals = ranking.agg(F.sum("casos").cast("bigint").alias("total_casos"),
-                         F.count(F.lit(1)).alias("departamentos"))
-    # Both sides are single-row aggregates: a one-row equi join on a constant.
-    return (totals.withColumn("_k", F.lit(1))
-            .join(firsts.withColumn("_k", F.lit(1)), "_k").drop("_k"))
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("casos")).alias("neg"), F.col("departamento"))))
+    return (ranking.agg(F.sum("casos").cast("bigint").alias("total_casos"),
+                        F.count(F.lit(1)).alias("departamentos"), ordered.alias("_o"))
+            .select("total_casos", "departamentos",
+                    F.get("_o", 0)["departamento"].alias("primero"),
+                    (-F.get("_o", 0)["neg"]).alias("casos_primero"),
+                    F.get("_o", 1)["departamento"].alias("segundo"),
+                    (-F.get("_o", 1)["neg"]).alias("casos_segundo")))
 
 
 def escala_mapa(fact: DataFrame, anio: int | None = None) -> DataFrame:

@@ -204,15 +204,17 @@ def reporte_regional(raw: DataFrame, gazetteer: DataFrame, poblacion: DataFrame,
 
 
 def reporte_documento(long: DataFrame, departamento: str) -> DataFrame:
-    """K2: fold one place's long report into the nested document (one row of
-    maps keyed by year text, with the ``año`` spelling of the source)."""
+    """K2: fold one place's long report into the nested document: one row,
+    one map column per section, keyed by year text (``por_año`` spelled as
+    in the source). Pure aggregation (key -> value, year -> map, section ->
+    map); every level is bounded by the report's fixed shape."""
     one = long.where(F.col("departamento") == F.lit(departamento))
-
-    def section(name):
-        rows = one.where(F.col("seccion") == name)
-        inner = rows.groupBy("anio").agg(F.map_from_entries(F.collect_list(F.struct("clave", "valor"))).alias("m"))
-        return inner.agg(F.map_from_entries(F.collect_list(F.struct("anio", "m"))).alias(name))
-    out = section("por_anio")
-    for name in ("por_mes", "por_sexo", "por_grupo_etario", "por_provincia", "atenciones", "poblacion_inei"):
-        out = out.withColumn("_k", F.lit(1)).join(section(name).withColumn("_k", F.lit(1)), "_k").drop("_k")
-    return out.withColumnRenamed("por_anio", "por_año").withColumn("departamento", F.lit(departamento))
+    inner = (one.groupBy("seccion", "anio")
+             .agg(F.map_from_entries(F.collect_list(F.struct("clave", "valor"))).alias("m")))
+    per_section = (inner.groupBy("seccion")
+                   .agg(F.map_from_entries(F.collect_list(F.struct("anio", "m"))).alias("s")))
+    doc = per_section.agg(F.map_from_entries(F.collect_list(F.struct("seccion", "s"))).alias("d"))
+    sections = ("por_anio", "por_mes", "por_sexo", "por_grupo_etario", "por_provincia", "atenciones",
+                "poblacion_inei")
+    return doc.select(F.lit(departamento).alias("departamento"),
+                      *[F.col("d")[s].alias("por_año" if s == "por_anio" else s) for s in sections])

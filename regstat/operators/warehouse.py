@@ -139,18 +139,22 @@ def _grouped_counts(clean: DataFrame) -> DataFrame:
 
 
 def auditoria_carga(clean: DataFrame, poblacion: DataFrame) -> DataFrame:
-    """Inserted and discarded rows, distinct regions, geography
-    keys, periods, patient groups and population regions (one row)."""
+    """Load audit in long form (metrica, valor): inserted and
+    discarded rows, distinct regions, geography keys, periods, patient groups
+    (one grouping-sets pass over the cleaned rows) and population regions."""
     g = _grouped_counts(clean)
-    acc = F.col("valido")
+    m, acc = F.col("metrica"), F.col("valido")
     row = g.agg(
-        F.sum(F.when((F.col("metrica") == "valido") & acc, F.col("n"))).cast("bigint").alias("insertados"),
-        F.coalesce(F.sum(F.when((F.col("metrica") == "valido") & ~acc, F.col("n"))),
-                   F.lit(0)).cast("bigint").alias("descartados"),
-        *[F.count_if((F.col("metrica") == m) & acc).alias(m)
-          for m in ("departamentos", "geografias", "periodos", "grupos_paciente")])
-    pob = poblacion.agg(F.count_distinct("departamento").alias("regiones_poblacion"))
-    return row.withColumn("_k", F.lit(1)).join(pob.withColumn("_k", F.lit(1)), "_k").drop("_k")
+        F.coalesce(F.sum(F.when((m == "valido") & acc, F.col("n"))), F.lit(0)).cast("bigint").alias("insertados"),
+        F.coalesce(F.sum(F.when((m == "valido") & ~acc, F.col("n"))), F.lit(0)).cast("bigint").alias("descartados"),
+        *[F.count_if((m == name) & acc).alias(name)
+          for name in ("departamentos", "geografias", "periodos", "grupos_paciente")])
+    names = ("insertados", "descartados", "departamentos", "geografias", "periodos", "grupos_paciente")
+    long = row.select(F.inline(F.array(*[F.struct(F.lit(n).alias("metrica"), F.col(n).cast("bigint").alias("valor"))
+                                         for n in names])))
+    pob = poblacion.agg(F.count_distinct("departamento").cast("bigint").alias("valor")) \
+        .select(F.lit("regiones_poblacion").alias("metrica"), "valor")
+    return long.unionByName(pob)
 
 
 def conteo_tablas(clean: DataFrame, poblacion: DataFrame) -> DataFrame:

@@ -329,14 +329,14 @@ SQL["dim_tiempo"] = _N + f"""select distinct anio, mes, cast(ceil(mes / 3) as in
 SQL["dim_geografia"] = _N + """select departamento, provincia, distrito, min(ubigeo) ubigeo
   from nac where valido group by departamento, provincia, distrito"""
 SQL["dim_paciente"] = _N + "select distinct sexo, grupo_etario from nac where valido"
-SQL["auditoria_carga"] = with_("nac", "poblacion") + """select
-  cast(count_if(valido) as bigint) insertados, cast(count_if(not valido) as bigint) descartados,
-  (select count(*) from (select distinct departamento from nac where valido)) departamentos,
-  (select count(*) from (select distinct departamento, provincia, distrito from nac where valido)) geografias,
-  (select count(*) from (select distinct anio, mes from nac where valido)) periodos,
-  (select count(*) from (select distinct sexo, grupo_etario from nac where valido)) grupos_paciente,
-  (select count(distinct departamento) from poblacion) regiones_poblacion
-  from nac"""
+SQL["auditoria_carga"] = with_("nac", "poblacion") + """
+select 'insertados' metrica, cast(count_if(valido) as bigint) valor from nac
+union all select 'descartados', cast(count_if(not valido) as bigint) from nac
+union all select 'departamentos', count(*) from (select distinct departamento from nac where valido)
+union all select 'geografias', count(*) from (select distinct departamento, provincia, distrito from nac where valido)
+union all select 'periodos', count(*) from (select distinct anio, mes from nac where valido)
+union all select 'grupos_paciente', count(*) from (select distinct sexo, grupo_etario from nac where valido)
+union all select 'regiones_poblacion', count(distinct departamento) from poblacion"""
 SQL["conteo_tablas"] = with_("nac", "poblacion") + """
 select 'fact_oncologia' tabla, count(*) filas from nac where valido
 union all select 'dim_tiempo', count(*) from (select distinct anio, mes from nac where valido)
