@@ -95,12 +95,14 @@ def parsear_respuestas(answers: DataFrame, raw: str = "respuesta") -> DataFrame:
     tipo_v = F.try_variant_get(v, "$.grafica.tipo", "variant")
     tipo = F.when(tiene & F.coalesce(F.schema_of_variant(tipo_v) == "STRING", F.lit(False)),
                   F.try_variant_get(v, "$.grafica.tipo", "string"))
-    datos = F.when(tiene, F.try_variant_get(v, "$.grafica.datos", CHART_DATA.simpleString()))
+    # The path is null whenever there is no chart object; gating it with the
+    # chart flag adds nothing (and trips code generation when exploded).
+    datos = F.try_variant_get(v, "$.grafica.datos", CHART_DATA.simpleString())
     return answers.select(
         "*",
         F.when(texto_ok, F.try_variant_get(v, "$.texto", "string")).otherwise(F.col(raw)).alias("texto"),
         tiene.alias("tiene_grafica"), tipo.alias("grafica_tipo"),
-        F.size(datos).alias("_n"), datos.alias("datos"),
+        F.when(tiene, F.size(datos)).alias("_n"), datos.alias("datos"),
     ).withColumn("n_datos", F.when(F.col("_n") >= 0, F.col("_n"))).drop("_n")
 
 
