@@ -218,3 +218,52 @@ def reporte_documento(long: DataFrame, departamento: str) -> DataFrame:
                 "poblacion_inei")
     return doc.select(F.lit(departamento).alias("departamento"),
                       *[F.col("d")[s].alias("por_año" if s == "por_anio" else s) for s in sections])
+
+
+def reporte_documentos(long: DataFrame) -> DataFrame:
+    """K2 for every place: one row per department with the source's typed
+    document shape (``por_anio`` holds casos / poblacion / tasa_por_100k /
+    completo, visits and population are structs, the other sections are
+    year -> key -> count maps). Every fold is a group-by on the
+    department (one small row each); sections are joined on it."""
+    def val(name, typ):
+        return F.max(F.when(F.col("clave") == name, F.col("valor"))).cast(typ)
+
+    def by_year(seccion, fields):
+        rows = (long.where(F.col("seccion") == seccion).groupBy("departamento", "anio")
+                .agg(F.struct(*[val(n, t).alias(n) for n, t in fields]).alias("v")))
+        return rows.groupBy("departamento").agg(
+            F.map_from_entries(F.collect_list(F.struct("anio", "v"))).alias(seccion))
+
+    def counts(seccion):
+        inner = (long.where(F.col("seccion") == seccion).groupBy("departamento", "anio")
+                 .agg(F.map_from_entries(F.collect_list(F.struct("clave", F.col("valor").cast("bigint"))))
+                      .alias("m")))
+        return inner.groupBy("departamento").agg(
+            F.map_from_entries(F.collect_list(F.struct("anio", "m"))).alias(seccion))
+
+    anio = by_year("por_anio", [("casos", "bigint"), ("poblacion", "bigint"), ("tasa_por_100k", "double"),
+                                ("completo", "boolean")])
+    visitas = by_year("atenciones", [("promedio", "double"), ("mediana", "double"), ("max", "bigint")])
+    total_visitas = (long.where((F.col("seccion") == "atenciones") & (F.col("clave") == "promedio_total"))
+                     .select("departamento", F.col("valor").alias("promedio_total")))
+    pob = by_year("poblacion_inei", [("total", "bigint"), ("hombres", "bigint"), ("mujeres", "bigint")])
+    doc = anio
+    for part in (counts("por_mes"), counts("por_sexo"), counts("por_grupo_etario"), counts("por_provincia"),
+                 pob, visitas.join(total_visitas, "departamento", "left")):
+        doc = doc.join(part, "departamento", "left")
+    casos_total = F.aggregate(F.map_values("por_anio"), F.lit(0).cast("bigint"), lambda a, x: a + x["casos"])
+    return doc.select(
+        "departamento",
+        F.create_map(F.lit("departamento"), F.col("departamento"),
+                     F.lit("total_casos"), casos_total.cast("string")).alias("meta"),
+        F.map_filter("por_anio", lambda k, v: k != "total").alias("por_año"),
+        "por_mes", "por_sexo", "por_grupo_etario", "por_provincia",
+        F.struct(F.col("promedio_total"), F.map_filter("atenciones", lambda k, v: k != "total").alias("por_año"))
+         .alias("atenciones_cex"),
+        F.col("poblacion_inei"))
+
+
+def guardar_reportes(docs: DataFrame, path: str) -> None:
+    """K2 sink: one JSON document set per department (folder per value)."""
+    docs.write.mode("overwrite").partitionBy("departamento").json(path)

@@ -85,3 +85,27 @@ def test_point_lookup_of_region_code(spark):
     long = {r["anio"]: r["total"] for r in S.poblacion(spark, SF_SMALL, cfg.STANDIN)
             .where(F.col("departamento") == "AFRICA").collect()}
     assert all(rows[y] == long[y] for y in long)
+
+
+def test_report_documents_round_trip_through_reader(spark, scratch_dir):
+    long = R.reporte_regional(K._raw(spark, SF_SMALL), S.gazetteer_regiones(spark, SF_SMALL),
+                              S.poblacion(spark, SF_SMALL, cfg.STANDIN), cfg.STANDIN)
+    docs = R.reporte_documentos(long)
+    assert docs.count() == 5
+    path = os.path.join(scratch_dir, "reportes")
+    R.guardar_reportes(docs, path)
+    back = RG.read_report(spark, os.path.join(path, "departamento=AFRICA")).collect()[0]
+    rows = {(r["seccion"], r["anio"], r["clave"]): r["valor"]
+            for r in long.where(F.col("departamento") == "AFRICA").collect()}
+    for y in cfg.STANDIN.report_years:
+        yy = str(y)
+        entry = back["por_año"][yy]
+        assert entry["casos"] == rows[("por_anio", yy, "casos")]
+        assert entry["tasa_por_100k"] == rows[("por_anio", yy, "tasa_por_100k")]
+        assert entry["completo"] == (y != cfg.STANDIN.partial_year)
+        assert back["atenciones_cex"]["por_año"][yy]["mediana"] == rows[("atenciones", yy, "mediana")]
+        assert back["poblacion_inei"][yy]["total"] == rows[("poblacion_inei", yy, "total")]
+    assert back["atenciones_cex"]["promedio_total"] == rows[("atenciones", "total", "promedio_total")]
+    assert back["por_sexo"]["total"]["FEMENINO"] == rows[("por_sexo", "total", "FEMENINO")]
+    assert int(back["meta"]["total_casos"]) == sum(v for (s, a, k), v in rows.items()
+                                                    if s == "por_anio" and k == "casos")
