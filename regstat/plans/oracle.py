@@ -494,8 +494,12 @@ CTE["scan"] = f"""scan0 as (
   from embeddings),
 scan as (
   select vec_id, label, embedding, chunk_type,
-    json_extract_string(coalesce(m, '{{}}'), '$.departamento') meta_departamento,
-    try_cast(json_extract(coalesce(m, '{{}}'), '$."año"') as int) meta_anio
+    case when json_type(coalesce(m, '{{}}'), '$.departamento') = 'VARCHAR'
+         then json_extract_string(coalesce(m, '{{}}'), '$.departamento') end meta_departamento,
+    case when json_type(coalesce(m, '{{}}'), '$."año"') in ('UBIGINT', 'BIGINT', 'DOUBLE')
+          and cast(json_extract(coalesce(m, '{{}}'), '$."año"') as double)
+              = floor(cast(json_extract(coalesce(m, '{{}}'), '$."año"') as double))
+         then cast(cast(json_extract(coalesce(m, '{{}}'), '$."año"') as double) as int) end meta_anio
   from (select *, case when label = 9 then null when label = 6 then '{{"año":' || yr || '}}'
         else '{{"departamento":"' || dep || '","año":' || yr || '}}' end m from scan0)
   where embedding is not null),

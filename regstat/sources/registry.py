@@ -58,14 +58,26 @@ def read_report(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
 
 
+NUMERIC_VARIANT = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"
+
+
 def scan_chunks(chunks: DataFrame) -> DataFrame:
     """Chunks with a vector; metadata parsed (``{}`` when absent) into
-    typed columns departamento / anio (null when missing)."""
+    typed columns. Values keep their JSON type, as a strict equality would:
+    ``meta_departamento`` only from a JSON string, ``meta_anio`` only from
+    a whole JSON number (a year written as text never matches)."""
     meta = F.try_parse_json(F.coalesce(F.col("metadata_json"), F.lit("{}")))
+    dep = F.try_variant_get("_meta", "$.departamento", "variant")
+    yr = F.try_variant_get("_meta", "$['año']", "variant")
+    yr_num = F.try_variant_get("_meta", "$['año']", "double")
     return (chunks.where(F.col("embedding").isNotNull())
             .withColumn("_meta", meta)
-            .withColumn("meta_departamento", F.try_variant_get("_meta", "$.departamento", "string"))
-            .withColumn("meta_anio", F.try_variant_get("_meta", "$['año']", "int"))
+            .withColumn("meta_departamento",
+                        F.when(F.schema_of_variant(dep) == "STRING",
+                               F.try_variant_get("_meta", "$.departamento", "string")))
+            .withColumn("meta_anio",
+                        F.when(F.schema_of_variant(yr).rlike(NUMERIC_VARIANT) & (yr_num == F.floor(yr_num)),
+                               yr_num.cast("int")))
             .drop("_meta"))
 
 

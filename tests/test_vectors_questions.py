@@ -157,3 +157,13 @@ def test_topk_query_batches_and_large_corpus_path(spark, monkeypatch):
     monkeypatch.setattr(QA, "MAX_CORPUS", 10)
     big = {r["pregunta_id"]: r["n_chunks"] for r in QA.contexto_rag(qs, cdf, 8, 4).collect()}
     assert small == big == {1: 4, 2: 4}
+
+
+def test_metadata_keeps_json_types(spark):
+    from regstat.sources.registry import scan_chunks
+    df = spark.createDataFrame(
+        [(1, [1.0], '{"departamento":"LIMA","año":2024}'), (2, [1.0], '{"departamento":5,"año":"2024"}'),
+         (3, [1.0], None), (4, [1.0], '{"año":2024.0}'), (5, None, '{}')],
+        "vec_id long, embedding array<float>, metadata_json string")
+    got = {r["vec_id"]: (r["meta_departamento"], r["meta_anio"]) for r in scan_chunks(df).collect()}
+    assert got == {1: ("LIMA", 2024), 2: (None, None), 3: (None, None), 4: (None, 2024)}
