@@ -66,15 +66,41 @@ def fact_oncologia(valid: DataFrame) -> DataFrame:
         "edad", "cant_atenciones", "anio")
 
 
+def dimensiones(valid: DataFrame, params: cfg.Params = cfg.SOURCE) -> dict:
+    """The three dimensions from ONE grouping-sets pass over the accepted
+    rows (time, geography and patient keys; the smallest code per geography
+    key). Each dimension is a filter of the shared, small grouped result, so
+    a load reads the registry once for all of them."""
+    sets = {"t": TIME_KEY, "g": GEO_KEY, "p": PATIENT_KEY}
+    cols = [c for s in sets.values() for c in s]
+    g = valid.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
+        .agg(F.min("ubigeo").alias("ubigeo"), F.grouping_id().alias("_gid"))
+
+    def gid(keys):
+        out = 0
+        for c in cols:
+            out = (out << 1) | (0 if c in keys else 1)
+        return out
+    t = g.where(F.col("_gid") == gid(TIME_KEY))
+    geo = g.where(F.col("_gid") == gid(GEO_KEY))
+    pac = g.where(F.col("_gid") == gid(PATIENT_KEY))
+    return {
+        "dim_tiempo": t.select(_id(*TIME_KEY).alias("tiempo_id"), *TIME_KEY,
+                               C.quarter("mes").alias("trimestre"),
+                               (F.col("anio") != F.lit(params.partial_year)).alias("completo")),
+        "dim_geografia": geo.select(_id(*GEO_KEY).alias("geografia_id"), *GEO_KEY, "ubigeo"),
+        "dim_paciente": pac.select(_id(*PATIENT_KEY).alias("paciente_id"), *PATIENT_KEY),
+    }
+
+
 def construir_estrella(spark: SparkSession, clean: DataFrame, poblacion: DataFrame,
                        params: cfg.Params = cfg.SOURCE) -> dict:
-    """All star tables as DataFrames (nothing is computed until written)."""
+    """All star tables as DataFrames (nothing is computed until written);
+    the dimensions come from one pass (``dimensiones``)."""
     valid = clean.where(F.col("valido"))
     return {
         "fact_oncologia": fact_oncologia(valid),
-        "dim_tiempo": dim_tiempo(valid, params),
-        "dim_geografia": dim_geografia(valid),
-        "dim_paciente": dim_paciente(valid),
+        **dimensiones(valid, params),
         "dim_fuente": dim_fuente(spark),
         "poblacion": poblacion,
     }
