@@ -8,6 +8,8 @@ Shared pieces are common-table expressions assembled by ``with_``.
 from __future__ import annotations
 
 from regstat import config as cfg
+from regstat.functions.columns import INT_PREFIX_PATTERN, JS_SPACE_CODES
+from regstat.operators.questions import FENCE_OPEN, year_pattern
 
 P = cfg.STANDIN
 
@@ -236,7 +238,6 @@ from tasa t left join coef c using (departamento)"""
 # ---------------------------------------------------------------------------
 # Raw registry text and its cleaning
 # ---------------------------------------------------------------------------
-from regstat.functions.columns import JS_SPACE_CODES, INT_PREFIX_PATTERN  # noqa: E402
 
 _JS_CHARS = " || ".join(f"chr({c})" for c in JS_SPACE_CODES)
 
@@ -551,7 +552,6 @@ SQL["vector_topk_tipo"] = _topk_sql([cfg.CHUNK_MENSUAL, cfg.CHUNK_PROVINCIAS])
 # ---------------------------------------------------------------------------
 # Questions and answers
 # ---------------------------------------------------------------------------
-from regstat.operators.questions import FENCE_OPEN, year_pattern  # noqa: E402
 
 CTE["preguntas"] = """preguntas as (
   select c_custkey pregunta_id, case c_mktsegment
