@@ -32,3 +32,14 @@ def collect_bounded(df: DataFrame, max_rows: int) -> list:
     if len(rows) > max_rows:
         raise SideTooLarge(f"side has more than {max_rows} rows")
     return rows
+
+
+def materializar(df: DataFrame) -> DataFrame:
+    """Cut the lineage of a small intermediate that several branches read
+    (a grouping-sets result): a reliable ``checkpoint`` into the shared
+    folder named by ``spark.checkpoint.dir``. Every branch then reads the
+    same materialized rows (one computation of the input, no per-branch
+    re-planning), and a lost executor cannot force a recomputation."""
+    from regstat.session import checkpoint_dir
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

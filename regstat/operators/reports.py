@@ -14,13 +14,22 @@ from pyspark.sql import functions as F
 
 from regstat import config as cfg
 from regstat.functions import columns as C
+from regstat.functions.sizing import materializar
 from regstat.operators import clean as CL
 from regstat.operators import measures as M
 from regstat.operators import trend as T
 
 
 def _sets(df: DataFrame, sets: dict, aggs: list) -> DataFrame:
-    """groupingSets + a ``seccion`` label per set (from grouping_id)."""
+    """groupingSets + a ``seccion`` label per set (from grouping_id),
+    materialized once (``materializar``).
+
+    The result is small (bounded by the dimensions) and every section reads
+    it. Left as a plan, each section's ``seccion = X`` filter (on the
+    grouping id, a grouping expression) and its own column pruning would be
+    pushed below the aggregate into the Expand, so every section would
+    recompute the whole input; the checkpoint makes it one computation.
+    """
     cols = sorted({c for s in sets.values() for c in s})
     g = df.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
         .agg(*aggs, F.grouping_id().alias("_gid"))
@@ -30,7 +39,7 @@ def _sets(df: DataFrame, sets: dict, aggs: list) -> DataFrame:
         for c in cols:
             gid = (gid << 1) | (0 if c in s else 1)
         label = F.when(F.col("_gid") == gid, F.lit(name)).otherwise(label)
-    return g.withColumn("seccion", label).drop("_gid")
+    return materializar(g.withColumn("seccion", label).drop("_gid"))
 
 
 def _long(df: DataFrame, seccion: str, clave, valor) -> DataFrame:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from regstat import config as cfg
 from regstat.functions import columns as C
-from regstat.functions.sizing import broadcast_if_small
+from regstat.functions.sizing import broadcast_if_small, materializar
 
 TIME_KEY = ("anio", "mes")
 GEO_KEY = ("departamento", "provincia", "distrito")
@@ -74,16 +74,20 @@ def dimensiones(valid: DataFrame, params: cfg.Params = cfg.SOURCE) -> dict:
     sets = {"t": TIME_KEY, "g": GEO_KEY, "p": PATIENT_KEY}
     cols = [c for s in sets.values() for c in s]
     g = valid.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
-        .agg(F.min("ubigeo").alias("ubigeo"), F.grouping_id().alias("_gid"))
+        .agg(F.min("ubigeo").alias("ubigeo"), F.grouping_id().alias("_set"))
+    # Small result read by three filters: materialized once (see
+    # ``reports._sets``), otherwise each filter would be pushed into the
+    # Expand and each dimension would rescan the registry.
+    g = materializar(g)
 
     def gid(keys):
         out = 0
         for c in cols:
             out = (out << 1) | (0 if c in keys else 1)
         return out
-    t = g.where(F.col("_gid") == gid(TIME_KEY))
-    geo = g.where(F.col("_gid") == gid(GEO_KEY))
-    pac = g.where(F.col("_gid") == gid(PATIENT_KEY))
+    t = g.where(F.col("_set") == gid(TIME_KEY))
+    geo = g.where(F.col("_set") == gid(GEO_KEY))
+    pac = g.where(F.col("_set") == gid(PATIENT_KEY))
     return {
         "dim_tiempo": t.select(_id(*TIME_KEY).alias("tiempo_id"), *TIME_KEY,
                                C.quarter("mes").alias("trimestre"),
@@ -221,10 +225,12 @@ def integridad_referencial(star: dict) -> DataFrame:
         extra = ["departamento"] if key == "geografia_id" else []
         j = j.join(star[dim].select(key, F.lit(True).alias(f"_in_{key}"), *extra), key, "left")
     not_null = ("uuid_hash", "tiempo_id", "geografia_id", "paciente_id", "fuente_id")
-    per_dep = j.groupBy("departamento").agg(
+    # One row per region; read by the totals and the population check, so
+    # it is materialized once (one pass over the fact).
+    per_dep = materializar(j.groupBy("departamento").agg(
         F.count(F.lit(1)).alias("n"),
         *[F.count_if(F.col(k).isNotNull() & F.col(f"_in_{k}").isNull()).alias(f"o_{k}") for k in keys],
-        *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in not_null])
+        *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in not_null]))
     items = ([("fk_huerfana", k, f"o_{k}") for k in keys]
              + [("nulo", c, f"z_{c}") for c in not_null])
     totals = per_dep.agg(*[F.sum(col).alias(col) for _, _, col in items]).select(F.inline(F.array(*[
