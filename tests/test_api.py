@@ -51,3 +51,18 @@ def test_hash_id_option(spark):
     assert CL.limpiar_nacional(raw).collect()[0]["uuid_hash"] == "0123456789abcdef"
     h = CL.limpiar_nacional(raw, hash_id=True).collect()[0]["uuid_hash"]
     assert len(h) == 64
+
+
+def test_department_panel_by_request(spark):
+    fact = S.casos(spark, SF_SMALL)
+    p = api.normalizar("africa", "1999", cfg.STANDIN)
+    rows = api.panel(fact, p, cfg.STANDIN).collect()
+    assert {r["departamento"] for r in rows} == {"AFRICA"}
+    secs = {r["seccion"] for r in rows}
+    assert secs == {"por_anio", "sexo", "edad", "provincias", "mensual"}
+    # the yearly series ignores the year filter; sex counts are for 1999 only
+    por_anio = sum(r["casos"] for r in rows if r["seccion"] == "por_anio")
+    sexo = sum(r["casos"] for r in rows if r["seccion"] == "sexo")
+    mensual = sum(r["casos"] for r in rows if r["seccion"] == "mensual")
+    assert por_anio == fact.where(F.col("departamento") == "AFRICA").count()
+    assert sexo == mensual == fact.where((F.col("departamento") == "AFRICA") & (F.col("anio") == 1999)).count()
