@@ -62,3 +62,12 @@ def panel(fact: DataFrame, peticion: Peticion, params: cfg.Params = cfg.SOURCE)
     return R.panel_departamento(M.filtrar(fact, peticion.departamento), peticion.anio,
                                 cfg.Params(**{**params.__dict__,
                                               "default_trend_year": peticion.anio_mensual}))
+
+
+def casos_por_anio_sql(spark, fact: DataFrame, departamento: str, anio: int | None = None) -> DataFrame:
+    """The parameterised scan as Spark SQL with bound positional
+    parameters (values are never spliced into the SQL text); the fact is
+    passed as a DataFrame argument."""
+    sql = ("SELECT departamento, anio, COUNT(*) AS casos FROM {fact} "
+           "WHERE departamento = ? AND (? IS NULL OR anio = ?) GROUP BY departamento, anio")
+    return spark.sql(sql, args=[departamento, anio, anio], fact=fact)

@@ -66,3 +66,12 @@ def test_department_panel_by_request(spark):
     mensual = sum(r["casos"] for r in rows if r["seccion"] == "mensual")
     assert por_anio == fact.where(F.col("departamento") == "AFRICA").count()
     assert sexo == mensual == fact.where((F.col("departamento") == "AFRICA") & (F.col("anio") == 1999)).count()
+
+
+def test_parameterised_sql_scan_matches_operator(spark):
+    fact = S.casos(spark, SF_SMALL)
+    a = sorted(map(tuple, api.casos_por_anio_sql(spark, fact, "ASIA").collect()))
+    b = sorted(map(tuple, M.casos_por_anio(fact, "ASIA").collect()))
+    assert a == b and len(a) == 7
+    one = api.casos_por_anio_sql(spark, fact, "ASIA'; DROP TABLE x; --", 1999).collect()
+    assert one == []   # a hostile value is data, not SQL
