@@ -4,10 +4,11 @@ on the smallest test tables; keys without SQL must at least run."""
 import pytest
 
 import __spark_entry__ as E
+from regstat.plans.catalog import queries as _queries
 from tests.conftest import SF_SMALL
 from tests.oracle_compare import compare, duck
 
-KEYS = sorted(E.queries())
+KEYS = sorted(_queries())
 
 
 @pytest.fixture(scope="module")
