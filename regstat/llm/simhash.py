@@ -25,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from regstat.llm.common import written
 from regstat.llm.components import components
@@ -286,7 +287,7 @@ def keep_one(docs: DataFrame, size: int = SHINGLE, radius: int = RADIUS) -> Data
         return kept
     again = docs.join(odd, F.col("doc_id").eqNullSafe(F.col("_odd_id")), "left_semi")
     mark = "_simhash_of_row"
-    schema = again.schema.add(mark, "long")
+    schema = T.StructType([*again.schema.fields, T.StructField(mark, T.LongType())])
 
     def run(batches):
         for batch in batches:
