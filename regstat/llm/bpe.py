@@ -89,7 +89,7 @@ class Codec:
         self.pattern = regex.compile(pattern)
         self.model = sentencepiece.SentencePieceProcessor(model_proto=model_proto(self.ranks))
         self.token_bytes = [to_bytes(self.model.id_to_piece(i)) for i in range(len(self.ranks))]
-        self.words = WordCache()
+        self.words = WordCache(self._entry)
 
     def encode(self, text: str) -> list[int]:
         """Ids of a whole text: each match of the pattern separately; one
@@ -113,14 +113,8 @@ class Codec:
         if words is None:
             parts = [self._entry(text)] if text else []
         else:
-            cache = self.words
-            cache.make_room()
             parts = [self._entry(words[0])]
-            for w in itertools.islice(words, 1, None):
-                e = cache.get(w)
-                if e is None:
-                    e = cache[w] = self._entry(" " + w)
-                parts.append(e)
+            parts += map(self.words.__getitem__, itertools.islice(words, 1, None))
         ids = hashlib.sha256(",".join([p[1] for p in parts]).encode("ascii")).hexdigest()
         raw = hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest()
         return sum([p[0] for p in parts]), ids, raw

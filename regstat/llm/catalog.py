@@ -6,10 +6,18 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from regstat.deploy import ship_package
-from regstat.llm import bpe, packing, sharding, simhash, url_filter
+from regstat.llm import ann, bpe, packing, quality, sharding, simhash, topk, url_filter
 from regstat.llm.common import table
 
 
+def op1_exact_topk(spark, sf_dir):
+    return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
+def op4_ann(spark, sf_dir):
+    return ann.search_embeddings(table(spark, sf_dir, "embeddings"))
+
+
 def op5_best_fit_packing(spark, sf_dir):
     return packing.pack_documents(table(spark, sf_dir, "documents"),
                                   public_tokenizers.path("byte_bpe_50k.json"))
@@ -29,6 +37,10 @@ def op8_url_filters(spark, sf_dir):
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
 
 
+def op9_quality(spark, sf_dir):
+    return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_simhash(spark, sf_dir):
     found = simhash.near_duplicates(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
@@ -36,7 +48,8 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op5_best_fit_packing, op6_byte_bpe, op7_sharding, op8_url_filters, op10_simhash)}
+    op1_exact_topk, op4_ann, op5_best_fit_packing, op6_byte_bpe, op7_sharding, op8_url_filters,
+    op9_quality, op10_simhash)}
 
 
 def _shipped(fn):

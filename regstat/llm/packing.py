@@ -20,10 +20,14 @@
 from __future__ import annotations
 
 import bisect
+import itertools
 import json
+
 import os
 import zlib
+from array import array
 
+import public_tokenizers
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -35,43 +39,69 @@ CAPACITY, END_ID = 1024, 2
 _ENCODERS: dict[int, "Encoder"] = {}
 
 
+def merge_ranks(spec: dict) -> dict[bytes, int] | None:
+    """Token bytes -> id of a tokenizers model, if it is plain byte-level BPE
+    whose merges come in the order of the ids they make; else None."""
+    pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
+    if (pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space")
+            or spec.get("normalizer") or model.get("type") != "BPE" or model.get("dropout")
+            or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")):
+        return None
+    # ByteLevel writes printable bytes as themselves, the others as 256, 257, ...
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in printable}
+    byte_of |= {chr(256 + i): b for i, b in enumerate(b for b in range(256) if b not in set(printable))}
+    vocab = model["vocab"]
+    pairs = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
+    made = [vocab[a + b] for a, b in pairs]
+    if made != sorted(made):
+        return None
+    special = {t["content"] for t in spec.get("added_tokens") or []}
+    return {bytes([byte_of[c] for c in t]): i for t, i in vocab.items() if t not in special}
+
+
 class Encoder:
-    """Ids of whole texts as little-endian 32-bit numbers, by tokenizers."""
+    """Ids of whole texts as little-endian 32-bit numbers: those that
+    tokenizers gives for the model file, special tokens' strings being
+    ordinary text. Plain byte-level BPE is encoded by ranks (the same ids,
+    faster), each distinct word once; any other model by tokenizers."""
 
     def __init__(self, model: str):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_str(model)
-        self.tokenizer.encode_special_tokens = True
-        # Only the byte-level pre-tokenizer with its usual pattern can be cut
-        # at spaces; any other model encodes whole texts.
         spec = json.loads(model)
-        pre = spec.get("pre_tokenizer") or {}
-        self.by_words = (pre.get("type") == "ByteLevel" and pre.get("use_regex")
-                         and not pre.get("add_prefix_space") and not spec.get("normalizer"))
-        self.words = WordCache()
-
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        from array import array
-
-        found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
-        return [array("I", e.ids).tobytes() for e in found]
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        split = [words_of(t) if self.by_words and t else None for t in texts]
-        cache = self.words
-        cache.make_room()
-        new = set()
-        for ws in split:
-            if ws is not None:
-                new.update(ws[1:])
-        new = list(new.difference(cache))
-        for w, ids in zip(new, self._encode([" " + w for w in new])):
-            cache[w] = ids
-        heads = self._encode([t if ws is None else ws[0] for t, ws in zip(texts, split)])
-        return [head if ws is None else head + b"".join([cache[w] for w in ws[1:]])
-                for head, ws in zip(heads, split)]
+        ranks = merge_ranks(spec)
+        if ranks is None:
+            os.environ["TOKENIZERS_PARALLELISM"] = "false"
+            from tokenizers import Tokenizer
+
+            tokenizer = Tokenizer.from_str(model)
+            tokenizer.encode_special_tokens = True
+            self._ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
+        else:
+            import tiktoken
+
+            bpe = tiktoken.Encoding("model", pat_str=public_tokenizers.PATTERN,
+                                    mergeable_ranks=ranks, special_tokens={})
+            self._ids, self._piece = bpe.encode_ordinary, bpe._encode_single_piece
+            self.marks = {c: array("I", self._ids(c)).tobytes() for c in ".,;:!?"}
+        self.words = WordCache(self._word, 700_000) if ranks is not None else None
+
+    def _word(self, text: str) -> bytes:
+        """" " and a word: letters are one pre-token, a mark behind them another."""
+        if text[1:].isalpha():
+            return array("I", self._piece(text)).tobytes()
+        if text[-1] in self.marks and text[1:-1].isalpha():
+            return self.words[text[1:-1]] + self.marks[text[-1]]
+        return self._encode(text)
+
+    def _encode(self, text: str) -> bytes:
+        return array("I", self._ids(text)).tobytes() if text else b""
+
+    def encode(self, text: str) -> bytes:
+        words = words_of(text) if text and self.words is not None else None
+        if words is None:
+            return self._encode(text)
+        return self._encode(words[0]) + b"".join(
+            map(self.words.__getitem__, itertools.islice(words, 1, None)))
 
 
 def encoder_for(model: str) -> Encoder:
@@ -100,8 +130,8 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
             ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
             for a, b in blocks(texts):
                 row, piece, start, length, crc = [], [], [], [], []
-                for i, data in enumerate(encoder.encode([t or "" for t in texts[a:b]]), a):
-                    data += end
+                for i in range(a, b):
+                    data = encoder.encode(texts[i] or "") + end
                     view = memoryview(data)
                     for k, (s, n) in enumerate(cut_pieces(len(data) // 4, capacity)):
                         row.append(i)

@@ -11,14 +11,22 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 
+#: White space other than the space, among ASCII and beyond (str.isspace).
+ASCII_SPACE = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+OTHER_SPACE = ("\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009"
+               "\u200a\u2028\u2029\u202f\u205f\u3000")
+
+
 def words_of(text: str) -> list[str] | None:
     """The text's parts between single spaces, or None if some space has
-    white space beside it (then the text must be encoded as a whole)."""
-    parts = text.split(" ")
-    for p in parts:
-        if not p or p[0].isspace() or p[-1].isspace():
+    white space (or an end of the text) beside it: then the text must be
+    encoded as a whole."""
+    if text[:1] == " " or text[-1:] == " " or "  " in text:
+        return None
+    for c in ASCII_SPACE if text.isascii() else ASCII_SPACE + OTHER_SPACE:
+        if c in text and (" " + c in text or c + " " in text):
             return None
-    return parts
+    return text.split(" ")
 
 
 def blocks(texts: list, max_chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
@@ -36,12 +44,15 @@ def blocks(texts: list, max_chars: int = 1_500_000) -> Iterator[tuple[int, int]]
 
 
 class WordCache(dict):
-    """word -> encoding; ``limit`` entries are kept, then it starts anew."""
+    """word -> encoding of " " + word, made at the first look-up; beyond
+    ``limit`` entries it starts anew."""
 
-    def __init__(self, limit: int = 300_000):
+    def __init__(self, encode, limit: int = 500_000):
         super().__init__()
-        self.limit = limit
+        self.encode, self.limit = encode, limit
 
-    def make_room(self) -> None:
-        if len(self) > self.limit:
+    def __missing__(self, word: str):
+        if len(self) >= self.limit:
             self.clear()
+        out = self[word] = self.encode(" " + word)
+        return out
