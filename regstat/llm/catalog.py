@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from regstat.deploy import ship_package
-from regstat.llm import ann, bpe, packing, quality, sharding, simhash, topk, url_filter
+from regstat.llm import ann, bpe, linededup, packing, quality, sharding, simhash, topk, url_filter
 from regstat.llm.common import table
 
 
@@ -14,6 +14,10 @@ def op1_exact_topk(spark, sf_dir):
     return topk.search_embeddings(table(spark, sf_dir, "embeddings"))
 
 
+def op2_line_dedup(spark, sf_dir):
+    return linededup.matched_lines(table(spark, sf_dir, "documents"))
+
+
 def op4_ann(spark, sf_dir):
     return ann.search_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -48,7 +52,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_topk, op4_ann, op5_best_fit_packing, op6_byte_bpe, op7_sharding, op8_url_filters,
+    op1_exact_topk, op2_line_dedup, op4_ann, op5_best_fit_packing, op6_byte_bpe, op7_sharding, op8_url_filters,
     op9_quality, op10_simhash)}
 
 
