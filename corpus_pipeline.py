@@ -12,10 +12,22 @@ import uuid
 import public_tokenizers
 
 from regstat.deploy import ship_package
-from regstat.llm import packing, simhash
+from regstat.llm import linededup, packing, quality, simhash
 from regstat.llm.common import shared_dir, table
 
 
+def quality_filter(spark, docs, sf_dir):
+    """Documents whose quality score is below the threshold go."""
+    ship_package(spark)
+    return quality.keep_good(docs, table(spark, sf_dir, "labels"))
+
+
+def line_dedup(spark, docs, sf_dir):
+    """Lines with an earlier match go, and documents that lose all their lines."""
+    ship_package(spark)
+    return linededup.drop_lines(docs)
+
+
 def near_dedup(spark, docs, sf_dir):
     """One document of each near-duplicate component stays."""
     ship_package(spark)
@@ -29,12 +41,14 @@ def pack(spark, docs, sf_dir):
 
 
 STAGES = [
+    ("quality_classifier", quality_filter),
+    ("line_dedup", line_dedup),
     ("simhash_near_dedup", near_dedup),
     ("best_fit_packing", pack),
 ]
 
 #: Compression, set similarity, fingerprints and tokenisers are not SQL; the
-#: pipeline is tested against a brute-force version of its stages.
+#: stages are tested against brute-force versions.
 ORACLE_SQL = None
 
 

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from regstat.deploy import ship_package
-from regstat.llm import ann, bpe, linededup, packing, quality, sharding, simhash, topk, url_filter
+from regstat.llm import ann, bpe, htmltext, linededup, packing, quality, sharding, simhash, topk, url_filter
 from regstat.llm.common import table
 
 
@@ -18,6 +18,10 @@ def op2_line_dedup(spark, sf_dir):
     return linededup.matched_lines(table(spark, sf_dir, "documents"))
 
 
+def op3_html_text(spark, sf_dir):
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op4_ann(spark, sf_dir):
     return ann.search_embeddings(table(spark, sf_dir, "embeddings"))
 
@@ -52,7 +56,7 @@ def op10_simhash(spark, sf_dir):
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_exact_topk, op2_line_dedup, op4_ann, op5_best_fit_packing, op6_byte_bpe, op7_sharding, op8_url_filters,
+    op1_exact_topk, op2_line_dedup, op3_html_text, op4_ann, op5_best_fit_packing, op6_byte_bpe, op7_sharding, op8_url_filters,
     op9_quality, op10_simhash)}
 
 
