@@ -11,18 +11,20 @@ document id, then line number) is removed. Lines of equal sets are one class.
    bounded size by word; words with very many postings are cut into blocks,
    each pair of blocks a group of its own.
 3. In a part, the classes under a word are compared pair by pair with the
-   length filter, the positional filter and a parity bitmap (differing bits
-   are differing words, so it rejects safely). A class keeps its ``keep``
-   nearest earlier candidates per word and whether there were more.
+   length filter, the positional filter and two parity bitmaps of 128 and 64
+   bits (every differing bit is a differing word, so they reject safely). A
+   class keeps its nearest earlier candidates per word (``keep``; four times
+   as many if it has over ``LONG`` words) and whether there were more.
 4. Verification compares the words themselves: first each class's nearest
    candidate, then the other kept ones. Classes without a match that had
-   more candidates go round again with more kept, so no link is lost.
+   more candidates go round again with all of them, so no link is lost.
 5. Every line is removed that is a later line of its class or whose class
    has a verified earlier match.
 """
 
 from __future__ import annotations
 
+from array import array
 from collections import Counter
 from itertools import chain
 
@@ -39,8 +41,9 @@ from regstat.llm.wordcache import blocks
 
 NUM, DEN = 4, 5
 BUCKETS = 1 << 17          # of the word counts
-BLOOM_WORDS = 1 << 17      # 64-bit words of the filter of wanted classes
-PART_POSTINGS = 1_500_000  # postings of a part, about
+BLOOM_WORDS = 1 << 17      # 64-bit words of the filter of wanted lines
+PART_POSTINGS = 500_000    # postings of a part, about
+LONG = 160
 HOT = 1_000_000            # postings of a word in one group at most, about
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
@@ -105,34 +108,41 @@ def line_sets(text: str | None, ids: Ids):
 
 
 def class_of(numbers: list[int]) -> int:
-    return xxhash.xxh3_64_intdigest(np.array(numbers, "<i8").tobytes()) - (1 << 63)
+    return xxhash.xxh3_64_intdigest(array("q", numbers).tobytes()) - (1 << 63)
 
 
-PACKED = np.dtype([("g", "<i8"), ("cls", "<i8"), ("doc", "<i8"), ("b", "<u8"), ("line", "<i4"),
-                   ("n", "<i4"), ("pos", "<i4"), ("side", "i1")])
+PACKED = np.dtype([("g", "<i8"), ("cls", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("b2", "<u8"),
+                   ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "i1")])
+LINE = np.dtype([("cls", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("null", "i1")])
 
 
 def _postings(lines: dict, parts: int):
-    """Packed postings by part of distinct lines {class: [doc, line, numbers]}."""
+    """Packed postings of distinct lines {class: [doc, line, numbers]}, their
+    parts, and per line the part of its first posting."""
     cls = np.fromiter(lines, np.int64, len(lines))
     doc = np.array([v[0] for v in lines.values()], np.int64)
     line = np.array([v[1] for v in lines.values()], np.int32)
     n = np.array([len(v[2]) for v in lines.values()], np.int64)
     flat = np.fromiter(chain.from_iterable(v[2] for v in lines.values()), np.int64, int(n.sum()))
     start = np.cumsum(n) - n
-    parity = np.bitwise_xor.reduceat(np.uint64(1) << (flat & 63).astype(np.uint64), start)
+    bit = np.uint64(1) << (flat & 63).astype(np.uint64)
+    second = (flat & 64).astype(bool)
+    b0 = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bit), start)
+    b1 = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), start)
+    b2 = np.bitwise_xor.reduceat(np.uint64(1) << (flat >> 7 & 63).astype(np.uint64), start)
     prefix = n - -(-NUM * n // DEN) + 1
     row = np.repeat(np.arange(len(n)), prefix)
     pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
     word = flat[start[row] + pos]
     out = np.empty(len(row), PACKED)
     out["g"], out["cls"], out["doc"], out["line"] = word, cls[row], doc[row], line[row]
-    out["n"], out["pos"], out["b"], out["side"] = n[row], pos, parity[row], 2
+    out["n"], out["pos"], out["side"] = n[row], pos, 2
+    out["b0"], out["b1"], out["b2"] = b0[row], b1[row], b2[row]
     # words with very many postings: block pairs (i, j), on group keys of their own
     rarity = word >> 53
     hot = np.flatnonzero(rarity > int(16 * np.log2(HOT)))
     if len(hot):
-        more = []
+        more, of = [], []
         for i in hot.tolist():
             m = int(2 ** (int(rarity[i]) / 16) // HOT) + 1
             own = int(out["cls"][i]) % m
@@ -142,139 +152,215 @@ def _postings(lines: dict, parts: int):
                 r["g"] = xxhash.xxh3_64_intdigest(f"{int(word[i])}/{lo}/{hi}".encode()) - (1 << 63)
                 r["side"] = 2 if lo == hi else int(own == hi)
                 more.append(r)
+                of.append(row[i])
         keep = np.ones(len(out), bool)
         keep[hot] = False
-        out = np.concatenate([out[keep], *more])
+        out, row = np.concatenate([out[keep], *more]), np.concatenate([row[keep], of])
     part = (out["g"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
-    order = np.argsort(part, kind="stable")
-    edges = np.searchsorted(part[order], np.arange(parts + 1))
-    for p in range(parts):
-        if edges[p] < edges[p + 1]:
-            yield p, out[order[edges[p]:edges[p + 1]]].tobytes()
-
-
-def _compare(rows: np.ndarray, keep: int):
-    """Candidates of one part: arrays (y, x, dist, count) of row numbers, the
-    ``keep`` nearest earlier rows of every row, and the sorted rows."""
-    order = np.lexsort((rows["line"], rows["doc"], rows["side"], rows["cls"], rows["g"]))
-    rows = rows[order]
+    part = part.astype(np.int64)
+    home = np.zeros(len(n), np.int64)
+    first = (out["pos"] == 0) & (out["side"] == 2)
+    home[row[first]] = part[first]
+    return out, part, home
+
+
+def _by_part(rows: np.ndarray, part: np.ndarray, parts: int) -> list[bytes]:
+    rows = rows[np.argsort(part, kind="stable")]
+    edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
+    return [rows[edges[p]:edges[p + 1]].tobytes() for p in range(parts)]
+
+
+def _compare(rows: np.ndarray, keep: int, only: np.ndarray | None = None):
+    """Candidates of one part: the distinct rows in order, and arrays y, x
+    (row numbers), dist, more: the nearest earlier rows of every row, or all
+    of those rows whose class is in the filter ``only``."""
+    col = {c: np.ascontiguousarray(rows[c]) for c in PACKED.names}
+
+    def take(at):
+        for c in col:
+            col[c] = col[c][at]
+
+    take(np.lexsort((col["line"], col["doc"], col["cls"], col["g"])))
     first = np.ones(len(rows), bool)   # copies of a class under a word: the earliest line
-    first[1:] = (rows["g"][1:] != rows["g"][:-1]) | (rows["cls"][1:] != rows["cls"][:-1])
-    rows = rows[first]
-    rows = rows[np.lexsort((rows["cls"], rows["line"], rows["doc"], rows["g"]))]
-    g, n, pos, b, side = (np.ascontiguousarray(rows[c]) for c in ("g", "n", "pos", "b", "side"))
-    n, pos = n.astype(np.int64), pos.astype(np.int64)
-    size = len(rows)
-    near = np.full((keep, size), 1 << 30, np.int64)
-    who = np.full((keep, size), -1, np.int64)
+    first[1:] = (col["g"][1:] != col["g"][:-1]) | (col["cls"][1:] != col["cls"][:-1])
+    take(first)
+    take(np.lexsort((col["cls"], col["line"], col["doc"], col["g"])))
+    g, b0, b1, b2, side = (col[c] for c in ("g", "b0", "b1", "b2", "side"))
+    n = col["n"].astype(np.int64)
+    left = n - col["pos"]              # words from the shared one on
+    size = len(g)
+    long = np.flatnonzero(n > LONG)
+    slot = np.full(size, -1, np.int64)
+    slot[long] = np.arange(len(long))
     count = np.zeros(size, np.int64)
+
+    def table(k, m):
+        return np.full((k, m), 1 << 20, np.int32), np.full((k, m), -1, np.int32)
+
+    short_best, long_best = table(keep, size), table(4 * keep, len(long))
+    asked, every = None, []
+    if only is not None:
+        h = col["cls"].view(np.uint64) % np.uint64(64 * BLOOM_WORDS)
+        asked = (only[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+    def put(best, ys, xs, dist):       # every y once per shift
+        near, who = best
+        for k in range(len(near)):
+            old, was = near[k, ys], who[k, ys]
+            better = dist <= old
+            near[k, ys], dist = np.where(better, dist, old), np.where(better, old, dist)
+            who[k, ys], xs = np.where(better, xs, was), np.where(better, was, xs)
+
     x, shift = np.arange(size - 1), 1
     while len(x):
         x = x[x + shift < size]
         x = x[g[x] == g[x + shift]]
         y = x + shift
-        nx, ny = n[x], n[y]
-        need = -(-NUM * (nx + ny) // (NUM + DEN))
-        ok = DEN * np.minimum(nx, ny) >= NUM * np.maximum(nx, ny)
-        ok &= 1 + np.minimum(nx - pos[x], ny - pos[y]) - 1 >= need
+        both, small, large = n[x] + n[y], np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        need = -(-NUM * both // (NUM + DEN))
+        ok = (DEN * small >= NUM * large) & (np.minimum(left[x], left[y]) >= need)
         ok &= (side[x] == 2) | (side[x] != side[y])
         at = np.flatnonzero(ok)
-        dist = np.bitwise_count(b[x[at]] ^ b[y[at]]).astype(np.int64)
-        fine = dist <= (nx + ny - 2 * need)[at]
-        at, dist = at[fine], dist[fine]
-        xs, ys = x[at], y[at]          # every y once per shift
-        count[ys] += 1
-        for k in range(keep):
-            better = dist <= near[k, ys]
-            near[k, ys], dist = np.where(better, dist, near[k, ys]), np.where(better, near[k, ys], dist)
-            who[k, ys], xs = np.where(better, xs, who[k, ys]), np.where(better, who[k, ys], xs)
+        dist = (np.bitwise_count(b0[x[at]] ^ b0[y[at]]).astype(np.int32)
+                + np.bitwise_count(b1[x[at]] ^ b1[y[at]]))
+        differ = (both - 2 * need)[at]
+        fine = (dist <= differ) & (np.bitwise_count(b2[x[at]] ^ b2[y[at]]) <= differ)
+        at, dist = at[fine], dist[fine].astype(np.int32)
+        xs, ys = x[at].astype(np.int32), y[at]
         shift += 1
-    ks, ys = np.nonzero(who >= 0)
-    return rows, ys, who[ks, ys], near[ks, ys], count
-
-
-def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int) -> DataFrame:
-    """One written table: classes (y, doc, line, n; x null) and candidates
-    (y, x, dist, more)."""
+        if asked is not None:
+            some = asked[ys]
+            every.append((ys[some], xs[some], dist[some]))
+            continue
+        count[ys] += 1
+        is_long = slot[ys] >= 0
+        put(short_best, ys[~is_long], xs[~is_long], dist[~is_long])
+        if is_long.any():
+            put(long_best, slot[ys[is_long]], xs[is_long], dist[is_long])
+    if asked is not None:
+        y, x, dist = (np.concatenate(c) if every else np.zeros(0, np.int64) for c in (zip(*every) if every else [()] * 3))
+        return col, y, x, dist, np.zeros(len(y), bool)
+    k1, y1 = np.nonzero(short_best[1] >= 0)
+    k2, y2 = np.nonzero(long_best[1] >= 0)
+    y = np.concatenate([y1, long[y2]])
+    x = np.concatenate([short_best[1][k1, y1], long_best[1][k2, y2]])
+    dist = np.concatenate([short_best[0][k1, y1], long_best[0][k2, y2]])
+    return col, y, x, dist, count[y] > np.where(n[y] > LONG, 4 * keep, keep)
+
+
+def _bits(rows: DataFrame, hashes) -> np.ndarray:
+    """A filter of fixed size with a bit for every row's hash."""
+    def fill(batches):
+        bits = np.zeros(BLOOM_WORDS, np.uint64)
+        for batch in batches:
+            h = hashes(batch)
+            np.bitwise_or.at(bits, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["w", "bits"])
+
+    out = np.zeros(BLOOM_WORDS, np.uint64)
+    for r in (rows.mapInArrow(fill, "w long, bits long").groupBy("w")
+              .agg(F.expr("bit_or(bits)").alias("bits")).collect()):  # at most BLOOM_WORDS rows
+        out[r["w"]] = r["bits"] & ((1 << 64) - 1)
+    return out
+
+
+def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
+               only: np.ndarray | None = None) -> DataFrame:
+    """One written table: every line (y, doc, line, n, later, no_id; x null)
+    and the candidates (y, doc, line; x, x_doc, x_line, dist, more)."""
     parts = max(1, words // 4 // PART_POSTINGS + 1)
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
+    sc = docs.sparkSession.sparkContext
+    shared, asked = sc.broadcast(counts), sc.broadcast(only)
 
     def post(batches):
         ids = Ids(shared.value)
         for batch in batches:
             doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
             for a, z in blocks(texts, 6_000_000):
-                lines: dict = {}
-                for d, text in zip(doc_ids[a:z], texts[a:z]):
-                    d = LAST if d is None else d
+                lines: dict = {}       # class -> [doc, line, numbers, index]
+                every = []
+                for doc_id, text in zip(doc_ids[a:z], texts[a:z]):
+                    d = LAST if doc_id is None else doc_id
                     for k, numbers in line_sets(text, ids):
                         c = class_of(numbers)
-                        if c not in lines or (d, k) < (lines[c][0], lines[c][1]):
-                            lines[c] = (d, k, numbers)
-                if lines:
-                    part, data = zip(*_postings(lines, parts))
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(part, pa.int32()), pa.array(data, pa.binary())], ["part", "data"])
+                        own = lines.get(c)
+                        if own is None:
+                            own = lines[c] = [d, k, numbers, len(lines)]
+                        elif d < own[0] or (d == own[0] and k < own[1]):
+                            own[0], own[1] = d, k
+                        every.append((c, d, k, doc_id is None, own[3]))
+                if not lines:
+                    continue
+                rows, part, home = _postings(lines, parts)
+                said = np.empty(len(every), LINE)
+                *fields, index = zip(*every)
+                for c, values in zip(LINE.names, fields):
+                    said[c] = values
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.arange(parts, dtype=np.int32)),
+                     pa.array(_by_part(rows, part, parts), pa.binary()),
+                     pa.array(_by_part(said, home[np.array(index)], parts), pa.binary())],
+                    ["part", "data", "said"])
 
     def join(t: pa.Table) -> pa.Table:
-        rows = np.concatenate([np.frombuffer(d.as_buffer(), PACKED) for d in t.column("data")])
-        rows, y, x, dist, count = _compare(rows, keep)
-        own = np.flatnonzero((rows["pos"] == 0) & (rows["side"] == 2))
-        none = pa.nulls(len(own), pa.int64())
-        col = lambda a: pa.array(np.ascontiguousarray(a).astype(np.int64))
+        def unpack(name, kind):
+            return np.concatenate([np.frombuffer(d.as_buffer(), kind) for d in t.column(name)])
+
+        col, y, x, dist, more = _compare(unpack("data", PACKED), keep, asked.value)
+        said = unpack("said", LINE)
+        own = np.flatnonzero((col["pos"] == 0) & (col["side"] == 2))
+        own = own[np.argsort(col["cls"][own])]
+        at = own[np.searchsorted(col["cls"][own], said["cls"])] if len(own) else own
+        later = (said["doc"] > col["doc"][at]) | ((said["doc"] == col["doc"][at]) & (said["line"] > col["line"][at]))
+        big = lambda v: pa.array(np.ascontiguousarray(v).astype(np.int64))
         return pa.concat_tables([
-            pa.table({"y": col(rows["cls"][own]), "doc": col(rows["doc"][own]),
-                      "line": col(rows["line"][own]), "x": none, "dist": none,
-                      "more": pa.nulls(len(own), pa.bool_())}),
-            pa.table({"y": col(rows["cls"][y]), "doc": col(rows["doc"][x]),
-                      "line": col(rows["line"][x]), "x": col(rows["cls"][x]), "dist": col(dist),
-                      "more": pa.array(count[y] > keep)})])
-
-    return written(docs.mapInArrow(post, "part int, data binary").groupBy("part").applyInArrow(
-        join, "y long, doc long, line long, x long, dist long, more boolean"), "candidates")
-
-
-def all_lines(docs: DataFrame, counts: np.ndarray, wanted: DataFrame | None) -> DataFrame:
-    """doc_id, line_no, cls, n of every line with words, written; text too
-    (once per block) for classes in the filter of ``wanted`` (y)."""
+            pa.table({"y": big(said["cls"]), "doc": big(said["doc"]), "line": big(said["line"]),
+                      "n": big(col["n"][at]), "later": pa.array(later),
+                      "no_id": pa.array(said["null"].astype(bool))}),
+            pa.table({"y": big(col["cls"][y]), "doc": big(col["doc"][y]), "line": big(col["line"][y]),
+                      "x": big(col["cls"][x]), "x_doc": big(col["doc"][x]), "x_line": big(col["line"][x]),
+                      "dist": big(dist), "more": pa.array(more)})], promote_options="default").select(
+            ["y", "doc", "line", "n", "later", "no_id", "x", "x_doc", "x_line", "dist", "more"])
+
+    return written(docs.mapInArrow(post, "part int, data binary, said binary").groupBy("part").applyInArrow(
+        join, "y long, doc long, line long, n long, later boolean, no_id boolean, "
+              "x long, x_doc long, x_line long, dist long, more boolean"), "candidates")
+
+
+def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """A hash of a line's place, for the filter of wanted lines."""
+    h = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    h ^= h >> np.uint64(29)
+    h *= np.uint64(0xBF58476D1CE4E5B9)
+    return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
+
+
+def texts_of(docs: DataFrame, counts: np.ndarray, wanted: DataFrame) -> DataFrame:
+    """cls, text of the lines at the places ``wanted`` (doc, line): a filter
+    of fixed size with a bit per place is broadcast, whatever hits it is
+    looked up by its class."""
     sc = docs.sparkSession.sparkContext
-    shared, bits = sc.broadcast(counts), np.zeros(BLOOM_WORDS, np.uint64)
-    if wanted is not None:
-        got = (wanted.select(F.pmod(F.shiftrightunsigned("y", 6), F.lit(BLOOM_WORDS)).alias("w"),
-                             F.expr("shiftleft(1L, cast(y & 63 as int))").alias("bit"))
-               .groupBy("w").agg(F.expr("bit_or(bit)").alias("bits")).collect())
-        for r in got:  # at most BLOOM_WORDS rows
-            bits[r["w"]] = r["bits"] & ((1 << 64) - 1)
-    bloom = sc.broadcast(bits)
+
+    bits = _bits(wanted, lambda b: _place(b.column("doc").to_numpy(), b.column("line").to_numpy()))
+    shared, bloom = sc.broadcast(counts), sc.broadcast(bits)
 
     def run(batches):
-        ids, want = Ids(shared.value), bloom.value.tolist()
+        ids, bits = Ids(shared.value), bloom.value
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, z in blocks(texts, 6_000_000):
-                row, line, cls, n, said, seen = [], [], [], [], [], set()
-                for i in range(a, z):
-                    own = None
-                    for k, numbers in line_sets(texts[i], ids):
-                        c = class_of(numbers)
-                        text = None
-                        if c not in seen and want[((c & (1 << 64) - 1) >> 6) % BLOOM_WORDS] >> (c & 63) & 1:
-                            seen.add(c)
-                            own = own or texts[i].split("\n")
-                            text = own[k]
-                        row.append(i)
-                        line.append(k)
-                        cls.append(c)
-                        n.append(len(numbers))
-                        said.append(text)
-                yield pa.RecordBatch.from_arrays(
-                    [doc_ids.take(pa.array(row, pa.int64())), pa.array(line, pa.int32()),
-                     pa.array(cls, pa.int64()), pa.array(n, pa.int32()), pa.array(said, pa.string())],
-                    ["doc_id", "line_no", "cls", "n", "text"])
+            cls, said = [], []
+            for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
+                lines = (t.as_py() or "").split("\n")
+                h = _place(np.array([LAST if d is None else d], np.int64), np.arange(len(lines)))
+                hit = bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
+                for k in np.flatnonzero(hit).tolist():
+                    for _, numbers in line_sets(lines[k], ids):
+                        cls.append(class_of(numbers))
+                        said.append(lines[k])
+            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(said, pa.string())],
+                                             ["cls", "text"])
 
-    kind = docs.schema["doc_id"].dataType.simpleString()
-    return written(docs.mapInArrow(run, f"doc_id {kind}, line_no int, cls long, n int, text string"),
-                   "lines")
+    return written(docs.mapInArrow(run, "cls long, text string").dropDuplicates(["cls"]), "texts")
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
@@ -302,36 +388,36 @@ def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     counts, words = word_counts(docs)
-    found, lines, matches = None, None, None
+    lines, matches, open_, only = None, None, None, None
     while True:
-        table = candidates(docs, counts, words, keep)
-        classes = table.filter("x is null")
+        table = candidates(docs, counts, words, keep, only)
+        lines = table.filter("x is null")
         pairs = table.filter("x is not null")
-        if found is not None:
-            pairs = pairs.join(found, "y", "left_semi")
-        wanted = pairs.select("y").unionByName(pairs.select(F.col("x").alias("y")))
-        lines = all_lines(docs, counts, wanted)
-        texts = lines.filter("text is not null").select("cls", "text").dropDuplicates(["cls"])
-        best = (pairs.groupBy("y").agg(F.min(F.struct("dist", "doc", "line", "x")).alias("b"))
-                .select("y", "b.x"))
-        good = verified(best, texts)
-        rest = (pairs.select("y", "x", "more").join(good, "y", "left_anti")
-                .groupBy("y", "x").agg(F.max("more").alias("more")).join(best, ["y", "x"], "left_anti"))
-        others = verified(rest.select("y", "x"), texts)
-        good = good.unionByName(others.groupBy("y").agg(F.min("x").alias("x")))
+        if open_ is not None:
+            pairs = pairs.join(open_, "y", "left_semi")
+        best = written(pairs.groupBy("y").agg(
+            F.min(F.struct("dist", "x_doc", "x_line", "x", "doc", "line")).alias("b")).select("y", "b.*"), "best")
+        places = [best.select("doc", "line"), best.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))]
+        texts = texts_of(docs, counts, places[0].unionByName(places[1]))
+        good = verified(best.select("y", "x"), texts)
+        rest = written(pairs.join(good, "y", "left_anti").groupBy("y", "x").agg(
+            F.max("more").alias("more"), *[F.min(c).alias(c) for c in ("doc", "line", "x_doc", "x_line")]), "rest")
+        if not rest.isEmpty():
+            others = rest.join(best.select("y", "x"), ["y", "x"], "left_anti")
+            places = [rest.select("doc", "line"), rest.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))]
+            texts = texts_of(docs, counts, places[0].unionByName(places[1]))
+            good = good.unionByName(verified(others.select("y", "x"), texts).groupBy("y").agg(F.min("x").alias("x")))
         matches = good if matches is None else matches.unionByName(good)
-        found = written(pairs.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
-        if found.isEmpty():
+        open_ = written(rest.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
+        if open_.isEmpty():
             break
-        keep *= 16
-    firsts = classes.select("y", "doc", "line").join(
-        matches.select("y", F.col("x").alias("match_id")), "y", "left")
-    at = F.coalesce(F.col("doc_id").cast("long"), F.lit(LAST))
-    later = (at > F.col("doc")) | ((at == F.col("doc")) & (F.col("line_no") > F.col("line")))
-    return (lines.select("doc_id", "line_no", F.col("n").alias("n_words"), F.col("cls").alias("class_id"))
-            .join(firsts, F.col("class_id") == F.col("y"))
-            .select("doc_id", "line_no", "n_words", "class_id", "match_id",
-                    (later | F.col("match_id").isNotNull()).alias("removed")))
+        only = _bits(open_, lambda b: b.column("y").to_numpy().view(np.uint64) % np.uint64(64 * BLOOM_WORDS))
+    kind = docs.schema["doc_id"].dataType
+    return (lines.join(matches.select("y", F.col("x").alias("match_id")), "y", "left")
+            .select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"),
+                    F.col("line").cast("int").alias("line_no"), F.col("n").cast("int").alias("n_words"),
+                    F.col("y").alias("class_id"), "match_id",
+                    (F.col("later") | F.col("match_id").isNotNull()).alias("removed")))
 
 
 def drop_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
