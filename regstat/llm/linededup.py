@@ -200,7 +200,7 @@ def _compare(rows: np.ndarray, keep: int, only: np.ndarray | None = None):
     short_best, long_best = table(keep, size), table(4 * keep, len(long))
     asked, every = None, []
     if only is not None:
-        h = col["cls"].view(np.uint64) % np.uint64(64 * BLOOM_WORDS)
+        h = _hash(col["cls"])
         asked = (only[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
 
     def put(best, ys, xs, dist):       # every y once per shift
@@ -248,6 +248,12 @@ def _compare(rows: np.ndarray, keep: int, only: np.ndarray | None = None):
     return col, y, x, dist, count[y] > np.where(n[y] > LONG, 4 * keep, keep)
 
 
+def _hash(numbers: np.ndarray) -> np.ndarray:
+    """Place of a class or a group in a filter."""
+    h = np.ascontiguousarray(numbers).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
+
+
 def _bits(rows: DataFrame, hashes) -> np.ndarray:
     """A filter of fixed size with a bit for every row's hash."""
     def fill(batches):
@@ -266,12 +272,15 @@ def _bits(rows: DataFrame, hashes) -> np.ndarray:
 
 
 def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
-               only: np.ndarray | None = None) -> DataFrame:
+               only: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
     """One written table: every line (y, doc, line, n, later, no_id; x null)
-    and the candidates (y, doc, line; x, x_doc, x_line, dist, more)."""
+    and the candidates (y, doc, line; x, x_doc, x_line, dist, more, g: the
+    word's group). With ``only``, filters of classes and groups, all candidates
+    of those classes in those groups, and no lines."""
     parts = max(1, words // 4 // PART_POSTINGS + 1)
     sc = docs.sparkSession.sparkContext
-    shared, asked = sc.broadcast(counts), sc.broadcast(only)
+    shared = sc.broadcast(counts)
+    asked, groups = (sc.broadcast(f) for f in only or (None, None))
 
     def post(batches):
         ids = Ids(shared.value)
@@ -293,14 +302,20 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
                 if not lines:
                     continue
                 rows, part, home = _postings(lines, parts)
-                said = np.empty(len(every), LINE)
-                *fields, index = zip(*every)
-                for c, values in zip(LINE.names, fields):
-                    said[c] = values
+                if groups.value is not None:
+                    h = _hash(rows["g"])
+                    some = (groups.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))
+                            & np.uint64(1)).astype(bool)
+                    rows, part, every, home = rows[some], part[some], every[:0], home[:0]
+                said, index = np.empty(len(every), LINE), ()
+                if every:
+                    *fields, index = zip(*every)
+                    for c, values in zip(LINE.names, fields):
+                        said[c] = values
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(parts, dtype=np.int32)),
                      pa.array(_by_part(rows, part, parts), pa.binary()),
-                     pa.array(_by_part(said, home[np.array(index)], parts), pa.binary())],
+                     pa.array(_by_part(said, home[np.array(index, np.int64)], parts), pa.binary())],
                     ["part", "data", "said"])
 
     def join(t: pa.Table) -> pa.Table:
@@ -320,12 +335,13 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
                       "no_id": pa.array(said["null"].astype(bool))}),
             pa.table({"y": big(col["cls"][y]), "doc": big(col["doc"][y]), "line": big(col["line"][y]),
                       "x": big(col["cls"][x]), "x_doc": big(col["doc"][x]), "x_line": big(col["line"][x]),
-                      "dist": big(dist), "more": pa.array(more)})], promote_options="default").select(
-            ["y", "doc", "line", "n", "later", "no_id", "x", "x_doc", "x_line", "dist", "more"])
+                      "dist": big(dist), "more": pa.array(more), "g": big(col["g"][y])})],
+            promote_options="default").select(
+            ["y", "doc", "line", "n", "later", "no_id", "x", "x_doc", "x_line", "dist", "more", "g"])
 
     return written(docs.mapInArrow(post, "part int, data binary, said binary").groupBy("part").applyInArrow(
         join, "y long, doc long, line long, n long, later boolean, no_id boolean, "
-              "x long, x_doc long, x_line long, dist long, more boolean"), "candidates")
+              "x long, x_doc long, x_line long, dist long, more boolean, g long"), "candidates")
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -391,7 +407,7 @@ def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
     lines, matches, open_, only = None, None, None, None
     while True:
         table = candidates(docs, counts, words, keep, only)
-        lines = table.filter("x is null")
+        lines = table.filter("x is null") if lines is None else lines
         pairs = table.filter("x is not null")
         if open_ is not None:
             pairs = pairs.join(open_, "y", "left_semi")
@@ -411,7 +427,9 @@ def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
         open_ = written(rest.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
         if open_.isEmpty():
             break
-        only = _bits(open_, lambda b: b.column("y").to_numpy().view(np.uint64) % np.uint64(64 * BLOOM_WORDS))
+        groups = pairs.filter("more").join(open_, "y", "left_semi")
+        only = (_bits(open_, lambda b: _hash(b.column("y").to_numpy())),
+                _bits(groups.select("g"), lambda b: _hash(b.column("g").to_numpy())))
     kind = docs.schema["doc_id"].dataType
     return (lines.join(matches.select("y", F.col("x").alias("match_id")), "y", "left")
             .select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"),
