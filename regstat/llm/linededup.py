@@ -42,7 +42,7 @@ from regstat.llm.wordcache import blocks
 NUM, DEN = 4, 5
 BUCKETS = 1 << 17          # of the word counts
 BLOOM_WORDS = 1 << 17      # 64-bit words of the filter of wanted lines
-PART_POSTINGS = 500_000    # postings of a part, about
+PART_POSTINGS = 250_000    # postings of a part, about
 LONG = 160
 HOT = 1_000_000            # postings of a word in one group at most, about
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
@@ -55,7 +55,7 @@ def _bucket(h: int) -> int:
 class Ids(dict):
     """word -> number whose order is rarity: rarity class, then 53 hash bits."""
 
-    def __init__(self, counts: np.ndarray, limit: int = 600_000):
+    def __init__(self, counts: np.ndarray, limit: int = 250_000):
         super().__init__()
         self.rarity = (np.log2(counts + 1.0) * 16).astype(np.int64).tolist()
         self.limit = limit
@@ -83,7 +83,7 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for t in batch.column("text"):
                 words.update((t.as_py() or "").split())
-                if len(words) > 400_000:
+                if len(words) > 250_000:
                     add(words)
                     words = Counter()
         add(words)
@@ -285,11 +285,11 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
     def post(batches):
         ids = Ids(shared.value)
         for batch in batches:
-            doc_ids, texts = batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()
-            for a, z in blocks(texts, 6_000_000):
+            for a, z in blocks(batch.column("text"), 3_000_000):
+                doc_ids, texts = (batch.column(c).slice(a, z - a).to_pylist() for c in ("doc_id", "text"))
                 lines: dict = {}       # class -> [doc, line, numbers, index]
                 every = []
-                for doc_id, text in zip(doc_ids[a:z], texts[a:z]):
+                for doc_id, text in zip(doc_ids, texts):
                     d = LAST if doc_id is None else doc_id
                     for k, numbers in line_sets(text, ids):
                         c = class_of(numbers)

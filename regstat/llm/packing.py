@@ -127,11 +127,12 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
     def run(batches):
         encoder = encoder_for(model.value)
         for batch in batches:
-            ids, texts = batch.column("doc_id"), batch.column("text").to_pylist()
-            for a, b in blocks(texts):
+            ids = batch.column("doc_id")
+            for a, b in blocks(batch.column("text")):
+                texts = batch.column("text").slice(a, b - a).to_pylist()
                 row, piece, start, length, crc = [], [], [], [], []
-                for i in range(a, b):
-                    data = encoder.encode(texts[i] or "") + end
+                for i, text in enumerate(texts, a):
+                    data = encoder.encode(text or "") + end
                     view = memoryview(data)
                     for k, (s, n) in enumerate(cut_pieces(len(data) // 4, capacity)):
                         row.append(i)

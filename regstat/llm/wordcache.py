@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import pyarrow.compute as pc
+
 
 #: White space other than the space, among ASCII and beyond (str.isspace).
 ASCII_SPACE = "\n\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
@@ -29,12 +31,13 @@ def words_of(text: str) -> list[str] | None:
     return text.split(" ")
 
 
-def blocks(texts: list, max_chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
-    """Ranges of rows whose texts have about ``max_chars`` together (one row
-    at least), so that memory does not depend on the Arrow batch."""
+def blocks(texts, max_chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
+    """Ranges of rows of an Arrow string column whose texts have about
+    ``max_chars`` bytes together (one row at least), so that memory does not
+    depend on the Arrow batch."""
     start, held = 0, 0
-    for i, t in enumerate(texts):
-        n = len(t) if t else 0
+    for i, n in enumerate(pc.binary_length(texts).to_pylist()):
+        n = n or 0
         if i > start and held + n > max_chars:
             yield start, i
             start, held = i, 0
