@@ -103,11 +103,11 @@ def token_key(kind: str, name: str, words: tuple, text: str) -> int | None:
 
 
 def occurrences(pages: DataFrame) -> DataFrame:
-    """_host, token, n (pages), s1, s2 (hashes of the vector), at (sum of
-    first positions), times; token 0 counts the host's pages."""
+    """_host (64 hash bits), token, n (pages), s1, s2 (hashes of the vector),
+    at (sum of first positions); token 0 counts the host's pages."""
     def run(batches):
         for batch in batches:
-            hosts, row, key, count, first, mark = [], [], [], [], [], []
+            row, key, first, mark = [], [], [], []
             for i, t in enumerate(batch.column("html")):
                 seen: dict[int, list[int]] = {0: [0, 1]}
                 for at, token in enumerate(tokens(t.as_py() or "")):
@@ -122,21 +122,19 @@ def occurrences(pages: DataFrame) -> DataFrame:
                     row.append(i)
                     key.append(k)
                     first.append(at)
-                    count.append(c)
                     mark.append(xxhash.xxh64_intdigest(f"{page}:{c}") if k else 0)
             hosts = batch.column("_host").take(pa.array(row, pa.int64()))
             low = pa.array([m & 0x7FFFFFFF for m in mark], pa.int64())
             high = pa.array([m >> 33 for m in mark], pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [hosts, pa.array(key, pa.int64()), pa.array(count, pa.int64()),
-                 pa.array(first, pa.int64()), low, high],
-                ["_host", "token", "c", "at", "s1", "s2"])
+                [hosts, pa.array(key, pa.int64()), pa.array(first, pa.int64()), low, high],
+                ["_host", "token", "at", "s1", "s2"])
 
-    schema = "_host string, token long, c long, at long, s1 long, s2 long"
+    schema = "_host long, token long, at long, s1 long, s2 long"
     return (pages.select("_host", "_page", "html").mapInArrow(run, schema)
             .groupBy("_host", "token")
             .agg(F.count(F.lit(1)).alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"),
-                 F.sum("at").alias("at"), F.sum("c").alias("times")))
+                 F.sum("at").alias("at")))
 
 
 def nested(classes: list[tuple[float, float, list[tuple[float, int]]]]) -> set[int]:
@@ -169,7 +167,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_P
              .select(F.col("_host").alias("_h"), F.col("n").alias("pages")))
     common = (seen.filter("token <> 0").join(sizes, F.col("_host") == F.col("_h"))
               .filter(F.col("n") >= F.lit(support) * F.col("pages"))
-              .groupBy("_h", "n", "times", "s1", "s2")
+              .groupBy("_h", "n", "s1", "s2")
               .agg(F.collect_list(F.struct((F.col("at") / F.col("n")).alias("place"), "token")).alias("members"))
               .groupBy("_h").agg(F.collect_list(F.struct("n", "members")).alias("classes")))
 
@@ -183,7 +181,7 @@ def templates(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_P
             yield pa.RecordBatch.from_arrays([batch.column("_h"), pa.array(out, pa.list_(pa.int64()))],
                                              ["_h", "template"])
 
-    return common.mapInArrow(run, "_h string, template array<long>")
+    return common.mapInArrow(run, "_h long, template array<long>")
 
 
 def main_text(page: str, template: frozenset = frozenset()) -> str:
@@ -250,7 +248,7 @@ def extract(pages: DataFrame, support: float = SUPPORT, min_pages: int = MIN_PAG
     result. Hosts with fewer than ``min_pages`` pages have no template: their
     slots are told apart by the containers alone.
     """
-    own = pages.select("page_id", "url", "html", host_of(F.col("url")).alias("_host"),
+    own = pages.select("page_id", "url", "html", F.xxhash64(host_of(F.col("url"))).alias("_host"),
                        F.xxhash64("page_id", "url").alias("_page"))
     found = templates(own, support, min_pages)
     both = own.join(found, F.col("_host") == F.col("_h"), "left").select("page_id", "url", "html", "template")
