@@ -62,8 +62,12 @@ def lenient_int(c) -> Column:
 
 
 def lenient_number(c) -> Column:
-    """C4: numeric value of a cell, 0 when it is not a number."""
-    return F.coalesce(col_(c).try_cast("double"), F.lit(0.0))
+    """C4: numeric value of a cell, 0 when it is not a number (words such as
+    NaN or Infinity and suffixed literals such as ``1d`` are not numbers)."""
+    x = F.trim(col_(c).cast("string"))
+    plain = x.rlike(r"^[+-]?([0-9]+[.]?[0-9]*|[.][0-9]+)([eE][+-]?[0-9]+)?$")
+    value = F.when(plain, x.try_cast("double"))
+    return F.coalesce(F.when(F.abs(value) < F.lit(9.2e18), value), F.lit(0.0))
 
 
 def age_band(age, unknown: str = cfg.UNKNOWN) -> Column:

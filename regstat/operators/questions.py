@@ -137,90 +137,33 @@ def historial(turns: DataFrame) -> DataFrame:
 # ---------------------------------------------------------------------------
 # Q3: context assembly
 # ---------------------------------------------------------------------------
-MAX_CORPUS = 200_000
-
-CONTEXT_SCHEMA = T.StructType([
-    T.StructField("pregunta_id", T.LongType()), T.StructField("n_chunks", T.IntegerType()),
-    T.StructField("contexto", T.StringType())])
-
-
 def contexto_rag(questions: DataFrame, corpus: DataFrame, dim: int, k: int = cfg.TOP_K,
-                 embedder=None, text: str = "texto") -> DataFrame:
+                 embedder=None, text: str = "texto", **blocks) -> DataFrame:
     """Retrieved context per question: the texts of its top-k chunks by
-    boosted cosine (V1-V3), joined by a blank line in score order.
+    boosted cosine (V1-V3), joined by a blank line in score order, equal
+    scores by text.
 
-    The chunk corpus is bounded (regions x years x families): it is
-    size-checked and shipped to every task, and questions are embedded and
-    scored where they live (``mapInPandas``), with no shuffle. A corpus
-    above the bound goes through ``vectors.topk`` instead (corpus stays
-    partitioned, questions in bounded batches).
+    Questions and corpus stay partitioned and go through ``vectors.topk``,
+    whatever their sizes; the text itself identifies a chunk, so chunks of
+    different families that share a ``chunk_key`` stay apart. Both sides are
+    materialised once, because the blocks read them twice.
     """
-    import numpy as np
-    import pandas as pd
-
-    from regstat.operators import vectors as V
-
-    rows = corpus.select("content", "embedding", "meta_departamento", "meta_anio") \
-                 .limit(MAX_CORPUS + 1).collect()
-    if len(rows) > MAX_CORPUS:
-        return _contexto_grande(questions, corpus, dim, k, embedder, text)
-    rows.sort(key=lambda r: r["content"] or "")  # deterministic tie order
-    fn = embedder or V.hash_embed_texts
-    contents = [r["content"] for r in rows]
-    cm = (np.array([np.asarray(r["embedding"], dtype=np.float32) for r in rows]).astype(np.float64)
-          if rows else np.zeros((0, dim)))
-    cnorm = V._seq_norm(cm) if rows else np.zeros(0)
-    cdep = np.array([r["meta_departamento"] for r in rows], dtype=object)
-    cyear = np.array([np.nan if r["meta_anio"] is None else float(r["meta_anio"]) for r in rows])
-    order_ids = np.arange(len(rows))
-    # Shipped once per executor (not once per task).
-    shared = corpus.sparkSession.sparkContext.broadcast((contents, cm, cnorm, cdep, cyear, order_ids))
-
-    def run(batches):
-        contents, cm, cnorm, cdep, cyear, order_ids = shared.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            qm = np.asarray(fn(pdf[text].tolist(), dim), dtype=np.float32).astype(np.float64)
-            dot = V._seq_dot(cm, qm)  # chunks x questions
-            den = cnorm[:, None] * V._seq_norm(qm)[None, :]
-            with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.where(den == 0.0, np.nan, dot / den)
-            qdep = pdf["departamento"].to_numpy(dtype=object)
-            qyear = pdf["anio"].astype("float64").to_numpy()
-            hit_d = (qdep[None, :] != None) & (cdep[:, None] == qdep[None, :])  # noqa: E711
-            s = np.where(hit_d, s * cfg.REGION_BOOST, s)
-            hit_y = ~np.isnan(qyear)[None, :] & (cyear[:, None] == qyear[None, :])
-            s = np.where(hit_y, s * cfg.YEAR_BOOST, s)
-            ctx, n = [], []
-            for j in range(s.shape[1]):
-                col = s[:, j]
-                ok = np.flatnonzero(~np.isnan(col))
-                top = ok[np.lexsort((order_ids[ok], -col[ok]))[:k]]
-                ctx.append("\n\n".join(contents[i] for i in top))
-                n.append(int(top.size))
-            yield pd.DataFrame({"pregunta_id": pdf["pregunta_id"].astype("int64"),
-                                "n_chunks": np.array(n, dtype=np.int32), "contexto": ctx})
-
-    return questions.select(F.col("pregunta_id").cast("long").alias("pregunta_id"), text,
-                            "departamento", "anio").mapInPandas(run, CONTEXT_SCHEMA)
-
-
-def _contexto_grande(questions, corpus, dim, k, embedder, text):
-    """Large-corpus path: embed the questions, then exact top-k with the
-    corpus partitioned (``vectors.topk`` batches the questions)."""
+    from regstat.functions.sizing import materializar
     from regstat.operators import vectors as V
 
+    chunks = materializar(corpus.select(F.coalesce("content", F.lit("")).alias("content"), "embedding",
+                                        "meta_departamento", "meta_anio"))
     emb = V.embed(questions, text, dim, "q_embedding", embedder=embedder)
-    # Deterministic chunk id (stable if a lost partition is recomputed).
-    corpus = corpus.withColumn("_cid", F.xxhash64("chunk_key"))
-    q = emb.select(F.col("pregunta_id").alias("query_id"), "q_embedding",
-                   F.col("departamento").alias("q_departamento"), F.col("anio").alias("q_anio"))
-    hits = V.topk(q, corpus, k, id_col="_cid").join(corpus.select("_cid", "content"), "_cid")
-    return (hits.groupBy("query_id")
-            .agg(F.array_sort(F.collect_list(F.struct("posicion", "content"))).alias("c"))
-            .select(F.col("query_id").alias("pregunta_id"), F.size("c").cast("int").alias("n_chunks"),
-                    F.concat_ws("\n\n", F.transform("c", lambda x: x["content"])).alias("contexto")))
+    q = materializar(emb.select(F.col("pregunta_id").cast("long").alias("query_id"), "q_embedding",
+                                F.col("departamento").alias("q_departamento"), F.col("anio").alias("q_anio")))
+    hits = V.topk(q, chunks, k, id_col="content", **blocks)
+    found = (hits.groupBy("query_id")
+             .agg(F.array_sort(F.collect_list(F.struct("posicion", "content"))).alias("c"))
+             .select(F.col("query_id").alias("pregunta_id"), F.size("c").cast("int").alias("n_chunks"),
+                     F.concat_ws("\n\n", F.transform("c", lambda x: x["content"])).alias("contexto")))
+    return (q.select(F.col("query_id").alias("pregunta_id")).join(found, "pregunta_id", "left")
+            .select("pregunta_id", F.coalesce("n_chunks", F.lit(0)).alias("n_chunks"),
+                    F.coalesce("contexto", F.lit("")).alias("contexto")))
 
 
 def contexto_preguntas(questions: DataFrame, corpus: DataFrame, resumen_json: DataFrame,

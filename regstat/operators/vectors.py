@@ -27,9 +27,8 @@ from pyspark.sql import types as T
 
 from regstat import config as cfg
 from regstat.functions import columns as C
-from regstat.functions.sizing import collect_bounded
 
-MAX_QUERY_BATCH = 4096
+QUERY_BLOCK, CORPUS_BLOCK = 512, 4096
 
 
 def _fold_dot(a, b) -> F.Column:
@@ -82,94 +81,68 @@ def _seq_norm(m: np.ndarray) -> np.ndarray:
     return np.sqrt(acc)
 
 
-TOPK_SCHEMA = T.StructType([
-    T.StructField("query_id", T.LongType()), T.StructField("vec_id", T.LongType()),
-    T.StructField("score", T.DoubleType())])
+def _blocks(df: DataFrame, rows: int) -> int:
+    return max(1, -(-df.count() // rows))
 
 
 def topk(queries: DataFrame, corpus: DataFrame, k: int = cfg.TOP_K,
-         types: list | None = None, id_col: str = "vec_id", _salt: int = 0) -> DataFrame:
+         types: list | None = None, id_col: str = "vec_id",
+         query_block: int = QUERY_BLOCK, corpus_block: int = CORPUS_BLOCK) -> DataFrame:
     """V3 (+V2, F4): exact top-k chunks per query by boosted cosine.
 
     ``queries``: query_id, q_embedding, q_departamento, q_anio.
-    ``corpus``: ``id_col``, embedding, chunk_type, meta_departamento,
-    meta_anio. Result: query_id, ``id_col``, score, posicion (1..k; ties by
-    id ascending). Zero vectors are never ranked. Up to ``MAX_QUERY_BATCH``
-    queries go in one pass over the corpus; a larger query set is split
-    into hash batches; a batch that is still too large is split again with
-    a new hash salt, so every batch is within the bound (every query is
-    scored, none dropped; query ids are unique).
+    ``corpus``: ``id_col`` (any orderable type), embedding, chunk_type,
+    meta_departamento, meta_anio. Result: query_id, ``id_col``, score,
+    posicion (1..k; ties by id ascending). Zero vectors are never ranked.
+
+    One algorithm at every size: both tables are dealt by hash into blocks of
+    bounded size, every query block meets every corpus block on a key of its
+    own, a pair of blocks keeps its k best per query, and a window merges
+    them. The block sizes bound a task's memory and never change the result.
     """
-    from regstat.functions.sizing import bounded_rows
-    if bounded_rows(queries, MAX_QUERY_BATCH) is None:
-        n = queries.count()
-        batches = max(2, 2 * -(-n // MAX_QUERY_BATCH))
-        bucket = F.pmod(F.xxhash64(F.col("query_id"), F.lit(_salt)), F.lit(batches))
-        parts = [topk(queries.where(bucket == b), corpus, k, types, id_col, _salt + 1)
-                 for b in range(batches)]
-        out = parts[0]
-        for p in parts[1:]:
-            out = out.unionByName(p)
-        return out
-    return _topk_batch(queries, corpus, k, types, id_col)
-
-
-def _topk_batch(queries: DataFrame, corpus: DataFrame, k: int, types, id_col: str) -> DataFrame:
     if types:
         corpus = corpus.where(F.col("chunk_type").isin(*types))
-    rows = collect_bounded(queries.select("query_id", "q_embedding", "q_departamento", "q_anio"),
-                           MAX_QUERY_BATCH)
-    if not rows:
-        empty = T.StructType(TOPK_SCHEMA.fields + [T.StructField("posicion", T.IntegerType())])
-        out = corpus.sparkSession.createDataFrame([], empty)
-        return out.withColumnRenamed("vec_id", id_col) if id_col != "vec_id" else out
-    qid = np.array([r["query_id"] for r in rows], dtype=np.int64)
-    qm = np.array([np.asarray(r["q_embedding"], dtype=np.float32) for r in rows]).astype(np.float64)
-    qdep = np.array([r["q_departamento"] for r in rows], dtype=object)
-    qyear = np.array([np.nan if r["q_anio"] is None else float(r["q_anio"]) for r in rows])
-    qnorm = _seq_norm(qm)
-    # Shipped once per executor (not once per task).
-    shared = corpus.sparkSession.sparkContext.broadcast((qid, qm, qdep, qyear, qnorm))
-
-    def score(batches):
-        qid, qm, qdep, qyear, qnorm = shared.value
-        for pdf in batches:
-            if pdf.empty:
-                continue
-            m = np.stack(pdf["embedding"].map(lambda v: np.asarray(v, dtype=np.float32)).to_numpy()
-                         ).astype(np.float64)
-            dot = _seq_dot(m, qm)
-            den = _seq_norm(m)[:, None] * qnorm[None, :]
+    c = corpus.select(F.col(id_col).alias("vec_id"), "embedding", "meta_departamento",
+                      F.col("meta_anio").cast("int").alias("meta_anio")).where("embedding is not null")
+    q = queries.select("query_id", "q_embedding", "q_departamento", F.col("q_anio").cast("int").alias("q_anio"))
+    nq, nc = _blocks(q, query_block), _blocks(c, corpus_block)
+    left = (q.withColumn("_q", F.pmod(F.xxhash64("query_id"), F.lit(nq)).cast("int"))
+            .withColumn("_c", F.explode(F.sequence(F.lit(0), F.lit(nc - 1)))))
+    right = (c.withColumn("_c", F.pmod(F.xxhash64("vec_id", "embedding"), F.lit(nc)).cast("int"))
+             .withColumn("_q", F.explode(F.sequence(F.lit(0), F.lit(nq - 1)))))
+    schema = T.StructType([T.StructField("query_id", T.LongType()),
+                           T.StructField("vec_id", c.schema["vec_id"].dataType),
+                           T.StructField("score", T.DoubleType())])
+
+    def score(qs: pd.DataFrame, cs: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(qs) and len(cs):
+            m, qm = (np.stack([np.asarray(v, dtype=np.float32) for v in x]).astype(np.float64)
+                     for x in (cs["embedding"], qs["q_embedding"]))
+            den = _seq_norm(m)[:, None] * _seq_norm(qm)[None, :]
             with np.errstate(divide="ignore", invalid="ignore"):
-                s = np.where(den == 0.0, np.nan, dot / den)
-            dep = pdf["meta_departamento"].to_numpy(dtype=object)[:, None]
-            yr = pdf["meta_anio"].astype("float64").to_numpy()[:, None]
-            dep_hit = (qdep[None, :] != None) & (dep == qdep[None, :])  # noqa: E711
-            s = np.where(dep_hit, s * cfg.REGION_BOOST, s)
-            s = np.where(~np.isnan(qyear)[None, :] & (yr == qyear[None, :]), s * cfg.YEAR_BOOST, s)
-            ids = pdf[id_col].to_numpy(dtype=np.int64)
-            out_q, out_id, out_s = [], [], []
-            for j in range(len(qid)):
-                col = s[:, j]
-                ok = np.flatnonzero(~np.isnan(col))
-                if ok.size == 0:
-                    continue
-                order = np.lexsort((ids[ok], -col[ok]))[:k]
-                sel = ok[order]
-                out_q.append(np.full(sel.size, qid[j], dtype=np.int64))
-                out_id.append(ids[sel])
-                out_s.append(col[sel])
-            if out_q:
-                yield pd.DataFrame({"query_id": np.concatenate(out_q), "vec_id": np.concatenate(out_id),
-                                    "score": np.concatenate(out_s)})
-
-    cols = corpus.select(F.col(id_col).cast("long").alias(id_col), "embedding",
-                         "meta_departamento", F.col("meta_anio").cast("int").alias("meta_anio"))
-    partial = cols.mapInPandas(score, TOPK_SCHEMA)
+                s = np.where(den == 0.0, np.nan, _seq_dot(m, qm) / den)
+            qdep, dep = qs["q_departamento"].to_numpy(object), cs["meta_departamento"].to_numpy(object)
+            known = np.array([d is not None for d in qdep])
+            s = np.where(known[None, :] & (dep[:, None] == qdep[None, :]), s * cfg.REGION_BOOST, s)
+            qyear, year = (x.astype("float64").to_numpy() for x in (qs["q_anio"], cs["meta_anio"]))
+            s = np.where(year[:, None] == qyear[None, :], s * cfg.YEAR_BOOST, s)
+            order = np.argsort(cs["vec_id"].to_numpy(), kind="stable")
+            place = np.empty(len(order), np.int64)
+            place[order] = np.arange(len(order))
+            for j, query in enumerate(qs["query_id"]):
+                ok = np.flatnonzero(~np.isnan(s[:, j]))
+                if len(ok) > k:  # all that reach the k-th score, ties included
+                    ok = ok[s[ok, j] >= np.partition(s[ok, j], len(ok) - k)[len(ok) - k]]
+                top = ok[np.lexsort((place[ok], -s[ok, j]))[:k]]
+                out.append(pd.DataFrame({"query_id": query, "vec_id": cs["vec_id"].to_numpy()[top],
+                                         "score": s[top, j]}))
+        return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
+
+    found = left.groupBy("_q", "_c").cogroup(right.groupBy("_q", "_c")).applyInPandas(score, schema)
     w = Window.partitionBy("query_id").orderBy(F.col("score").desc(), F.col("vec_id").asc())
-    out = (partial.withColumn("posicion", F.row_number().over(w).cast("int"))
-           .where(F.col("posicion") <= k))
-    return out.withColumnRenamed("vec_id", id_col) if id_col != "vec_id" else out
+    return (found.withColumn("posicion", F.row_number().over(w).cast("int"))
+            .where(F.col("posicion") <= k).withColumnRenamed("vec_id", id_col))
 
 
 def _tokens(text: str) -> list:

@@ -55,7 +55,7 @@ def dim_fuente(spark: SparkSession) -> DataFrame:
     return df.select(F.xxhash64("nombre").alias("fuente_id"), "*")
 
 
-def fact_oncologia(valid: DataFrame) -> DataFrame:
+def fact_casos(valid: DataFrame) -> DataFrame:
     """Fact rows with hashed foreign keys (one row per accepted record)."""
     return valid.select(
         "uuid_hash",
@@ -103,7 +103,7 @@ def construir_estrella(spark: SparkSession, clean: DataFrame, poblacion: DataFra
     the dimensions come from one pass (``dimensiones``)."""
     valid = clean.where(F.col("valido"))
     return {
-        "fact_oncologia": fact_oncologia(valid),
+        "fact_casos": fact_casos(valid),
         **dimensiones(valid, params),
         "dim_fuente": dim_fuente(spark),
         "poblacion": poblacion,
@@ -120,7 +120,7 @@ def guardar_estrella(star: dict, out_dir: str) -> dict:
     for name, df in star.items():
         path = f"{out_dir.rstrip('/')}/v={version}/{name}"
         writer = df.write.mode("errorifexists")
-        if name == "fact_oncologia":
+        if name == "fact_casos":
             writer = writer.partitionBy("anio")
         writer.parquet(path)
         paths[name] = path
@@ -136,7 +136,7 @@ def vista_analitica(star: dict, checked_broadcast: bool = False) -> DataFrame:
     ``checked_broadcast=True`` adds an explicit row-count check, meant for
     persisted dimensions only (on in-job dimensions the check would cost a
     pass over the fact)."""
-    f = star["fact_oncologia"].drop("anio")
+    f = star["fact_casos"].drop("anio")
     t, g, p = star["dim_tiempo"], star["dim_geografia"].drop("ubigeo"), star["dim_paciente"]
     if checked_broadcast:
         t, g, p = (broadcast_if_small(d, MAX_DIMENSION_ROWS) for d in (t, g, p))
@@ -194,7 +194,7 @@ def conteo_tablas(clean: DataFrame, poblacion: DataFrame) -> DataFrame:
     per = g.groupBy("metrica").agg(
         F.sum("n").cast("bigint").alias("n_filas"), F.count(F.lit(1)).cast("bigint").alias("n_grupos"))
     m = F.col("metrica")
-    tabla = (F.when(m == "valido", F.lit("fact_oncologia"))
+    tabla = (F.when(m == "valido", F.lit("fact_casos"))
              .when(m == "periodos", F.lit("dim_tiempo"))
              .when(m == "geografias", F.lit("dim_geografia"))
              .when(m == "grupos_paciente", F.lit("dim_paciente")))
@@ -217,7 +217,7 @@ def integridad_referencial(star: dict) -> DataFrame:
     size) and reduced to one row per region, from which every fact check
     is derived. Collisions are counted on the dimensions themselves.
     """
-    f = star["fact_oncologia"]
+    f = star["fact_casos"]
     keys = {"tiempo_id": "dim_tiempo", "geografia_id": "dim_geografia",
             "paciente_id": "dim_paciente", "fuente_id": "dim_fuente"}
     j = f
@@ -271,7 +271,7 @@ def esquemas():
                                       _f("grupo_etario", "StringType", False)]),
         "dim_fuente": T.StructType([_f("fuente_id", "LongType", False), _f("nombre", "StringType", False),
                                     _f("rango_fechas", "StringType"), _f("nota", "StringType")]),
-        "fact_oncologia": T.StructType([_f("uuid_hash", "StringType", False), _f("tiempo_id", "LongType", False),
+        "fact_casos": T.StructType([_f("uuid_hash", "StringType", False), _f("tiempo_id", "LongType", False),
                                         _f("geografia_id", "LongType", False), _f("paciente_id", "LongType", False),
                                         _f("fuente_id", "LongType", False), _f("edad", "IntegerType"),
                                         _f("cant_atenciones", "IntegerType"), _f("anio", "IntegerType", False)]),

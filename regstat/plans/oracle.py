@@ -339,7 +339,7 @@ union all select 'periodos', count(*) from (select distinct anio, mes from nac w
 union all select 'grupos_paciente', count(*) from (select distinct sexo, grupo_etario from nac where valido)
 union all select 'regiones_poblacion', count(distinct departamento) from poblacion"""
 SQL["conteo_tablas"] = with_("nac", "poblacion") + """
-select 'fact_oncologia' tabla, count(*) filas from nac where valido
+select 'fact_casos' tabla, count(*) filas from nac where valido
 union all select 'dim_tiempo', count(*) from (select distinct anio, mes from nac where valido)
 union all select 'dim_geografia', count(*) from (select distinct departamento, provincia, distrito from nac where valido)
 union all select 'dim_paciente', count(*) from (select distinct sexo, grupo_etario from nac where valido)

@@ -46,14 +46,17 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
     On a cluster the folder must be on shared storage and is configured by
-    the cluster; it is read, never overridden. Only when it is unset (local
-    tests) a private scratch folder is created and registered.
+    the cluster; it is read, never overridden. Only a local session (tests)
+    without it gets a private scratch folder; a cluster without it is an
+    error, because executors could not read each other's files.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     if current:
         if spark.sparkContext.getCheckpointDir() is None:
             spark.sparkContext.setCheckpointDir(current)
         return current
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder on shared storage")
     local = tempfile.mkdtemp(prefix="regstat-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     spark.conf.set("spark.checkpoint.dir", local)
     spark.sparkContext.setCheckpointDir(local)

@@ -16,22 +16,20 @@ REGISTRY_COLUMNS = ("UUID", "HISTORIA", "FEC_FILIACION", "SEXO", "EDAD",
 
 
 def read_registry(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
-                  header_names: list | None = None) -> DataFrame:
+                  header_names: list | None = None, multi_line: bool = False) -> DataFrame:
     """Header CSV in Latin-1, every column a string, blank lines skipped.
 
-    Header names are cleaned (C1: trimmed, surrounding quotes removed). The
-    schema is explicit (all strings); ``header_names`` gives the raw header
-    when known, else it is read from the file's first line by Spark itself.
+    Columns are bound by the file's own header, whatever its order; names are
+    cleaned (C1: trimmed, surrounding quotes removed). ``header_names`` are
+    the columns wanted, in the order wanted. Quotes inside a quoted field are
+    doubled. ``multi_line`` allows line ends inside quoted fields; such files
+    cannot be split among tasks.
     """
-    reader = (spark.read.option("header", True).option("encoding", encoding)
-              .option("mode", "PERMISSIVE"))
-    if header_names is not None:
-        schema = T.StructType([T.StructField(h, T.StringType()) for h in header_names])
-        df = reader.schema(schema).csv(path)
-    else:
-        # Only the header line is inspected (no type inference).
-        df = reader.option("inferSchema", False).csv(path)
-    return df.toDF(*[clean_header(c) for c in df.columns])
+    # Only the header line is inspected (no type inference).
+    df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+          .option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).csv(path))
+    df = df.toDF(*[clean_header(c) for c in df.columns])
+    return df if header_names is None else df.select(*[clean_header(h) for h in header_names])
 
 
 REPORT_SCHEMA = T.StructType([

@@ -143,19 +143,23 @@ def registro_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     test cases.
     """
     import hashlib
-    import os
 
     from pyspark.errors import AnalysisException
 
     from regstat.session import checkpoint_dir
-    key = hashlib.sha1(os.path.abspath(sf_dir).encode()).hexdigest()[:16]
+    # The key follows the data: the path as given (it may be a URI) and the
+    # input files' names, sizes and times.
+    files = sorted(tuple(r) for t in ("orders", "customer", "nation", "region")
+                   for r in table(spark, sf_dir, t).select(
+                       "_metadata.file_path", "_metadata.file_size",
+                       "_metadata.file_modification_time").distinct().collect())
+    key = hashlib.sha1(repr((sf_dir, files)).encode()).hexdigest()[:16]
     path = f"{checkpoint_dir(spark).rstrip('/')}/regstat-fixtures/registro-{key}"
     try:
         spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
     except AnalysisException:
-        parts = max(8, spark.sparkContext.defaultParallelism)
-        (registro(spark, sf_dir).repartition(parts).write.mode("overwrite")
-         .option("header", True).option("encoding", "ISO-8859-1")
+        (registro(spark, sf_dir).write.mode("overwrite")
+         .option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(path))
     return read_registry(spark, path, header_names=list(REGISTRY_COLUMNS))

@@ -100,3 +100,23 @@ def test_latin1_csv_reader(spark, scratch_dir):
     assert rows[0]["LUGAR_RESIDENCIA"] == "ÁNCASH-HUARAZ-Ñ"
     nat = CL.limpiar_nacional(df, cfg.SOURCE).collect()[0]
     assert (nat["departamento"], nat["provincia"], nat["distrito"]) == ("ÁNCASH", "HUARAZ", "Ñ")
+
+
+def test_numbers_by_grammar(spark):
+    from regstat.functions.columns import lenient_number
+    cells = ["12", " 3.5 ", "1e3", "-2", ".5", "7.", "NaN", "Infinity", "-inf", "1d", "2f", "0x10", "", None, "1 2", "-", "1e400"]
+    df = spark.createDataFrame([(i, c) for i, c in enumerate(cells)], "i int, c string")
+    got = [r["v"] for r in df.select("i", lenient_number("c").alias("v")).orderBy("i").collect()]
+    assert got == [12.0, 3.5, 1000.0, -2.0, 0.5, 7.0] + [0.0] * 11
+
+
+def test_registry_by_header_name_and_quotes(spark, scratch_dir):
+    from regstat.sources.registry import read_registry
+    path = f"{scratch_dir}/r.csv"
+    with open(path, "w", encoding="latin-1") as f:
+        f.write('B, "A" ,C\n2,"x ""y"", z",ñ\n4,end\\,5\n\n')
+    rows = read_registry(spark, path, header_names=["A", "B"]).collect()
+    assert [tuple(r) for r in rows] == [('x "y", z', "2"), ("end\\", "4")]
+    with open(f"{scratch_dir}/m.csv", "w", encoding="latin-1") as f:
+        f.write('A,B\n"l1\nl2",3\n')
+    assert read_registry(spark, f"{scratch_dir}/m.csv", multi_line=True).collect()[0]["A"] == "l1\nl2"

@@ -25,11 +25,11 @@ def test_star_reload_round_trip(spark, scratch_dir):
     for name, path in paths.items():
         back = spark.read.parquet(path)
         assert back.count() == star[name].count()
-    fact = spark.read.parquet(paths["fact_oncologia"])
-    assert "anio" in fact.columns and os.path.isdir(os.path.join(paths["fact_oncologia"], "anio=1995"))
+    fact = spark.read.parquet(paths["fact_casos"])
+    assert "anio" in fact.columns and os.path.isdir(os.path.join(paths["fact_casos"], "anio=1995"))
     # idempotent ids: both loads hold the same fact rows
-    a = spark.read.parquet(paths["fact_oncologia"]).select("tiempo_id", "geografia_id", "paciente_id")
-    b = spark.read.parquet(again["fact_oncologia"]).select("tiempo_id", "geografia_id", "paciente_id")
+    a = spark.read.parquet(paths["fact_casos"]).select("tiempo_id", "geografia_id", "paciente_id")
+    b = spark.read.parquet(again["fact_casos"]).select("tiempo_id", "geografia_id", "paciente_id")
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
 
 

@@ -35,4 +35,4 @@ def test_incremental_load(spark, scratch_dir):
                                 "departamento string, anio int, total long, hombres long, mujeres long")
     star = ingest.estrella_desde_registro(spark, out, pob, cfg.SOURCE)
     assert star["dim_geografia"].count() == 2
-    assert star["fact_oncologia"].count() == 3
+    assert star["fact_casos"].count() == 3
