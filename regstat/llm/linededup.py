@@ -24,10 +24,6 @@ document id, then line number) is removed. Lines of equal sets are one class.
 
 from __future__ import annotations
 
-from array import array
-from collections import Counter
-from itertools import chain
-
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -48,24 +44,117 @@ HOT = 1_000_000            # postings of a word in one group at most, about
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
 
-def _bucket(h: int) -> int:
-    return h >> 47 & (BUCKETS - 1)
-
-
-class Ids(dict):
-    """word -> number whose order is rarity: rarity class, then 53 hash bits."""
-
-    def __init__(self, counts: np.ndarray, limit: int = 250_000):
-        super().__init__()
-        self.rarity = (np.log2(counts + 1.0) * 16).astype(np.int64).tolist()
-        self.limit = limit
-
-    def __missing__(self, word: str) -> int:
-        if len(self) >= self.limit:
-            self.clear()
-        h = xxhash.xxh64_intdigest(word.encode("utf-8", "surrogatepass"))
-        out = self[word] = self.rarity[_bucket(h)] << 53 | h & ((1 << 53) - 1)
-        return out
+BLOCK = 2_000_000          # bytes of text whose words are taken apart at once
+MASK = np.uint64((1 << 53) - 1)
+
+#: White space as str.split() knows it: single bytes, and UTF-8 sequences by lead byte.
+SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
+WIDE_SPACE = {0xC2: [0x85, 0xA0], 0xE1: [0x9A80], 0xE3: [0x8080],
+              0xE2: [*range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F]}
+BYTE = np.array([0 if SPACE[c] else xxhash.xxh64_intdigest(bytes([c]), 7) | 1 for c in range(256)], np.uint64)
+
+
+def _mix(h: np.ndarray) -> np.ndarray:
+    """A bijection of 64 bits that spreads every bit."""
+    h = h ^ h >> np.uint64(33)
+    h = h * np.uint64(0xFF51AFD7ED558CCD)
+    h = h ^ h >> np.uint64(33)
+    h = h * np.uint64(0xC4CEB9FE1A85EC53)
+    return h ^ h >> np.uint64(33)
+
+
+def _powers(n: int) -> np.ndarray:
+    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
+    out[:1] = 1
+    return np.cumprod(out, dtype=np.uint64)
+
+
+def _wide(b: np.ndarray) -> np.ndarray:
+    """Places of the bytes of white space beyond ASCII."""
+    out = []
+    for lead, tails in WIDE_SPACE.items():
+        at = np.flatnonzero(b == lead)
+        if lead == 0xC2:
+            at = at[np.isin(b[at + 1], tails)]
+            out += [at, at + 1]
+        elif len(at):
+            at = at[np.isin(b[at + 1].astype(np.int64) << 8 | b[at + 2], tails)]
+            out += [at, at + 1, at + 2]
+    return np.concatenate(out)
+
+
+def words_in(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and 64-bit hash of every word of the UTF-8 bytes ``b``; words end
+    at white space and at the texts' ends ``off``."""
+    gap = SPACE[b]
+    wide = _wide(b)
+    gap[wide] = True
+    start = ~gap
+    begins = np.zeros(len(b) + 1, bool)
+    begins[off] = True
+    start[1:] &= gap[:-1] | begins[1:-1]
+    s = np.flatnonzero(start)
+    if not len(s):
+        return s, np.zeros(0, np.uint64)
+    size = np.diff(s, append=len(b))   # with the white space behind, which counts 0
+    value = BYTE[b]
+    value[wide] = 0
+    value = value[s[0]:]
+    value *= _powers(int(size.max()))[np.arange(s[0], len(b)) - np.repeat(s, size)]
+    return s, _mix(np.add.reduceat(value, s - s[0]))
+
+
+def pieces(texts: pa.Array):
+    """(first row, bytes, ends of the rows' texts, lines before) of an Arrow
+    string column in pieces of about BLOCK bytes; a longer text is cut between
+    its lines. A null counts as empty."""
+    for a, z in blocks(texts, BLOCK):
+        part = pc.fill_null(texts.slice(a, z - a).cast(pa.large_string()), "")
+        _, ends, data = part.buffers()
+        off = np.frombuffer(ends, np.int64)[part.offset:part.offset + len(part) + 1]
+        if off[-1] == off[0]:
+            continue
+        b = np.frombuffer(data, np.uint8)[off[0]:off[-1]]
+        off = off - off[0]
+        if z - a > 1 or len(b) <= BLOCK:
+            yield a, b, off, 0
+            continue
+        ends, at, lines = np.flatnonzero(b == 10) + 1, 0, 0
+        while at < len(b):
+            k = max(lines, int(np.searchsorted(ends, at + BLOCK, "right")) - 1)
+            to = int(ends[k]) if k < len(ends) and len(b) - at > BLOCK else len(b)
+            yield a, b[at:to], np.array([0, to - at]), lines
+            at, lines = to, k + 1
+
+
+def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None):
+    """The lines that have words: text (row), line number in it, number of
+    distinct words, class, and all lines' word numbers, sorted within a line.
+    A number's order is rarity (if given), then 53 hash bits."""
+    s, h = words_in(b, off)
+    number = h & MASK
+    if rarity is not None:
+        number |= rarity[(h >> np.uint64(47)).astype(np.int64)]
+    feeds = np.flatnonzero(b == 10)
+    row, before = np.searchsorted(off, s, "right") - 1, np.searchsorted(feeds, s)
+    new = np.ones(len(s), bool)
+    new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1])
+    row, before = row[new], before[new]
+    known, at = np.unique(number, return_inverse=True)
+    bits = len(known).bit_length()
+    key = (np.cumsum(new) - 1) << bits | at
+    key.sort()
+    if len(key):
+        key = key[np.concatenate([[True], key[1:] != key[:-1]])]
+    numbers = known[key & ((1 << bits) - 1)]
+    n = np.bincount(key >> bits, minlength=len(row))
+    cls = np.add.reduceat(_mix(numbers & MASK), np.cumsum(n) - n) if len(n) else numbers
+    return row, before - np.searchsorted(feeds, off[row]), n, cls.view(np.int64), numbers.view(np.int64)
+
+
+def rarities(counts: np.ndarray) -> np.ndarray:
+    """Per hash bucket the upper bits of its words' numbers."""
+    return (np.log2(counts + 1.0) * 16).astype(np.uint64) << np.uint64(53)
 
 
 def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
@@ -73,20 +162,9 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     the driver) and words in all."""
     def run(batches):
         total = np.zeros(BUCKETS, np.int64)
-
-        def add(words: Counter):
-            at = np.fromiter((_bucket(xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass")))
-                              for w in words), np.int64, len(words))
-            np.add.at(total, at, np.fromiter(words.values(), np.int64, len(words)))
-
-        words: Counter = Counter()
         for batch in batches:
-            for t in batch.column("text"):
-                words.update((t.as_py() or "").split())
-                if len(words) > 250_000:
-                    add(words)
-                    words = Counter()
-        add(words)
+            for _, b, off, _ in pieces(batch.column("text")):
+                total += np.bincount((words_in(b, off)[1] >> np.uint64(47)).astype(np.int64), minlength=BUCKETS)
         at = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
 
@@ -98,32 +176,14 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
     return out, int(out.sum())
 
 
-def line_sets(text: str | None, ids: Ids):
-    """(line number, sorted word numbers) of every line that has words."""
-    get = ids.__getitem__
-    for k, line in enumerate((text or "").split("\n")):
-        words = line.split()
-        if words:
-            yield k, sorted(set(map(get, words)))
-
-
-def class_of(numbers: list[int]) -> int:
-    return xxhash.xxh3_64_intdigest(array("q", numbers).tobytes()) - (1 << 63)
-
-
 PACKED = np.dtype([("g", "<i8"), ("cls", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("b2", "<u8"),
                    ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "i1")])
 LINE = np.dtype([("cls", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("null", "i1")])
 
 
-def _postings(lines: dict, parts: int):
-    """Packed postings of distinct lines {class: [doc, line, numbers]}, their
-    parts, and per line the part of its first posting."""
-    cls = np.fromiter(lines, np.int64, len(lines))
-    doc = np.array([v[0] for v in lines.values()], np.int64)
-    line = np.array([v[1] for v in lines.values()], np.int32)
-    n = np.array([len(v[2]) for v in lines.values()], np.int64)
-    flat = np.fromiter(chain.from_iterable(v[2] for v in lines.values()), np.int64, int(n.sum()))
+def _postings(cls: np.ndarray, doc: np.ndarray, line: np.ndarray, n: np.ndarray, flat: np.ndarray, parts: int):
+    """Packed postings of lines of distinct classes (``flat``: their word
+    numbers), their parts, and per line the part of its first posting."""
     start = np.cumsum(n) - n
     bit = np.uint64(1) << (flat & 63).astype(np.uint64)
     second = (flat & 64).astype(bool)
@@ -280,49 +340,49 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
     parts = max(1, words // 4 // PART_POSTINGS + 1)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(counts)
-    asked, groups = (sc.broadcast(f) for f in only or (None, None))
+    asked, groups = (sc.broadcast(f) for f in only) if only else (None, None)
 
     def post(batches):
-        ids = Ids(shared.value)
+        rare = rarities(shared.value)
         for batch in batches:
-            for a, z in blocks(batch.column("text"), 3_000_000):
-                doc_ids, texts = (batch.column(c).slice(a, z - a).to_pylist() for c in ("doc_id", "text"))
-                lines: dict = {}       # class -> [doc, line, numbers, index]
-                every = []
-                for doc_id, text in zip(doc_ids, texts):
-                    d = LAST if doc_id is None else doc_id
-                    for k, numbers in line_sets(text, ids):
-                        c = class_of(numbers)
-                        own = lines.get(c)
-                        if own is None:
-                            own = lines[c] = [d, k, numbers, len(lines)]
-                        elif d < own[0] or (d == own[0] and k < own[1]):
-                            own[0], own[1] = d, k
-                        every.append((c, d, k, doc_id is None, own[3]))
-                if not lines:
+            doc_ids = batch.column("doc_id")
+            nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
+            doc_ids = pc.fill_null(doc_ids.cast(pa.int64()), LAST).to_numpy()
+            for a, b, off, before in pieces(batch.column("text")):
+                row, line, n, cls, numbers = line_sets(b, off, rare)
+                if not len(row):
                     continue
-                rows, part, home = _postings(lines, parts)
-                if groups.value is not None:
-                    h = _hash(rows["g"])
-                    some = (groups.value[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))
+                row, line = row + a, line + before
+                doc = doc_ids[row]
+                # the earliest line of every class; its number among those, per line
+                order = np.lexsort((line, doc, cls))
+                first = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
+                chosen = np.zeros(len(cls), bool)
+                chosen[order[first]] = True
+                of = np.empty(len(cls), np.int64)
+                of[order] = (np.cumsum(chosen) - 1)[order[first]][np.cumsum(first) - 1]
+                rows, part, home = _postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
+                                             numbers[np.repeat(chosen, n)], parts)
+                if groups is not None:
+                    h, wanted = _hash(rows["g"]), groups.value
+                    some = (wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))
                             & np.uint64(1)).astype(bool)
-                    rows, part, every, home = rows[some], part[some], every[:0], home[:0]
-                said, index = np.empty(len(every), LINE), ()
-                if every:
-                    *fields, index = zip(*every)
-                    for c, values in zip(LINE.names, fields):
-                        said[c] = values
+                    rows, part = rows[some], part[some]
+                    said, place = np.empty(0, LINE), np.empty(0, np.int64)
+                else:
+                    said, place = np.empty(len(cls), LINE), home[of]
+                    said["cls"], said["doc"], said["line"], said["null"] = cls, doc, line, nulls[row]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.arange(parts, dtype=np.int32)),
                      pa.array(_by_part(rows, part, parts), pa.binary()),
-                     pa.array(_by_part(said, home[np.array(index, np.int64)], parts), pa.binary())],
+                     pa.array(_by_part(said, place, parts), pa.binary())],
                     ["part", "data", "said"])
 
     def join(t: pa.Table) -> pa.Table:
         def unpack(name, kind):
             return np.concatenate([np.frombuffer(d.as_buffer(), kind) for d in t.column(name)])
 
-        col, y, x, dist, more = _compare(unpack("data", PACKED), keep, asked.value)
+        col, y, x, dist, more = _compare(unpack("data", PACKED), keep, None if asked is None else asked.value)
         said = unpack("said", LINE)
         own = np.flatnonzero((col["pos"] == 0) & (col["side"] == 2))
         own = own[np.argsort(col["cls"][own])]
@@ -352,29 +412,28 @@ def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
 
 
-def texts_of(docs: DataFrame, counts: np.ndarray, wanted: DataFrame) -> DataFrame:
+def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """cls, text of the lines at the places ``wanted`` (doc, line): a filter
     of fixed size with a bit per place is broadcast, whatever hits it is
     looked up by its class."""
     sc = docs.sparkSession.sparkContext
 
     bits = _bits(wanted, lambda b: _place(b.column("doc").to_numpy(), b.column("line").to_numpy()))
-    shared, bloom = sc.broadcast(counts), sc.broadcast(bits)
+    bloom = sc.broadcast(bits)
 
     def run(batches):
-        ids, bits = Ids(shared.value), bloom.value
+        bits = bloom.value
         for batch in batches:
-            cls, said = [], []
+            said = []
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 lines = (t.as_py() or "").split("\n")
                 h = _place(np.array([LAST if d is None else d], np.int64), np.arange(len(lines)))
                 hit = bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
-                for k in np.flatnonzero(hit).tolist():
-                    for _, numbers in line_sets(lines[k], ids):
-                        cls.append(class_of(numbers))
-                        said.append(lines[k])
-            yield pa.RecordBatch.from_arrays([pa.array(cls, pa.int64()), pa.array(said, pa.string())],
-                                             ["cls", "text"])
+                said += [lines[k] for k in np.flatnonzero(hit).tolist()]
+            said = pa.array(said, pa.string())
+            for a, b, off, _ in pieces(said):
+                row, _, _, cls, _ = line_sets(b, off)
+                yield pa.RecordBatch.from_arrays([pa.array(cls), said.take(pa.array(row + a))], ["cls", "text"])
 
     return written(docs.mapInArrow(run, "cls long, text string").dropDuplicates(["cls"]), "texts")
 
@@ -414,14 +473,14 @@ def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
         best = written(pairs.groupBy("y").agg(
             F.min(F.struct("dist", "x_doc", "x_line", "x", "doc", "line")).alias("b")).select("y", "b.*"), "best")
         places = [best.select("doc", "line"), best.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))]
-        texts = texts_of(docs, counts, places[0].unionByName(places[1]))
+        texts = texts_of(docs, places[0].unionByName(places[1]))
         good = verified(best.select("y", "x"), texts)
         rest = written(pairs.join(good, "y", "left_anti").groupBy("y", "x").agg(
             F.max("more").alias("more"), *[F.min(c).alias(c) for c in ("doc", "line", "x_doc", "x_line")]), "rest")
         if not rest.isEmpty():
             others = rest.join(best.select("y", "x"), ["y", "x"], "left_anti")
             places = [rest.select("doc", "line"), rest.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))]
-            texts = texts_of(docs, counts, places[0].unionByName(places[1]))
+            texts = texts_of(docs, places[0].unionByName(places[1]))
             good = good.unionByName(verified(others.select("y", "x"), texts).groupBy("y").agg(F.min("x").alias("x")))
         matches = good if matches is None else matches.unionByName(good)
         open_ = written(rest.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
@@ -445,29 +504,29 @@ def drop_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
     lines = written(matched_lines(docs, keep), "matched")
     gone = (lines.filter("removed").groupBy(F.col("doc_id").alias("_of"))
             .agg(F.collect_set(F.struct("line_no", "class_id")).alias("_gone")))
-    counts, _ = word_counts(docs.select("text"))
-    shared = docs.sparkSession.sparkContext.broadcast(counts)
     names = docs.columns
     schema = T.StructType(list(docs.schema.fields))
 
     def run(batches):
-        ids = Ids(shared.value)
         for batch in batches:
-            texts, stays = [], []
-            for t, g in zip(batch.column("text").to_pylist(), batch.column("_gone").to_pylist()):
-                if not g:
-                    texts.append(t)
-                    stays.append(True)
-                    continue
-                wanted = {(x["line_no"], x["class_id"]) for x in g}
-                numbers = dict(line_sets(t, ids))
-                out = {k for k, v in numbers.items() if (k, class_of(v)) in wanted}
-                stays.append(len(out) < len(numbers))
-                texts.append("\n".join(x for k, x in enumerate(t.split("\n")) if k not in out))
+            texts, gone = batch.column("text").to_pylist(), batch.column("_gone").to_pylist()
+            stays = [True] * len(texts)
+            some = [i for i, g in enumerate(gone) if g]
+            classes = {i: {} for i in some}
+            for a, b, off, before in pieces(batch.column("text").take(pa.array(some, pa.int64()))):
+                row, line, _, cls, _ = line_sets(b, off)
+                for i, k, c in zip((row + a).tolist(), (line + before).tolist(), cls.tolist()):
+                    classes[some[i]][k] = c
+            for i, own in classes.items():
+                wanted = {(x["line_no"], x["class_id"]) for x in gone[i]}
+                out = {k for k, c in own.items() if (k, c) in wanted}
+                stays[i] = len(out) < len(own)
+                if out:
+                    texts[i] = "\n".join(x for k, x in enumerate(texts[i].split("\n")) if k not in out)
             columns = {c: batch.column(c) for c in names}
             columns["text"] = pa.array(texts, pa.string())
             if "n_chars" in columns:
-                changed = pa.array([g is not None for g in batch.column("_gone").to_pylist()])
+                changed = pa.array([g is not None for g in gone])
                 columns["n_chars"] = pc.if_else(
                     changed, pc.utf8_length(columns["text"]).cast(columns["n_chars"].type),
                     columns["n_chars"])

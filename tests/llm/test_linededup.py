@@ -1,6 +1,9 @@
 """Line dedup against comparing every line with every earlier one."""
 
+import sys
+
 import numpy as np
+import pyarrow as pa
 
 from regstat.llm import linededup
 from regstat.llm.common import table
@@ -31,6 +34,28 @@ def brute(rows):
     return out
 
 
+def test_words_are_those_of_split(monkeypatch):
+    """All white space of Unicode, nulls, empty texts, and texts cut between lines."""
+    spaces = [chr(c) for c in range(sys.maxunicode + 1) if chr(c).isspace()]
+    rng = np.random.default_rng(3)
+    texts = ["".join(f"w{int(rng.integers(9))}é日{c}" for c in rng.permutation(spaces)) for _ in range(40)]
+    texts += [None, "", "\n\n", "end", "x" * 500, "\u2003", "a\u200bb a\u200bb", "\U0001f600 z z", "long " * 400]
+    want = {(i, k): frozenset(x.split()) for i, t in enumerate(texts)
+            for k, x in enumerate((t or "").split("\n")) if x.split()}
+    for size in (2_000_000, 300, 10):
+        monkeypatch.setattr(linededup, "BLOCK", size)
+        got = {}
+        for a, b, off, before in linededup.pieces(pa.array(texts)):
+            for i, k, n, c in zip(*linededup.line_sets(b, off)[:4]):
+                assert (a + i, before + k) not in got
+                got[a + i, before + k] = int(n), int(c)
+        assert {p: len(w) for p, w in want.items()} == {p: n for p, (n, _) in got.items()}
+        classes = {}
+        for p, w in want.items():
+            assert classes.setdefault(w, got[p][1]) == got[p][1]
+        assert len(set(classes.values())) == len(classes)
+
+
 def test_line_dedup_brute_force(spark, edge_docs):
     for docs in (edge_docs, table(spark, SF_SMALL, "documents")):
         rows = {(r.doc_id, r.text) for r in docs.select("doc_id", "text").collect()}
@@ -67,14 +92,14 @@ def test_near_copies_round_again(spark, monkeypatch):
 def test_block_pairs_lose_nothing():
     """A hot word's classes in blocks give the same candidates."""
     rng = np.random.default_rng(2)
-    ids = linededup.Ids(np.full(linededup.BUCKETS, 50.0))
-    lines = {}
-    for i in range(200):
-        numbers = sorted({ids[f"c{int(v)}"] for v in rng.integers(0, 12, 9)})
-        lines[linededup.class_of(numbers)] = (i, 0, numbers)
+    text = "\n".join(" ".join(f"c{int(v)}" for v in rng.integers(0, 12, 9)) for _ in range(200))
+    (_, b, off, _), = linededup.pieces(pa.array([text]))
+    _, line, n, cls, numbers = linededup.line_sets(b, off, linededup.rarities(np.full(linededup.BUCKETS, 50.0)))
+    one = np.isin(np.arange(len(cls)), np.unique(cls, return_index=True)[1])
+    lines = cls[one], line[one], np.zeros(one.sum(), int), n[one], numbers[np.repeat(one, n)]
 
     def pairs():
-        rows, part, _ = linededup._postings(lines, 3)
+        rows, part, _ = linededup._postings(*lines, 3)
         out = set()
         for p in range(3):
             col, y, x, _, _ = linededup._compare(rows[part == p], 300)
