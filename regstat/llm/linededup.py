@@ -15,8 +15,8 @@ document id, then line number) is removed. Lines of equal sets are one class.
    bits (every differing bit is a differing word, so they reject safely). A
    class keeps its nearest earlier candidates per word (``keep``; four times
    as many if it has over ``LONG`` words) and whether there were more.
-4. Verification compares the words themselves: first each class's nearest
-   candidate, then the other kept ones. Classes without a match that had
+4. Verification compares the words themselves, whose texts one pass gathers:
+   first each class's nearest candidate, then the other kept ones. Classes without a match that had
    more candidates go round again with all of them, so no link is lost.
 5. Every line is removed that is a later line of its class or whose class
    has a verified earlier match.
@@ -37,6 +37,7 @@ from regstat.llm.wordcache import blocks
 
 NUM, DEN = 4, 5
 BUCKETS = 1 << 17          # of the word counts
+SLICE = 1 << 13            # of them summed together
 BLOOM_WORDS = 1 << 17      # 64-bit words of the filter of wanted lines
 PART_POSTINGS = 250_000    # postings of a part, about
 LONG = 160
@@ -45,6 +46,7 @@ LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
 
 BLOCK = 2_000_000          # bytes of text whose words are taken apart at once
+CACHED = 1 << 16           # bytes hashed at once
 MASK = np.uint64((1 << 53) - 1)
 
 #: White space as str.split() knows it: single bytes, and UTF-8 sequences by lead byte.
@@ -97,11 +99,20 @@ def words_in(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     if not len(s):
         return s, np.zeros(0, np.uint64)
     size = np.diff(s, append=len(b))   # with the white space behind, which counts 0
-    value = BYTE[b]
-    value[wide] = 0
-    value = value[s[0]:]
-    value *= _powers(int(size.max()))[np.arange(s[0], len(b)) - np.repeat(s, size)]
-    return s, _mix(np.add.reduceat(value, s - s[0]))
+    power = _powers(int(size.max()))
+    out = np.empty(len(s), np.uint64)
+    cuts = np.unique(np.searchsorted(s, np.arange(0, len(b), CACHED)))
+    for i, j in zip(cuts, [*cuts[1:], len(s)]):
+        if i == j:
+            continue
+        lo, hi = s[i], s[j] if j < len(s) else len(b)
+        value = np.take(BYTE, b[lo:hi])
+        if len(wide):
+            value[wide[(wide >= lo) & (wide < hi)] - lo] = 0
+        begin = s[i:j] - lo
+        value *= np.take(power, np.arange(hi - lo) - np.repeat(begin, size[i:j]))
+        out[i:j] = np.add.reduceat(value, begin)
+    return s, _mix(out)
 
 
 def pieces(texts: pa.Array):
@@ -165,14 +176,20 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
         for batch in batches:
             for _, b, off, _ in pieces(batch.column("text")):
                 total += np.bincount((words_in(b, off)[1] >> np.uint64(47)).astype(np.int64), minlength=BUCKETS)
-        at = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(total[at])], ["b", "n"])
+        yield packed(total.reshape(-1, SLICE), range(BUCKETS // SLICE))
+
+    def packed(counts, slices):
+        return pa.RecordBatch.from_arrays([pa.array(slices, pa.int32()), pa.array([c.tobytes() for c in counts], pa.binary())],
+                                          ["slice", "counts"])
+
+    def add(t: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c.as_buffer(), np.int64) for c in t.column("counts"))
+        return pa.Table.from_batches([packed([total], [t.column("slice")[0].as_py()])])
 
-    rows = (docs.select("text").mapInArrow(run, "b long, n long")
-            .groupBy("b").agg(F.sum("n").alias("n")).collect())
+    kind = "slice int, counts binary"   # a task's counts are a few rows, summed slice by slice
     out = np.zeros(BUCKETS, np.int64)
-    for r in rows:
-        out[r["b"]] = r["n"]
+    for r in docs.select("text").mapInArrow(run, kind).groupBy("slice").applyInArrow(add, kind).collect():
+        out[r["slice"] * SLICE:(r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
     return out, int(out.sum())
 
 
@@ -470,18 +487,13 @@ def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
         pairs = table.filter("x is not null")
         if open_ is not None:
             pairs = pairs.join(open_, "y", "left_semi")
-        best = written(pairs.groupBy("y").agg(
-            F.min(F.struct("dist", "x_doc", "x_line", "x", "doc", "line")).alias("b")).select("y", "b.*"), "best")
-        places = [best.select("doc", "line"), best.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))]
-        texts = texts_of(docs, places[0].unionByName(places[1]))
-        good = verified(best.select("y", "x"), texts)
-        rest = written(pairs.join(good, "y", "left_anti").groupBy("y", "x").agg(
-            F.max("more").alias("more"), *[F.min(c).alias(c) for c in ("doc", "line", "x_doc", "x_line")]), "rest")
+        texts = texts_of(docs, pairs.select("doc", "line").unionByName(
+            pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))))
+        best = pairs.groupBy("y").agg(F.min(F.struct("dist", "x_doc", "x_line", "x")).alias("b")).select("y", "b.x")
+        good = verified(best, texts)
+        rest = written(pairs.join(good, "y", "left_anti").groupBy("y", "x").agg(F.max("more").alias("more")), "rest")
         if not rest.isEmpty():
-            others = rest.join(best.select("y", "x"), ["y", "x"], "left_anti")
-            places = [rest.select("doc", "line"), rest.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))]
-            texts = texts_of(docs, places[0].unionByName(places[1]))
-            good = good.unionByName(verified(others.select("y", "x"), texts).groupBy("y").agg(F.min("x").alias("x")))
+            good = good.unionByName(verified(rest.select("y", "x"), texts).groupBy("y").agg(F.min("x").alias("x")))
         matches = good if matches is None else matches.unionByName(good)
         open_ = written(rest.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
         if open_.isEmpty():
