@@ -45,15 +45,17 @@ HOT = 1_000_000            # postings of a word in one group at most, about
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
 
-BLOCK = 2_000_000          # bytes of text whose words are taken apart at once
-CACHED = 1 << 16           # bytes hashed at once
+BLOCK = 250_000            # bytes of text whose words are taken apart at once
+HELD = 2_500_000           # bytes of text whose postings are sent together
+WORD = 64                  # bytes of a word hashed in steps of eight; longer ones by XXH64
 MASK = np.uint64((1 << 53) - 1)
 
 #: White space as str.split() knows it: single bytes, and UTF-8 sequences by lead byte.
 SPACE = np.isin(np.arange(256), [9, 10, 11, 12, 13, 28, 29, 30, 31, 32])
 WIDE_SPACE = {0xC2: [0x85, 0xA0], 0xE1: [0x9A80], 0xE3: [0x8080],
               0xE2: [*range(0x8080, 0x808B), 0x80A8, 0x80A9, 0x80AF, 0x819F]}
-BYTE = np.array([0 if SPACE[c] else xxhash.xxh64_intdigest(bytes([c]), 7) | 1 for c in range(256)], np.uint64)
+#: The lowest 0 to 8 bytes of a 64-bit number.
+LOW = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -65,12 +67,6 @@ def _mix(h: np.ndarray) -> np.ndarray:
     return h ^ h >> np.uint64(33)
 
 
-def _powers(n: int) -> np.ndarray:
-    out = np.full(n, 0x9E3779B97F4A7C15, np.uint64)
-    out[:1] = 1
-    return np.cumprod(out, dtype=np.uint64)
-
-
 def _wide(b: np.ndarray) -> np.ndarray:
     """Places of the bytes of white space beyond ASCII."""
     out = []
@@ -96,23 +92,21 @@ def words_in(b: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     begins[off] = True
     start[1:] &= gap[:-1] | begins[1:-1]
     s = np.flatnonzero(start)
-    if not len(s):
-        return s, np.zeros(0, np.uint64)
-    size = np.diff(s, append=len(b))   # with the white space behind, which counts 0
-    power = _powers(int(size.max()))
-    out = np.empty(len(s), np.uint64)
-    cuts = np.unique(np.searchsorted(s, np.arange(0, len(b), CACHED)))
-    for i, j in zip(cuts, [*cuts[1:], len(s)]):
-        if i == j:
-            continue
-        lo, hi = s[i], s[j] if j < len(s) else len(b)
-        value = np.take(BYTE, b[lo:hi])
-        if len(wide):
-            value[wide[(wide >= lo) & (wide < hi)] - lo] = 0
-        begin = s[i:j] - lo
-        value *= np.take(power, np.arange(hi - lo) - np.repeat(begin, size[i:j]))
-        out[i:j] = np.add.reduceat(value, begin)
-    return s, _mix(out)
+    end = ~gap
+    end[:-1] &= gap[1:] | begins[1:-1]
+    size = np.flatnonzero(end) + 1 - s
+    eight = np.ndarray(len(b) + 1, "<u8", np.concatenate([b, np.zeros(8, np.uint8)]), 0, (1,))
+    h = size.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    at = slice(None)                   # words that have bytes from ``k`` on
+    for k in range(0, WORD, 8):
+        x = (h[at] ^ (eight[s[at] + k] & LOW[np.minimum(size[at] - k, 8)])) * np.uint64(0xC2B2AE3D27D4EB4F)
+        h[at] = x ^ x >> np.uint64(29)
+        at = np.flatnonzero(size > k + 8)
+        if not len(at):
+            break
+    for i in np.flatnonzero(size > WORD).tolist():
+        h[i] = xxhash.xxh64_intdigest(b[s[i]:s[i] + size[i]])
+    return s, _mix(h)
 
 
 def pieces(texts: pa.Array):
@@ -138,10 +132,11 @@ def pieces(texts: pa.Array):
             at, lines = to, k + 1
 
 
-def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None):
+def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None, some: np.ndarray | None = None):
     """The lines that have words: text (row), line number in it, number of
     distinct words, class, and all lines' word numbers, sorted within a line.
-    A number's order is rarity (if given), then 53 hash bits."""
+    A number's order is rarity (if given), then 53 hash bits. With a filter
+    ``some``, lines without a word in it, or one cut into blocks, are left out."""
     s, h = words_in(b, off)
     number = h & MASK
     if rarity is not None:
@@ -150,6 +145,11 @@ def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None):
     row, before = np.searchsorted(off, s, "right") - 1, np.searchsorted(feeds, s)
     new = np.ones(len(s), bool)
     new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1])
+    if some is not None and len(s):
+        hit = _in(some, _hash(number)) | (number >> np.uint64(53) > int(16 * np.log2(HOT)))
+        first = np.flatnonzero(new)
+        stays = np.repeat(np.logical_or.reduceat(hit, first), np.diff(first, append=len(s)))
+        row, before, new, number = row[stays], before[stays], new[stays], number[stays]
     row, before = row[new], before[new]
     known, at = np.unique(number, return_inverse=True)
     bits = len(known).bit_length()
@@ -247,21 +247,36 @@ def _by_part(rows: np.ndarray, part: np.ndarray, parts: int) -> list[bytes]:
     return [rows[edges[p]:edges[p + 1]].tobytes() for p in range(parts)]
 
 
+def _order(g: np.ndarray, cls: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
+    """The rows by word, place and class; of a class's copies under a word
+    only the earliest."""
+    words, of_word = np.unique(g, return_inverse=True)
+    docs, of_doc = np.unique(doc, return_inverse=True)
+    classes, of_class = np.unique(cls, return_inverse=True)
+    line_bits, class_bits = int(line.max(initial=0)).bit_length(), len(classes).bit_length()
+    place = of_doc << line_bits | line
+    if len(words) * (len(docs) << line_bits) < 1 << 62:
+        key = of_word * (len(docs) << line_bits) + place
+        at = np.argsort(key)
+        same = key[at][1:] == key[at][:-1]
+        if same.any():                 # several rows at a place: by class
+            at = np.lexsort((of_class, key))
+    else:
+        at = np.lexsort((of_class, place, of_word))
+    key = (of_word << class_bits | of_class)[at]
+    again = np.argsort(key, kind="stable")
+    first = np.ones(len(at), bool)
+    first[again[1:]] = key[again][1:] != key[again][:-1]
+    return at[first]
+
+
 def _compare(rows: np.ndarray, keep: int, only: np.ndarray | None = None):
     """Candidates of one part: the distinct rows in order, and arrays y, x
     (row numbers), dist, more: the nearest earlier rows of every row, or all
     of those rows whose class is in the filter ``only``."""
+    at = _order(*(np.ascontiguousarray(rows[c]) for c in ("g", "cls", "doc", "line")))
+    rows = rows[at]
     col = {c: np.ascontiguousarray(rows[c]) for c in PACKED.names}
-
-    def take(at):
-        for c in col:
-            col[c] = col[c][at]
-
-    take(np.lexsort((col["line"], col["doc"], col["cls"], col["g"])))
-    first = np.ones(len(rows), bool)   # copies of a class under a word: the earliest line
-    first[1:] = (col["g"][1:] != col["g"][:-1]) | (col["cls"][1:] != col["cls"][:-1])
-    take(first)
-    take(np.lexsort((col["cls"], col["line"], col["doc"], col["g"])))
     g, b0, b1, b2, side = (col[c] for c in ("g", "b0", "b1", "b2", "side"))
     n = col["n"].astype(np.int64)
     left = n - col["pos"]              # words from the shared one on
@@ -277,8 +292,7 @@ def _compare(rows: np.ndarray, keep: int, only: np.ndarray | None = None):
     short_best, long_best = table(keep, size), table(4 * keep, len(long))
     asked, every = None, []
     if only is not None:
-        h = _hash(col["cls"])
-        asked = (only[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+        asked = _in(only, _hash(col["cls"]))
 
     def put(best, ys, xs, dist):       # every y once per shift
         near, who = best
@@ -331,6 +345,10 @@ def _hash(numbers: np.ndarray) -> np.ndarray:
     return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
 
 
+def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
+    return (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
+
+
 def _bits(rows: DataFrame, hashes) -> np.ndarray:
     """A filter of fixed size with a bit for every row's hash."""
     def fill(batches):
@@ -361,39 +379,45 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
 
     def post(batches):
         rare = rarities(shared.value)
+        wanted = None if groups is None else groups.value
+        held, size = [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id")
             nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
             doc_ids = pc.fill_null(doc_ids.cast(pa.int64()), LAST).to_numpy()
             for a, b, off, before in pieces(batch.column("text")):
-                row, line, n, cls, numbers = line_sets(b, off, rare)
-                if not len(row):
-                    continue
-                row, line = row + a, line + before
-                doc = doc_ids[row]
-                # the earliest line of every class; its number among those, per line
-                order = np.lexsort((line, doc, cls))
-                first = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
-                chosen = np.zeros(len(cls), bool)
-                chosen[order[first]] = True
-                of = np.empty(len(cls), np.int64)
-                of[order] = (np.cumsum(chosen) - 1)[order[first]][np.cumsum(first) - 1]
-                rows, part, home = _postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
-                                             numbers[np.repeat(chosen, n)], parts)
-                if groups is not None:
-                    h, wanted = _hash(rows["g"]), groups.value
-                    some = (wanted[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63))
-                            & np.uint64(1)).astype(bool)
-                    rows, part = rows[some], part[some]
-                    said, place = np.empty(0, LINE), np.empty(0, np.int64)
-                else:
-                    said, place = np.empty(len(cls), LINE), home[of]
-                    said["cls"], said["doc"], said["line"], said["null"] = cls, doc, line, nulls[row]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.arange(parts, dtype=np.int32)),
-                     pa.array(_by_part(rows, part, parts), pa.binary()),
-                     pa.array(_by_part(said, place, parts), pa.binary())],
-                    ["part", "data", "said"])
+                row, line, n, cls, numbers = line_sets(b, off, rare, wanted)
+                if len(row):
+                    held.append((doc_ids[row + a], nulls[row + a], line + before, n, cls, numbers))
+                    size += len(b)
+                if size >= HELD:
+                    yield send(*map(np.concatenate, zip(*held)))
+                    held, size = [], 0
+        if held:
+            yield send(*map(np.concatenate, zip(*held)))
+
+    def send(doc, null, line, n, cls, numbers):
+        # the earliest line of every class; its number among those, per line
+        order = np.lexsort((line, doc, cls))
+        first = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
+        chosen = np.zeros(len(cls), bool)
+        chosen[order[first]] = True
+        of = np.empty(len(cls), np.int64)
+        of[order] = (np.cumsum(chosen) - 1)[order[first]][np.cumsum(first) - 1]
+        rows, part, home = _postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
+                                     numbers[np.repeat(chosen, n)], parts)
+        if groups is not None:
+            some = _in(groups.value, _hash(rows["g"]))
+            rows, part = rows[some], part[some]
+            said, place = np.empty(0, LINE), np.empty(0, np.int64)
+        else:
+            said, place = np.empty(len(cls), LINE), home[of]
+            said["cls"], said["doc"], said["line"], said["null"] = cls, doc, line, null
+        return pa.RecordBatch.from_arrays(
+            [pa.array(np.arange(parts, dtype=np.int32)),
+             pa.array(_by_part(rows, part, parts), pa.binary()),
+             pa.array(_by_part(said, place, parts), pa.binary())],
+            ["part", "data", "said"])
 
     def join(t: pa.Table) -> pa.Table:
         def unpack(name, kind):
@@ -445,8 +469,7 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 lines = (t.as_py() or "").split("\n")
                 h = _place(np.array([LAST if d is None else d], np.int64), np.arange(len(lines)))
-                hit = bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
-                said += [lines[k] for k in np.flatnonzero(hit).tolist()]
+                said += [lines[k] for k in np.flatnonzero(_in(bits, h)).tolist()]
             said = pa.array(said, pa.string())
             for a, b, off, _ in pieces(said):
                 row, _, _, cls, _ = line_sets(b, off)
