@@ -59,6 +59,7 @@ def chunk_depto_anio(fact: DataFrame, poblacion: DataFrame,
 def chunk_depto_total(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFrame:
     """One sentence per region: total (thousands separators), % women,
     mean age and the top province with its share."""
+    fact = M.cubo(fact)
     a = M.resumen_depto_total(fact)
     top = W.top_provincia(fact).select("departamento", F.col("provincia").alias("top_prov"),
                                        F.col("casos").alias("top_casos"))
@@ -159,7 +160,8 @@ def chunk_provincias(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFr
 
 
 def chunks_todos(fact: DataFrame, poblacion: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFrame:
-    """The six families appended (bag union)."""
+    """The six families appended (bag union) over one cube."""
+    fact = M.cubo(fact)
     return (chunk_depto_anio(fact, poblacion, params)
             .unionByName(chunk_depto_total(fact, params))
             .unionByName(chunk_mensual(fact))

@@ -7,13 +7,13 @@ arguments are plain filters (F1) that Catalyst pushes to the scans.
 Counts are ``COUNT(*)`` with map-side partial aggregation, so a region
 holding a third of all rows costs one partial row per task, not a hot task.
 
-Every count and mean is derived from one pre-aggregate of the fact, the
-``cubo`` (region, province, year, month, sex, band -> cases, sum and count
-of ages). Its size is bounded by the dimension cardinalities, not by the
-fact; a bundle that needs many breakdowns builds the same cube plan in each
-branch, so Spark reuses one exchange and the fact is scanned once. Sums of
-integer counts and of integer ages are exact, so the derived values equal a
-direct aggregation bit for bit.
+A single measure groups the fact directly (one exchange, only its own
+columns). A bundle of several breakdowns passes them the ``cubo`` instead
+(region, province, year, month, sex, band -> cases, sum and count of ages),
+whose size is bounded by the dimension cardinalities, not by the fact; each
+branch then has the same cube plan, so Spark reuses one exchange and the fact
+is scanned once. Sums of integer counts and of integer ages are exact, so
+both ways give equal values.
 """
 
 from __future__ import annotations
@@ -28,13 +28,25 @@ CUBE_KEYS = ("departamento", "provincia", "anio", "mes", "sexo", "grupo_etario")
 
 
 def cubo(fact: DataFrame) -> DataFrame:
-    """Pre-aggregate of the fact over the low-cardinality dimensions."""
+    """Pre-aggregate of the fact over the low-cardinality dimensions (a cube
+    stays as it is)."""
+    if "casos" in fact.columns:
+        return fact
     return fact.groupBy(*CUBE_KEYS).agg(
         F.count(F.lit(1)).alias("casos"),
         F.sum("edad").cast("bigint").alias("suma_edad"),
         F.count("edad").alias("n_edad"))
 
 
+def filas(fact: DataFrame) -> DataFrame:
+    """Fact rows in the columns of the cube, one case each (a cube stays as
+    it is); no aggregation, and unused columns are pruned from the scan."""
+    if "casos" in fact.columns:
+        return fact
+    return fact.select(*CUBE_KEYS, F.lit(1).alias("casos"), F.col("edad").alias("suma_edad"),
+                       F.col("edad").isNotNull().cast("int").alias("n_edad"))
+
+
 def cases():
     """COUNT(*) of the fact, as a sum over cube rows."""
     return F.sum("casos").cast("bigint").alias("casos")
@@ -65,7 +77,7 @@ def filtrar(fact: DataFrame, departamento: str | None = None, anio: int | None =
 def casos_por_anio(fact: DataFrame, departamento: str | None = None,
                    anio: int | None = None) -> DataFrame:
     """A1: cases per (region, year)."""
-    return filtrar(cubo(fact), departamento, anio).groupBy("departamento", "anio").agg(cases())
+    return filtrar(filas(fact), departamento, anio).groupBy("departamento", "anio").agg(cases())
 
 
 def con_poblacion(agg: DataFrame, poblacion: DataFrame,
@@ -92,19 +104,19 @@ def tasa_incidencia(fact: DataFrame, poblacion: DataFrame, departamento: str | N
 def distribucion_sexo(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A3: cases per sex."""
-    return filtrar(cubo(fact), departamento, anio).groupBy("departamento", "sexo").agg(cases())
+    return filtrar(filas(fact), departamento, anio).groupBy("departamento", "sexo").agg(cases())
 
 
 def distribucion_edad(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A4 (+F2): cases per age band, unknown band excluded."""
-    return (filtrar(cubo(fact), departamento, anio).where(F.col("grupo_etario") != cfg.UNKNOWN)
+    return (filtrar(filas(fact), departamento, anio).where(F.col("grupo_etario") != cfg.UNKNOWN)
             .groupBy("departamento", "grupo_etario").agg(cases()))
 
 
 def ranking_departamentos(fact: DataFrame, anio: int | None = None) -> DataFrame:
     """A5: cases per region (order: cases desc, then name)."""
-    return filtrar(cubo(fact), None, anio).groupBy("departamento").agg(cases())
+    return filtrar(filas(fact), None, anio).groupBy("departamento").agg(cases())
 
 
 def ordenar_ranking(ranking: DataFrame) -> DataFrame:
@@ -114,14 +126,14 @@ def ordenar_ranking(ranking: DataFrame) -> DataFrame:
 def tendencia_mensual(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A6 (+C14): cases per (region, year, month) with the month label."""
-    return (filtrar(cubo(fact), departamento, anio).groupBy("departamento", "anio", "mes").agg(cases())
+    return (filtrar(filas(fact), departamento, anio).groupBy("departamento", "anio", "mes").agg(cases())
             .withColumn("etiqueta", C.month_label("mes")))
 
 
 def provincias(fact: DataFrame, departamento: str | None = None,
                anio: int | None = None) -> DataFrame:
     """Cases per province."""
-    return filtrar(cubo(fact), departamento, anio).groupBy("departamento", "provincia").agg(cases())
+    return filtrar(filas(fact), departamento, anio).groupBy("departamento", "provincia").agg(cases())
 
 
 def _sex_counts():
@@ -132,7 +144,7 @@ def resumen_depto_anio(fact: DataFrame, poblacion: DataFrame,
                        scale: int = cfg.RATE_SCALE) -> DataFrame:
     """A8 + J5: per (region, year) cases, women, men, mean age (1 digit),
     population flag and rate (0 without population)."""
-    agg = (cubo(fact).groupBy("departamento", "anio")
+    agg = (filas(fact).groupBy("departamento", "anio")
            .agg(cases(), *_sex_counts(), C.round_half_up(mean_age(), 1).alias("edad_promedio")))
     pob = poblacion.select("departamento", "anio", F.col("total").alias("_pob"))
     return (agg.join(pob, ["departamento", "anio"], "left")
@@ -143,14 +155,14 @@ def resumen_depto_anio(fact: DataFrame, poblacion: DataFrame,
 
 def resumen_depto_total(fact: DataFrame) -> DataFrame:
     """Per region cases, women and mean age (1 digit)."""
-    return cubo(fact).groupBy("departamento").agg(
+    return filas(fact).groupBy("departamento").agg(
         cases(), females().alias("femenino"),
         C.round_half_up(mean_age(), 1).alias("edad_promedio"))
 
 
 def mensual_detalle(fact: DataFrame) -> DataFrame:
     """A10: cases per (region, year, month)."""
-    return cubo(fact).groupBy("departamento", "anio", "mes").agg(cases())
+    return filas(fact).groupBy("departamento", "anio", "mes").agg(cases())
 
 
 def edad_por_depto(fact: DataFrame) -> DataFrame:
@@ -177,21 +189,3 @@ def atenciones(fact: DataFrame, departamento: str | None = None,
                  F.coalesce(med.cast("double"), F.lit(0.0)).alias("mediana"),
                  F.coalesce(F.max(v).cast("bigint"), F.lit(0).cast("bigint")).alias("maximo"),
                  F.count(v).alias("n_valores")))
-
-
-def atenciones_promedio_total(fact: DataFrame, visits: str = "cant_atenciones") -> DataFrame:
-    """A13 overall mean per region (2 digits, 0 when empty)."""
-    return fact.groupBy("departamento").agg(
-        F.coalesce(C.round_half_up(F.avg(F.col(visits)), 2), F.lit(0.0)).alias("promedio_total"))
-
-
-def resumen_departamento_total(fact: DataFrame, departamento: str | None = None) -> DataFrame:
-    """Per region total cases and mean age (1 digit, 0 when absent)."""
-    return filtrar(cubo(fact), departamento).groupBy("departamento").agg(
-        F.sum("casos").cast("bigint").alias("total_casos"),
-        F.coalesce(C.round_half_up(mean_age(), 1), F.lit(0.0)).alias("edad_promedio"))
-
-
-def total_nacional(ranking: DataFrame) -> DataFrame:
-    """National total = sum over the ranking."""
-    return ranking.agg(F.sum("casos").cast("bigint").alias("total_casos"))

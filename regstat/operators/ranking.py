@@ -68,6 +68,7 @@ def participacion(fact: DataFrame) -> DataFrame:
                 .select("departamento", F.lit(seccion).alias("seccion"),
                         F.col(key).alias("clave"), "casos",
                         C.share_pct("casos", "total").alias("pct")))
+    fact = M.cubo(fact)
     return (share(M.distribucion_sexo(fact), "sexo", "sexo")
             .unionByName(share(M.distribucion_edad(fact), "grupo_etario", "edad"))
             .unionByName(share(M.provincias(fact), "provincia", "provincia")))
@@ -83,6 +84,7 @@ def intensidad(fact: DataFrame) -> DataFrame:
                          (F.col("anio") if "anio" in group else F.lit(None).cast("int")).alias("anio"),
                          F.col(key).cast("string").alias("clave"), "casos",
                          (F.col("casos").cast("double") / mx).alias("relativo"))
+    fact = M.cubo(fact)
     return (rel(M.provincias(fact), ["departamento"], "provincia", "provincia")
             .unionByName(rel(M.mensual_detalle(fact), ["departamento", "anio"], "mes", "mes")))
 
@@ -97,11 +99,12 @@ def pico_mensual(fact: DataFrame) -> DataFrame:
 def kpi_departamento(fact: DataFrame) -> DataFrame:
     """R5 (W7, W10, W2): per region total, last year and its cases, % women
     over all sexes, top province and its cases."""
+    fact = M.cubo(fact)
     by_year = (M.casos_por_anio(fact).groupBy("departamento")
                .agg(F.sum("casos").cast("bigint").alias("total_casos"),
                     F.max("anio").alias("ultimo_anio"),
                     F.max_by("casos", "anio").alias("casos_ultimo_anio")))
-    sexo = (M.cubo(fact).groupBy("departamento")
+    sexo = (fact.groupBy("departamento")
             .agg(M.females().alias("femenino"), F.sum("casos").alias("total_sexo")))
     top = top_provincia(fact).select("departamento", F.col("provincia").alias("top_provincia"),
                                      F.col("casos").alias("casos_top_provincia"))
@@ -112,13 +115,16 @@ def kpi_departamento(fact: DataFrame) -> DataFrame:
 
 def kpi_nacional(fact: DataFrame, anio: int | None = None) -> DataFrame:
     """National total, number of regions with data, #1 and #2 (cases
-    desc, name asc). One aggregate over the per-region ranking, whose size
-    is the number of regions (a dimension), so ordering it in one group is
-    bounded."""
+    desc, name asc). Only the two first regions are sorted out (top-k
+    per task), whatever the number of regions."""
     ranking = M.ranking_departamentos(fact, anio)
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("casos")).alias("neg"), F.col("departamento"))))
-    return (ranking.agg(F.sum("casos").cast("bigint").alias("total_casos"),
-                        F.count(F.lit(1)).alias("departamentos"), ordered.alias("_o"))
+    first = ranking.orderBy(F.col("casos").desc(), F.col("departamento").asc()).limit(2)
+    top = first.agg(F.sort_array(F.collect_list(F.struct((-F.col("casos")).alias("neg"), "departamento"))).alias("_o"))
+    totals = ranking.agg(F.sum("casos").cast("bigint").alias("total_casos"),
+                         F.count(F.lit(1)).alias("departamentos"))
+    both = (totals.withColumn("_o", F.lit(None).cast(top.schema["_o"].dataType))
+            .unionByName(top, allowMissingColumns=True))  # two rows, folded into one
+    return (both.agg(*[F.max(c).alias(c) for c in ("total_casos", "departamentos", "_o")])
             .select("total_casos", "departamentos",
                     F.get("_o", 0)["departamento"].alias("primero"),
                     (-F.get("_o", 0)["neg"]).alias("casos_primero"),

@@ -10,17 +10,18 @@ sets aggregation over the cleaned rows (one scan, one shuffle).
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from regstat import config as cfg
 from regstat.functions import columns as C
-from regstat.functions.sizing import broadcast_if_small, materializar
+from regstat.functions.sizing import materializar
 
 TIME_KEY = ("anio", "mes")
 GEO_KEY = ("departamento", "provincia", "distrito")
 PATIENT_KEY = ("sexo", "grupo_etario")
-MAX_DIMENSION_ROWS = 1_000_000
+TABLAS = ("fact_casos", "dim_tiempo", "dim_geografia", "dim_paciente", "dim_fuente", "poblacion")
 
 
 def _id(*cols) -> F.Column:
@@ -73,7 +74,8 @@ def dimensiones(valid: DataFrame, params: cfg.Params = cfg.SOURCE) -> dict:
     a load reads the registry once for all of them."""
     sets = {"t": TIME_KEY, "g": GEO_KEY, "p": PATIENT_KEY}
     cols = [c for s in sets.values() for c in s]
-    g = valid.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
+    pre = valid.groupBy(*cols).agg(F.min("ubigeo").alias("ubigeo"))  # the Expand sees keys, not rows
+    g = pre.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
         .agg(F.min("ubigeo").alias("ubigeo"), F.grouping_id().alias("_set"))
     # Small result read by three filters: materialized once (see
     # ``reports._sets``), otherwise each filter would be pushed into the
@@ -99,8 +101,9 @@ def dimensiones(valid: DataFrame, params: cfg.Params = cfg.SOURCE) -> dict:
 
 def construir_estrella(spark: SparkSession, clean: DataFrame, poblacion: DataFrame,
                        params: cfg.Params = cfg.SOURCE) -> dict:
-    """All star tables as DataFrames (nothing is computed until written);
-    the dimensions come from one pass (``dimensiones``)."""
+    """All star tables as DataFrames. The dimensions come from one pass over
+    the accepted rows, run at once (``dimensiones``); the fact is computed
+    when it is written."""
     valid = clean.where(F.col("valido"))
     return {
         "fact_casos": fact_casos(valid),
@@ -127,19 +130,39 @@ def guardar_estrella(star: dict, out_dir: str) -> dict:
     return paths
 
 
-def vista_analitica(star: dict, checked_broadcast: bool = False) -> DataFrame:
+def publicar_estrella(spark: SparkSession, star: dict, out_dir: str) -> dict:
+    """K1: write a fresh version and name it in the log of published versions
+    as the last step; returns its tables as read back."""
+    paths = guardar_estrella(star, out_dir)
+    version = paths["fact_casos"].rsplit("/v=", 1)[1].split("/")[0]
+    (spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("publicado_en"))
+     .coalesce(1).write.mode("append").parquet(f"{out_dir.rstrip('/')}/publicaciones"))
+    return {name: spark.read.parquet(path) for name, path in paths.items()}
+
+
+def abrir_estrella(spark: SparkSession, out_dir: str) -> dict | None:
+    """The tables of the version published last, or None before the first."""
+    root = out_dir.rstrip("/")
+    try:
+        log = spark.read.schema("version string, publicado_en timestamp").parquet(f"{root}/publicaciones")
+        row = log.agg(F.max_by("version", "publicado_en").alias("version")).first()
+    except AnalysisException:
+        return None
+    if row["version"] is None:
+        return None
+    return {name: spark.read.parquet(f"{root}/v={row['version']}/{name}") for name in TABLAS}
+
+
+def vista_analitica(star: dict) -> DataFrame:
     """Fact joined back to its dimensions (the analytic fact of the
     measures). The broadcast decision is left to size evidence: persisted
     dimensions are broadcast by the planner from their file size, and
     dimensions computed in the same job are broadcast by AQE from the
     measured size of their shuffle output (a sort-merge join otherwise).
-    ``checked_broadcast=True`` adds an explicit row-count check, meant for
-    persisted dimensions only (on in-job dimensions the check would cost a
-    pass over the fact)."""
-    f = star["fact_casos"].drop("anio")
-    t, g, p = star["dim_tiempo"], star["dim_geografia"].drop("ubigeo"), star["dim_paciente"]
-    if checked_broadcast:
-        t, g, p = (broadcast_if_small(d, MAX_DIMENSION_ROWS) for d in (t, g, p))
+    The year is the fact's own column, by which it is stored, so a year
+    filter prunes its folders."""
+    f = star["fact_casos"]
+    t, g, p = star["dim_tiempo"].drop("anio"), star["dim_geografia"].drop("ubigeo"), star["dim_paciente"]
     return (f.join(t, "tiempo_id").join(g, "geografia_id").join(p, "paciente_id")
             .select("departamento", "provincia", "distrito", "anio", "mes", "sexo",
                     "edad", "grupo_etario", "cant_atenciones"))
@@ -152,8 +175,9 @@ def _grouped_counts(clean: DataFrame) -> DataFrame:
             "geografias": ("valido",) + GEO_KEY, "periodos": ("valido",) + TIME_KEY,
             "grupos_paciente": ("valido",) + PATIENT_KEY}
     cols = sorted({c for s in sets.values() for c in s})
-    g = clean.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
-        .agg(F.count(F.lit(1)).alias("n"), F.grouping_id().alias("gid"))
+    pre = clean.groupBy(*cols).agg(F.count(F.lit(1)).alias("n"))  # the Expand sees keys, not rows
+    g = pre.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
+        .agg(F.sum("n").alias("n"), F.grouping_id().alias("gid"))
     # grouping_id bit i (from the left, over ``cols``) is 1 when cols[i] is
     # aggregated away; map each set to its id.
     ids = {}
@@ -201,8 +225,8 @@ def conteo_tablas(clean: DataFrame, poblacion: DataFrame) -> DataFrame:
     star = (per.select(tabla.alias("tabla"),
                        F.when(m == "valido", F.col("n_filas")).otherwise(F.col("n_grupos")).alias("filas"))
             .where(F.col("tabla").isNotNull()))
-    fuente = clean.sparkSession.range(1).select(F.lit("dim_fuente").alias("tabla"),
-                                                F.lit(1).cast("bigint").alias("filas"))
+    fuente = (dim_fuente(clean.sparkSession).agg(F.count(F.lit(1)).cast("bigint").alias("filas"))
+              .select(F.lit("dim_fuente").alias("tabla"), "filas"))
     pob = (poblacion.agg(F.count(F.lit(1)).cast("bigint").alias("filas"))
            .select(F.lit("poblacion").alias("tabla"), "filas"))
     return star.unionByName(fuente).unionByName(pob)
@@ -212,25 +236,30 @@ def integridad_referencial(star: dict) -> DataFrame:
     """K5: orphan foreign keys, nulls in NOT NULL columns, hash-id collisions
     and fact regions without population; long form (chequeo, detalle, n).
 
-    One pass over the fact: it is left-joined to every dimension (small
-    aggregates; AQE turns these into broadcast joins from their measured
-    size) and reduced to one row per region, from which every fact check
+    One pass over the fact: it is grouped by its foreign keys first (a hot
+    key is one partial row per task), the groups are left-joined to every
+    dimension and reduced to one row per region, from which every fact check
     is derived. Collisions are counted on the dimensions themselves.
     """
-    f = star["fact_casos"]
     keys = {"tiempo_id": "dim_tiempo", "geografia_id": "dim_geografia",
             "paciente_id": "dim_paciente", "fuente_id": "dim_fuente"}
-    j = f
+    j = star["fact_casos"].groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(F.col("uuid_hash").isNull()).alias("z_uuid_hash"))
     for key, dim in keys.items():
         extra = ["departamento"] if key == "geografia_id" else []
-        j = j.join(star[dim].select(key, F.lit(True).alias(f"_in_{key}"), *extra), key, "left")
+        # one row per id, so that a repeated id cannot multiply the fact
+        d = star[dim].groupBy(key).agg(F.lit(True).alias(f"_in_{key}"), *[F.min(c).alias(c) for c in extra])
+        j = j.join(d, key, "left")
     not_null = ("uuid_hash", "tiempo_id", "geografia_id", "paciente_id", "fuente_id")
+
+    def rows(bad):
+        return F.sum(F.when(bad, F.col("n")).otherwise(F.lit(0)))
     # One row per region; read by the totals and the population check, so
     # it is materialized once (one pass over the fact).
     per_dep = materializar(j.groupBy("departamento").agg(
-        F.count(F.lit(1)).alias("n"),
-        *[F.count_if(F.col(k).isNotNull() & F.col(f"_in_{k}").isNull()).alias(f"o_{k}") for k in keys],
-        *[F.count_if(F.col(c).isNull()).alias(f"z_{c}") for c in not_null]))
+        F.sum("n").alias("n"), F.sum("z_uuid_hash").alias("z_uuid_hash"),
+        *[rows(F.col(k).isNotNull() & F.col(f"_in_{k}").isNull()).alias(f"o_{k}") for k in keys],
+        *[rows(F.col(k).isNull()).alias(f"z_{k}") for k in keys]))
     items = ([("fk_huerfana", k, f"o_{k}") for k in keys]
              + [("nulo", c, f"z_{c}") for c in not_null])
     totals = per_dep.agg(*[F.sum(col).alias(col) for _, _, col in items]).select(F.inline(F.array(*[
@@ -278,6 +307,10 @@ def esquemas():
         "poblacion": T.StructType([_f("departamento", "StringType", False), _f("anio", "IntegerType", False),
                                    _f("total", "LongType", False), _f("hombres", "LongType"),
                                    _f("mujeres", "LongType")]),
+        "embeddings": T.StructType([_f("chunk_type", "StringType", False), _f("chunk_key", "StringType", False),
+                                    _f("content", "StringType", False),
+                                    T.StructField("embedding", T.ArrayType(T.FloatType())),
+                                    _f("metadata_json", "StringType")]),
     }
 
 

@@ -34,12 +34,24 @@ def key(name: str):
     return deco
 
 
+def _star(spark, sf):
+    """The published star of the dataset: loaded from the registry CSV and the
+    population sheets the first time, read back from then on."""
+    root = f"{S.carpeta(spark, sf)}/estrella"
+    star = WH.abrir_estrella(spark, root)
+    if star is None:
+        clean = CL.limpiar_nacional(_raw(spark, sf), P)
+        star = WH.publicar_estrella(spark, WH.construir_estrella(
+            spark, clean, S.poblacion_desde_hojas(spark, sf, P), P), root)
+    return star
+
+
 def _fact(spark, sf):
-    return S.casos(spark, sf)
+    return WH.vista_analitica(_star(spark, sf))
 
 
 def _pob(spark, sf):
-    return S.poblacion(spark, sf, P)
+    return _star(spark, sf)["poblacion"]
 
 
 @key("casos_por_anio")
@@ -129,10 +141,6 @@ def _valid(spark, sf):
     return _clean(spark, sf).where(F.col("valido"))
 
 
-def _star(spark, sf):
-    return WH.construir_estrella(spark, _clean(spark, sf), _pob(spark, sf), P)
-
-
 Q["dim_tiempo"] = lambda spark, sf: WH.dim_tiempo(_valid(spark, sf), P).drop("tiempo_id")
 Q["dim_geografia"] = lambda spark, sf: WH.dim_geografia(_valid(spark, sf)).drop("geografia_id")
 Q["dim_paciente"] = lambda spark, sf: WH.dim_paciente(_valid(spark, sf)).drop("paciente_id")

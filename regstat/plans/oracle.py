@@ -8,10 +8,10 @@ Shared pieces are common-table expressions assembled by ``with_``.
 from __future__ import annotations
 
 from regstat import config as cfg
-from regstat.functions.columns import INT_PREFIX_PATTERN, JS_SPACE_CODES
-from regstat.operators.questions import FENCE_OPEN, year_pattern
 
 P = cfg.STANDIN
+# White space of a JavaScript trim, stated here on its own (the engine has its own list).
+_SPACE = [9, 10, 11, 12, 13, 32, 160, 5760, *range(8192, 8203), 8232, 8233, 8239, 8287, 12288, 65279]
 
 
 def _band(e: str, unknown: str = cfg.UNKNOWN) -> str:
@@ -43,17 +43,86 @@ def js_num(x: str, d: int) -> str:
 CTE = {}
 CTE["visits"] = """visits as (
   select l_orderkey, cast(count(*) as int) cant_atenciones from lineitem group by l_orderkey)"""
-CTE["fact0"] = """fact0 as (
-  select o_orderkey registro_id, r_name departamento, n_name provincia, c_mktsegment distrito,
-         cast(year(o_orderdate) as int) anio, cast(month(o_orderdate) as int) mes,
-         case o_orderstatus when 'F' then 'FEMENINO' when 'O' then 'MASCULINO'
-              else 'DESCONOCIDO' end sexo,
-         cast(floor(abs(c_acctbal) / 100) as int) edad, v.cant_atenciones
+_JS_CHARS = " || ".join(f"chr({c})" for c in _SPACE)
+
+
+def jt(x: str) -> str:
+    return f"trim({x}, {_JS_CHARS})"
+
+
+def ct(x: str, upper: bool = False) -> str:
+    out = f"replace({jt(f'coalesce({x}, {chr(39)}{chr(39)})')}, '\"', '')"
+    return f"upper({out})" if upper else out
+
+
+def li(x: str) -> str:
+    d = f"regexp_extract(ltrim({x}, {_JS_CHARS}), '^([+-]?[0-9]+)', 1)"
+    return f"case when {d} = '' then null else try_cast({d} as integer) end"
+
+
+CTE["rawbase"] = """rawbase as (
+  select o_orderkey, o_orderstatus, o_orderdate, o_orderpriority p, c_acctbal, c_mktsegment,
+         n_nationkey, n_name, r_regionkey, r_name, v.cant_atenciones cant,
+         day(o_orderdate) d, strftime(o_orderdate, '%Y%m%d') ymd,
+         case o_orderstatus when 'F' then 'FEMENINO' when 'O' then 'MASCULINO' else 'X' end sb,
+         cast(cast(floor(abs(c_acctbal) / 100) as int) as varchar) et,
+         ' ' || r_name || '-' || n_name || '-' || c_mktsegment lb
   from orders join customer on o_custkey = c_custkey
-  join nation on c_nationkey = n_nationkey
-  join region on n_regionkey = r_regionkey
+  join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
   left join visits v on v.l_orderkey = o_orderkey)"""
-CTE["fact"] = f"""fact as (select *, {_band('edad')} grupo_etario from fact0)"""
+CTE["raw"] = """raw as (select
+  lpad(cast(o_orderkey as varchar), 12, '0') || '-' || p || '-' || lower(c_mktsegment) "UUID",
+  cast(o_orderkey as varchar) "HISTORIA",
+  case when d = 31 then substring(ymd, 1, 5)
+       when d = 30 and p = '1-URGENT' then substring(ymd, 1, 4) || '13' || substring(ymd, 7, 2)
+       when d = 29 and p = '1-URGENT' then 'ABCDEFGH'
+       when d = 28 and p = '1-URGENT' then cast(year(o_orderdate) - 10 as varchar) || substring(ymd, 5, 4)
+       when d = 27 and p = '1-URGENT' then ' "' || ymd || '"'
+       else ymd end "FEC_FILIACION",
+  case when p = '2-HIGH' then ' "' || lower(sb) || '" '
+       when p = '3-MEDIUM' and d <= 3 then '" ' || lower(sb) || ' "' else sb end "SEXO",
+  case when d = 1 then et || '.7' when d = 2 then et || 'abc'
+       when d = 3 and p = '5-LOW' then '' when d = 4 and p = '5-LOW' then '-1'
+       when d = 5 and p = '5-LOW' then ' ' || et else et end "EDAD",
+  lpad(cast(r_regionkey + 1 as varchar), 2, '0') || lpad(cast(n_nationkey + 1 as varchar), 2, '0') || '01'
+    "UBIGEO_LUGAR_RESIDENCIA",
+  case when p = '4-NOT SPECIFIED' and d = 5 then ' ' || r_name
+       when p = '4-NOT SPECIFIED' and d = 6 then r_name || '--' || c_mktsegment
+       when p = '4-NOT SPECIFIED' and d = 7 then r_name || '-  -' || c_mktsegment
+       when p = '4-NOT SPECIFIED' and d = 8 then n_name || '-' || n_name || '-' || r_name
+       when p = '5-LOW' and d = 9 then lower(lb)
+       when p = '3-MEDIUM' and d = 10 then chr(9) || lb || chr(160)
+       when p = '2-HIGH' and d = 11 then '"' || lb || '"'
+       else lb end "LUGAR_RESIDENCIA",
+  case when p = '5-LOW' and d = 12 then ' ' || cast(cant as varchar) || 'x'
+       else coalesce(cast(cant as varchar), '') end "CANT_ATENCIONES_CEX"
+  from rawbase)"""
+_fec = ct('"FEC_FILIACION"')
+_sx = ct('"SEXO"', True)
+_ed = li(ct('"EDAD"'))
+_parts = f"string_split({ct('"LUGAR_RESIDENCIA"')}, '-')"
+_years_txt = ", ".join(f"'{y}'" for y in P.report_years)
+CTE["nac"] = f"""nac0 as (select "HISTORIA" historia, {_fec} fecha, {_sx} sx, {_ed} edad,
+    {_parts} parts, {ct('"UBIGEO_LUGAR_RESIDENCIA"')} ubigeo,
+    {li(ct('"CANT_ATENCIONES_CEX"'))} cant_atenciones, substring({ct('"UUID"')}, 1, 16) uuid_hash,
+    "LUGAR_RESIDENCIA" lugar_crudo
+  from raw),
+nac as (select *, {li('substring(fecha, 1, 4)')} anio, {li('substring(fecha, 5, 2)')} mes,
+    coalesce(length(fecha) >= 6 and {li('substring(fecha, 1, 4)')} between {P.first_year} and {P.last_year}
+      and {li('substring(fecha, 5, 2)')} between 1 and 12, false) valido,
+    case when sx in ('FEMENINO', 'MASCULINO') then sx else '{cfg.UNKNOWN}' end sexo,
+    case when sx in ('FEMENINO', 'MASCULINO') then sx end sexo_regional,
+    {_band('edad')} grupo_etario,
+    {_band('edad', cfg.UNKNOWN_BAND_REGIONAL)} grupo_etario_regional,
+    upper({jt(f"coalesce(nullif(parts[1], ''), '{cfg.UNKNOWN}')")}) departamento,
+    upper({jt(f"coalesce(nullif(parts[2], ''), '{cfg.UNKNOWN}')")}) provincia,
+    upper({jt("coalesce(nullif(parts[3], ''), '')")}) distrito,
+    case when len(parts) >= 2 then {jt('parts[2]')} else '{cfg.UNKNOWN_PROVINCE_REGIONAL}' end provincia_regional,
+    length(fecha) >= 6 and substring(fecha, 1, 4) in ({_years_txt}) incluido_regional
+  from nac0)"""
+CTE["fact"] = """fact as (
+  select departamento, provincia, distrito, anio, mes, sexo, edad, grupo_etario, cant_atenciones
+  from nac where valido)"""
 _base_year = min(min(ys) for ys in P.sheet_years.values())
 CTE["poblacion"] = f"""pob_nation as (
   select c_nationkey, count(*) n, count_if(c_acctbal >= 0) h from customer group by c_nationkey),
@@ -75,7 +144,7 @@ CTE["tasa"] = f"""tasa as (
          cast(floor(c.casos / nullif(p.total, 0) * {cfg.RATE_SCALE} * 100 + 0.5::double) as bigint) y100
   from cpa c left join poblacion p on p.departamento = c.departamento and p.anio = c.anio)"""
 
-DEPS = {"fact0": ["visits"], "fact": ["fact0"], "cpa": ["fact"], "tasa": ["cpa", "poblacion"]}
+DEPS = {"rawbase": ["visits"], "raw": ["rawbase"], "nac": ["raw"], "fact": ["nac"], "cpa": ["fact"], "tasa": ["cpa", "poblacion"]}
 
 
 def with_(*names: str) -> str:
@@ -236,87 +305,8 @@ from tasa t left join coef c using (departamento)"""
 
 
 # ---------------------------------------------------------------------------
-# Raw registry text and its cleaning
+# Keys over the raw registry
 # ---------------------------------------------------------------------------
-
-_JS_CHARS = " || ".join(f"chr({c})" for c in JS_SPACE_CODES)
-
-
-def jt(x: str) -> str:
-    return f"trim({x}, {_JS_CHARS})"
-
-
-def ct(x: str, upper: bool = False) -> str:
-    out = f"replace({jt(f'coalesce({x}, {chr(39)}{chr(39)})')}, '\"', '')"
-    return f"upper({out})" if upper else out
-
-
-def li(x: str) -> str:
-    d = f"regexp_extract({x}, '{INT_PREFIX_PATTERN}', 1)"
-    return f"case when {d} = '' then null else try_cast({d} as integer) end"
-
-
-CTE["rawbase"] = """rawbase as (
-  select o_orderkey, o_orderstatus, o_orderdate, o_orderpriority p, c_acctbal, c_mktsegment,
-         n_nationkey, n_name, r_regionkey, r_name, v.cant_atenciones cant,
-         day(o_orderdate) d, strftime(o_orderdate, '%Y%m%d') ymd,
-         case o_orderstatus when 'F' then 'FEMENINO' when 'O' then 'MASCULINO' else 'X' end sb,
-         cast(cast(floor(abs(c_acctbal) / 100) as int) as varchar) et,
-         ' ' || r_name || '-' || n_name || '-' || c_mktsegment lb
-  from orders join customer on o_custkey = c_custkey
-  join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey
-  left join visits v on v.l_orderkey = o_orderkey)"""
-CTE["raw"] = """raw as (select
-  lpad(cast(o_orderkey as varchar), 12, '0') || '-' || p || '-' || lower(c_mktsegment) "UUID",
-  cast(o_orderkey as varchar) "HISTORIA",
-  case when d = 31 then substring(ymd, 1, 5)
-       when d = 30 and p = '1-URGENT' then substring(ymd, 1, 4) || '13' || substring(ymd, 7, 2)
-       when d = 29 and p = '1-URGENT' then 'ABCDEFGH'
-       when d = 28 and p = '1-URGENT' then cast(year(o_orderdate) - 10 as varchar) || substring(ymd, 5, 4)
-       when d = 27 and p = '1-URGENT' then ' "' || ymd || '"'
-       else ymd end "FEC_FILIACION",
-  case when p = '2-HIGH' then ' "' || lower(sb) || '" '
-       when p = '3-MEDIUM' and d <= 3 then '" ' || lower(sb) || ' "' else sb end "SEXO",
-  case when d = 1 then et || '.7' when d = 2 then et || 'abc'
-       when d = 3 and p = '5-LOW' then '' when d = 4 and p = '5-LOW' then '-1'
-       when d = 5 and p = '5-LOW' then ' ' || et else et end "EDAD",
-  lpad(cast(r_regionkey + 1 as varchar), 2, '0') || lpad(cast(n_nationkey + 1 as varchar), 2, '0') || '01'
-    "UBIGEO_LUGAR_RESIDENCIA",
-  case when p = '4-NOT SPECIFIED' and d = 5 then ' ' || r_name
-       when p = '4-NOT SPECIFIED' and d = 6 then r_name || '--' || c_mktsegment
-       when p = '4-NOT SPECIFIED' and d = 7 then r_name || '-  -' || c_mktsegment
-       when p = '4-NOT SPECIFIED' and d = 8 then n_name || '-' || n_name || '-' || r_name
-       when p = '5-LOW' and d = 9 then lower(lb)
-       when p = '3-MEDIUM' and d = 10 then chr(9) || lb || chr(160)
-       when p = '2-HIGH' and d = 11 then '"' || lb || '"'
-       else lb end "LUGAR_RESIDENCIA",
-  case when p = '5-LOW' and d = 12 then ' ' || cast(cant as varchar) || 'x'
-       else coalesce(cast(cant as varchar), '') end "CANT_ATENCIONES_CEX"
-  from rawbase)"""
-_fec = ct('"FEC_FILIACION"')
-_sx = ct('"SEXO"', True)
-_ed = li(ct('"EDAD"'))
-_parts = f"string_split({ct('"LUGAR_RESIDENCIA"')}, '-')"
-_years_txt = ", ".join(f"'{y}'" for y in P.report_years)
-CTE["nac"] = f"""nac0 as (select "HISTORIA" historia, {_fec} fecha, {_sx} sx, {_ed} edad,
-    {_parts} parts, {ct('"UBIGEO_LUGAR_RESIDENCIA"')} ubigeo,
-    {li(ct('"CANT_ATENCIONES_CEX"'))} cant_atenciones, substring({ct('"UUID"')}, 1, 16) uuid_hash,
-    "LUGAR_RESIDENCIA" lugar_crudo
-  from raw),
-nac as (select *, {li('substring(fecha, 1, 4)')} anio, {li('substring(fecha, 5, 2)')} mes,
-    coalesce(length(fecha) >= 6 and {li('substring(fecha, 1, 4)')} between {P.first_year} and {P.last_year}
-      and {li('substring(fecha, 5, 2)')} between 1 and 12, false) valido,
-    case when sx in ('FEMENINO', 'MASCULINO') then sx else '{cfg.UNKNOWN}' end sexo,
-    case when sx in ('FEMENINO', 'MASCULINO') then sx end sexo_regional,
-    {_band('edad')} grupo_etario,
-    {_band('edad', cfg.UNKNOWN_BAND_REGIONAL)} grupo_etario_regional,
-    upper({jt(f"coalesce(nullif(parts[1], ''), '{cfg.UNKNOWN}')")}) departamento,
-    upper({jt(f"coalesce(nullif(parts[2], ''), '{cfg.UNKNOWN}')")}) provincia,
-    upper({jt("coalesce(nullif(parts[3], ''), '')")}) distrito,
-    case when len(parts) >= 2 then {jt('parts[2]')} else '{cfg.UNKNOWN_PROVINCE_REGIONAL}' end provincia_regional,
-    length(fecha) >= 6 and substring(fecha, 1, 4) in ({_years_txt}) incluido_regional
-  from nac0)"""
-DEPS.update({"rawbase": ["visits"], "raw": ["rawbase"], "nac": ["raw"]})
 _N = with_("nac")
 SQL["limpiar_texto"] = _N + "select historia, uuid_hash, sexo, sexo_regional from nac"
 SQL["entero_tolerante"] = _N + "select historia, edad, cant_atenciones from nac"
@@ -562,8 +552,9 @@ CTE["preguntas"] = """preguntas as (
     else '¿qué significa ' || y || ' para ' || lower(n_name) || '?' end texto
   from (select *, cast(1995 + c_custkey % 8 as varchar) y from customer) c
   join nation on c_nationkey = n_nationkey join region on n_regionkey = r_regionkey)"""
+_YEARS = "(^|[^A-Za-z0-9_])(" + "|".join(str(y) for y in P.years) + ")([^A-Za-z0-9_]|$)"
 SQL["detectar_filtros"] = with_("preguntas") + f"""select pregunta_id, texto,
-  try_cast(nullif(regexp_extract(texto, '{year_pattern(P.years)}', 2), '') as int) anio,
+  try_cast(nullif(regexp_extract(texto, '{_YEARS}', 2), '') as int) anio,
   list_filter((select list(r_name order by r_regionkey) from region), lambda d: contains(upper(texto), d))[1] departamento
 from preguntas"""
 CTE["respuestas"] = """resp0 as (
@@ -580,7 +571,7 @@ respuestas as (
   from (select *, '{"texto":"respuesta ' || cast(conv_id as varchar) || '-' || cast(turn as varchar)
     || '","grafica":{"tipo":"' || tipo || '","titulo":"t","datos":' || datos || ',"ejeX":"x","ejeY":"y"}}' obj
     from resp0))"""
-_c1 = f"regexp_replace({jt('respuesta')}, '{FENCE_OPEN[4:]}', '', 'i')"
+_c1 = f"regexp_replace({jt('respuesta')}, '^```(?:json)?\\s*', '', 'i')"
 _c2 = jt(f"regexp_replace({_c1}, '(?s)^(.*?)\\s*```(?m:$)', '\\1')")
 CTE["parsed"] = f"""parsed00 as (select *, {_c2} c0 from respuestas),
 parsed0 as (select *, case when json_valid(c0) then c0 end c from parsed00),

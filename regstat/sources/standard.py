@@ -19,6 +19,8 @@ orders x per-order line counts, which the planner runs as shuffle joins
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -133,6 +135,20 @@ def registro(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def carpeta(spark: SparkSession, sf_dir: str) -> str:
+    """Shared folder of what is derived from a dataset. Its name follows the
+    data: the path as given (it may be a URI) and one hash of the input
+    files' names, sizes and times (a listing; no content is read)."""
+    from regstat.session import checkpoint_dir
+    root = sf_dir.rstrip("/")
+    files = spark.read.format("binaryFile").load(
+        [f"{root}/{t}.parquet" for t in ("orders", "customer", "nation", "region", "lineitem")])
+    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+    n, total = files.agg(F.count(F.lit(1)), F.sum(one)).first()
+    key = hashlib.sha1(repr((root, n, str(total))).encode()).hexdigest()[:16]
+    return f"{checkpoint_dir(spark).rstrip('/')}/regstat-fixtures/{key}"
+
+
 def registro_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The raw registry as the source receives it: a Latin-1 CSV file set,
     read back with the S1 reader (header, all strings).
@@ -142,19 +158,9 @@ def registro_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     reuse it. Writing keeps leading/trailing blanks, which are part of the
     test cases.
     """
-    import hashlib
-
     from pyspark.errors import AnalysisException
 
-    from regstat.session import checkpoint_dir
-    # The key follows the data: the path as given (it may be a URI) and the
-    # input files' names, sizes and times.
-    files = sorted(tuple(r) for t in ("orders", "customer", "nation", "region")
-                   for r in table(spark, sf_dir, t).select(
-                       "_metadata.file_path", "_metadata.file_size",
-                       "_metadata.file_modification_time").distinct().collect())
-    key = hashlib.sha1(repr((sf_dir, files)).encode()).hexdigest()[:16]
-    path = f"{checkpoint_dir(spark).rstrip('/')}/regstat-fixtures/registro-{key}"
+    path = f"{carpeta(spark, sf_dir)}/registro"
     try:
         spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
     except AnalysisException:
