@@ -136,6 +136,12 @@ def js_number(x, digits: int) -> Column:
     return F.regexp_replace(fixed, "\\.?0+$", "")
 
 
+def json_string(c) -> Column:
+    """A JSON string literal of a text column (quotes and backslashes escaped)."""
+    esc = F.replace(F.replace(col_(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
+    return F.concat(F.lit('"'), esc, F.lit('"'))
+
+
 def template(tpl: str, **values) -> Column:
     """Fill a ``{name}`` template with columns (or plain strings) as one
     ``concat``; every value is cast to string."""

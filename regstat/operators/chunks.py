@@ -26,12 +26,6 @@ def _s(c) -> F.Column:
     return C.col_(c).cast("string")
 
 
-def _json_str(c) -> F.Column:
-    """A JSON string literal of a text column (quotes and backslashes escaped)."""
-    esc = F.replace(F.replace(C.col_(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), esc, F.lit('"'))
-
-
 def _out(df: DataFrame, tipo: str, key, content, meta) -> DataFrame:
     return df.select(F.lit(tipo).alias("chunk_type"), key.alias("chunk_key"),
                      content.alias("content"), meta.alias("metadata_json"))
@@ -50,7 +44,7 @@ def chunk_depto_anio(fact: DataFrame, poblacion: DataFrame,
     content = C.template(cfg.TPL_DEPTO_ANIO, anio=F.col("anio"), parcial=parcial,
                          departamento=F.col("departamento"), casos=F.col("casos"), fuente=cfg.SOURCE_NAME,
                          tasa=tasa_txt, pct_femenino=pct, pct_masculino=F.lit(100) - pct, edad=edad)
-    meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"), F.lit(',"año":'), _s("anio"),
+    meta = F.concat(F.lit('{"departamento":'), C.json_string("departamento"), F.lit(',"año":'), _s("anio"),
                     F.lit(',"casos":'), _s("casos"), F.lit(',"tasa":'), tasa, F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_"), _s("anio"))
     return _out(a, cfg.CHUNK_DEPTO_ANIO, key, content, meta)
@@ -72,7 +66,7 @@ def chunk_depto_total(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataF
     content = C.template(cfg.TPL_DEPTO_TOTAL, departamento=F.col("departamento"), casos=C.thousands("casos"),
                          desde=str(params.first_year), hasta=str(params.last_year), fuente=cfg.SOURCE_NAME,
                          pct_femenino=pct, edad=edad, provincia=prov)
-    meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"),
+    meta = F.concat(F.lit('{"departamento":'), C.json_string("departamento"),
                     F.lit(',"casos":'), _s("casos"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_total"))
     return _out(a, cfg.CHUNK_DEPTO_TOTAL, key, content, meta)
@@ -95,7 +89,7 @@ def chunk_mensual(fact: DataFrame, min_months: int = cfg.MIN_MONTHS_FOR_CHUNK) -
     content = C.template(cfg.TPL_MENSUAL, departamento=F.col("departamento"), anio=F.col("anio"),
                          serie=serie, mes_pico=C.month_label("mes_pico"), casos_pico=F.col("casos_pico"),
                          promedio=prom)
-    meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"),
+    meta = F.concat(F.lit('{"departamento":'), C.json_string("departamento"),
                     F.lit(',"año":'), _s("anio"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_"), _s("anio"))
     return _out(g, cfg.CHUNK_MENSUAL, key, content, meta)
@@ -139,7 +133,7 @@ def chunk_edad(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFrame:
     content = C.template(cfg.TPL_EDAD, departamento=F.col("departamento"), desde=str(params.first_year),
                          hasta=str(params.last_year), grupos=grupos, grupo=F.col("g_max"),
                          casos=F.col("c_max"), pct=C.share_pct("c_max", "total"))
-    meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"), F.lit("}"))
+    meta = F.concat(F.lit('{"departamento":'), C.json_string("departamento"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_edad"))
     return _out(g, cfg.CHUNK_EDAD, key, content, meta)
 
@@ -154,7 +148,7 @@ def chunk_provincias(fact: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFr
         cfg.TPL_PROVINCIAS_ITEM, provincia=x["provincia"], casos=x["casos"], pct=x["pct"])))
     content = C.template(cfg.TPL_PROVINCIAS, departamento=F.col("departamento"), desde=str(params.first_year),
                          hasta=str(params.last_year), provincias=provs)
-    meta = F.concat(F.lit('{"departamento":'), _json_str("departamento"), F.lit("}"))
+    meta = F.concat(F.lit('{"departamento":'), C.json_string("departamento"), F.lit("}"))
     key = F.concat(F.col("departamento"), F.lit("_provincias"))
     return _out(g, cfg.CHUNK_PROVINCIAS, key, content, meta)
 

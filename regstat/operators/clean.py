@@ -15,9 +15,6 @@ from pyspark.sql import functions as F
 
 from regstat import config as cfg
 from regstat.functions import columns as C
-from regstat.functions.sizing import broadcast_if_small
-
-MAX_GAZETTEER = 10000
 
 
 def _parts():
@@ -110,8 +107,21 @@ def asignar_regiones(regional: DataFrame, gazetteer: DataFrame) -> DataFrame:
     """F3 for every place at once: a row belongs to each gazetteer name its
     raw place text contains (case-insensitive; a null text matches none).
 
-    The gazetteer (``nombre``) is a small dimension: it is broadcast behind
-    a row-count check and matched with a nested-loop join on ``contains``.
+    Each distinct place text is matched once: a name can only be contained
+    in a text that has the name's first characters (at most three) somewhere,
+    which is an equi-join, whatever the number of names or texts; ``contains``
+    then decides, and the matches are joined back on the text.
     """
-    g = broadcast_if_small(gazetteer.select(F.col("nombre").alias("departamento")), MAX_GAZETTEER)
-    return regional.join(g, F.upper(F.col("lugar_crudo")).contains(F.col("departamento")))
+    names = gazetteer.select(F.col("nombre").alias("departamento")).where("nombre is not null").distinct()
+    text = F.upper("lugar_crudo")
+
+    def grams(n):
+        return F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - F.lit(n - 1), F.lit(1))),
+                           lambda i: F.substr(text, i, F.lit(n)))
+
+    places = regional.select("lugar_crudo").where("lugar_crudo is not null").distinct()
+    keys = F.array_distinct(F.concat(F.array(F.lit("")), grams(1), grams(2), grams(3)))
+    found = (places.select("lugar_crudo", F.explode(keys).alias("_k"))
+             .join(names.withColumn("_k", F.left("departamento", F.lit(3))), "_k")
+             .where(text.contains(F.col("departamento"))).select("lugar_crudo", "departamento"))
+    return regional.join(found, "lugar_crudo")

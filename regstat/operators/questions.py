@@ -171,7 +171,8 @@ def contexto_preguntas(questions: DataFrame, corpus: DataFrame, resumen_json: Da
                        template: str = cfg.PROMPT_TEMPLATE, embedder=None) -> DataFrame:
     """Q3: prompt per question. Exact figures: the region summary (JSON) when
     a region was detected, else the top-10 ranking for the detected year or
-    all years (``anio`` 0 in ``ranking_json``); fallback texts when empty.
+    all years (``anio`` 0 in ``ranking_json``), an empty ranking for a year
+    without cases; fallback texts when empty.
     ``resumen_json``: departamento, datos_sql; ``ranking_json``: anio, datos_sql."""
     ctx = contexto_rag(questions, corpus, dim, k, embedder)
     q = questions.select("pregunta_id", "departamento", "anio")
@@ -180,7 +181,8 @@ def contexto_preguntas(questions: DataFrame, corpus: DataFrame, resumen_json: Da
     j = (q.join(ctx, "pregunta_id", "left")
          .join(rs, "departamento", "left")
          .join(rk, F.coalesce(F.col("anio"), F.lit(0)) == F.col("_ranio"), "left"))
-    sql = F.when(F.col("departamento").isNotNull(), F.col("_rs")).otherwise(F.col("_rk"))
+    sql = F.when(F.col("departamento").isNotNull(), F.col("_rs")).otherwise(
+        F.coalesce(F.col("_rk"), F.lit('{"ranking":[]}')))
     rag = F.coalesce(F.nullif(F.col("contexto"), F.lit("")), F.lit(cfg.NO_CONTEXT))
     data = F.coalesce(F.nullif(sql, F.lit("")), F.lit(cfg.NO_SQL_DATA))
     prompt = F.replace(F.replace(F.lit(template), F.lit(cfg.CONTEXT_PLACEHOLDER), rag),

@@ -142,19 +142,20 @@ def reporte_regional(raw: DataFrame, gazetteer: DataFrame, poblacion: DataFrame,
            .select("departamento", F.col("anio").cast("string").alias("anio_t"),
                    F.coalesce(F.col("mes").cast("string"), F.lit("NaN")).alias("mes_t"),
                    "sexo", "grupo_etario", "provincia", "cant_atenciones"))
+    # One row per finest key; everything below works on these (bounded) rows.
+    pre = materializar(reg.groupBy(*reg.columns).agg(F.count(F.lit(1)).alias("n")))
     sets = {"mes": ("departamento", "anio_t", "mes_t"), "sexo": ("departamento", "anio_t", "sexo"),
             "sexo_t": ("departamento", "sexo"), "grupo": ("departamento", "anio_t", "grupo_etario"),
             "grupo_t": ("departamento", "grupo_etario"), "prov": ("departamento", "anio_t", "provincia"),
-            "prov_t": ("departamento", "provincia"), "anio": ("departamento", "anio_t"),
-            "dep": ("departamento",)}
-    v = F.col("cant_atenciones")
-    # One pass: counts for every set, visit statistics read from the
-    # (place, year) and (place) sets. The exact median's state is a
-    # value -> count map, bounded by the distinct visit counts.
-    g = _sets(reg, sets, [F.count(F.lit(1)).alias("n"), F.avg(v).alias("avg"),
-                          F.median(v).alias("med"), F.max(v).alias("mx")])
+            "prov_t": ("departamento", "provincia"), "anio": ("departamento", "anio_t")}
+    g = _sets(pre, sets, [F.sum("n").alias("n")])
     sec = F.col("seccion")
-    visits = (g.where(sec == "anio").select("departamento", "anio_t", "avg", "med", "mx"))
+    # Visit statistics, weighted by the counts; the exact median's state is a
+    # value -> count map, bounded by the distinct visit counts.
+    v, n = F.col("cant_atenciones"), F.col("n")
+    avg = (F.sum(v * n) / F.sum(F.when(v.isNotNull(), n))).alias("avg")
+    visits = pre.groupBy("departamento", "anio_t").agg(
+        avg, F.percentile(v, 0.5, n).alias("med"), F.max(v).alias("mx"))
 
     def sparse(seccion, name, key, total):
         return g.where(sec == name).select(
@@ -198,7 +199,7 @@ def reporte_regional(raw: DataFrame, gazetteer: DataFrame, poblacion: DataFrame,
     sexo = (sex_frame.join(sex_counts, ["departamento", "anio", "clave"], "left")
             .select("departamento", F.lit("por_sexo").alias("seccion"), "anio", "clave",
                     F.coalesce(F.col("n"), F.lit(0)).cast("double").alias("valor")))
-    avg_total = g.where(sec == "dep").select("departamento", "avg")
+    avg_total = pre.groupBy("departamento").agg(avg)
     promedio_total = (gazetteer.select(F.col("nombre").alias("departamento"))
                       .join(avg_total, "departamento", "left")
                       .select("departamento", F.lit("atenciones").alias("seccion"), F.lit("total").alias("anio"),
@@ -229,12 +230,16 @@ def reporte_documento(long: DataFrame, departamento: str) -> DataFrame:
                       *[F.col("d")[s].alias("por_año" if s == "por_anio" else s) for s in sections])
 
 
-def reporte_documentos(long: DataFrame) -> DataFrame:
+def reporte_documentos(long: DataFrame, meta: dict | None = None,
+                       params: cfg.Params = cfg.SOURCE) -> DataFrame:
     """K2 for every place: one row per department with the source's typed
     document shape (``por_anio`` holds casos / poblacion / tasa_por_100k /
     completo, visits and population are structs, the other sections are
     year -> key -> count maps). Every fold is a group-by on the
-    department (one small row each); sections are joined on it."""
+    department (one small row each); sections are joined on it. ``meta``
+    adds to, or replaces, the descriptive fields of the header."""
+    fields = {"fuente_casos": cfg.SOURCE_NAME, "fuente_poblacion": "", "fecha_corte": "",
+              "año_parcial": str(params.partial_year), "nota": cfg.SOURCE_NOTE, **(meta or {})}
     def val(name, typ):
         return F.max(F.when(F.col("clave") == name, F.col("valor"))).cast(typ)
 
@@ -264,7 +269,8 @@ def reporte_documentos(long: DataFrame) -> DataFrame:
     casos_total = F.aggregate(F.map_values("por_anio"), F.lit(0).cast("bigint"), lambda a, x: a + x["casos"])
     return doc.select(
         "departamento",
-        F.create_map(F.lit("departamento"), F.col("departamento"),
+        F.create_map(*[F.lit(x) for kv in fields.items() for x in kv],
+                     F.lit("departamento"), F.col("departamento"),
                      F.lit("total_casos"), casos_total.cast("string")).alias("meta"),
         F.map_filter("por_anio", lambda k, v: k != "total").alias("por_año"),
         "por_mes", "por_sexo", "por_grupo_etario", "por_provincia",
@@ -276,3 +282,65 @@ def reporte_documentos(long: DataFrame) -> DataFrame:
 def guardar_reportes(docs: DataFrame, path: str) -> None:
     """K2 sink: one JSON document set per department (folder per value)."""
     docs.write.mode("overwrite").partitionBy("departamento").json(path)
+
+
+def resumen_json(fact: DataFrame, poblacion: DataFrame) -> DataFrame:
+    """R1 as the JSON object of the prompt, one row (departamento, datos_sql)
+    per region: total, mean age, cases per year, sex, age band (label order)
+    and province (cases desc, name), and the trend with its yearly points
+    (``null`` below two points). Every list is one of the region's breakdowns."""
+    c = materializar(M.cubo(fact))
+
+    def s(x):
+        return C.col_(x).cast("string")
+
+    def obj(**fields):
+        parts = [F.lit("{")]
+        for i, (k, e) in enumerate(fields.items()):
+            parts += [F.lit(f'{"," if i else ""}"{k}":'), e]
+        return F.concat(*parts, F.lit("}"))
+
+    def lista(df, name, order, item):
+        return (df.select("departamento", F.struct(*order, item.alias("j")).alias("x"))
+                .groupBy("departamento").agg(F.array_sort(F.collect_list("x")).alias("x"))
+                .select("departamento", F.concat(F.lit("["), F.concat_ws(",", F.transform("x", lambda x: x["j"])),
+                                                 F.lit("]")).alias(name)))
+
+    def texto(col):
+        return C.json_string(col)
+
+    base = c.groupBy("departamento").agg(M.cases(), F.coalesce(
+        C.round_half_up(M.mean_age(), 1), F.lit(0.0)).alias("edad_promedio"))
+    anios = M.casos_por_anio(c)
+    rates = T.tasas(anios, poblacion)
+    k = T.coeficientes_de_tasas(rates).where(F.col("m").isNotNull())
+    points = rates.join(k.select("departamento", "m", "b"), "departamento")
+    parts = [
+        lista(anios, "_anios", ["anio"], obj(**{"año": s("anio"), "casos": s("casos")})),
+        lista(M.distribucion_sexo(c), "_sexo", ["sexo"], obj(sexo=texto("sexo"), casos=s("casos"))),
+        lista(M.distribucion_edad(c), "_edad", ["grupo_etario"],
+              obj(grupo_etario=texto("grupo_etario"), casos=s("casos"))),
+        lista(M.provincias(c), "_prov", [(-F.col("casos")).alias("o"), "provincia"],
+              obj(provincia=texto("provincia"), casos=s("casos"))),
+        lista(points, "_datos", ["anio"], obj(**{
+            "año": s("anio"), "casos": s("casos"), "tasa": C.js_number("tasa", 2),
+            "tasa_proyectada": C.js_number(C.round_half_up(F.col("m") * F.col("anio") + F.col("b"), 2), 2)})),
+        k,
+    ]
+    out = base
+    for p in parts:
+        out = out.join(p, "departamento", "left")
+
+    def cents(x):
+        return C.js_number(F.floor(F.col(x) + F.lit(0.5)) / F.lit(100), 2)
+
+    trend = obj(pendiente=C.js_number(C.round_half_up("m", 2), 2), intercepto=C.js_number(C.round_half_up("b", 2), 2),
+                r_cuadrado=F.coalesce(C.js_number(C.round_half_up("r2", 3), 3), F.lit("null")),
+                tendencia=texto(T.clasificar("m")), media_tasa=cents("media100"), desviacion=cents("sd100"),
+                datos=F.col("_datos"))
+    empty = F.lit("[]")
+    return out.select("departamento", obj(**{
+        "departamento": texto("departamento"), "total_casos": s("casos"),
+        "edad_promedio": C.js_number("edad_promedio", 1), "por_año": F.col("_anios"), "sexo": F.col("_sexo"),
+        "edad": F.coalesce("_edad", empty), "provincias": F.col("_prov"),
+        "tendencia": F.when(F.col("m").isNotNull(), trend).otherwise(F.lit("null"))}).alias("datos_sql"))

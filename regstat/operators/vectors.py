@@ -2,13 +2,7 @@
 
 * ``coseno``: cosine of two array columns with built-in higher-order
   functions (sequential fold in double; a zero norm gives null).
-* ``topk``: exact top-k per query over a partitioned corpus. The query
-  batch is small and size-checked; it is shipped once to every task, each
-  corpus partition is scored with numpy in Arrow batches (``mapInPandas``)
-  and keeps only its own top-k per query; a ``row_number`` window merges
-  those partial lists (k rows per query per partition cross the shuffle).
-  Nothing pairs rows in a Spark join; no candidate is dropped before the
-  exact per-partition top-k.
+* ``topk``: exact top-k per query over blocks of queries and of corpus.
 * ``embed``: hashing embedder stand-in for an embedding service, applied
   batch-wise with ``mapInPandas``.
 
@@ -19,6 +13,10 @@ bit for bit before rounding.
 
 from __future__ import annotations
 
+import hashlib
+import re
+from collections import Counter
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -145,34 +143,25 @@ def topk(queries: DataFrame, corpus: DataFrame, k: int = cfg.TOP_K,
             .where(F.col("posicion") <= k).withColumnRenamed("vec_id", id_col))
 
 
-def _tokens(text: str) -> list:
-    out, cur = [], []
-    for ch in text.lower():
-        if ch.isalnum():
-            cur.append(ch)
-        elif cur:
-            out.append("".join(cur))
-            cur = []
-    if cur:
-        out.append("".join(cur))
-    return out
+TOKEN = re.compile("[0-9a-zà-ÿ]+")
 
 
 def hash_embed_texts(texts, dim: int) -> np.ndarray:
     """Deterministic hashing embedder (a stand-in for a real model: it
-    carries no meaning). Token -> xxhash64 -> bucket and sign; L2-normed."""
-    import xxhash
-    m = np.zeros((len(texts), dim), dtype=np.float32)
+    carries no meaning). A token's MD5 gives its bucket (first seven hex
+    digits) and its sign (the eighth); counts are L2-normed in double. A text
+    without tokens, or a null, is the zero vector."""
+    m = np.zeros((len(texts), dim), dtype=np.float64)
     for i, t in enumerate(texts):
         if t is None:
             continue
-        for tok in _tokens(t):
-            h = xxhash.xxh64_intdigest(tok.encode("utf-8"))
-            m[i, h % dim] += 1.0 if (h >> 63) == 0 else -1.0
-        n = float(np.sqrt((m[i] * m[i]).sum()))
+        for token, times in Counter(TOKEN.findall(t.lower())).items():
+            h = hashlib.md5(token.encode("utf-8")).hexdigest()
+            m[i, int(h[:7], 16) % dim] += times if h[7] < "8" else -times
+        n = np.sqrt((m[i] * m[i]).sum())
         if n > 0:
             m[i] /= n
-    return m
+    return m.astype(np.float32)
 
 
 def embed(df: DataFrame, text_col: str, dim: int, out_col: str = "embedding",

@@ -20,7 +20,9 @@ from regstat.operators import reports as R
 from regstat.operators import trend as T
 from regstat.operators import vectors as V
 from regstat.operators import warehouse as WH
+from regstat.plans import api as API
 from regstat.sources import standard as S
+from regstat.sources.population import population_for_code
 from regstat.sources.registry import scan_chunks
 
 P = cfg.STANDIN
@@ -215,7 +217,10 @@ def _q_embeber_chunks(spark, sf):
     ch = X.chunks_todos(_fact(spark, sf), _pob(spark, sf), P)
     e = V.embed(ch, "content", 64)
     return e.select("chunk_type", "chunk_key", F.size("embedding").alias("dim"),
-                    C.round_half_up(V.norma("embedding"), 6).alias("norma"))
+                    C.round_half_up(V.norma("embedding"), 6).alias("norma"),
+                    F.size(F.filter("embedding", lambda x: x != 0)).alias("no_cero"),
+                    C.round_half_up(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+                    .alias("suma"))
 
 
 # ---------------------------------------------------------------------------
@@ -257,12 +262,6 @@ Q["poblacion_unpivot"] = lambda spark, sf: S.poblacion_desde_hojas(spark, sf, P)
 EMBED_DIM = 64
 
 
-def _resumen_json(fact, pob):
-    long = R.resumen_departamento(fact, pob)
-    return (long.groupBy("departamento")
-            .agg(F.to_json(F.array_sort(F.collect_list(F.struct("seccion", "clave", "valor")))).alias("datos_sql")))
-
-
 def _ranking_json(fact):
     by_year = W.ranking_anual(fact, cfg.TOP_RANKING_CONTEXT).select("anio", "posicion", "departamento", "casos")
     overall = W.top_departamentos(fact, cfg.TOP_RANKING_CONTEXT).select(
@@ -280,7 +279,34 @@ def _q_contexto_preguntas(spark, sf):
     names = QA.gazetteer_list(S.gazetteer_regiones(spark, sf))
     qs = QA.detectar_filtros(S.preguntas(spark, sf), names, P.years)
     chunks = scan_chunks(V.embed(X.chunks_todos(fact, pob, P), "content", EMBED_DIM))
-    return QA.contexto_preguntas(qs, chunks, _resumen_json(fact, pob), _ranking_json(fact), EMBED_DIM)
+    return QA.contexto_preguntas(qs, chunks, R.resumen_json(fact, pob), _ranking_json(fact), EMBED_DIM)
+
+
+# ---------------------------------------------------------------------------
+# The same operators by request (C19, F1, R2, R3, R7, S5): region and year
+# ---------------------------------------------------------------------------
+PETICION = API.normalizar(" europe ", "1997", P)
+SOLO_DEPTO = API.normalizar("EUROPE", "x", P)
+SOLO_ANIO = API.normalizar("all", 1997, P)
+
+
+def _request(name, fn):
+    Q[name] = lambda spark, sf: fn(_fact(spark, sf), PETICION.departamento, PETICION.anio)
+
+
+_request("casos_por_anio_filtro", M.casos_por_anio)
+_request("distribucion_sexo_filtro", M.distribucion_sexo)
+_request("distribucion_edad_filtro", M.distribucion_edad)
+_request("tendencia_mensual_filtro", M.tendencia_mensual)
+_request("provincias_filtro", M.provincias)
+_request("casos_por_anio_sql", lambda f, dep, anio: API.casos_por_anio_sql(f.sparkSession, f, dep, anio))
+Q["panel_departamento_anio"] = lambda spark, sf: API.panel(_fact(spark, sf), PETICION, P)
+Q["panel_nacional_anio"] = lambda spark, sf: API.panel(_fact(spark, sf), SOLO_ANIO, P)
+Q["estadistica_ranking"] = lambda spark, sf: API.estadistica("ranking", _fact(spark, sf), _pob(spark, sf), SOLO_ANIO)
+Q["estadistica_tasa"] = lambda spark, sf: API.estadistica("tasa", _fact(spark, sf), _pob(spark, sf), SOLO_DEPTO)
+Q["estadistica_tendencia"] = lambda spark, sf: API.estadistica(
+    "tendencia", _fact(spark, sf), _pob(spark, sf), SOLO_DEPTO)
+Q["poblacion_codigo"] = lambda spark, sf: population_for_code(S.hojas_poblacion(spark, sf, P), "040000")
 
 
 def queries() -> dict:

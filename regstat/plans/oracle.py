@@ -676,5 +676,124 @@ SQL["reporte_regional"] = with_("reg") + "\nunion all ".join([
 ])
 
 
+# ---------------------------------------------------------------------------
+# By request: region EUROPE, year 1997
+# ---------------------------------------------------------------------------
+_D, _Y = "departamento = 'EUROPE'", "anio = 1997"
+for _k in ("distribucion_sexo", "distribucion_edad", "tendencia_mensual", "provincias"):
+    SQL[_k + "_filtro"] = SQL[_k].replace("from fact", f"from (select * from fact where {_D} and {_Y})")
+SQL["casos_por_anio_filtro"] = SQL["casos_por_anio"] + f" where {_D} and {_Y}"
+SQL["casos_por_anio_sql"] = SQL["casos_por_anio_filtro"]
+SQL["panel_departamento_anio"] = with_("fact") + ", d as (select * from fact where " + _D + ")\n" + "\nunion all ".join([
+    "select departamento, 'por_anio' seccion, cast(anio as varchar) clave, count(*) casos from d group by departamento, anio",
+    f"select departamento, 'sexo', sexo, count(*) from d where {_Y} group by departamento, sexo",
+    f"""select departamento, 'edad', grupo_etario, count(*) from d where {_Y} and grupo_etario <> '{cfg.UNKNOWN}'
+    group by departamento, grupo_etario""",
+    f"select departamento, 'provincias', provincia, count(*) from d where {_Y} group by departamento, provincia",
+    f"select departamento, 'mensual', cast(mes as varchar), count(*) from d where {_Y} group by departamento, mes",
+])
+SQL["panel_nacional_anio"] = with_("fact") + f"""select 'ranking' seccion, departamento clave, count(*) casos, '1997' anio
+from fact where {_Y} group by departamento
+union all select 'total', 'PERU', count(*), '1997' from fact where {_Y}"""
+SQL["estadistica_ranking"] = _F + f"select departamento, count(*) casos from fact where {_Y} group by departamento"
+SQL["estadistica_tasa"] = SQL["tasa_incidencia"] + f" where {_D}"
+SQL["estadistica_tendencia"] = SQL["tendencia_regresion"] + f" where {_D}"
+_code_years = sorted(y for ys in P.sheet_years.values() for y in ys)
+SQL["poblacion_codigo"] = with_("poblacion") + f"""select cast(y as int) anio,
+  cast(n * (1000 + 7 * (y - {_base_year})) as bigint) total, cast(h * (1000 + 7 * (y - {_base_year})) as bigint) hombres,
+  cast((n - h) * (1000 + 7 * (y - {_base_year})) as bigint) mujeres
+from pob_region join region using (r_name), (select unnest({_code_years}) y) where r_regionkey = 3"""
+
+
+# ---------------------------------------------------------------------------
+# Embedded chunks and the context of every question
+# ---------------------------------------------------------------------------
+_DIM = 64
+
+
+def emb(src: str, out: str) -> str:
+    """CTEs giving ``out`` (id, v, norm) for ``src`` (id, text): signed MD5 buckets of the tokens, normed."""
+    return f"""{out}_h as (select id, cast('0x' || substr(h, 1, 7) as bigint) % {_DIM} b,
+    case when substr(h, 8, 1) < '8' then 1 else -1 end s
+  from (select id, md5(unnest(regexp_extract_all(lower(text), '[0-9a-zà-ÿ]+'))) h from {src})),
+{out}_c as (select id, b, cast(sum(s) as double) c from {out}_h group by id, b),
+{out}_q as (select id, sqrt(sum(c * c)) q from {out}_c group by id),
+{out}_v as (select t.id, list(cast(coalesce(c / nullif(q, 0), 0) as float) order by d.b) v
+  from {src} t cross join (select unnest(range({_DIM})) b) d
+  left join {out}_c x on x.id = t.id and x.b = d.b left join {out}_q n on n.id = t.id group by t.id),
+{out} as materialized (select id, v, sqrt({dot('v', 'v')}) norm from {out}_v)"""
+
+
+_CHUNKS = f"ch as materialized (select row_number() over () id, content as text, * from ({SQL['chunks_todos']}))"
+SQL["embeber_chunks"] = f"""with {_CHUNKS}, {emb('ch', 'e')}
+select chunk_type, chunk_key, cast(len(v) as int) dim, {r2('norm', 6)} norma,
+  cast(len(list_filter(v, lambda x: x <> 0)) as int) no_cero,
+  {r2("list_reduce(list_transform(v, lambda x: cast(x as double)), lambda x, y: x + y, 0::double)", 4)} suma
+from ch join e using (id)"""
+
+
+def jlist(item: str, order: str) -> str:
+    return f"'[' || string_agg({item}, ',' order by {order}) || ']'"
+
+
+def jobj(**fields) -> str:
+    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+
+
+_CASOS = vc("casos")
+_RESUMEN = with_("fact", "coef") + f"""
+, l1 as (select departamento, {jlist(jobj(**{'año': vc('anio'), 'casos': _CASOS}), 'anio')} j from cpa group by 1)
+, l2 as (select departamento, {jlist(jobj(sexo=jstr('sexo'), casos=_CASOS), 'sexo')} j
+    from (select departamento, sexo, count(*) casos from fact group by 1, 2) group by 1)
+, l3 as (select departamento, {jlist(jobj(grupo_etario=jstr('grupo_etario'), casos=_CASOS), 'grupo_etario')} j
+    from (select departamento, grupo_etario, count(*) casos from fact where grupo_etario <> '{cfg.UNKNOWN}' group by 1, 2)
+    group by 1)
+, l4 as (select departamento, {jlist(jobj(provincia=jstr('provincia'), casos=_CASOS), 'casos desc, provincia')} j
+    from (select departamento, provincia, count(*) casos from fact group by 1, 2) group by 1)
+, l5 as (select departamento, {jlist(jobj(**{
+        'año': vc('anio'), 'casos': _CASOS, 'tasa': js_num('tasa', 2),
+        'tasa_proyectada': js_num(r2('c.m * t.anio + c.b', 2), 2)}), 'anio')} j
+    from tasa t join coef c using (departamento) where c.m is not null group by 1)
+, b as (select departamento, count(*) casos, coalesce({r2('avg(edad)', 1)}, 0::double) edad from fact group by 1)
+select b.departamento, {jobj(**{
+    'departamento': jstr('b.departamento'), 'total_casos': vc('b.casos'), 'edad_promedio': js_num('b.edad', 1),
+    'por_año': 'l1.j', 'sexo': 'l2.j', 'edad': "coalesce(l3.j, '[]')", 'provincias': 'l4.j',
+    'tendencia': "case when k.m is null then 'null' else " + jobj(
+        pendiente=js_num(r2('k.m', 2), 2), intercepto=js_num(r2('k.b', 2), 2),
+        r_cuadrado=f"coalesce({js_num(r2('k.r2', 3), 3)}, 'null')",
+        tendencia=jstr(f"(case when k.m > {cfg.TREND_THRESHOLD} then '{_UP}' when k.m < -{cfg.TREND_THRESHOLD} "
+                       f"then '{_DOWN}' else '{_FLAT}' end)"),
+        media_tasa=js_num("floor(media100 + 0.5::double) / 100", 2),
+        desviacion=js_num("floor(sd100 + 0.5::double) / 100", 2), datos="l5.j") + " end"})} j
+from b join l1 using (departamento) join l2 using (departamento) left join l3 using (departamento)
+  join l4 using (departamento) left join l5 using (departamento) left join coef k using (departamento)"""
+_RANKING = with_("cpa") + f"""
+, r as (select anio, departamento, casos from cpa
+  union all select 0, departamento, cast(sum(casos) as bigint) from cpa group by departamento)
+select anio, '{{"ranking":' || {jlist(jobj(departamento=jstr('departamento'), casos=_CASOS), 'casos desc, departamento')}
+  || '}}' j
+from (select * from r qualify row_number() over (partition by anio order by casos desc, departamento) <= {cfg.TOP_RANKING_CONTEXT})
+group by anio"""
+SQL["contexto_preguntas"] = f"""with {_CHUNKS}, {emb('ch', 'e')}
+, qs as materialized (select pregunta_id id, texto as text, * from ({SQL['detectar_filtros']})), {emb('qs', 'qe')}
+, cm as (select id, content, e.v, e.norm, json_extract_string(metadata_json, '$.departamento') dep,
+    cast(json_extract_string(metadata_json, '$."año"') as int) yr from ch join e using (id))
+, s0 as (select qs.id, cm.content, {dot('cm.v', 'qe.v')} / nullif(cm.norm * qe.norm, 0::double) s,
+    coalesce(cm.dep = qs.departamento, false) same_dep, coalesce(cm.yr = qs.anio, false) same_year
+  from cm, qs join qe using (id))
+, s1 as (select id, content, case when same_dep then s * {cfg.REGION_BOOST}::double else s end s, same_year from s0)
+, s2 as (select id, content, case when same_year then s * {cfg.YEAR_BOOST}::double else s end s from s1 where s is not null)
+, top as (select id, content, row_number() over (partition by id order by s desc, content) pos from s2
+    qualify pos <= {cfg.TOP_K})
+, ctx as (select id, count(*) n, string_agg(content, chr(10) || chr(10) order by pos) c from top group by id)
+, rs as ({_RESUMEN}), rk as ({_RANKING})
+select q.pregunta_id, q.departamento, q.anio, cast(coalesce(ctx.n, 0) as int) n_chunks,
+  replace(replace('{cfg.PROMPT_TEMPLATE}', '{cfg.CONTEXT_PLACEHOLDER}', coalesce(nullif(ctx.c, ''), '{cfg.NO_CONTEXT}')),
+    '{cfg.SQL_PLACEHOLDER}', case when q.departamento is not null then coalesce(rs.j, '{cfg.NO_SQL_DATA}')
+      else coalesce(rk.j, '{{"ranking":[]}}') end) prompt
+from qs q left join ctx on ctx.id = q.id left join rs on rs.departamento = q.departamento
+  left join rk on rk.anio = coalesce(q.anio, 0)"""
+
+
 def oracle_sql() -> dict:
     return dict(SQL)

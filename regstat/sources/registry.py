@@ -39,6 +39,7 @@ REPORT_SCHEMA = T.StructType([
         T.StructField("tasa_por_100k", T.DoubleType()), T.StructField("completo", T.BooleanType())]))),
     T.StructField("por_mes", T.MapType(T.StringType(), T.MapType(T.StringType(), T.LongType()))),
     T.StructField("por_sexo", T.MapType(T.StringType(), T.MapType(T.StringType(), T.LongType()))),
+    T.StructField("por_grupo_etario", T.MapType(T.StringType(), T.StringType())),
     T.StructField("por_provincia", T.MapType(T.StringType(), T.MapType(T.StringType(), T.LongType()))),
     T.StructField("atenciones_cex", T.StructType([
         T.StructField("promedio_total", T.DoubleType()),
@@ -52,8 +53,15 @@ REPORT_SCHEMA = T.StructType([
 
 
 def read_report(spark: SparkSession, path: str) -> DataFrame:
-    """S3: load report documents (one JSON document per file)."""
-    return spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
+    """S3: load report documents (one JSON document per file). The age-band
+    section holds its list of bands under ``grupos`` beside the years; the
+    list is read into a column of its own, ``grupos``."""
+    df = spark.read.schema(REPORT_SCHEMA).option("multiLine", True).json(path)
+    raw = F.col("por_grupo_etario")
+    years = F.transform_values(F.map_filter(raw, lambda k, _: k != "grupos"),
+                               lambda _, v: F.from_json(v, "map<string,bigint>"))
+    return (df.withColumn("grupos", F.from_json(F.try_element_at(raw, F.lit("grupos")), "array<string>"))
+            .withColumn("por_grupo_etario", years))
 
 
 NUMERIC_VARIANT = "^(TINYINT|SMALLINT|INT|BIGINT|FLOAT|DOUBLE|DECIMAL)"

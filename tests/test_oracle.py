@@ -18,7 +18,7 @@ def con():
 
 def test_every_key_has_sql_or_is_documented():
     no_sql = set(KEYS) - set(E.oracle_sql())
-    assert no_sql == {"contexto_preguntas", "embeber_chunks"}
+    assert not {k for k in no_sql if not k.startswith(("op", "pipeline"))}
 
 
 @pytest.mark.parametrize("name", KEYS)
