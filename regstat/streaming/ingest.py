@@ -25,9 +25,10 @@ REGISTRY_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in REGIST
 
 def registro_stream(spark: SparkSession, source_dir: str, encoding: str = "ISO-8859-1",
                     max_files_per_trigger: int | None = None) -> DataFrame:
-    """Streaming S1: Latin-1 header CSV files of the registry, all strings."""
+    """Streaming S1: Latin-1 header CSV files of the registry, all strings.
+    A file whose header has other columns, or another order, is an error."""
     reader = (spark.readStream.schema(REGISTRY_SCHEMA).option("header", True)
-              .option("encoding", encoding))
+              .option("encoding", encoding).option("escape", '"').option("enforceSchema", False))
     if max_files_per_trigger:
         reader = reader.option("maxFilesPerTrigger", max_files_per_trigger)
     return reader.csv(source_dir)

@@ -109,3 +109,51 @@ def test_report_documents_round_trip_through_reader(spark, scratch_dir):
     assert back["por_sexo"]["total"]["FEMENINO"] == rows[("por_sexo", "total", "FEMENINO")]
     assert int(back["meta"]["total_casos"]) == sum(v for (s, a, k), v in rows.items()
                                                     if s == "por_anio" and k == "casos")
+
+
+def test_published_version_is_the_last_one(spark, scratch_dir):
+    out = os.path.join(scratch_dir, "estrella")
+    assert WH.abrir_estrella(spark, out) is None
+    star = K._star(spark, SF_SMALL)
+    WH.publicar_estrella(spark, star, out)
+    WH.publicar_estrella(spark, {**star, "fact_casos": star["fact_casos"].where("anio = 1996")}, out)
+    WH.guardar_estrella(star, out)  # written but never published
+    now = WH.abrir_estrella(spark, out)
+    assert [r["anio"] for r in now["fact_casos"].select("anio").distinct().collect()] == [1996]
+    assert set(now) == set(WH.TABLAS)
+
+
+def test_integrity_finds_planted_faults(spark):
+    star = dict(K._star(spark, SF_SMALL))
+    fact = star["fact_casos"]
+    one = fact.limit(1)
+    star["fact_casos"] = (fact.unionByName(one.withColumn("tiempo_id", F.lit(5).cast("bigint")))
+                          .unionByName(one.withColumn("paciente_id", F.lit(None).cast("bigint")))
+                          .unionByName(one.withColumn("uuid_hash", F.lit(None).cast("string"))))
+    dim = star["dim_geografia"]
+    star["dim_geografia"] = dim.unionByName(dim.limit(1).withColumn("distrito", F.lit("OTRO")))
+    got = {(r["chequeo"], r["detalle"]): r["n"] for r in WH.integridad_referencial(star).collect()
+           if r["chequeo"] != "sin_poblacion" and r["n"]}
+    assert got == {("fk_huerfana", "tiempo_id"): 1, ("nulo", "paciente_id"): 1, ("nulo", "uuid_hash"): 1,
+                   ("colision_id", "geografia_id"): 1}
+
+
+def test_report_reader_keeps_age_bands(spark, scratch_dir):
+    path = os.path.join(scratch_dir, "reporte.json")
+    with open(path, "w", encoding="utf-8") as fh:
+        json.dump({"meta": {"departamento": "AYACUCHO", "año_parcial": 2025},
+                   "por_grupo_etario": {"grupos": ["0-9", "10-19"], "2022": {"0-9": 4}, "total": {"0-9": 4, "10-19": 1}}},
+                  fh, ensure_ascii=False, indent=2)
+    r = RG.read_report(spark, path).collect()[0]
+    assert r["grupos"] == ["0-9", "10-19"] and r["meta"]["año_parcial"] == "2025"
+    assert r["por_grupo_etario"] == {"2022": {"0-9": 4}, "total": {"0-9": 4, "10-19": 1}}
+
+
+def test_place_match_equals_contains(spark):
+    from regstat.operators import clean as CL
+    places = ["LIMA-LIMA", "significa", "x", "", None, "ica", "LIMA-LIMA", "AB", "zzab"]
+    rows = spark.createDataFrame([(i, p) for i, p in enumerate(places)], "i int, lugar_crudo string")
+    names = ["LIMA", "ICA", "AB", "X", "LORETO"]
+    gaz = spark.createDataFrame([(n,) for n in names], "nombre string")
+    got = sorted((r["i"], r["departamento"]) for r in CL.asignar_regiones(rows, gaz).collect())
+    assert got == sorted((i, n) for i, p in enumerate(places) if p is not None for n in names if n in p.upper())
