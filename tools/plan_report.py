@@ -18,10 +18,10 @@ OPS = ("Exchange hashpartitioning", "Exchange rangepartitioning", "Exchange Sing
 
 def main() -> None:
     from regstat.session import get_session
-    import __spark_entry__ as E
+    from regstat.plans.catalog import queries
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", 8)
-    for name, fn in sorted(E.queries().items()):
+    for name, fn in sorted(queries().items()):
         df = fn(spark, sf)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
