@@ -5,12 +5,17 @@ A table hashes a vector to K integers floor((a . x + b) / w) with Gaussian
 product of unit queries are the nearest in angle times length; the hash works
 on directions, the exact reranking on the original vectors.
 
-A query visits the buckets of a table, its own perturbed by -P .. P in each
-of the K integers, in the order of the estimated probability that a near
-vector lies there: the projection of a vector at cosine c is normal with
-mean c * (projection of the query) and variance 1 - c^2. It stops when the
-probabilities visited reach ``TARGET`` in this table. c is estimated from a
-bounded sample of pairs: the cosine that k / n of all pairs exceed.
+The buckets that have rows, with their counts, are few: a unit vector's
+projection is standard normal, whatever the table holds. A query goes through
+those of a table in the order of the estimated probability that a near vector
+lies there: the projection of a vector at cosine c is normal with mean c *
+(projection of the query) and variance 1 - c^2. It goes on until the
+probabilities visited reach ``TARGET`` for c and for cosines between c and 1,
+and the buckets hold more than k rows. In the first round c is what k / n of
+a bounded sample reach with this query. In the second it is the least cosine
+that a vector can have with a score of the query's own k-th best found, and
+what that asks for beyond the first round is visited. Queries that hold fewer
+than k rows of positive score then visit every bucket of one table.
 
 Every row is in a bucket of every table; buckets are cut into blocks of
 bounded size, and each block meets the queries that probe its bucket. The
@@ -20,7 +25,6 @@ and a window merges the tables, each vector once.
 
 from __future__ import annotations
 
-import itertools
 import math
 
 import numpy as np
@@ -32,8 +36,9 @@ from regstat.llm.common import buckets_for, written
 from regstat.llm.vectors import best_per_query, matrix, valid_vectors
 
 K, STEP = 20, 20
-TABLES, HASHES, WIDTH, REACH, TARGET = 2, 3, 1.5, 3, 0.75
+TABLES, HASHES, WIDTH, TARGET = 2, 3, 1.5, 0.75
 SAMPLE, BLOCK, QUERY_BLOCK = 2000, 8192, 1024
+TOWARDS_ONE = (0.0, 1 / 3, 2 / 3, 0.95, 0.9999)   # the cosines from c to 1 that are looked after
 
 
 class Hashing:
@@ -61,40 +66,47 @@ def _below(x: np.ndarray) -> np.ndarray:
     return 0.5 * (1 + np.vectorize(math.erf, otypes=[float])(x / math.sqrt(2)))
 
 
-def probes(proj: np.ndarray, b: np.ndarray, width: float, cosine: float, reach: int,
-           target: float) -> list[np.ndarray]:
-    """Per query the bucket keys to visit, the likeliest first, until the
-    probability that a vector at ``cosine`` is in one of them is ``target``
-    of what the perturbations can reach."""
-    spread = math.sqrt(max(1e-6, 1 - cosine * cosine))
-    steps = np.arange(-reach, reach + 1)
-    home = np.floor((cosine * proj + b) / width).astype(np.int64)
-    cells = home[:, :, None] + steps                       # query, hash, perturbation
-    low = cells * width - b[None, :, None] - cosine * proj[:, :, None]
-    chance = _below((low + width) / spread) - _below(low / spread)
-    combos = np.array(list(itertools.product(range(len(steps)), repeat=proj.shape[1])))
-    out = []
-    for q in range(len(proj)):
-        p = np.prod([chance[q, j, combos[:, j]] for j in range(combos.shape[1])], axis=0)
-        order = np.argsort(-p, kind="stable")
-        n = int(np.searchsorted(np.cumsum(p[order]), target * p.sum())) + 1
-        picked = combos[order[:n]]
-        out.append(bucket_key(np.stack([cells[q, j, picked[:, j]] for j in range(combos.shape[1])], 1)))
+def cells_of(keys: np.ndarray, hashes: int) -> np.ndarray:
+    """The cell numbers of bucket keys."""
+    return np.stack([(keys >> 12 * (hashes - 1 - j) & 4095) - 2048 for j in range(hashes)], 1)
+
+
+def probes(proj: np.ndarray, b: np.ndarray, width: float, cosine: np.ndarray, target: float,
+           cells: np.ndarray, counts: np.ndarray, least: int) -> np.ndarray:
+    """Per query (row) and bucket that has rows (column) whether to visit it:
+    the likeliest first, until they hold ``target`` of the probability of a
+    vector at the query's ``cosine``, and at every step from there to 1, and
+    ``least`` rows."""
+    out = np.zeros((len(proj), len(cells)), bool)
+    ids = np.arange(len(proj))[:, None]
+    for step in TOWARDS_ONE:
+        c = (cosine + (1 - cosine) * step)[:, None]
+        spread = np.sqrt(np.maximum(1e-9, 1 - c * c))
+        p = np.ones(out.shape)
+        for j in range(cells.shape[1]):
+            known, at = np.unique(cells[:, j], return_inverse=True)
+            low = known * width - b[j] - c * proj[:, j:j + 1]
+            p *= (_below((low + width) / spread) - _below(low / spread))[:, at]
+        order = np.argsort(-p, axis=1, kind="stable")
+        reached = np.cumsum(np.take_along_axis(p, order, 1), 1)
+        before = np.concatenate([np.zeros((len(p), 1)), reached[:, :-1]], 1)
+        held = np.cumsum(counts[order], 1) - counts[order]
+        out[ids, order] |= (before < target * reached[:, -1:]) | (held < least)
     return out
 
 
-def near_cosine(sample: np.ndarray, n_rows: int, k: int) -> float:
-    """The cosine that about k of n_rows vectors reach with a typical one."""
-    if len(sample) < 2:
-        return 0.0
-    cos = sample @ sample.T
-    off = np.sort(cos[~np.eye(len(cos), dtype=bool)])
-    at = len(off) - max(1, int(len(off) * min(1.0, k / max(1, n_rows))))
-    return float(np.clip(off[at], 0.0, 0.98))
+def near_cosine(unit: np.ndarray, ids: np.ndarray, sample: np.ndarray, sample_ids: np.ndarray,
+                n_rows: int, k: int) -> np.ndarray:
+    """Per query the cosine that about k of n_rows vectors reach with it."""
+    if not len(sample):
+        return np.zeros(len(unit))
+    cos = np.where(ids[:, None] == sample_ids, -1.0, unit @ sample.T)
+    place = max(0, len(sample) - max(1, round(len(sample) * min(1.0, k / max(1, n_rows)))))
+    return np.clip(np.partition(cos, place, axis=1)[:, place], 0.0, 0.98)
 
 
 def search_embeddings(embeddings: DataFrame, step: int = STEP, k: int = K, tables: int = TABLES,
-                      hashes: int = HASHES, width: float = WIDTH, reach: int = REACH,
+                      hashes: int = HASHES, width: float = WIDTH,
                       target: float = TARGET, sample: int = SAMPLE, block: int = BLOCK) -> DataFrame:
     """The k nearest found (largest inner product, double) of every row whose
     vec_id is divisible by ``step`` among all rows with another vec_id:
@@ -102,58 +114,75 @@ def search_embeddings(embeddings: DataFrame, step: int = STEP, k: int = K, table
 
     Rows with a null id, null, empty or zero vectors, or null or non-finite
     components take no part; repeated rows count once; short vectors end in
-    zeros. Up to 10 k rows are one bucket, so that no candidate of a small
-    table is missed. Other columns are ignored; an empty table gives an empty
-    result.
+    zeros. Other columns are ignored; an empty table gives an empty result.
     """
     zero = ~F.exists("embedding", lambda x: x != 0)
     rows = written(valid_vectors(embeddings).filter(~zero), "vectors")
-    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim")).first()
-    n_rows, dim = size["n"], size["dim"] or 1
-    picked = rows.orderBy(F.xxhash64("vec_id")).limit(sample).select("embedding").toArrow()
-    units = matrix(picked.column("embedding"), dim, np.float64) if n_rows else np.zeros((0, dim))
-    units = units / np.maximum(np.linalg.norm(units, axis=1, keepdims=True), 1e-300)
-    cosine = near_cosine(units, n_rows, k)
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x * x))
+    size = rows.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("dim"),
+                    F.max(norm).alias("longest")).first()
+    n_rows, dim, longest = size["n"], size["dim"] or 1, size["longest"] or 1.0
+    picked = rows.orderBy(F.xxhash64("vec_id")).limit(sample).toArrow()
+    sample_ids = picked.column("vec_id").to_numpy()
+    units = unit_rows(matrix(picked.column("embedding"), dim, np.float64)) if n_rows else np.zeros((0, dim))
     hashing = Hashing(dim, tables, hashes, width)
 
-    one_bucket = n_rows <= 10 * k
-
-    def hashed(batches, queries: bool):
-        """(vec_id, embedding, table, bucket), by the cells or by the probes."""
+    def hashed(batches):
+        """(vec_id, embedding, table, bucket)."""
         for batch in batches:
-            x = matrix(batch.column("embedding"), dim, np.float64)
-            unit = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-            for t in range(1 if one_bucket else tables):
-                proj = hashing.projections(unit, t)
-                row = np.arange(len(x))
-                if one_bucket:
-                    keys = np.zeros(len(x), np.int64)
-                elif queries:
-                    found = probes(proj, hashing.b[t], width, cosine, reach, target)
-                    row = np.repeat(row, [len(v) for v in found])
-                    keys = np.concatenate([*found, np.zeros(0, np.int64)])
-                else:
-                    keys = bucket_key(np.floor((proj + hashing.b[t]) / width).astype(np.int64))
+            unit = unit_rows(matrix(batch.column("embedding"), dim, np.float64))
+            for t in range(tables):
+                cells = np.floor((hashing.projections(unit, t) + hashing.b[t]) / width).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
-                    [*batch.take(pa.array(row)).columns, pa.array(np.full(len(row), t, np.int32)),
-                     pa.array(keys)], ["vec_id", "embedding", "_t", "_bucket"])
+                    [*batch.columns, pa.array(np.full(len(unit), t, np.int32)), pa.array(bucket_key(cells))],
+                    ["vec_id", "embedding", "_t", "_bucket"])
 
-    shape = "vec_id long, embedding array<double>, _t int, _bucket long"
-    queries = rows.filter(F.col("vec_id") % step == 0)
-    index = rows.mapInArrow(lambda b: hashed(b, False), shape)
-    asked = queries.mapInArrow(lambda b: hashed(b, True), shape)
+    index = rows.mapInArrow(hashed, "vec_id long, embedding array<double>, _t int, _bucket long")
     # buckets: at most (cells per hash) ** hashes * tables rows, whatever the table holds
-    sizes = (index.groupBy("_t", "_bucket").agg(F.count(F.lit(1)).alias("_n"))
-             .withColumn("_nb", F.ceil(F.col("_n") / block).cast("int")).drop("_n"))
-    n_query_blocks = buckets_for(queries.count(), QUERY_BLOCK)
+    counted = sorted((r["_t"], r["_bucket"], r["_n"]) for r in
+                     index.groupBy("_t", "_bucket").agg(F.count(F.lit(1)).alias("_n")).collect())
+    of_table, keys, counts = np.array(counted or np.zeros((0, 3)), np.int64).reshape(-1, 3).T
+    sizes = F.broadcast(rows.sparkSession.createDataFrame(
+        [(i, t, key, -(-n // block)) for i, (t, key, n) in enumerate(counted)],
+        "_b int, _t int, _bucket long, _nb int"))
+
+    def asked(batches, again: bool):
+        """The queries and the numbers of the buckets to visit; ``again``: of
+        those not visited yet, by the k-th best score found (null: none)."""
+        for batch in batches:
+            out = []
+            for a in range(0, batch.num_rows, 256):
+                part = batch.slice(a, 256)
+                x = matrix(part.column("embedding"), dim, np.float64)
+                unit = unit_rows(x)
+                if again:
+                    least = part.column("_least").to_numpy(zero_copy_only=False).astype(float)
+                    length = np.maximum(np.linalg.norm(x, axis=1), 1e-300)
+                    cosine = np.clip(np.nan_to_num(least / length / longest), 0.0, 0.98)
+                    lacking = ~(least > 0)
+                else:
+                    cosine = near_cosine(unit, part.column("vec_id").to_numpy(), units, sample_ids, n_rows, k)
+                visit = np.zeros((len(x), len(keys)), bool)
+                for t in range(tables):
+                    own = np.flatnonzero(of_table == t)
+                    visit[:, own] = probes(hashing.projections(unit, t), hashing.b[t], width, cosine, target,
+                                           cells_of(keys[own], hashes), counts[own], k + 1)
+                if again:
+                    visit[lacking] = of_table == 0
+                    for i, seen in enumerate(part.column("_visit")):
+                        visit[i, seen.values.to_numpy()] = False
+                out += [np.flatnonzero(v).astype(np.int32) for v in visit]
+            yield pa.RecordBatch.from_arrays([batch.column("vec_id"), batch.column("embedding"),
+                                              pa.array(out, pa.list_(pa.int32()))], ["vec_id", "embedding", "_visit"])
+
+    shape = "vec_id long, embedding array<double>, _visit array<int>"
+    first = written(rows.filter(F.col("vec_id") % step == 0).mapInArrow(lambda b: asked(b, False), shape), "asked")
+    n_query_blocks = buckets_for(first.count(), QUERY_BLOCK)
     salted = F.xxhash64("vec_id", "embedding")
     right = (index.join(sizes, ["_t", "_bucket"])
              .withColumn("_rb", F.pmod(salted, F.col("_nb")).cast("int"))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))).drop("_nb"))
-    left = (asked.join(sizes, ["_t", "_bucket"])
-            .withColumn("_qb", F.pmod(salted, F.lit(n_query_blocks)).cast("int"))
-            .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))).drop("_nb"))
-    key = ["_t", "_bucket", "_rb", "_qb"]
+             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))))
+    key = ["_b", "_rb", "_qb"]
 
     def rerank(q: pa.Table, r: pa.Table) -> pa.Table:
         parts = [pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()),
@@ -166,9 +195,26 @@ def search_embeddings(embeddings: DataFrame, step: int = STEP, k: int = K, table
                 parts.append(pa.table({"query_id": own[a:a + 256][i], "vec_id": ids[c], "score": s}))
         return pa.concat_tables(parts)
 
-    found = (left.groupBy(*key).cogroup(right.groupBy(*key))
-             .applyInArrow(rerank, "query_id long, vec_id long, score double"))
-    return best_per_query(found.dropDuplicates(["query_id", "vec_id", "score"]), k, "double")
+    def visited(queries: DataFrame) -> DataFrame:
+        left = (queries.withColumn("_b", F.explode("_visit")).drop("_visit").join(sizes, "_b")
+                .withColumn("_qb", F.pmod(salted, F.lit(n_query_blocks)).cast("int"))
+                .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))))
+        return (left.select("vec_id", "embedding", *key).groupBy(*key)
+                .cogroup(right.select("vec_id", "embedding", *key).groupBy(*key))
+                .applyInArrow(rerank, "query_id long, vec_id long, score double"))
+
+    def best(found: DataFrame) -> DataFrame:
+        return best_per_query(found.dropDuplicates(["query_id", "vec_id", "score"]), k, "double")
+
+    found = written(best(visited(first)).select("query_id", "vec_id", "score"), "found")
+    least = found.groupBy("query_id").agg(F.when(F.count(F.lit(1)) >= k, F.min("score")).alias("_least"))
+    second = (first.join(least.withColumnRenamed("query_id", "vec_id"), "vec_id", "left")
+              .select("vec_id", "embedding", "_visit", "_least").mapInArrow(lambda b: asked(b, True), shape))
+    return best(found.unionByName(visited(written(second, "asked"))))
+
+
+def unit_rows(x: np.ndarray) -> np.ndarray:
+    return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
 
 
 def nearest(queries: np.ndarray, rows: np.ndarray, own: np.ndarray, ids: np.ndarray, k: int):

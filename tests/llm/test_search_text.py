@@ -61,6 +61,22 @@ def test_ann_small_and_recall(spark, odd_vectors):
     assert len(got) == len(want) and len(true & set(got)) >= 0.9 * len(true)
 
 
+def test_ann_recall_beside_copies(spark):
+    """Groups of near copies do not end the other queries' search early."""
+    rng = np.random.default_rng(4)
+    for groups, size in ((1, 400), (6, 150)):
+        x = rng.standard_normal((3000, 64))
+        x[:groups * size] = np.repeat(x[:groups], size, 0) + 0.02 * rng.standard_normal((groups * size, 64))
+        x /= np.linalg.norm(x, axis=1, keepdims=True)
+        ids = rng.permutation(3000)
+        df = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x)], "vec_id long, embedding array<double>")
+        cos = np.where(np.eye(3000, dtype=bool), -2, x @ x.T)
+        true = {(int(ids[q]), int(ids[i])) for q in np.flatnonzero(ids % 100 == 0)
+                for i in np.argsort(-cos[q])[:20]}
+        got = [(r.query_id, r.vec_id) for r in ann.search_embeddings(df, step=100).collect()]
+        assert len(got) == len(set(got)) == len(true) and len(true & set(got)) >= 0.9 * len(true)
+
+
 def test_main_text():
     page = ('<body><header><h1>Site</h1></header><div class="sidebar">x<p>y</div><div id="content"><h2>T&eacute;st</h2>'
             '<p>Hello <b>bold</b>\n world<p>two<ul><li><a href="/">menu</a></li><li>item</li></ul></div>'
