@@ -77,6 +77,19 @@ def test_ann_recall_beside_copies(spark):
         assert len(got) == len(set(got)) == len(true) and len(true & set(got)) >= 0.9 * len(true)
 
 
+def test_ann_small_table_is_hashed(spark):
+    """Small tables go through the probing too; a query holds its k nearest or every row."""
+    rng = np.random.default_rng(6)
+    for n, share in ((15, 1.0), (150, 0.9)):
+        rows = [(i, rng.standard_normal(16).tolist()) for i in range(n)]
+        df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+        want = {(q, i) for q, _, i, _ in brute(rows, 20, 20, list, False)}
+        got = {(r.query_id, r.vec_id) for r in ann.search_embeddings(df).collect()}
+        assert len(got) == len(want) and len(want & got) >= share * len(want)
+    few = {(r.query_id, r.vec_id) for r in ann.search_embeddings(df, target=0.0).collect()}
+    assert len(few) == len(want) and few != want
+
+
 def test_main_text():
     page = ('<body><header><h1>Site</h1></header><div class="sidebar">x<p>y</div><div id="content"><h2>T&eacute;st</h2>'
             '<p>Hello <b>bold</b>\n world<p>two<ul><li><a href="/">menu</a></li><li>item</li></ul></div>'
