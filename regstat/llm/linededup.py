@@ -12,18 +12,19 @@ document id, then line number) is removed. Lines of equal sets are one class.
    each pair of blocks a group of its own.
 3. In a part, the classes under a word are compared pair by pair with the
    length filter, the positional filter and two parity bitmaps of 128 and 64
-   bits (every differing bit is a differing word, so they reject safely). A
-   class keeps its nearest earlier candidates per word (``keep``; four times
-   as many if it has over ``LONG`` words) and whether there were more.
-4. Verification compares the words themselves, whose texts one pass gathers:
-   first each class's nearest candidate, then the other kept ones. Classes without a match that had
-   more candidates go round again with all of them, so no link is lost.
+   bits (every differing bit is a differing word, so they reject safely).
+   Every pair that passes is sent on.
+4. Verification compares the words themselves, whose texts one pass gathers,
+   for every distinct pair. A pair of classes that matches is a link; each
+   line tells how many its class has, and how many of them to earlier ones.
 5. Every line is removed that is a later line of its class or whose class
-   has a verified earlier match.
+   has an earlier match.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -40,7 +41,7 @@ BUCKETS = 1 << 17          # of the word counts
 SLICE = 1 << 13            # of them summed together
 BLOOM_WORDS = 1 << 17      # 64-bit words of the filter of wanted lines
 PART_POSTINGS = 250_000    # postings of a part, about
-LONG = 160
+LONG = 160                 # without effect since all pairs are kept; a test sets it
 HOT = 1_000_000            # postings of a word in one group at most, about
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
@@ -132,11 +133,10 @@ def pieces(texts: pa.Array):
             at, lines = to, k + 1
 
 
-def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None, some: np.ndarray | None = None):
+def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None):
     """The lines that have words: text (row), line number in it, number of
     distinct words, class, and all lines' word numbers, sorted within a line.
-    A number's order is rarity (if given), then 53 hash bits. With a filter
-    ``some``, lines without a word in it, or one cut into blocks, are left out."""
+    A number's order is rarity (if given), then 53 hash bits."""
     s, h = words_in(b, off)
     number = h & MASK
     if rarity is not None:
@@ -145,11 +145,6 @@ def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None,
     row, before = np.searchsorted(off, s, "right") - 1, np.searchsorted(feeds, s)
     new = np.ones(len(s), bool)
     new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1])
-    if some is not None and len(s):
-        hit = _in(some, _hash(number)) | (number >> np.uint64(53) > int(16 * np.log2(HOT)))
-        first = np.flatnonzero(new)
-        stays = np.repeat(np.logical_or.reduceat(hit, first), np.diff(first, append=len(s)))
-        row, before, new, number = row[stays], before[stays], new[stays], number[stays]
     row, before = row[new], before[new]
     known, at = np.unique(number, return_inverse=True)
     bits = len(known).bit_length()
@@ -270,38 +265,20 @@ def _order(g: np.ndarray, cls: np.ndarray, doc: np.ndarray, line: np.ndarray) ->
     return at[first]
 
 
-def _compare(rows: np.ndarray, keep: int, only: np.ndarray | None = None):
-    """Candidates of one part: the distinct rows in order, and arrays y, x
-    (row numbers), dist, more: the nearest earlier rows of every row, or all
-    of those rows whose class is in the filter ``only``."""
-    at = _order(*(np.ascontiguousarray(rows[c]) for c in ("g", "cls", "doc", "line")))
-    rows = rows[at]
-    col = {c: np.ascontiguousarray(rows[c]) for c in PACKED.names}
+def _ordered(rows: np.ndarray) -> dict[str, np.ndarray]:
+    """Columns of the distinct rows of a part, in order."""
+    rows = rows[_order(*(np.ascontiguousarray(rows[c]) for c in ("g", "cls", "doc", "line")))]
+    return {c: np.ascontiguousarray(rows[c]) for c in PACKED.names}
+
+
+def _pairs(col: dict[str, np.ndarray], held: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """All candidates of one part: y, x (row numbers, x the earlier), dist;
+    about ``held`` pairs at a time."""
     g, b0, b1, b2, side = (col[c] for c in ("g", "b0", "b1", "b2", "side"))
     n = col["n"].astype(np.int64)
     left = n - col["pos"]              # words from the shared one on
     size = len(g)
-    long = np.flatnonzero(n > LONG)
-    slot = np.full(size, -1, np.int64)
-    slot[long] = np.arange(len(long))
-    count = np.zeros(size, np.int64)
-
-    def table(k, m):
-        return np.full((k, m), 1 << 20, np.int32), np.full((k, m), -1, np.int32)
-
-    short_best, long_best = table(keep, size), table(4 * keep, len(long))
-    asked, every = None, []
-    if only is not None:
-        asked = _in(only, _hash(col["cls"]))
-
-    def put(best, ys, xs, dist):       # every y once per shift
-        near, who = best
-        for k in range(len(near)):
-            old, was = near[k, ys], who[k, ys]
-            better = dist <= old
-            near[k, ys], dist = np.where(better, dist, old), np.where(better, old, dist)
-            who[k, ys], xs = np.where(better, xs, was), np.where(better, was, xs)
-
+    found, many = [], 0
     x, shift = np.arange(size - 1), 1
     while len(x):
         x = x[x + shift < size]
@@ -316,33 +293,23 @@ def _compare(rows: np.ndarray, keep: int, only: np.ndarray | None = None):
                 + np.bitwise_count(b1[x[at]] ^ b1[y[at]]))
         differ = (both - 2 * need)[at]
         fine = (dist <= differ) & (np.bitwise_count(b2[x[at]] ^ b2[y[at]]) <= differ)
-        at, dist = at[fine], dist[fine].astype(np.int32)
-        xs, ys = x[at].astype(np.int32), y[at]
+        at = at[fine]
+        found.append((y[at].astype(np.int32), x[at].astype(np.int32), dist[fine].astype(np.int32)))
+        many += len(at)
         shift += 1
-        if asked is not None:
-            some = asked[ys]
-            every.append((ys[some], xs[some], dist[some]))
-            continue
-        count[ys] += 1
-        is_long = slot[ys] >= 0
-        put(short_best, ys[~is_long], xs[~is_long], dist[~is_long])
-        if is_long.any():
-            put(long_best, slot[ys[is_long]], xs[is_long], dist[is_long])
-    if asked is not None:
-        y, x, dist = (np.concatenate(c) if every else np.zeros(0, np.int64) for c in (zip(*every) if every else [()] * 3))
-        return col, y, x, dist, np.zeros(len(y), bool)
-    k1, y1 = np.nonzero(short_best[1] >= 0)
-    k2, y2 = np.nonzero(long_best[1] >= 0)
-    y = np.concatenate([y1, long[y2]])
-    x = np.concatenate([short_best[1][k1, y1], long_best[1][k2, y2]])
-    dist = np.concatenate([short_best[0][k1, y1], long_best[0][k2, y2]])
-    return col, y, x, dist, count[y] > np.where(n[y] > LONG, 4 * keep, keep)
-
-
-def _hash(numbers: np.ndarray) -> np.ndarray:
-    """Place of a class or a group in a filter."""
-    h = np.ascontiguousarray(numbers).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
+        if many >= held:
+            yield tuple(np.concatenate(c) for c in zip(*found))
+            found, many = [], 0
+    if many:
+        yield tuple(np.concatenate(c) for c in zip(*found))
+
+
+def _compare(rows: np.ndarray, keep: int):
+    """The columns of a whole part and all its pairs (y, x, dist), and how
+    many there are."""
+    col = _ordered(rows)
+    y, x, dist = (np.concatenate(c) for c in zip((np.zeros(0, np.int32),) * 3, *_pairs(col, keep * len(rows))))
+    return col, y, x, dist, len(y)
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -366,27 +333,23 @@ def _bits(rows: DataFrame, hashes) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
-               only: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """One written table: every line (y, doc, line, n, later, no_id; x null)
-    and the candidates (y, doc, line; x, x_doc, x_line, dist, more, g: the
-    word's group). With ``only``, filters of classes and groups, all candidates
-    of those classes in those groups, and no lines."""
+def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int) -> DataFrame:
+    """One written table: every line (y, doc, line, n, later, no_id), every
+    candidate pair, once per shared word (y, x, dist), and the place of every
+    class in a pair (y, doc, line); what a row does not have is null."""
     parts = max(1, words // 4 // PART_POSTINGS + 1)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(counts)
-    asked, groups = (sc.broadcast(f) for f in only) if only else (None, None)
 
     def post(batches):
         rare = rarities(shared.value)
-        wanted = None if groups is None else groups.value
         held, size = [], 0
         for batch in batches:
             doc_ids = batch.column("doc_id")
             nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
             doc_ids = pc.fill_null(doc_ids.cast(pa.int64()), LAST).to_numpy()
             for a, b, off, before in pieces(batch.column("text")):
-                row, line, n, cls, numbers = line_sets(b, off, rare, wanted)
+                row, line, n, cls, numbers = line_sets(b, off, rare)
                 if len(row):
                     held.append((doc_ids[row + a], nulls[row + a], line + before, n, cls, numbers))
                     size += len(b)
@@ -406,43 +369,44 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int,
         of[order] = (np.cumsum(chosen) - 1)[order[first]][np.cumsum(first) - 1]
         rows, part, home = _postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
                                      numbers[np.repeat(chosen, n)], parts)
-        if groups is not None:
-            some = _in(groups.value, _hash(rows["g"]))
-            rows, part = rows[some], part[some]
-            said, place = np.empty(0, LINE), np.empty(0, np.int64)
-        else:
-            said, place = np.empty(len(cls), LINE), home[of]
-            said["cls"], said["doc"], said["line"], said["null"] = cls, doc, line, null
+        said = np.empty(len(cls), LINE)
+        said["cls"], said["doc"], said["line"], said["null"] = cls, doc, line, null
         return pa.RecordBatch.from_arrays(
             [pa.array(np.arange(parts, dtype=np.int32)),
              pa.array(_by_part(rows, part, parts), pa.binary()),
-             pa.array(_by_part(said, place, parts), pa.binary())],
+             pa.array(_by_part(said, home[of], parts), pa.binary())],
             ["part", "data", "said"])
 
-    def join(t: pa.Table) -> pa.Table:
-        def unpack(name, kind):
-            return np.concatenate([np.frombuffer(d.as_buffer(), kind) for d in t.column(name)])
-
-        col, y, x, dist, more = _compare(unpack("data", PACKED), keep, None if asked is None else asked.value)
-        said = unpack("said", LINE)
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = {"data": [], "said": []}
+        for batch in batches:
+            for name, kind in (("data", PACKED), ("said", LINE)):
+                held[name] += [np.frombuffer(d.as_buffer(), kind) for d in batch.column(name)]
+        said = np.concatenate(held.pop("said"))
+        col = _ordered(np.concatenate(held.pop("data")))
         own = np.flatnonzero((col["pos"] == 0) & (col["side"] == 2))
         own = own[np.argsort(col["cls"][own])]
         at = own[np.searchsorted(col["cls"][own], said["cls"])] if len(own) else own
         later = (said["doc"] > col["doc"][at]) | ((said["doc"] == col["doc"][at]) & (said["line"] > col["line"][at]))
-        big = lambda v: pa.array(np.ascontiguousarray(v).astype(np.int64))
-        return pa.concat_tables([
-            pa.table({"y": big(said["cls"]), "doc": big(said["doc"]), "line": big(said["line"]),
-                      "n": big(col["n"][at]), "later": pa.array(later),
-                      "no_id": pa.array(said["null"].astype(bool))}),
-            pa.table({"y": big(col["cls"][y]), "doc": big(col["doc"][y]), "line": big(col["line"][y]),
-                      "x": big(col["cls"][x]), "x_doc": big(col["doc"][x]), "x_line": big(col["line"][x]),
-                      "dist": big(dist), "more": pa.array(more), "g": big(col["g"][y])})],
-            promote_options="default").select(
-            ["y", "doc", "line", "n", "later", "no_id", "x", "x_doc", "x_line", "dist", "more", "g"])
+        yield rows(said["cls"], doc=said["doc"], line=said["line"], n=col["n"][at], later=later,
+                   no_id=said["null"].astype(bool))
+        paired = np.zeros(len(col["g"]), bool)
+        for y, x, dist in _pairs(col, keep * PART_POSTINGS):
+            paired[y] = paired[x] = True
+            yield rows(col["cls"][y], x=col["cls"][x], dist=dist)
+        _, first = np.unique(col["cls"][paired], return_index=True)
+        yield rows(*(col[c][paired][first] for c in ("cls", "doc", "line")))
+
+    def rows(y, doc=None, line=None, **more):
+        columns = {"y": y, "doc": doc, "line": line} | more
+        return pa.RecordBatch.from_arrays(
+            [pa.nulls(len(y), t) if columns.get(c) is None else pa.array(np.ascontiguousarray(columns[c])).cast(t)
+             for c, t in kinds.items()], list(kinds))
 
+    kinds = {c: pa.int64() for c in ("y", "doc", "line", "n")} | {"later": pa.bool_(), "no_id": pa.bool_(),
+                                                                  "x": pa.int64(), "dist": pa.int32()}
     return written(docs.mapInArrow(post, "part int, data binary, said binary").groupBy("part").applyInArrow(
-        join, "y long, doc long, line long, n long, later boolean, no_id boolean, "
-              "x long, x_doc long, x_line long, dist long, more boolean, g long"), "candidates")
+        join, "y long, doc long, line long, n long, later boolean, no_id boolean, x long, dist int"), "candidates")
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -479,23 +443,28 @@ def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
 
 def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (y, x) whose word sets match, by the words themselves."""
+    """The pairs (y, x, dist) whose word sets match, by the words themselves."""
     def run(batches):
         for batch in batches:
-            ok = []
-            for a, b in zip(batch.column("ty"), batch.column("tx")):
-                a, b = set(a.as_py().split()), set(b.as_py().split())
-                ok.append((NUM + DEN) * len(a & b) >= NUM * (len(a) + len(b)))
-            yield batch.filter(pa.array(ok)).select(["y", "x"])
+            ok, last, words = [], None, set()
+            for a, b in zip(batch.column("ty").to_pylist(), batch.column("tx").to_pylist()):
+                if b != last:
+                    last, words = b, set(b.split())
+                a = set(a.split())
+                ok.append((NUM + DEN) * len(a & words) >= NUM * (len(a) + len(words)))
+            yield batch.filter(pa.array(ok, pa.bool_())).select(["y", "x", "dist"])
 
     both = (pairs.join(texts.select(F.col("cls").alias("y"), F.col("text").alias("ty")), "y")
             .join(texts.select(F.col("cls").alias("x"), F.col("text").alias("tx")), "x"))
-    return written(both.select("y", "x", "ty", "tx").mapInArrow(run, "y long, x long"), "verified")
+    return written(both.select("y", "x", "dist", "ty", "tx").mapInArrow(run, "y long, x long, dist int"), "verified")
 
 
 def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
     """One row per line that has words: doc_id, line_no, n_words, class_id,
-    match_id (a class with an earlier line that matches, or null), removed.
+    match_id (the nearest class with an earlier line that matches, or null),
+    n_earlier (matching classes with an earlier line), n_links (all matching
+    classes), removed. A pair of classes is one link, however many lines they
+    have. ``keep`` bounds the pairs held per posting, not those found.
 
     A null text has no lines; blank lines are no rows and are never removed.
     Rows with the same doc_id are one document's; a null doc_id comes last in
@@ -503,33 +472,23 @@ def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
     """
     docs = docs.select("doc_id", "text")
     counts, words = word_counts(docs)
-    lines, matches, open_, only = None, None, None, None
-    while True:
-        table = candidates(docs, counts, words, keep, only)
-        lines = table.filter("x is null") if lines is None else lines
-        pairs = table.filter("x is not null")
-        if open_ is not None:
-            pairs = pairs.join(open_, "y", "left_semi")
-        texts = texts_of(docs, pairs.select("doc", "line").unionByName(
-            pairs.select(F.col("x_doc").alias("doc"), F.col("x_line").alias("line"))))
-        best = pairs.groupBy("y").agg(F.min(F.struct("dist", "x_doc", "x_line", "x")).alias("b")).select("y", "b.x")
-        good = verified(best, texts)
-        rest = written(pairs.join(good, "y", "left_anti").groupBy("y", "x").agg(F.max("more").alias("more")), "rest")
-        if not rest.isEmpty():
-            good = good.unionByName(verified(rest.select("y", "x"), texts).groupBy("y").agg(F.min("x").alias("x")))
-        matches = good if matches is None else matches.unionByName(good)
-        open_ = written(rest.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
-        if open_.isEmpty():
-            break
-        groups = pairs.filter("more").join(open_, "y", "left_semi")
-        only = (_bits(open_, lambda b: _hash(b.column("y").to_numpy())),
-                _bits(groups.select("g"), lambda b: _hash(b.column("g").to_numpy())))
+    table = candidates(docs, counts, words, keep)
+    lines = table.filter("n is not null")
+    texts = texts_of(docs, table.filter("n is null and x is null").select("doc", "line"))
+    links = verified(table.filter("x is not null").select("y", "x", "dist").distinct(), texts)
+    near = F.when(F.col("earlier"), F.struct("dist", "other"))
+    linked = (links.select("y", F.lit(True).alias("earlier"), "dist", F.col("x").alias("other"))
+              .unionByName(links.select(F.col("x").alias("y"), F.lit(False).alias("earlier"), "dist",
+                                        F.col("y").alias("other")))
+              .groupBy("y").agg(F.count(F.lit(1)).alias("n_links"), F.count_if("earlier").alias("n_earlier"),
+                                F.min(near)["other"].alias("match_id")))
     kind = docs.schema["doc_id"].dataType
-    return (lines.join(matches.select("y", F.col("x").alias("match_id")), "y", "left")
+    return (lines.join(linked, "y", "left")
             .select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"),
                     F.col("line").cast("int").alias("line_no"), F.col("n").cast("int").alias("n_words"),
                     F.col("y").alias("class_id"), "match_id",
-                    (F.col("later") | F.col("match_id").isNotNull()).alias("removed")))
+                    F.coalesce("n_earlier", F.lit(0)).alias("n_earlier"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+                    (F.col("later") | (F.coalesce("n_earlier", F.lit(0)) > 0)).alias("removed")))
 
 
 def drop_lines(docs: DataFrame, keep: int = 2) -> DataFrame:

@@ -89,6 +89,34 @@ def test_near_copies_round_again(spark, monkeypatch):
     assert len(rounds) <= 2
 
 
+def test_every_link_is_counted(spark):
+    """Families of near copies: all pairs of classes that match, not one per class."""
+    rng = np.random.default_rng(9)
+    rows = []
+    for i in range(150):
+        line = [f"w{i % 3}_{j}" for j in range(14)]
+        for _ in range(int(rng.integers(0, 3))):
+            line[int(rng.integers(14))] = f"v{int(rng.integers(20))}"
+        rows.append((i, " ".join(line) + f"\nalone {i}"))
+    first = {}
+    for i, t in rows:
+        for k, x in enumerate(t.split("\n")):
+            first.setdefault(frozenset(x.split()), (i, k))
+    links = {s: {o for o in first if o != s and 5 * len(s & o) >= 4 * len(s | o)} for s in first}
+    assert max(map(len, links.values())) > 8
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    text = {(r.doc_id, k): frozenset(x.split()) for r in docs.collect() for k, x in enumerate(r.text.split("\n"))}
+    got = linededup.matched_lines(docs.repartition(3)).collect()
+    cls = {text[r.doc_id, r.line_no]: r.class_id for r in got}
+    for r in got:
+        s = text[r.doc_id, r.line_no]
+        earlier = {o for o in links[s] if first[o] < first[s]}
+        assert (r.n_links, r.n_earlier) == (len(links[s]), len(earlier))
+        assert r.match_id in {cls[o] for o in earlier} if earlier else r.match_id is None
+        assert r.removed == (bool(earlier) or (r.doc_id, r.line_no) > first[s])
+    assert sum({r.class_id: r.n_earlier for r in got}.values()) == sum(map(len, links.values())) // 2
+
+
 def test_block_pairs_lose_nothing():
     """A hot word's classes in blocks give the same candidates."""
     rng = np.random.default_rng(2)
