@@ -13,12 +13,20 @@ document id, then line number) is removed. Lines of equal sets are one class.
 3. In a part, the classes under a word are compared pair by pair with the
    length filter, the positional filter and two parity bitmaps of 128 and 64
    bits (every differing bit is a differing word, so they reject safely).
-   Every pair that passes is sent on.
+   Every pair that passes is sent on. Where only the removal of lines is
+   asked for (``drop_lines``), a class keeps its nearest earlier candidates
+   per word (``keep``; four times as many if it has over ``LONG`` words) and
+   whether there were more.
 4. Verification compares the words themselves, whose texts one pass gathers,
    for every distinct pair. A pair of classes that matches is a link; each
    line tells how many its class has, and how many of them to earlier ones.
-5. Every line is removed that is a later line of its class or whose class
-   has an earlier match.
+   For removal: first each class's nearest candidate, then the other kept
+   ones; classes without a match that had more candidates go round again with
+   all of them, so no removal is lost.
+5. Line records go straight from the documents to a table; a class's first
+   place is a minimum with partial sums, and a line looks it up in a join
+   that can be split. Every line is removed that is a later line of its class
+   or whose class has an earlier match.
 """
 
 from __future__ import annotations
@@ -41,7 +49,7 @@ BUCKETS = 1 << 17          # of the word counts
 SLICE = 1 << 13            # of them summed together
 BLOOM_WORDS = 1 << 17      # 64-bit words of the filter of wanted lines
 PART_POSTINGS = 250_000    # postings of a part, about
-LONG = 160                 # without effect since all pairs are kept; a test sets it
+LONG = 160
 HOT = 1_000_000            # postings of a word in one group at most, about
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
@@ -133,10 +141,11 @@ def pieces(texts: pa.Array):
             at, lines = to, k + 1
 
 
-def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None):
+def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None, some: np.ndarray | None = None):
     """The lines that have words: text (row), line number in it, number of
     distinct words, class, and all lines' word numbers, sorted within a line.
-    A number's order is rarity (if given), then 53 hash bits."""
+    A number's order is rarity (if given), then 53 hash bits. With a filter
+    ``some``, lines without a word in it, or one cut into blocks, are left out."""
     s, h = words_in(b, off)
     number = h & MASK
     if rarity is not None:
@@ -145,6 +154,11 @@ def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None):
     row, before = np.searchsorted(off, s, "right") - 1, np.searchsorted(feeds, s)
     new = np.ones(len(s), bool)
     new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1])
+    if some is not None and len(s):
+        hit = _in(some, _hash(number)) | (number >> np.uint64(53) > int(16 * np.log2(HOT)))
+        first = np.flatnonzero(new)
+        stays = np.repeat(np.logical_or.reduceat(hit, first), np.diff(first, append=len(s)))
+        row, before, new, number = row[stays], before[stays], new[stays], number[stays]
     row, before = row[new], before[new]
     known, at = np.unique(number, return_inverse=True)
     bits = len(known).bit_length()
@@ -190,12 +204,11 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
 
 PACKED = np.dtype([("g", "<i8"), ("cls", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("b2", "<u8"),
                    ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "i1")])
-LINE = np.dtype([("cls", "<i8"), ("doc", "<i8"), ("line", "<i4"), ("null", "i1")])
 
 
 def _postings(cls: np.ndarray, doc: np.ndarray, line: np.ndarray, n: np.ndarray, flat: np.ndarray, parts: int):
     """Packed postings of lines of distinct classes (``flat``: their word
-    numbers), their parts, and per line the part of its first posting."""
+    numbers), their parts and their lines."""
     start = np.cumsum(n) - n
     bit = np.uint64(1) << (flat & 63).astype(np.uint64)
     second = (flat & 64).astype(bool)
@@ -230,10 +243,7 @@ def _postings(cls: np.ndarray, doc: np.ndarray, line: np.ndarray, n: np.ndarray,
         out, row = np.concatenate([out[keep], *more]), np.concatenate([row[keep], of])
     part = (out["g"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
     part = part.astype(np.int64)
-    home = np.zeros(len(n), np.int64)
-    first = (out["pos"] == 0) & (out["side"] == 2)
-    home[row[first]] = part[first]
-    return out, part, home
+    return out, part, row
 
 
 def _by_part(rows: np.ndarray, part: np.ndarray, parts: int) -> list[bytes]:
@@ -271,14 +281,13 @@ def _ordered(rows: np.ndarray) -> dict[str, np.ndarray]:
     return {c: np.ascontiguousarray(rows[c]) for c in PACKED.names}
 
 
-def _pairs(col: dict[str, np.ndarray], held: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """All candidates of one part: y, x (row numbers, x the earlier), dist;
-    about ``held`` pairs at a time."""
+def _shifts(col: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """The candidates of one part: y, x (row numbers, x the earlier), dist;
+    every y once per step."""
     g, b0, b1, b2, side = (col[c] for c in ("g", "b0", "b1", "b2", "side"))
     n = col["n"].astype(np.int64)
     left = n - col["pos"]              # words from the shared one on
     size = len(g)
-    found, many = [], 0
     x, shift = np.arange(size - 1), 1
     while len(x):
         x = x[x + shift < size]
@@ -293,11 +302,23 @@ def _pairs(col: dict[str, np.ndarray], held: int) -> Iterator[tuple[np.ndarray,
                 + np.bitwise_count(b1[x[at]] ^ b1[y[at]]))
         differ = (both - 2 * need)[at]
         fine = (dist <= differ) & (np.bitwise_count(b2[x[at]] ^ b2[y[at]]) <= differ)
-        at = at[fine]
-        found.append((y[at].astype(np.int32), x[at].astype(np.int32), dist[fine].astype(np.int32)))
-        many += len(at)
+        at, dist = at[fine], dist[fine].astype(np.int32)
+        yield y[at], x[at].astype(np.int32), dist
         shift += 1
-        if many >= held:
+
+
+def _pairs(col: dict[str, np.ndarray], only: np.ndarray | None = None):
+    """All candidates of one part (y, x, dist), or those whose class is in the
+    filter ``only``, about PART_POSTINGS at a time."""
+    asked = None if only is None else _in(only, _hash(col["cls"]))
+    found, many = [], 0
+    for y, x, dist in _shifts(col):
+        if asked is not None:
+            some = asked[y]
+            y, x, dist = y[some], x[some], dist[some]
+        found.append((y, x, dist))
+        many += len(y)
+        if many >= PART_POSTINGS:
             yield tuple(np.concatenate(c) for c in zip(*found))
             found, many = [], 0
     if many:
@@ -305,11 +326,46 @@ def _pairs(col: dict[str, np.ndarray], held: int) -> Iterator[tuple[np.ndarray,
 
 
 def _compare(rows: np.ndarray, keep: int):
-    """The columns of a whole part and all its pairs (y, x, dist), and how
-    many there are."""
+    """The distinct rows of one part in order, and arrays y, x (row numbers),
+    dist, more: the nearest earlier candidates of every row."""
     col = _ordered(rows)
-    y, x, dist = (np.concatenate(c) for c in zip((np.zeros(0, np.int32),) * 3, *_pairs(col, keep * len(rows))))
-    return col, y, x, dist, len(y)
+    size = len(col["g"])
+    long = np.flatnonzero(col["n"] > LONG)
+    slot = np.full(size, -1, np.int64)
+    slot[long] = np.arange(len(long))
+    count = np.zeros(size, np.int64)
+
+    def table(k, m):
+        return np.full((k, m), 1 << 20, np.int32), np.full((k, m), -1, np.int32)
+
+    short_best, long_best = table(keep, size), table(4 * keep, len(long))
+
+    def put(best, ys, xs, dist):       # every y once per shift
+        near, who = best
+        for k in range(len(near)):
+            old, was = near[k, ys], who[k, ys]
+            better = dist <= old
+            near[k, ys], dist = np.where(better, dist, old), np.where(better, old, dist)
+            who[k, ys], xs = np.where(better, xs, was), np.where(better, was, xs)
+
+    for ys, xs, dist in _shifts(col):
+        count[ys] += 1
+        is_long = slot[ys] >= 0
+        put(short_best, ys[~is_long], xs[~is_long], dist[~is_long])
+        if is_long.any():
+            put(long_best, slot[ys[is_long]], xs[is_long], dist[is_long])
+    k1, y1 = np.nonzero(short_best[1] >= 0)
+    k2, y2 = np.nonzero(long_best[1] >= 0)
+    y = np.concatenate([y1, long[y2]])
+    x = np.concatenate([short_best[1][k1, y1], long_best[1][k2, y2]])
+    dist = np.concatenate([short_best[0][k1, y1], long_best[0][k2, y2]])
+    return col, y, x, dist, count[y] > np.where(col["n"][y] > LONG, 4 * keep, keep)
+
+
+def _hash(numbers: np.ndarray) -> np.ndarray:
+    """Place of a class or a group in a filter."""
+    h = np.ascontiguousarray(numbers).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
 
 
 def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
@@ -333,25 +389,44 @@ def _bits(rows: DataFrame, hashes) -> np.ndarray:
     return out
 
 
-def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int) -> DataFrame:
-    """One written table: every line (y, doc, line, n, later, no_id), every
-    candidate pair, once per shared word (y, x, dist), and the place of every
-    class in a pair (y, doc, line); what a row does not have is null."""
+def line_records(docs: DataFrame) -> DataFrame:
+    """Every line that has words: y (class), doc, line, n, no_id; written."""
+    def run(batches):
+        for batch in batches:
+            doc_ids = batch.column("doc_id")
+            nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
+            doc_ids = pc.fill_null(doc_ids.cast(pa.int64()), LAST).to_numpy()
+            for a, b, off, before in pieces(batch.column("text")):
+                row, line, n, cls, _ = line_sets(b, off)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cls), pa.array(doc_ids[row + a]), pa.array((line + before).astype(np.int64)),
+                     pa.array(n.astype(np.int32)), pa.array(nulls[row + a])], ["y", "doc", "line", "n", "no_id"])
+
+    return written(docs.mapInArrow(run, "y long, doc long, line long, n int, no_id boolean"), "lines")
+
+
+def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int | None,
+               only: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
+    """One written table: the candidate pairs, once per shared word (y, x,
+    dist, more, g: the word's group), and the place of every class in a pair
+    (y, doc, line; x null). All pairs without ``keep``, else the nearest ones
+    of each class; with ``only``, filters of classes and groups, all pairs of
+    those classes in those groups."""
     parts = max(1, words // 4 // PART_POSTINGS + 1)
     sc = docs.sparkSession.sparkContext
     shared = sc.broadcast(counts)
+    asked, groups = (sc.broadcast(f) for f in only) if only else (None, None)
 
     def post(batches):
         rare = rarities(shared.value)
+        wanted = None if groups is None else groups.value
         held, size = [], 0
         for batch in batches:
-            doc_ids = batch.column("doc_id")
-            nulls = doc_ids.is_null().to_numpy(zero_copy_only=False)
-            doc_ids = pc.fill_null(doc_ids.cast(pa.int64()), LAST).to_numpy()
+            doc_ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), LAST).to_numpy()
             for a, b, off, before in pieces(batch.column("text")):
-                row, line, n, cls, numbers = line_sets(b, off, rare)
+                row, line, n, cls, numbers = line_sets(b, off, rare, wanted)
                 if len(row):
-                    held.append((doc_ids[row + a], nulls[row + a], line + before, n, cls, numbers))
+                    held.append((doc_ids[row + a], line + before, n, cls, numbers))
                     size += len(b)
                 if size >= HELD:
                     yield send(*map(np.concatenate, zip(*held)))
@@ -359,41 +434,33 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int) -> Da
         if held:
             yield send(*map(np.concatenate, zip(*held)))
 
-    def send(doc, null, line, n, cls, numbers):
-        # the earliest line of every class; its number among those, per line
-        order = np.lexsort((line, doc, cls))
+    def send(doc, line, n, cls, numbers):
+        order = np.lexsort((line, doc, cls))    # the earliest line of every class
         first = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
         chosen = np.zeros(len(cls), bool)
         chosen[order[first]] = True
-        of = np.empty(len(cls), np.int64)
-        of[order] = (np.cumsum(chosen) - 1)[order[first]][np.cumsum(first) - 1]
-        rows, part, home = _postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
-                                     numbers[np.repeat(chosen, n)], parts)
-        said = np.empty(len(cls), LINE)
-        said["cls"], said["doc"], said["line"], said["null"] = cls, doc, line, null
+        rows, part, _ = _postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
+                                  numbers[np.repeat(chosen, n)], parts)
+        if groups is not None:
+            some = _in(groups.value, _hash(rows["g"]))
+            rows, part = rows[some], part[some]
         return pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(parts, dtype=np.int32)),
-             pa.array(_by_part(rows, part, parts), pa.binary()),
-             pa.array(_by_part(said, home[of], parts), pa.binary())],
-            ["part", "data", "said"])
+            [pa.array(np.arange(parts, dtype=np.int32)), pa.array(_by_part(rows, part, parts), pa.binary())],
+            ["part", "data"])
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = {"data": [], "said": []}
-        for batch in batches:
-            for name, kind in (("data", PACKED), ("said", LINE)):
-                held[name] += [np.frombuffer(d.as_buffer(), kind) for d in batch.column(name)]
-        said = np.concatenate(held.pop("said"))
-        col = _ordered(np.concatenate(held.pop("data")))
-        own = np.flatnonzero((col["pos"] == 0) & (col["side"] == 2))
-        own = own[np.argsort(col["cls"][own])]
-        at = own[np.searchsorted(col["cls"][own], said["cls"])] if len(own) else own
-        later = (said["doc"] > col["doc"][at]) | ((said["doc"] == col["doc"][at]) & (said["line"] > col["line"][at]))
-        yield rows(said["cls"], doc=said["doc"], line=said["line"], n=col["n"][at], later=later,
-                   no_id=said["null"].astype(bool))
+        data = np.concatenate([np.frombuffer(d.as_buffer(), PACKED) for b in batches for d in b.column("data")])
+        if keep is None or asked is not None:
+            col = _ordered(data)
+            found = ((*pair, None) for pair in _pairs(col, None if asked is None else asked.value))
+        else:
+            col, *near = _compare(data, keep)
+            found = [near]
+        del data
         paired = np.zeros(len(col["g"]), bool)
-        for y, x, dist in _pairs(col, keep * PART_POSTINGS):
+        for y, x, dist, more in found:
             paired[y] = paired[x] = True
-            yield rows(col["cls"][y], x=col["cls"][x], dist=dist)
+            yield rows(col["cls"][y], x=col["cls"][x], dist=dist, more=more, g=None if keep is None else col["g"][y])
         _, first = np.unique(col["cls"][paired], return_index=True)
         yield rows(*(col[c][paired][first] for c in ("cls", "doc", "line")))
 
@@ -403,10 +470,9 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int) -> Da
             [pa.nulls(len(y), t) if columns.get(c) is None else pa.array(np.ascontiguousarray(columns[c])).cast(t)
              for c, t in kinds.items()], list(kinds))
 
-    kinds = {c: pa.int64() for c in ("y", "doc", "line", "n")} | {"later": pa.bool_(), "no_id": pa.bool_(),
-                                                                  "x": pa.int64(), "dist": pa.int32()}
-    return written(docs.mapInArrow(post, "part int, data binary, said binary").groupBy("part").applyInArrow(
-        join, "y long, doc long, line long, n long, later boolean, no_id boolean, x long, dist int"), "candidates")
+    kinds = {c: pa.int64() for c in ("y", "doc", "line", "x", "g")} | {"dist": pa.int32(), "more": pa.bool_()}
+    return written(docs.mapInArrow(post, "part int, data binary").groupBy("part").applyInArrow(
+        join, "y long, doc long, line long, x long, g long, dist int, more boolean"), "candidates")
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -459,22 +525,30 @@ def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
     return written(both.select("y", "x", "dist", "ty", "tx").mapInArrow(run, "y long, x long, dist int"), "verified")
 
 
-def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
+def removal(lines: DataFrame, linked: DataFrame) -> DataFrame:
+    """The lines with what is known of their class (``linked``: y and more;
+    null if nothing) and whether they are a later line of it."""
+    first = lines.groupBy("y").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("_n"))
+    of_class = written(first.join(linked, "y", "left").filter(
+        (F.col("_n") > 1) | F.col("n_earlier").isNotNull()).drop("_n"), "classes")
+    later = F.coalesce(F.struct("doc", "line") > F.col("first"), F.lit(False))
+    return (lines.join(of_class, "y", "left").withColumn("later", later).drop("first"))
+
+
+def matched_lines(docs: DataFrame, keep: int | None = None) -> DataFrame:
     """One row per line that has words: doc_id, line_no, n_words, class_id,
     match_id (the nearest class with an earlier line that matches, or null),
     n_earlier (matching classes with an earlier line), n_links (all matching
     classes), removed. A pair of classes is one link, however many lines they
-    have. ``keep`` bounds the pairs held per posting, not those found.
+    have. ``keep`` has no effect here: all pairs are found.
 
     A null text has no lines; blank lines are no rows and are never removed.
     Rows with the same doc_id are one document's; a null doc_id comes last in
     the order. Other columns are ignored; an empty table gives an empty result.
     """
     docs = docs.select("doc_id", "text")
-    counts, words = word_counts(docs)
-    table = candidates(docs, counts, words, keep)
-    lines = table.filter("n is not null")
-    texts = texts_of(docs, table.filter("n is null and x is null").select("doc", "line"))
+    table = candidates(docs, *word_counts(docs), None)
+    texts = texts_of(docs, table.filter("x is null").select("doc", "line"))
     links = verified(table.filter("x is not null").select("y", "x", "dist").distinct(), texts)
     near = F.when(F.col("earlier"), F.struct("dist", "other"))
     linked = (links.select("y", F.lit(True).alias("earlier"), "dist", F.col("x").alias("other"))
@@ -483,20 +557,52 @@ def matched_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
               .groupBy("y").agg(F.count(F.lit(1)).alias("n_links"), F.count_if("earlier").alias("n_earlier"),
                                 F.min(near)["other"].alias("match_id")))
     kind = docs.schema["doc_id"].dataType
-    return (lines.join(linked, "y", "left")
+    n_earlier, n_links = (F.coalesce(c, F.lit(0)) for c in ("n_earlier", "n_links"))
+    return (removal(line_records(docs), linked)
+            .select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"),
+                    F.col("line").cast("int").alias("line_no"), F.col("n").alias("n_words"),
+                    F.col("y").alias("class_id"), "match_id", n_earlier.alias("n_earlier"),
+                    n_links.alias("n_links"), (F.col("later") | (n_earlier > 0)).alias("removed")))
+
+
+def removed_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
+    """doc_id, line_no, class_id of the lines that ``matched_lines`` calls
+    removed. One earlier match of a class is enough, so the links beyond it
+    are not counted."""
+    docs = docs.select("doc_id", "text")
+    counts, words = word_counts(docs)
+    matches, open_, only = None, None, None
+    while True:
+        table = candidates(docs, counts, words, keep, only)
+        pairs = table.filter("x is not null")
+        if open_ is not None:
+            pairs = pairs.join(open_, "y", "left_semi")
+        texts = texts_of(docs, table.filter("x is null").select("doc", "line"))
+        best = pairs.groupBy("y").agg(F.min(F.struct("dist", "x")).alias("b")).select("y", "b.x", "b.dist")
+        good = verified(best, texts).select("y")
+        rest = written(pairs.join(good, "y", "left_anti").groupBy("y", "x", "dist")
+                       .agg(F.max("more").alias("more")), "rest")
+        if not rest.isEmpty():
+            good = good.unionByName(verified(rest.select("y", "x", "dist"), texts).select("y").distinct())
+        matches = good if matches is None else matches.unionByName(good)
+        open_ = written(rest.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
+        if open_.isEmpty():
+            break
+        groups = pairs.filter("more").join(open_, "y", "left_semi")
+        only = (_bits(open_, lambda b: _hash(b.column("y").to_numpy())),
+                _bits(groups.select("g"), lambda b: _hash(b.column("g").to_numpy())))
+    kind = docs.schema["doc_id"].dataType
+    return (removal(line_records(docs), matches.withColumn("n_earlier", F.lit(1)))
+            .filter(F.col("later") | F.col("n_earlier").isNotNull())
             .select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"),
-                    F.col("line").cast("int").alias("line_no"), F.col("n").cast("int").alias("n_words"),
-                    F.col("y").alias("class_id"), "match_id",
-                    F.coalesce("n_earlier", F.lit(0)).alias("n_earlier"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
-                    (F.col("later") | (F.coalesce("n_earlier", F.lit(0)) > 0)).alias("removed")))
+                    F.col("line").cast("int").alias("line_no"), F.col("y").alias("class_id")))
 
 
 def drop_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
     """The documents without their removed lines, all columns kept; n_chars
     (if there) follows the text. Documents that lose every line with words
     go; documents that had none stay as they are."""
-    lines = written(matched_lines(docs, keep), "matched")
-    gone = (lines.filter("removed").groupBy(F.col("doc_id").alias("_of"))
+    gone = (removed_lines(docs, keep).groupBy(F.col("doc_id").alias("_of"))
             .agg(F.collect_set(F.struct("line_no", "class_id")).alias("_gone")))
     names = docs.columns
     schema = T.StructType(list(docs.schema.fields))

@@ -117,6 +117,35 @@ def test_every_link_is_counted(spark):
     assert sum({r.class_id: r.n_earlier for r in got}.values()) == sum(map(len, links.values())) // 2
 
 
+def test_removed_lines_are_those_of_all_links(spark, monkeypatch):
+    """One match is enough for removal; the second round loses none."""
+    rng = np.random.default_rng(7)
+    rows = [(i, "\n".join(" ".join(f"w{v}" for v in rng.integers(i % 3, 16, 11)) for _ in range(3))) for i in range(200)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    monkeypatch.setattr(linededup, "LONG", 10 ** 9)
+    want = {p for p, gone in brute(rows).items() if gone}
+    got = [(r.doc_id, r.line_no) for r in linededup.removed_lines(docs, keep=1).collect()]
+    assert set(got) == want and len(got) == len(want) and want
+
+
+def test_line_records_do_not_go_to_the_parts(spark, monkeypatch):
+    """A line that stands in every document is a record per line of the
+    table, and at most one posting per batch for the part of its words."""
+    docs = spark.createDataFrame([(i, "the same words in every one\n" * 40 + f"own {i}") for i in range(50)],
+                                 "doc_id long, text string").coalesce(1)
+    sent, kept = [], linededup.written
+
+    def seen(df, name):
+        out = kept(df, name)
+        sent.append((name, out.count(), out.columns))
+        return out
+
+    monkeypatch.setattr(linededup, "written", seen)
+    assert linededup.matched_lines(docs).filter("removed").count() == 50 * 40 - 1
+    tables = {name: (n, columns) for name, n, columns in sent}
+    assert tables["lines"][0] == 50 * 41 and tables["candidates"][0] < 50
+
+
 def test_block_pairs_lose_nothing():
     """A hot word's classes in blocks give the same candidates."""
     rng = np.random.default_rng(2)
