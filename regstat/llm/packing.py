@@ -24,6 +24,7 @@ import itertools
 import json
 
 import os
+import re
 import zlib
 from array import array
 
@@ -41,11 +42,13 @@ _ENCODERS: dict[int, "Encoder"] = {}
 
 def merge_ranks(spec: dict) -> dict[bytes, int] | None:
     """Token bytes -> id of a tokenizers model, if it is plain byte-level BPE
-    whose merges come in the order of the ids they make; else None."""
+    whose merges come in the order of the ids they make and whose added tokens
+    stand for their own strings only; else None."""
     pre, model = spec.get("pre_tokenizer") or {}, spec.get("model") or {}
     if (pre.get("type") != "ByteLevel" or not pre.get("use_regex") or pre.get("add_prefix_space")
             or spec.get("normalizer") or model.get("type") != "BPE" or model.get("dropout")
-            or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")):
+            or model.get("continuing_subword_prefix") or model.get("end_of_word_suffix")
+            or any(t.get(f) for t in spec.get("added_tokens") or [] for f in ("single_word", "lstrip", "rstrip"))):
         return None
     # ByteLevel writes printable bytes as themselves, the others as 256, 257, ...
     printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -62,8 +65,8 @@ def merge_ranks(spec: dict) -> dict[bytes, int] | None:
 
 class Encoder:
     """Ids of whole texts as little-endian 32-bit numbers: those that
-    tokenizers gives for the model file, special tokens' strings being
-    ordinary text. Plain byte-level BPE is encoded by ranks (the same ids,
+    tokenizers gives for the model file without adding any; the string of an
+    added token gets its id. Plain byte-level BPE is encoded by ranks (the same ids,
     faster), each distinct word once; any other model by tokenizers."""
 
     def __init__(self, model: str):
@@ -74,7 +77,6 @@ class Encoder:
             from tokenizers import Tokenizer
 
             tokenizer = Tokenizer.from_str(model)
-            tokenizer.encode_special_tokens = True
             self._ids = lambda text: tokenizer.encode(text, add_special_tokens=False).ids
         else:
             import tiktoken
@@ -84,6 +86,11 @@ class Encoder:
             self._ids, self._piece = bpe.encode_ordinary, bpe._encode_single_piece
             self.marks = {c: array("I", self._ids(c)).tobytes() for c in ".,;:!?"}
         self.words = WordCache(self._word, 700_000) if ranks is not None else None
+        self.added, self.splitter = {}, None    # tokenizers splits by itself
+        if ranks is not None:
+            self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec.get("added_tokens") or []}
+        if self.added:                          # of several at a place the longest
+            self.splitter = re.compile("(" + "|".join(map(re.escape, sorted(self.added, key=len, reverse=True))) + ")")
 
     def _word(self, text: str) -> bytes:
         """" " and a word: letters are one pre-token, a mark behind them another."""
@@ -97,6 +104,11 @@ class Encoder:
         return array("I", self._ids(text)).tobytes() if text else b""
 
     def encode(self, text: str) -> bytes:
+        if self.splitter is None or self.splitter.search(text) is None:
+            return self._plain(text)
+        return b"".join(self.added[t] if i % 2 else self._plain(t) for i, t in enumerate(self.splitter.split(text)))
+
+    def _plain(self, text: str) -> bytes:
         words = words_of(text) if text and self.words is not None else None
         if words is None:
             return self._encode(text)

@@ -106,3 +106,15 @@ def test_packing_is_best_fit_decreasing():
 
 def test_packing_empty_table(empty_docs):
     assert packing.pack_documents(empty_docs, JSON).collect() == []
+
+
+def test_added_tokens_as_tokenizers_does(spark):
+    """The default call of tokenizers gives an added token's string its id."""
+    t, encoder, end = Tokenizer.from_file(JSON), packing.encoder_for(open(JSON, encoding="utf-8").read()), "<|endoftext|>"
+    texts = [f"a {end} b", end, end * 3, f" {end}x", f"two  {end}  words, {end}\n\n{end} é", f"<|{end}|>", "<|endoftext", "a b"]
+    for text in texts:
+        assert np.frombuffer(encoder.encode(text), "<u4").tolist() == t.encode(text, add_special_tokens=False).ids
+    rows = packing.pack_documents(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), JSON).collect()
+    for r in rows:
+        ids = np.array(t.encode(texts[r.doc_id], add_special_tokens=False).ids + [2], "<u4")
+        assert (r.length, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
