@@ -6,7 +6,8 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from regstat.deploy import ship_package
-from regstat.llm import ann, bpe, htmltext, linededup, packing, quality, sharding, simhash, topk, url_filter
+from regstat.llm import (ann, bpe, convrepair, divergence, htmltext, licenses, linededup, packing, quality, sharding,
+                         simhash, topk, url_filter)
 from regstat.llm.common import table
 
 
@@ -55,9 +56,21 @@ def op10_simhash(spark, sf_dir):
                         "component_id")
 
 
+def op11_license_scan(spark, sf_dir):
+    return licenses.scan_documents(table(spark, sf_dir, "documents"))
+
+
+def op12_source_divergence(spark, sf_dir):
+    return divergence.audit_sources(table(spark, sf_dir, "documents"))
+
+
+def op13_conversation_repair(spark, sf_dir):
+    return convrepair.audit_conversations(table(spark, sf_dir, "conversations"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_exact_topk, op2_line_dedup, op3_html_text, op4_ann, op5_best_fit_packing, op6_byte_bpe, op7_sharding, op8_url_filters,
-    op9_quality, op10_simhash)}
+    op9_quality, op10_simhash, op11_license_scan, op12_source_divergence, op13_conversation_repair)}
 
 
 def _shipped(fn):
