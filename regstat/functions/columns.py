@@ -137,9 +137,10 @@ def js_number(x, digits: int) -> Column:
 
 
 def json_string(c) -> Column:
-    """A JSON string literal of a text column (quotes and backslashes escaped)."""
-    esc = F.replace(F.replace(col_(c), F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"'))
-    return F.concat(F.lit('"'), esc, F.lit('"'))
+    """A JSON string literal of a text column (quotes, backslashes and
+    control characters escaped; null gives ``null``)."""
+    listed = F.to_json(F.array(col_(c)))
+    return F.substr(listed, F.lit(2), F.length(listed) - 2)
 
 
 def template(tpl: str, **values) -> Column:

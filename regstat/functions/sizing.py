@@ -1,37 +1,8 @@
-"""Size checks for the few places a side is broadcast or shipped to tasks."""
+"""Small intermediates that several branches read."""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
-
-class SideTooLarge(ValueError):
-    """Raised when a side that must be small exceeds its row bound."""
-
-
-def bounded_rows(df: DataFrame, max_rows: int) -> int | None:
-    """Row count of ``df`` if it is at most ``max_rows``, else ``None``.
-
-    Reads at most ``max_rows + 1`` rows, so the check stays cheap even when
-    the side turns out to be large.
-    """
-    n = df.limit(max_rows + 1).count()
-    return n if n <= max_rows else None
-
-
-def broadcast_if_small(df: DataFrame, max_rows: int) -> DataFrame:
-    """Hint a broadcast only when the side is proven to hold <= ``max_rows``
-    rows; otherwise leave the join to the planner (sort-merge / AQE)."""
-    return F.broadcast(df) if bounded_rows(df, max_rows) is not None else df
-
-
-def collect_bounded(df: DataFrame, max_rows: int) -> list:
-    """Collect a side proven to be small; refuse (never truncate) otherwise."""
-    rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise SideTooLarge(f"side has more than {max_rows} rows")
-    return rows
 
 
 def materializar(df: DataFrame) -> DataFrame:

@@ -59,8 +59,10 @@ def exprs_nacional(params: cfg.Params = cfg.SOURCE, hash_id: bool = False) -> di
 
 def limpiar_nacional(raw: DataFrame, params: cfg.Params = cfg.SOURCE,
                      hash_id: bool = False) -> DataFrame:
-    """National-mode cleaning (one projection)."""
-    return raw.select(*[e.alias(n) for n, e in exprs_nacional(params, hash_id).items()])
+    """National-mode cleaning (one projection); the reader's ``_orden`` and
+    ``_corrupto``, if it gave them, go along."""
+    own = [c for c in ("_orden", "_corrupto") if c in raw.columns]
+    return raw.select(*[e.alias(n) for n, e in exprs_nacional(params, hash_id).items()], *own)
 
 
 def exprs_regional(params: cfg.Params = cfg.SOURCE) -> dict:

@@ -66,9 +66,13 @@ def males():
 
 
 def filtrar(fact: DataFrame, departamento: str | None = None, anio: int | None = None) -> DataFrame:
-    """optional equality filters, added only when given."""
+    """optional equality filters, added only when given. On the star's
+    rows the region also filters ``region_id``, which the fact is sorted by:
+    Parquet skips the row groups of other regions before any join."""
     if departamento is not None:
         fact = fact.where(F.col("departamento") == F.lit(departamento))
+        if "region_id" in fact.columns:
+            fact = fact.where(F.col("region_id") == F.xxhash64(F.lit(departamento)))
     if anio is not None:
         fact = fact.where(F.col("anio") == F.lit(int(anio)))
     return fact
@@ -77,7 +81,7 @@ def filtrar(fact: DataFrame, departamento: str | None = None, anio: int | None =
 def casos_por_anio(fact: DataFrame, departamento: str | None = None,
                    anio: int | None = None) -> DataFrame:
     """A1: cases per (region, year)."""
-    return filtrar(filas(fact), departamento, anio).groupBy("departamento", "anio").agg(cases())
+    return filas(filtrar(fact, departamento, anio)).groupBy("departamento", "anio").agg(cases())
 
 
 def con_poblacion(agg: DataFrame, poblacion: DataFrame,
@@ -104,19 +108,19 @@ def tasa_incidencia(fact: DataFrame, poblacion: DataFrame, departamento: str | N
 def distribucion_sexo(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A3: cases per sex."""
-    return filtrar(filas(fact), departamento, anio).groupBy("departamento", "sexo").agg(cases())
+    return filas(filtrar(fact, departamento, anio)).groupBy("departamento", "sexo").agg(cases())
 
 
 def distribucion_edad(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A4 (+F2): cases per age band, unknown band excluded."""
-    return (filtrar(filas(fact), departamento, anio).where(F.col("grupo_etario") != cfg.UNKNOWN)
+    return (filas(filtrar(fact, departamento, anio)).where(F.col("grupo_etario") != cfg.UNKNOWN)
             .groupBy("departamento", "grupo_etario").agg(cases()))
 
 
 def ranking_departamentos(fact: DataFrame, anio: int | None = None) -> DataFrame:
     """A5: cases per region (order: cases desc, then name)."""
-    return filtrar(filas(fact), None, anio).groupBy("departamento").agg(cases())
+    return filas(filtrar(fact, None, anio)).groupBy("departamento").agg(cases())
 
 
 def ordenar_ranking(ranking: DataFrame) -> DataFrame:
@@ -126,14 +130,14 @@ def ordenar_ranking(ranking: DataFrame) -> DataFrame:
 def tendencia_mensual(fact: DataFrame, departamento: str | None = None,
                       anio: int | None = None) -> DataFrame:
     """A6 (+C14): cases per (region, year, month) with the month label."""
-    return (filtrar(filas(fact), departamento, anio).groupBy("departamento", "anio", "mes").agg(cases())
+    return (filas(filtrar(fact, departamento, anio)).groupBy("departamento", "anio", "mes").agg(cases())
             .withColumn("etiqueta", C.month_label("mes")))
 
 
 def provincias(fact: DataFrame, departamento: str | None = None,
                anio: int | None = None) -> DataFrame:
     """Cases per province."""
-    return filtrar(filas(fact), departamento, anio).groupBy("departamento", "provincia").agg(cases())
+    return filas(filtrar(fact, departamento, anio)).groupBy("departamento", "provincia").agg(cases())
 
 
 def _sex_counts():

@@ -1,23 +1,24 @@
 """Question and answer processing in batch (Q1-Q7).
 
-Questions and answers are tables; every operator is a projection (or a
-bounded explode) over them, so work spreads over the question table's
-partitions with no shuffle. The gazetteer is a small dimension shipped
-as an array literal after a size check.
+Questions and answers are tables. Years, answers and charts are projections;
+places are found by a join of text windows with the leading characters of
+the names, so the gazetteer may have any size; conversations are cut into
+numbered pieces of bounded length.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from regstat import config as cfg
 from regstat.functions import columns as C
-from regstat.functions.sizing import collect_bounded
+from regstat.functions.sizing import materializar
 
-MAX_GAZETTEER = 10000
 WORD = "A-Za-z0-9_"
+#: leading characters of a name that a window of the text must equal
+LEAD = 6
 
 
 def year_pattern(years) -> str:
@@ -33,34 +34,49 @@ def detectar_anio(text, years) -> F.Column:
     return F.when(hit != "", hit.cast("int"))
 
 
-def gazetteer_list(gazetteer: DataFrame) -> list:
-    """Names in list order from a (nombre, orden) DataFrame (size-checked)."""
-    rows = collect_bounded(gazetteer.select("nombre", "orden"), MAX_GAZETTEER)
-    return [r["nombre"] for r in sorted(rows, key=lambda r: r["orden"])]
+def lugares_mencionados(texts: DataFrame, gazetteer: DataFrame, text: str = "texto",
+                        palabra_completa: bool = False) -> DataFrame:
+    """Q2: (``text``, departamento) for every distinct text that names a place
+    of ``gazetteer`` (nombre, orden): the first name of the list (smallest
+    orden) contained in the upper-cased text. Plain substring semantics
+    (SIGNIFICA contains ICA), accents not folded; ``palabra_completa`` only
+    accepts names standing as whole words (ASCII word boundaries).
 
-
-def detectar_lugar(text, names: list, palabra_completa: bool = False) -> F.Column:
-    """Q2: first name of the list (list order) contained in the upper-cased
-    text; plain substring semantics (SIGNIFICA contains ICA), accents not
-    folded. ``palabra_completa=True`` only accepts a name standing as whole
-    words (ASCII word boundaries)."""
-    import re
-    up = F.upper(C.col_(text))
-    if not palabra_completa:
-        arr = F.array(*[F.lit(n) for n in names])
-        return F.get(F.filter(arr, lambda d: up.contains(d)), 0)
-    out = F.lit(None).cast("string")
-    for n in reversed(names):
-        pat = f"(^|[^{WORD}]){re.escape(n)}([^{WORD}]|$)"
-        out = F.when(up.rlike(pat), F.lit(n)).otherwise(out)
-    return out
-
-
-def detectar_filtros(questions: DataFrame, names: list, years, text: str = "texto",
+    Every position of a text gives windows of the lengths that the names'
+    leading characters have (at most ``LEAD`` + 1 lengths), which meet the
+    names in an equi-join; the rest of the name, and its borders, are compared
+    afterwards. No list is collected and no size is assumed.
+    """
+    names = (gazetteer.select("nombre", "orden").where("nombre is not null")
+             .groupBy("nombre").agg(F.min("orden").alias("orden"))
+             .withColumn("_k", F.left("nombre", F.lit(LEAD))))
+    sizes = names.agg(F.collect_set(F.length("_k")).alias("leads"), F.max(F.length("nombre")).alias("longest")).first()
+    leads, longest = sorted(sizes["leads"]), sizes["longest"] or 0
+    distinct = materializar(texts.select(F.col(text).alias("_t")).where(F.col(text).isNotNull()).distinct()
+                            .withColumn("_id", F.monotonically_increasing_id()))
+    up = distinct.select("_id", F.upper("_t").alias("_u"))
+    at = up.select("_id", "_u", F.explode(F.sequence(F.lit(1), F.greatest(F.length("_u"), F.lit(1)))).alias("_p"))
+    windows = at.select(
+        "_id", F.substr("_u", F.col("_p"), F.lit(longest + 1)).alias("_rest"),
+        F.when(F.col("_p") > 1, F.substr("_u", F.col("_p") - 1, F.lit(1))).alias("_before"),
+        F.explode(F.array(*[F.substr("_u", F.col("_p"), F.lit(n)) for n in leads]) if leads
+                  else F.array().cast("array<string>")).alias("_k"))
+    found = windows.join(names, "_k").where(F.startswith("_rest", "nombre"))
+    if palabra_completa:
+        after = F.substr("_rest", F.length("nombre") + 1, F.lit(1))
+        found = found.where(~F.coalesce(F.col("_before").rlike(f"[{WORD}]"), F.lit(False))
+                            & ~after.rlike(f"[{WORD}]"))
+    first = found.groupBy("_id").agg(F.min_by("nombre", F.struct("orden", "nombre")).alias("departamento"))
+    return distinct.join(first, "_id").select(F.col("_t").alias(text), "departamento")
+
+
+def detectar_filtros(questions: DataFrame, gazetteer: DataFrame, years, text: str = "texto",
                      palabra_completa: bool = False) -> DataFrame:
-    """Q1 + Q2 for every question."""
-    return questions.withColumn("anio", detectar_anio(text, years)) \
-                    .withColumn("departamento", detectar_lugar(text, names, palabra_completa))
+    """Q1 + Q2 for every question; ``gazetteer`` is a table (nombre, orden)."""
+    places = lugares_mencionados(questions, gazetteer, text, palabra_completa)
+    return (questions.drop("anio", "departamento").withColumn("anio", detectar_anio(text, years))
+            .join(places, text, "left").select(*[c for c in questions.columns if c not in ("anio", "departamento")],
+                                               "anio", "departamento"))
 
 
 FENCE_OPEN = "(?i)^```(?:json)?\\s*"
@@ -86,7 +102,12 @@ def parsear_respuestas(answers: DataFrame, raw: str = "respuesta") -> DataFrame:
     answer; the chart is the ``grafica`` member unless absent or JSON null.
     Adds texto, tiene_grafica, grafica_tipo, n_datos and the typed chart
     data ``datos`` (kept for Q5/Q6)."""
-    v = F.try_parse_json(limpiar_respuesta(raw))
+    clean = limpiar_respuesta(raw)
+    # A JSON object that repeats a key is no variant; its last value counts.
+    last = F.from_json(clean, "texto variant, grafica variant")
+    repeated = F.when(clean.startswith("{") & (last["texto"].isNotNull() | last["grafica"].isNotNull()),
+                      F.to_variant_object(last))
+    v = F.coalesce(F.try_parse_json(clean), repeated)
     is_obj = F.coalesce(F.schema_of_variant(v).startswith("OBJECT"), F.lit(False))
     texto_v = F.try_variant_get(v, "$.texto", "variant")
     texto_ok = is_obj & F.coalesce(F.schema_of_variant(texto_v) == "STRING", F.lit(False))
@@ -134,9 +155,59 @@ def historial(turns: DataFrame) -> DataFrame:
             .orderBy("conv_id", "turn"))
 
 
+#: turns in one piece of a conversation's list
+PIEZA = 1000
+
+
+def historial_listas(turns: DataFrame, ultimos: int | None = None, pieza: int = PIEZA) -> DataFrame:
+    """Q7 as the model receives it: per conversation the ordered list of
+    ``{role, parts: [{text}]}``, as JSON: conv_id, pieza, n_turnos, historial.
+
+    A conversation of more than ``pieza`` turns comes in numbered pieces (from
+    0) of that length, whose lists follow each other; ``ultimos`` keeps the
+    last turns only (default: all). Turns are ordered by turn (nulls first),
+    equal ones by role and text; repeated turns are turns; a null text is JSON
+    null; a null conv_id is one conversation.
+
+    Places are counted in two levels, so that no task holds a conversation: a
+    running sum over ranges of ``pieza`` turn numbers, and a row number inside
+    a range.
+    """
+    role = F.when(F.col("role") == "assistant", F.lit("model")).otherwise(F.lit("user"))
+    t = turns.select("conv_id", "turn", role.alias("_rol"), F.col("text").alias("_text"),
+                     F.floor(F.col("turn") / F.lit(pieza)).alias("_r"))
+    ranges = t.groupBy("conv_id", "_r").agg(F.count(F.lit(1)).alias("_n"))
+    before = Window.partitionBy("conv_id").orderBy("_r").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy("conv_id")
+    ranges = ranges.select(F.col("conv_id").alias("_c"), F.col("_r").alias("_cr"),
+                           F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start"),
+                           F.sum("_n").over(whole).alias("_total"))
+    inside = Window.partitionBy("conv_id", "_r").orderBy("turn", "_rol", "_text")
+    placed = (t.withColumn("_in", F.row_number().over(inside) - 1)
+              .join(ranges, F.col("conv_id").eqNullSafe(F.col("_c")) & F.col("_r").eqNullSafe(F.col("_cr")))
+              .withColumn("_pos", F.col("_start") + F.col("_in")))
+    if ultimos is not None:
+        skipped = F.greatest(F.col("_total") - F.lit(int(ultimos)), F.lit(0))
+        placed = placed.withColumn("_pos", F.col("_pos") - skipped).where("_pos >= 0")
+    entry = F.struct(F.col("_rol").alias("role"), F.array(F.struct(F.col("_text").alias("text"))).alias("parts"))
+    return (placed.groupBy("conv_id", F.floor(F.col("_pos") / F.lit(pieza)).alias("pieza"))
+            .agg(F.array_sort(F.collect_list(F.struct("_pos", entry.alias("e")))).alias("l"))
+            .select("conv_id", "pieza", F.size("l").alias("n_turnos"),
+                    F.to_json(F.transform("l", lambda x: x["e"]), {"ignoreNullFields": "false"}).alias("historial")))
+
+
 # ---------------------------------------------------------------------------
 # Q3: context assembly
 # ---------------------------------------------------------------------------
+def _fragmentos(corpus: DataFrame) -> DataFrame:
+    """The chunks in the order of their texts with increasing integers
+    ``vec_id``, so that equal scores are ordered by text without shipping it."""
+    return materializar(
+        corpus.select(F.coalesce("content", F.lit("")).alias("content"), "embedding", "meta_departamento", "meta_anio")
+        .repartitionByRange("content").sortWithinPartitions("content")
+        .withColumn("vec_id", F.monotonically_increasing_id()))
+
+
 def contexto_rag(questions: DataFrame, corpus: DataFrame, dim: int, k: int = cfg.TOP_K,
                  embedder=None, text: str = "texto", **blocks) -> DataFrame:
     """Retrieved context per question: the texts of its top-k chunks by
@@ -144,21 +215,19 @@ def contexto_rag(questions: DataFrame, corpus: DataFrame, dim: int, k: int = cfg
     scores by text.
 
     Questions and corpus stay partitioned and go through ``vectors.topk``,
-    whatever their sizes; the text itself identifies a chunk, so chunks of
-    different families that share a ``chunk_key`` stay apart. Both sides are
-    materialised once, because the blocks read them twice.
+    whatever their sizes; chunks travel as integers, and the texts are joined
+    back for the k winners only.
     """
-    from regstat.functions.sizing import materializar
     from regstat.operators import vectors as V
 
-    chunks = materializar(corpus.select(F.coalesce("content", F.lit("")).alias("content"), "embedding",
-                                        "meta_departamento", "meta_anio"))
-    emb = V.embed(questions, text, dim, "q_embedding", embedder=embedder)
+    chunks = _fragmentos(corpus)
+    emb = V.embed(questions.select("pregunta_id", text, "departamento", "anio"), text, dim, "q_embedding",
+                  embedder=embedder)
     q = materializar(emb.select(F.col("pregunta_id").cast("long").alias("query_id"), "q_embedding",
                                 F.col("departamento").alias("q_departamento"), F.col("anio").alias("q_anio")))
-    hits = V.topk(q, chunks, k, id_col="content", **blocks)
-    found = (hits.groupBy("query_id")
-             .agg(F.array_sort(F.collect_list(F.struct("posicion", "content"))).alias("c"))
+    hits = V.topk(q, chunks.withColumn("chunk_type", F.lit(None).cast("string")), k, **blocks)
+    found = (hits.select("query_id", "vec_id", "posicion").join(chunks.select("vec_id", "content"), "vec_id")
+             .groupBy("query_id").agg(F.array_sort(F.collect_list(F.struct("posicion", "content"))).alias("c"))
              .select(F.col("query_id").alias("pregunta_id"), F.size("c").cast("int").alias("n_chunks"),
                      F.concat_ws("\n\n", F.transform("c", lambda x: x["content"])).alias("contexto")))
     return (q.select(F.col("query_id").alias("pregunta_id")).join(found, "pregunta_id", "left")
@@ -170,9 +239,10 @@ def contexto_preguntas(questions: DataFrame, corpus: DataFrame, resumen_json: Da
                        ranking_json: DataFrame, dim: int, k: int = cfg.TOP_K,
                        template: str = cfg.PROMPT_TEMPLATE, embedder=None) -> DataFrame:
     """Q3: prompt per question. Exact figures: the region summary (JSON) when
-    a region was detected, else the top-10 ranking for the detected year or
-    all years (``anio`` 0 in ``ranking_json``), an empty ranking for a year
-    without cases; fallback texts when empty.
+    a region was detected (zeros and empty lists for one without cases), else
+    the top-10 ranking for the detected year or all years (``anio`` 0 in
+    ``ranking_json``), an empty ranking for a year without cases; a fallback
+    text for an empty context.
     ``resumen_json``: departamento, datos_sql; ``ranking_json``: anio, datos_sql."""
     ctx = contexto_rag(questions, corpus, dim, k, embedder)
     q = questions.select("pregunta_id", "departamento", "anio")
@@ -181,8 +251,10 @@ def contexto_preguntas(questions: DataFrame, corpus: DataFrame, resumen_json: Da
     j = (q.join(ctx, "pregunta_id", "left")
          .join(rs, "departamento", "left")
          .join(rk, F.coalesce(F.col("anio"), F.lit(0)) == F.col("_ranio"), "left"))
-    sql = F.when(F.col("departamento").isNotNull(), F.col("_rs")).otherwise(
-        F.coalesce(F.col("_rk"), F.lit('{"ranking":[]}')))
+    from regstat.operators.reports import objeto_json, resumen_vacio
+
+    sql = F.when(F.col("departamento").isNotNull(), F.coalesce("_rs", resumen_vacio("departamento"))).otherwise(
+        F.coalesce(F.col("_rk"), objeto_json(0, ranking=F.lit("[]"))))
     rag = F.coalesce(F.nullif(F.col("contexto"), F.lit("")), F.lit(cfg.NO_CONTEXT))
     data = F.coalesce(F.nullif(sql, F.lit("")), F.lit(cfg.NO_SQL_DATA))
     prompt = F.replace(F.replace(F.lit(template), F.lit(cfg.CONTEXT_PLACEHOLDER), rag),

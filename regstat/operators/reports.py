@@ -213,23 +213,6 @@ def reporte_regional(raw: DataFrame, gazetteer: DataFrame, poblacion: DataFrame,
             .unionByName(sparse("por_provincia", "prov_t", "provincia", True)))
 
 
-def reporte_documento(long: DataFrame, departamento: str) -> DataFrame:
-    """K2: fold one place's long report into the nested document: one row,
-    one map column per section, keyed by year text (``por_año`` spelled as
-    in the source). Pure aggregation (key -> value, year -> map, section ->
-    map); every level is bounded by the report's fixed shape."""
-    one = long.where(F.col("departamento") == F.lit(departamento))
-    inner = (one.groupBy("seccion", "anio")
-             .agg(F.map_from_entries(F.collect_list(F.struct("clave", "valor"))).alias("m")))
-    per_section = (inner.groupBy("seccion")
-                   .agg(F.map_from_entries(F.collect_list(F.struct("anio", "m"))).alias("s")))
-    doc = per_section.agg(F.map_from_entries(F.collect_list(F.struct("seccion", "s"))).alias("d"))
-    sections = ("por_anio", "por_mes", "por_sexo", "por_grupo_etario", "por_provincia", "atenciones",
-                "poblacion_inei")
-    return doc.select(F.lit(departamento).alias("departamento"),
-                      *[F.col("d")[s].alias("por_año" if s == "por_anio" else s) for s in sections])
-
-
 def reporte_documentos(long: DataFrame, meta: dict | None = None,
                        params: cfg.Params = cfg.SOURCE) -> DataFrame:
     """K2 for every place: one row per department with the source's typed
@@ -284,27 +267,60 @@ def guardar_reportes(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("departamento").json(path)
 
 
+def objeto_json(nivel: int, **campos) -> F.Column:
+    """JSON text of an object as the source prints it: indented by two per
+    level, one field a line. The values are JSON texts already."""
+    inner = "  " * (nivel + 1)
+    parts = []
+    for i, (k, e) in enumerate(campos.items()):
+        parts += [F.lit(f'{",\n" if i else "{\n"}{inner}"{k}": '), e]
+    return F.concat(*parts, F.lit("\n" + "  " * nivel + "}"))
+
+
+def lista_json(nivel: int, items) -> F.Column:
+    """JSON text of a list (an array column of JSON texts), one item a line."""
+    inner = "\n" + "  " * (nivel + 1)
+    return F.when(F.size(items) > 0, F.concat(F.lit("[" + inner), F.concat_ws("," + inner, items),
+                                              F.lit("\n" + "  " * nivel + "]"))).otherwise(F.lit("[]"))
+
+
+def resumen_vacio(departamento) -> F.Column:
+    """The summary object of a region without cases."""
+    empty = F.lit("[]")
+    return objeto_json(0, **{
+        "departamento": C.json_string(departamento), "total_casos": F.lit("0"), "edad_promedio": F.lit("0"),
+        "por_año": empty, "sexo": empty, "edad": empty, "provincias": empty, "tendencia": F.lit("null")})
+
+
+def ranking_json(fact: DataFrame) -> DataFrame:
+    """The ranking object of the prompt: (anio, datos_sql) per year, and for
+    all years under anio 0; ten regions each."""
+    from regstat.operators import ranking as W
+
+    by_year = W.ranking_anual(fact, cfg.TOP_RANKING_CONTEXT).select("anio", "posicion", "departamento", "casos")
+    overall = W.top_departamentos(fact, cfg.TOP_RANKING_CONTEXT).select(
+        F.lit(0).alias("anio"), "posicion", "departamento", "casos")
+    item = objeto_json(2, departamento=C.json_string("departamento"), casos=F.col("casos").cast("string"))
+    return (by_year.unionByName(overall).withColumn("j", item).groupBy("anio")
+            .agg(F.array_sort(F.collect_list(F.struct("posicion", "j"))).alias("l"))
+            .select("anio", objeto_json(0, ranking=lista_json(1, F.transform("l", lambda x: x["j"]))).alias("datos_sql")))
+
+
 def resumen_json(fact: DataFrame, poblacion: DataFrame) -> DataFrame:
     """R1 as the JSON object of the prompt, one row (departamento, datos_sql)
     per region: total, mean age, cases per year, sex, age band (label order)
     and province (cases desc, name), and the trend with its yearly points
-    (``null`` below two points). Every list is one of the region's breakdowns."""
+    (``null`` below two points). Every list is one of the region's breakdowns,
+    so a row is as long as a region has provinces, as the feature asks."""
     c = materializar(M.cubo(fact))
 
     def s(x):
         return C.col_(x).cast("string")
 
-    def obj(**fields):
-        parts = [F.lit("{")]
-        for i, (k, e) in enumerate(fields.items()):
-            parts += [F.lit(f'{"," if i else ""}"{k}":'), e]
-        return F.concat(*parts, F.lit("}"))
-
-    def lista(df, name, order, item):
-        return (df.select("departamento", F.struct(*order, item.alias("j")).alias("x"))
+    def lista(df, name, nivel, order, **campos):
+        return (df.select("departamento", F.struct(*order, objeto_json(nivel + 1, **campos).alias("j")).alias("x"))
                 .groupBy("departamento").agg(F.array_sort(F.collect_list("x")).alias("x"))
-                .select("departamento", F.concat(F.lit("["), F.concat_ws(",", F.transform("x", lambda x: x["j"])),
-                                                 F.lit("]")).alias(name)))
+                .select("departamento", lista_json(nivel, F.transform("x", lambda x: x["j"])).alias(name)))
 
     def texto(col):
         return C.json_string(col)
@@ -316,15 +332,15 @@ def resumen_json(fact: DataFrame, poblacion: DataFrame) -> DataFrame:
     k = T.coeficientes_de_tasas(rates).where(F.col("m").isNotNull())
     points = rates.join(k.select("departamento", "m", "b"), "departamento")
     parts = [
-        lista(anios, "_anios", ["anio"], obj(**{"año": s("anio"), "casos": s("casos")})),
-        lista(M.distribucion_sexo(c), "_sexo", ["sexo"], obj(sexo=texto("sexo"), casos=s("casos"))),
-        lista(M.distribucion_edad(c), "_edad", ["grupo_etario"],
-              obj(grupo_etario=texto("grupo_etario"), casos=s("casos"))),
-        lista(M.provincias(c), "_prov", [(-F.col("casos")).alias("o"), "provincia"],
-              obj(provincia=texto("provincia"), casos=s("casos"))),
-        lista(points, "_datos", ["anio"], obj(**{
+        lista(anios, "_anios", 1, ["anio"], **{"año": s("anio"), "casos": s("casos")}),
+        lista(M.distribucion_sexo(c), "_sexo", 1, ["sexo"], sexo=texto("sexo"), casos=s("casos")),
+        lista(M.distribucion_edad(c), "_edad", 1, ["grupo_etario"],
+              grupo_etario=texto("grupo_etario"), casos=s("casos")),
+        lista(M.provincias(c), "_prov", 1, [(-F.col("casos")).alias("o"), "provincia"],
+              provincia=texto("provincia"), casos=s("casos")),
+        lista(points, "_datos", 2, ["anio"], **{
             "año": s("anio"), "casos": s("casos"), "tasa": C.js_number("tasa", 2),
-            "tasa_proyectada": C.js_number(C.round_half_up(F.col("m") * F.col("anio") + F.col("b"), 2), 2)})),
+            "tasa_proyectada": C.js_number(C.round_half_up(F.col("m") * F.col("anio") + F.col("b"), 2), 2)}),
         k,
     ]
     out = base
@@ -334,12 +350,13 @@ def resumen_json(fact: DataFrame, poblacion: DataFrame) -> DataFrame:
     def cents(x):
         return C.js_number(F.floor(F.col(x) + F.lit(0.5)) / F.lit(100), 2)
 
-    trend = obj(pendiente=C.js_number(C.round_half_up("m", 2), 2), intercepto=C.js_number(C.round_half_up("b", 2), 2),
-                r_cuadrado=F.coalesce(C.js_number(C.round_half_up("r2", 3), 3), F.lit("null")),
-                tendencia=texto(T.clasificar("m")), media_tasa=cents("media100"), desviacion=cents("sd100"),
-                datos=F.col("_datos"))
+    trend = objeto_json(
+        1, pendiente=C.js_number(C.round_half_up("m", 2), 2), intercepto=C.js_number(C.round_half_up("b", 2), 2),
+        r_cuadrado=F.coalesce(C.js_number(C.round_half_up("r2", 3), 3), F.lit("null")),
+        tendencia=texto(T.clasificar("m")), media_tasa=cents("media100"), desviacion=cents("sd100"),
+        datos=F.col("_datos"))
     empty = F.lit("[]")
-    return out.select("departamento", obj(**{
+    return out.select("departamento", objeto_json(0, **{
         "departamento": texto("departamento"), "total_casos": s("casos"),
         "edad_promedio": C.js_number("edad_promedio", 1), "por_año": F.col("_anios"), "sexo": F.col("_sexo"),
         "edad": F.coalesce("_edad", empty), "provincias": F.col("_prov"),

@@ -1,4 +1,4 @@
-"""National star schema: dimensions, fact, audit and integrity.
+"""National star schema: dimensions, fact, audit and integrity.
 
 Surrogate keys are deterministic 64-bit hashes of the natural key
 (``xxhash64``), so the fact gets its foreign keys by a projection - no
@@ -10,7 +10,6 @@ sets aggregation over the cleaned rows (one scan, one shuffle).
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,27 +27,6 @@ def _id(*cols) -> F.Column:
     return F.xxhash64(*[F.col(c) for c in cols])
 
 
-def dim_tiempo(valid: DataFrame, params: cfg.Params = cfg.SOURCE) -> DataFrame:
-    """Time dimension: (anio, mes) with quarter (C7) and completeness."""
-    return (valid.select(*TIME_KEY).distinct()
-            .select(_id(*TIME_KEY).alias("tiempo_id"), *TIME_KEY,
-                    C.quarter("mes").alias("trimestre"),
-                    (F.col("anio") != F.lit(params.partial_year)).alias("completo")))
-
-
-def dim_geografia(valid: DataFrame) -> DataFrame:
-    """Geography dimension; the code is not part of the key (J8). The source
-    keeps the first code seen in file order; Spark has no file order, so
-    the smallest code is kept (deterministic)."""
-    return (valid.groupBy(*GEO_KEY).agg(F.min("ubigeo").alias("ubigeo"))
-            .select(_id(*GEO_KEY).alias("geografia_id"), *GEO_KEY, "ubigeo"))
-
-
-def dim_paciente(valid: DataFrame) -> DataFrame:
-    return (valid.select(*PATIENT_KEY).distinct()
-            .select(_id(*PATIENT_KEY).alias("paciente_id"), *PATIENT_KEY))
-
-
 def dim_fuente(spark: SparkSession) -> DataFrame:
     """The one source row (name, date range, note)."""
     row = [(cfg.SOURCE_NAME, cfg.SOURCE_RANGE, cfg.SOURCE_NOTE)]
@@ -57,26 +35,31 @@ def dim_fuente(spark: SparkSession) -> DataFrame:
 
 
 def fact_casos(valid: DataFrame) -> DataFrame:
-    """Fact rows with hashed foreign keys (one row per accepted record)."""
+    """Fact rows with hashed foreign keys (one row per accepted record).
+    ``region_id``, the region's own hash, is what rows are clustered by."""
     return valid.select(
         "uuid_hash",
         _id(*TIME_KEY).alias("tiempo_id"),
         _id(*GEO_KEY).alias("geografia_id"),
         _id(*PATIENT_KEY).alias("paciente_id"),
         F.xxhash64(F.lit(cfg.SOURCE_NAME)).alias("fuente_id"),
+        _id("departamento").alias("region_id"),
         "edad", "cant_atenciones", "anio")
 
 
 def dimensiones(valid: DataFrame, params: cfg.Params = cfg.SOURCE) -> dict:
-    """The three dimensions from ONE grouping-sets pass over the accepted
-    rows (time, geography and patient keys; the smallest code per geography
-    key). Each dimension is a filter of the shared, small grouped result, so
-    a load reads the registry once for all of them."""
+    """The three dimensions from ONE grouping-sets pass over the
+    accepted rows: time (with C7, C8), geography and patient keys. The code of
+    a geography is the one seen first in the order of the files (``_orden`` of
+    the reader), whatever the partitioning; rows that come from no file give
+    the smallest code. Each dimension is a filter of the shared, small grouped
+    result, so a load reads the registry once for all of them."""
     sets = {"t": TIME_KEY, "g": GEO_KEY, "p": PATIENT_KEY}
     cols = [c for s in sets.values() for c in s]
-    pre = valid.groupBy(*cols).agg(F.min("ubigeo").alias("ubigeo"))  # the Expand sees keys, not rows
+    seen = F.struct("_orden", "ubigeo") if "_orden" in valid.columns else F.struct("ubigeo")
+    pre = valid.groupBy(*cols).agg(F.min(seen).alias("seen"))  # the Expand sees keys, not rows
     g = pre.groupingSets([[F.col(c) for c in s] for s in sets.values()], *cols) \
-        .agg(F.min("ubigeo").alias("ubigeo"), F.grouping_id().alias("_set"))
+        .agg(F.min("seen")["ubigeo"].alias("ubigeo"), F.grouping_id().alias("_set"))
     # Small result read by three filters: materialized once (see
     # ``reports._sets``), otherwise each filter would be pushed into the
     # Expand and each dimension would rescan the registry.
@@ -113,46 +96,6 @@ def construir_estrella(spark: SparkSession, clean: DataFrame, poblacion: DataFra
     }
 
 
-def guardar_estrella(star: dict, out_dir: str) -> dict:
-    """K1: full reload. Each table goes to a fresh versioned folder (the fact
-    partitioned by year), so readers of the previous version are never
-    exposed to a half-written table; returns table -> path."""
-    import uuid
-    version = uuid.uuid4().hex[:12]
-    paths = {}
-    for name, df in star.items():
-        path = f"{out_dir.rstrip('/')}/v={version}/{name}"
-        writer = df.write.mode("errorifexists")
-        if name == "fact_casos":
-            writer = writer.partitionBy("anio")
-        writer.parquet(path)
-        paths[name] = path
-    return paths
-
-
-def publicar_estrella(spark: SparkSession, star: dict, out_dir: str) -> dict:
-    """K1: write a fresh version and name it in the log of published versions
-    as the last step; returns its tables as read back."""
-    paths = guardar_estrella(star, out_dir)
-    version = paths["fact_casos"].rsplit("/v=", 1)[1].split("/")[0]
-    (spark.range(1).select(F.lit(version).alias("version"), F.current_timestamp().alias("publicado_en"))
-     .coalesce(1).write.mode("append").parquet(f"{out_dir.rstrip('/')}/publicaciones"))
-    return {name: spark.read.parquet(path) for name, path in paths.items()}
-
-
-def abrir_estrella(spark: SparkSession, out_dir: str) -> dict | None:
-    """The tables of the version published last, or None before the first."""
-    root = out_dir.rstrip("/")
-    try:
-        log = spark.read.schema("version string, publicado_en timestamp").parquet(f"{root}/publicaciones")
-        row = log.agg(F.max_by("version", "publicado_en").alias("version")).first()
-    except AnalysisException:
-        return None
-    if row["version"] is None:
-        return None
-    return {name: spark.read.parquet(f"{root}/v={row['version']}/{name}") for name in TABLAS}
-
-
 def vista_analitica(star: dict) -> DataFrame:
     """Fact joined back to its dimensions (the analytic fact of the
     measures). The broadcast decision is left to size evidence: persisted
@@ -160,12 +103,13 @@ def vista_analitica(star: dict) -> DataFrame:
     dimensions computed in the same job are broadcast by AQE from the
     measured size of their shuffle output (a sort-merge join otherwise).
     The year is the fact's own column, by which it is stored, so a year
-    filter prunes its folders."""
+    filter prunes its folders; ``region_id`` lets a region filter reach the
+    fact's scan (``measures.filtrar``)."""
     f = star["fact_casos"]
     t, g, p = star["dim_tiempo"].drop("anio"), star["dim_geografia"].drop("ubigeo"), star["dim_paciente"]
     return (f.join(t, "tiempo_id").join(g, "geografia_id").join(p, "paciente_id")
             .select("departamento", "provincia", "distrito", "anio", "mes", "sexo",
-                    "edad", "grupo_etario", "cant_atenciones"))
+                    "edad", "grupo_etario", "cant_atenciones", "region_id"))
 
 
 def _grouped_counts(clean: DataFrame) -> DataFrame:
@@ -211,27 +155,6 @@ def auditoria_carga(clean: DataFrame, poblacion: DataFrame) -> DataFrame:
     return long.unionByName(pob)
 
 
-def conteo_tablas(clean: DataFrame, poblacion: DataFrame) -> DataFrame:
-    """Rows per star table, from the same grouping-sets pass (the
-    per-metric rows are relabelled in one projection, not re-filtered)."""
-    g = _grouped_counts(clean).where(F.col("valido"))
-    per = g.groupBy("metrica").agg(
-        F.sum("n").cast("bigint").alias("n_filas"), F.count(F.lit(1)).cast("bigint").alias("n_grupos"))
-    m = F.col("metrica")
-    tabla = (F.when(m == "valido", F.lit("fact_casos"))
-             .when(m == "periodos", F.lit("dim_tiempo"))
-             .when(m == "geografias", F.lit("dim_geografia"))
-             .when(m == "grupos_paciente", F.lit("dim_paciente")))
-    star = (per.select(tabla.alias("tabla"),
-                       F.when(m == "valido", F.col("n_filas")).otherwise(F.col("n_grupos")).alias("filas"))
-            .where(F.col("tabla").isNotNull()))
-    fuente = (dim_fuente(clean.sparkSession).agg(F.count(F.lit(1)).cast("bigint").alias("filas"))
-              .select(F.lit("dim_fuente").alias("tabla"), "filas"))
-    pob = (poblacion.agg(F.count(F.lit(1)).cast("bigint").alias("filas"))
-           .select(F.lit("poblacion").alias("tabla"), "filas"))
-    return star.unionByName(fuente).unionByName(pob)
-
-
 def integridad_referencial(star: dict) -> DataFrame:
     """K5: orphan foreign keys, nulls in NOT NULL columns, hash-id collisions
     and fact regions without population; long form (chequeo, detalle, n).
@@ -302,7 +225,8 @@ def esquemas():
                                     _f("rango_fechas", "StringType"), _f("nota", "StringType")]),
         "fact_casos": T.StructType([_f("uuid_hash", "StringType", False), _f("tiempo_id", "LongType", False),
                                         _f("geografia_id", "LongType", False), _f("paciente_id", "LongType", False),
-                                        _f("fuente_id", "LongType", False), _f("edad", "IntegerType"),
+                                        _f("fuente_id", "LongType", False), _f("region_id", "LongType", False),
+                                        _f("edad", "IntegerType"),
                                         _f("cant_atenciones", "IntegerType"), _f("anio", "IntegerType", False)]),
         "poblacion": T.StructType([_f("departamento", "StringType", False), _f("anio", "IntegerType", False),
                                    _f("total", "LongType", False), _f("hombres", "LongType"),

@@ -14,6 +14,7 @@ from regstat.functions import columns as C
 from regstat.operators import chunks as X
 from regstat.operators import clean as CL
 from regstat.operators import measures as M
+from regstat.operators import publish as PUB
 from regstat.operators import questions as QA
 from regstat.operators import ranking as W
 from regstat.operators import reports as R
@@ -36,16 +37,18 @@ def key(name: str):
     return deco
 
 
-def _star(spark, sf):
-    """The published star of the dataset: loaded from the registry CSV and the
-    population sheets the first time, read back from then on."""
+def _raiz(spark, sf) -> str:
+    """Folder of the dataset's published star: loaded from the registry CSV
+    and the population sheets the first time."""
     root = f"{S.carpeta(spark, sf)}/estrella"
-    star = WH.abrir_estrella(spark, root)
-    if star is None:
-        clean = CL.limpiar_nacional(_raw(spark, sf), P)
-        star = WH.publicar_estrella(spark, WH.construir_estrella(
-            spark, clean, S.poblacion_desde_hojas(spark, sf, P), P), root)
-    return star
+    if not PUB.publicaciones(spark, root):
+        clean = CL.limpiar_nacional(S.registro_csv(spark, sf, detalle=True), P)
+        PUB.cargar(spark, clean, S.poblacion_desde_hojas(spark, sf, P), root, P)
+    return root
+
+
+def _star(spark, sf):
+    return PUB.abrir_estrella(spark, _raiz(spark, sf))
 
 
 def _fact(spark, sf):
@@ -135,20 +138,19 @@ def _q_filtro_contiene(spark, sf):
                                            F.count_if("incluido").alias("filas_incluidas"))
 
 
-def _clean(spark, sf):
-    return CL.limpiar_nacional(_raw(spark, sf), P)
-
-
-def _valid(spark, sf):
-    return _clean(spark, sf).where(F.col("valido"))
+Q["dim_tiempo"] = lambda spark, sf: _star(spark, sf)["dim_tiempo"].drop("tiempo_id")
+Q["dim_geografia"] = lambda spark, sf: _star(spark, sf)["dim_geografia"].drop("geografia_id")
+Q["dim_paciente"] = lambda spark, sf: _star(spark, sf)["dim_paciente"].drop("paciente_id")
+Q["auditoria_carga"] = lambda spark, sf: PUB.auditoria_publicada(spark, _raiz(spark, sf))
+Q["conteo_tablas"] = lambda spark, sf: PUB.conteo_tablas(_star(spark, sf))
+Q["integridad_referencial"] = lambda spark, sf: WH.integridad_referencial(_star(spark, sf))
 
 
-Q["dim_tiempo"] = lambda spark, sf: WH.dim_tiempo(_valid(spark, sf), P).drop("tiempo_id")
-Q["dim_geografia"] = lambda spark, sf: WH.dim_geografia(_valid(spark, sf)).drop("geografia_id")
-Q["dim_paciente"] = lambda spark, sf: WH.dim_paciente(_valid(spark, sf)).drop("paciente_id")
-Q["auditoria_carga"] = lambda spark, sf: WH.auditoria_carga(_clean(spark, sf), _pob(spark, sf))
-Q["conteo_tablas"] = lambda spark, sf: WH.conteo_tablas(_clean(spark, sf), _pob(spark, sf))
-Q["integridad_referencial"] = lambda spark, sf: WH.integridad_referencial(_star(spark, sf))
+@key("registro_validado")
+def _q_registro_validado(spark, sf):
+    path = S.escrito(spark, f"{S.carpeta(spark, sf)}/validado", lambda p: PUB.escribir_validado(
+        S.registro_danado_csv(spark, sf), PUB.ESQUEMA_REGISTRO, p))
+    return PUB.conteo_validado(*PUB.leer_validado(spark, PUB.ESQUEMA_REGISTRO, path))
 
 
 # ---------------------------------------------------------------------------
@@ -203,7 +205,9 @@ def _q_vector_boost(spark, sf):
 
 def _topk(spark, sf, types=None):
     c = _scan(spark, sf)
-    q = V.representantes(c).withColumn("query_id", F.col("label").cast("long"))
+    q = c.where(F.col("vec_id") % 100 == 0).select(
+        F.col("vec_id").alias("query_id"), F.col("embedding").alias("q_embedding"),
+        F.col("meta_departamento").alias("q_departamento"), F.col("meta_anio").alias("q_anio"))
     r = V.topk(q, c, cfg.TOP_K, types)
     return r.select("query_id", "vec_id", "posicion", C.round_half_up("score", 6).alias("puntaje"))
 
@@ -230,8 +234,7 @@ def _q_embeber_chunks(spark, sf):
 
 @key("detectar_filtros")
 def _q_detectar_filtros(spark, sf):
-    names = QA.gazetteer_list(S.gazetteer_regiones(spark, sf))
-    return QA.detectar_filtros(S.preguntas(spark, sf), names, P.years)
+    return QA.detectar_filtros(S.preguntas(spark, sf), S.gazetteer_regiones(spark, sf), P.years)
 
 
 def _parsed(spark, sf):
@@ -242,6 +245,7 @@ Q["parsear_respuestas"] = lambda spark, sf: _parsed(spark, sf).select(
     "conv_id", "turn", "texto", "tiene_grafica", "grafica_tipo", "n_datos")
 Q["grafica_valida"] = lambda spark, sf: QA.grafica_valida(_parsed(spark, sf), ["conv_id", "turn"])
 Q["historial"] = lambda spark, sf: QA.historial(S.conversaciones(spark, sf))
+Q["historial_listas"] = lambda spark, sf: QA.historial_listas(S.conversaciones(spark, sf))
 
 
 # ---------------------------------------------------------------------------
@@ -262,24 +266,12 @@ Q["poblacion_unpivot"] = lambda spark, sf: S.poblacion_desde_hojas(spark, sf, P)
 EMBED_DIM = 64
 
 
-def _ranking_json(fact):
-    by_year = W.ranking_anual(fact, cfg.TOP_RANKING_CONTEXT).select("anio", "posicion", "departamento", "casos")
-    overall = W.top_departamentos(fact, cfg.TOP_RANKING_CONTEXT).select(
-        F.lit(0).alias("anio"), "posicion", "departamento", "casos")
-    both = by_year.unionByName(overall)
-    return both.groupBy("anio").agg(F.to_json(F.struct(F.transform(
-        F.array_sort(F.collect_list(F.struct("posicion", "departamento", "casos"))),
-        lambda x: F.struct(x["departamento"].alias("departamento"), x["casos"].alias("casos"))
-    ).alias("ranking"))).alias("datos_sql"))
-
-
 @key("contexto_preguntas")
 def _q_contexto_preguntas(spark, sf):
     fact, pob = _fact(spark, sf), _pob(spark, sf)
-    names = QA.gazetteer_list(S.gazetteer_regiones(spark, sf))
-    qs = QA.detectar_filtros(S.preguntas(spark, sf), names, P.years)
+    qs = QA.detectar_filtros(S.preguntas(spark, sf), S.gazetteer_regiones(spark, sf), P.years)
     chunks = scan_chunks(V.embed(X.chunks_todos(fact, pob, P), "content", EMBED_DIM))
-    return QA.contexto_preguntas(qs, chunks, R.resumen_json(fact, pob), _ranking_json(fact), EMBED_DIM)
+    return QA.contexto_preguntas(qs, chunks, R.resumen_json(fact, pob), R.ranking_json(fact), EMBED_DIM)
 
 
 # ---------------------------------------------------------------------------

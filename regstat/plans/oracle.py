@@ -95,7 +95,7 @@ CTE["raw"] = """raw as (select
        when p = '2-HIGH' and d = 11 then '"' || lb || '"'
        else lb end "LUGAR_RESIDENCIA",
   case when p = '5-LOW' and d = 12 then ' ' || cast(cant as varchar) || 'x'
-       else coalesce(cast(cant as varchar), '') end "CANT_ATENCIONES_CEX"
+       else coalesce(cast(cant as varchar), '') end "CANT_ATENCIONES_CEX", d, p
   from rawbase)"""
 _fec = ct('"FEC_FILIACION"')
 _sx = ct('"SEXO"', True)
@@ -317,17 +317,41 @@ SQL["filtro_contiene"] = _N + """select r_name departamento, count(*) filas, cas
   from nac join region on contains(upper(lugar_crudo), r_name) group by r_name"""
 SQL["dim_tiempo"] = _N + f"""select distinct anio, mes, cast(ceil(mes / 3) as int) trimestre,
   anio <> {P.partial_year} completo from nac where valido"""
-SQL["dim_geografia"] = _N + """select departamento, provincia, distrito, min(ubigeo) ubigeo
+SQL["dim_geografia"] = _N + """select departamento, provincia, distrito,
+  arg_min(ubigeo, cast(historia as bigint)) ubigeo
   from nac where valido group by departamento, provincia, distrito"""
 SQL["dim_paciente"] = _N + "select distinct sexo, grupo_etario from nac where valido"
 SQL["auditoria_carga"] = with_("nac", "poblacion") + """
 select 'insertados' metrica, cast(count_if(valido) as bigint) valor from nac
 union all select 'descartados', cast(count_if(not valido) as bigint) from nac
+union all select 'leidos', count(*) from nac
+union all select 'corruptos', 0
+union all select 'fecha_corta', cast(count_if(length(fecha) < 6) as bigint) from nac
+union all select 'fecha_ilegible', cast(count_if(length(fecha) >= 6 and (anio is null or mes is null)) as bigint) from nac
+union all select 'anio_fuera', cast(count_if(length(fecha) >= 6 and anio is not null and mes is not null
+  and anio not between @F and @L) as bigint) from nac
+union all select 'mes_fuera', cast(count_if(length(fecha) >= 6 and anio between @F and @L
+  and mes not between 1 and 12) as bigint) from nac
 union all select 'departamentos', count(*) from (select distinct departamento from nac where valido)
 union all select 'geografias', count(*) from (select distinct departamento, provincia, distrito from nac where valido)
 union all select 'periodos', count(*) from (select distinct anio, mes from nac where valido)
 union all select 'grupos_paciente', count(*) from (select distinct sexo, grupo_etario from nac where valido)
-union all select 'regiones_poblacion', count(distinct departamento) from poblacion"""
+union all select 'regiones_poblacion', count(distinct departamento) from poblacion""" \
+    .replace("@F", str(P.first_year)).replace("@L", str(P.last_year))
+SQL["registro_validado"] = with_("raw") + r"""
+, v as (select d = 15 and p = '5-LOW' few, d = 16 and p = '5-LOW' many, d = 17 and p = '5-LOW' anon,
+    "EDAD" <> '' and not regexp_full_match("EDAD", '\s*[+-]?[0-9]+\s*') edad,
+    coalesce("CANT_ATENCIONES_CEX", '') <> '' and not (d = 15 and p = '5-LOW')
+      and not regexp_full_match("CANT_ATENCIONES_CEX", '\s*[+-]?[0-9]+\s*') cant
+  from raw)
+, r as (select *, few or many or anon or edad or cant bad from v)
+select 'aceptada' estado, '' motivo, cast(count_if(not bad) as bigint) n from r
+union all select 'rechazada', '', cast(count_if(bad) as bigint) from r
+union all select * from (
+  select 'rechazada', 'corrupto', cast(count_if(few or many) as bigint) n from r
+  union all select 'rechazada', 'nulo:UUID', cast(count_if(anon) as bigint) from r
+  union all select 'rechazada', 'tipo:EDAD', cast(count_if(edad) as bigint) from r
+  union all select 'rechazada', 'tipo:CANT_ATENCIONES_CEX', cast(count_if(cant) as bigint) from r) where n > 0"""
 SQL["conteo_tablas"] = with_("nac", "poblacion") + """
 select 'fact_casos' tabla, count(*) filas from nac where valido
 union all select 'dim_tiempo', count(*) from (select distinct anio, mes from nac where valido)
@@ -523,13 +547,13 @@ SQL["vector_boost"] = with_("scan") + f"""select vec_id, label,
 
 
 def _topk_sql(types=None) -> str:
-    where = ""
+    where = "where r.vec_id % 100 = 0"
     if types:
-        where = "where c.chunk_type in (" + ", ".join(f"'{t}'" for t in types) + ")"
+        where += " and c.chunk_type in (" + ", ".join(f"'{t}'" for t in types) + ")"
     return with_("scan") + f"""
-, s as (select cast(r.label as bigint) query_id, c.vec_id,
-     {boosted('c.embedding', 'r.q_embedding', 'c.meta_departamento', 'c.meta_anio', 'r.q_departamento', 'r.q_anio')} score
-   from scan c cross join reps r {where})
+, s as (select r.vec_id query_id, c.vec_id,
+     {boosted('c.embedding', 'r.embedding', 'c.meta_departamento', 'c.meta_anio', 'r.meta_departamento', 'r.meta_anio')} score
+   from scan c cross join scan r {where})
 select query_id, vec_id, cast(row_number() over (partition by query_id order by score desc, vec_id) as int) posicion,
   {r2('score', 6)} puntaje
 from s where score is not null qualify posicion <= {cfg.TOP_K}"""
@@ -598,6 +622,10 @@ select conv_id, turn, tipo, cast(posicion as int) posicion, item.nombre nombre,
   {share('item.valor', 'total')} pct,
   case when tipo = 'pie' then coalesce(item.nombre, '') || ' ' || cast({share('item.valor', 'total')} as varchar) || '%' end etiqueta
 from e"""
+SQL["historial_listas"] = """select conv_id, cast(0 as bigint) pieza, cast(count(*) as int) n_turnos,
+  cast(to_json(list({'role': case when role = 'assistant' then 'model' else 'user' end,
+                     'parts': [{'text': text}]} order by turn nulls first)) as varchar) historial
+from conversations group by conv_id"""
 SQL["historial"] = """select conv_id, turn, case when role = 'assistant' then 'model' else 'user' end rol, text texto
 from conversations"""
 
@@ -732,46 +760,56 @@ select chunk_type, chunk_key, cast(len(v) as int) dim, {r2('norm', 6)} norma,
 from ch join e using (id)"""
 
 
-def jlist(item: str, order: str) -> str:
-    return f"'[' || string_agg({item}, ',' order by {order}) || ']'"
+_NL = "chr(10)"
 
 
-def jobj(**fields) -> str:
-    return "'{' || " + " || ',' || ".join(f"""'"{k}":' || {v}""" for k, v in fields.items()) + " || '}'"
+def jlist(level: int, item: str, order: str) -> str:
+    """A JSON list printed with an indent of two per level, as JSON.stringify(x, null, 2) does."""
+    inner, outer = "  " * (level + 1), "  " * level
+    return (f"('[' || {_NL} || '{inner}' || string_agg({item}, ',' || {_NL} || '{inner}' order by {order})"
+            f" || {_NL} || '{outer}]')")
+
+
+def jobj(level: int, **fields) -> str:
+    inner, outer = "  " * (level + 1), "  " * level
+    body = f" || ',' || {_NL} || ".join(f"""'{inner}"{k}": ' || {v}""" for k, v in fields.items())
+    return f"('{{' || {_NL} || {body} || {_NL} || '{outer}}}')"
 
 
 _CASOS = vc("casos")
 _RESUMEN = with_("fact", "coef") + f"""
-, l1 as (select departamento, {jlist(jobj(**{'año': vc('anio'), 'casos': _CASOS}), 'anio')} j from cpa group by 1)
-, l2 as (select departamento, {jlist(jobj(sexo=jstr('sexo'), casos=_CASOS), 'sexo')} j
+, l1 as (select departamento, {jlist(1, jobj(2, **{'año': vc('anio'), 'casos': _CASOS}), 'anio')} j from cpa group by 1)
+, l2 as (select departamento, {jlist(1, jobj(2, sexo=jstr('sexo'), casos=_CASOS), 'sexo')} j
     from (select departamento, sexo, count(*) casos from fact group by 1, 2) group by 1)
-, l3 as (select departamento, {jlist(jobj(grupo_etario=jstr('grupo_etario'), casos=_CASOS), 'grupo_etario')} j
+, l3 as (select departamento, {jlist(1, jobj(2, grupo_etario=jstr('grupo_etario'), casos=_CASOS), 'grupo_etario')} j
     from (select departamento, grupo_etario, count(*) casos from fact where grupo_etario <> '{cfg.UNKNOWN}' group by 1, 2)
     group by 1)
-, l4 as (select departamento, {jlist(jobj(provincia=jstr('provincia'), casos=_CASOS), 'casos desc, provincia')} j
+, l4 as (select departamento, {jlist(1, jobj(2, provincia=jstr('provincia'), casos=_CASOS), 'casos desc, provincia')} j
     from (select departamento, provincia, count(*) casos from fact group by 1, 2) group by 1)
-, l5 as (select departamento, {jlist(jobj(**{
+, l5 as (select departamento, {jlist(2, jobj(3, **{
         'año': vc('anio'), 'casos': _CASOS, 'tasa': js_num('tasa', 2),
         'tasa_proyectada': js_num(r2('c.m * t.anio + c.b', 2), 2)}), 'anio')} j
     from tasa t join coef c using (departamento) where c.m is not null group by 1)
-, b as (select departamento, count(*) casos, coalesce({r2('avg(edad)', 1)}, 0::double) edad from fact group by 1)
-select b.departamento, {jobj(**{
+, b as (select r.r_name departamento, count(f.departamento) casos, coalesce({r2('avg(edad)', 1)}, 0::double) edad
+    from region r left join fact f on f.departamento = r.r_name group by 1)
+select b.departamento, {jobj(0, **{
     'departamento': jstr('b.departamento'), 'total_casos': vc('b.casos'), 'edad_promedio': js_num('b.edad', 1),
-    'por_año': 'l1.j', 'sexo': 'l2.j', 'edad': "coalesce(l3.j, '[]')", 'provincias': 'l4.j',
+    'por_año': "coalesce(l1.j, '[]')", 'sexo': "coalesce(l2.j, '[]')", 'edad': "coalesce(l3.j, '[]')",
+    'provincias': "coalesce(l4.j, '[]')",
     'tendencia': "case when k.m is null then 'null' else " + jobj(
-        pendiente=js_num(r2('k.m', 2), 2), intercepto=js_num(r2('k.b', 2), 2),
+        1, pendiente=js_num(r2('k.m', 2), 2), intercepto=js_num(r2('k.b', 2), 2),
         r_cuadrado=f"coalesce({js_num(r2('k.r2', 3), 3)}, 'null')",
         tendencia=jstr(f"(case when k.m > {cfg.TREND_THRESHOLD} then '{_UP}' when k.m < -{cfg.TREND_THRESHOLD} "
                        f"then '{_DOWN}' else '{_FLAT}' end)"),
         media_tasa=js_num("floor(media100 + 0.5::double) / 100", 2),
         desviacion=js_num("floor(sd100 + 0.5::double) / 100", 2), datos="l5.j") + " end"})} j
-from b join l1 using (departamento) join l2 using (departamento) left join l3 using (departamento)
-  join l4 using (departamento) left join l5 using (departamento) left join coef k using (departamento)"""
+from b left join l1 using (departamento) left join l2 using (departamento) left join l3 using (departamento)
+  left join l4 using (departamento) left join l5 using (departamento) left join coef k using (departamento)"""
 _RANKING = with_("cpa") + f"""
 , r as (select anio, departamento, casos from cpa
   union all select 0, departamento, cast(sum(casos) as bigint) from cpa group by departamento)
-select anio, '{{"ranking":' || {jlist(jobj(departamento=jstr('departamento'), casos=_CASOS), 'casos desc, departamento')}
-  || '}}' j
+select anio, {jobj(0, ranking=jlist(1, jobj(2, departamento=jstr('departamento'), casos=_CASOS),
+                                    'casos desc, departamento'))} j
 from (select * from r qualify row_number() over (partition by anio order by casos desc, departamento) <= {cfg.TOP_RANKING_CONTEXT})
 group by anio"""
 SQL["contexto_preguntas"] = f"""with {_CHUNKS}, {emb('ch', 'e')}
@@ -789,8 +827,8 @@ SQL["contexto_preguntas"] = f"""with {_CHUNKS}, {emb('ch', 'e')}
 , rs as ({_RESUMEN}), rk as ({_RANKING})
 select q.pregunta_id, q.departamento, q.anio, cast(coalesce(ctx.n, 0) as int) n_chunks,
   replace(replace('{cfg.PROMPT_TEMPLATE}', '{cfg.CONTEXT_PLACEHOLDER}', coalesce(nullif(ctx.c, ''), '{cfg.NO_CONTEXT}')),
-    '{cfg.SQL_PLACEHOLDER}', case when q.departamento is not null then coalesce(rs.j, '{cfg.NO_SQL_DATA}')
-      else coalesce(rk.j, '{{"ranking":[]}}') end) prompt
+    '{cfg.SQL_PLACEHOLDER}', case when q.departamento is not null then rs.j
+      else coalesce(rk.j, {jobj(0, ranking="'[]'")}) end) prompt
 from qs q left join ctx on ctx.id = q.id left join rs on rs.departamento = q.departamento
   left join rk on rk.anio = coalesce(q.anio, 0)"""
 

@@ -16,7 +16,8 @@ REGISTRY_COLUMNS = ("UUID", "HISTORIA", "FEC_FILIACION", "SEXO", "EDAD",
 
 
 def read_registry(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
-                  header_names: list | None = None, multi_line: bool = False) -> DataFrame:
+                  header_names: list | None = None, multi_line: bool = False,
+                  detalle: bool = False) -> DataFrame:
     """Header CSV in Latin-1, every column a string, blank lines skipped.
 
     Columns are bound by the file's own header, whatever its order; names are
@@ -24,12 +25,28 @@ def read_registry(spark: SparkSession, path: str, encoding: str = "ISO-8859-1",
     the columns wanted, in the order wanted. Quotes inside a quoted field are
     doubled. ``multi_line`` allows line ends inside quoted fields; such files
     cannot be split among tasks.
+
+    ``detalle`` adds ``_orden``, a row's place in the file set (file, start of
+    the block, number inside it: comparable whatever the partitioning), and
+    ``_corrupto``, the text of a record with too many or too few fields (null
+    for a sound one; missing fields are null, surplus ones are dropped).
     """
     # Only the header line is inspected (no type inference).
-    df = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
-          .option("escape", '"').option("multiLine", multi_line).option("inferSchema", False).csv(path))
-    df = df.toDF(*[clean_header(c) for c in df.columns])
-    return df if header_names is None else df.select(*[clean_header(h) for h in header_names])
+    reader = (spark.read.option("header", True).option("encoding", encoding).option("mode", "PERMISSIVE")
+              .option("escape", '"').option("multiLine", multi_line).option("inferSchema", False))
+    names = reader.csv(path).columns
+    wanted = [clean_header(c) for c in names] if header_names is None else [clean_header(h) for h in header_names]
+    places = {clean_header(c): c for c in names}
+    if detalle:
+        schema = T.StructType([T.StructField(c, T.StringType()) for c in [*names, "_corrupto"]])
+        # a record is only seen to be broken when all of its fields are parsed
+        df = (reader.schema(schema).option("columnNameOfCorruptRecord", "_corrupto")
+              .option("columnPruning", False).csv(path))
+        place = F.struct(F.col("_metadata.file_path").alias("archivo"),
+                         F.col("_metadata.file_block_start").alias("bloque"),
+                         F.monotonically_increasing_id().alias("n")).alias("_orden")
+        return df.select(*[F.col(f"`{places[w]}`").alias(w) for w in wanted], place, "_corrupto")
+    return reader.csv(path).select(*[F.col(f"`{places[w]}`").alias(w) for w in wanted])
 
 
 REPORT_SCHEMA = T.StructType([

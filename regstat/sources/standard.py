@@ -5,9 +5,8 @@ are not available; these functions derive equivalent inputs from the
 TPC-H-like tables so every operator runs on data whose size grows with the
 scale factor:
 
-* ``casos``      analytic fact (one row per order = one accepted record)
 * ``registro``   the raw registry text (all strings, with malformed cells)
-* ``hojas_poblacion`` / ``poblacion``  wide population sheets and their long form
+* ``hojas_poblacion``  wide population sheets (and their long form, read by S2)
 * ``corpus``     chunk table over ``embeddings``
 * ``preguntas``  questions; ``respuestas`` model answers; ``historial`` turns
 
@@ -20,6 +19,8 @@ orders x per-order line counts, which the planner runs as shuffle joins
 from __future__ import annotations
 
 import hashlib
+import inspect
+import sys
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -52,27 +53,6 @@ def _orders_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
             .join(visits, orders.o_orderkey == visits.l_orderkey, "left"))
 
 
-def casos(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Analytic fact: departamento, provincia, distrito, anio, mes, sexo,
-    edad, grupo_etario, cant_atenciones (one row per record)."""
-    base = _orders_customers(spark, sf_dir)
-    edad = F.floor(F.abs(F.col("c_acctbal")) / F.lit(100)).cast("int")
-    return base.select(
-        F.col("o_orderkey").alias("registro_id"),
-        F.col("r_name").alias("departamento"),
-        F.col("n_name").alias("provincia"),
-        F.col("c_mktsegment").alias("distrito"),
-        F.year("o_orderdate").cast("int").alias("anio"),
-        F.month("o_orderdate").cast("int").alias("mes"),
-        F.when(F.col("o_orderstatus") == "F", F.lit("FEMENINO"))
-         .when(F.col("o_orderstatus") == "O", F.lit("MASCULINO"))
-         .otherwise(F.lit(cfg.UNKNOWN)).alias("sexo"),
-        edad.alias("edad"),
-        C.age_band(edad).alias("grupo_etario"),
-        F.col("cant_atenciones"),
-    )
-
-
 def registro(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Raw registry text: every column a string, as read from the CSV.
 
@@ -135,40 +115,85 @@ def registro(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+_CARPETAS: dict = {}
+
+
 def carpeta(spark: SparkSession, sf_dir: str) -> str:
     """Shared folder of what is derived from a dataset. Its name follows the
-    data: the path as given (it may be a URI) and one hash of the input
-    files' names, sizes and times (a listing; no content is read)."""
+    data: the path as given (it may be a URI), one hash of the input files'
+    names, sizes and times (a listing, once per session and path; no content
+    is read), and the code that derives from them."""
+    from regstat.operators import clean, publish, warehouse
     from regstat.session import checkpoint_dir
+    from regstat.sources import population, registry
     root = sf_dir.rstrip("/")
-    files = spark.read.format("binaryFile").load(
-        [f"{root}/{t}.parquet" for t in ("orders", "customer", "nation", "region", "lineitem")])
-    one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
-    n, total = files.agg(F.count(F.lit(1)), F.sum(one)).first()
-    key = hashlib.sha1(repr((root, n, str(total))).encode()).hexdigest()[:16]
-    return f"{checkpoint_dir(spark).rstrip('/')}/regstat-fixtures/{key}"
+    known = (spark.sparkContext.applicationId, root)
+    if known not in _CARPETAS:
+        files = spark.read.format("binaryFile").load(
+            [f"{root}/{t}.parquet" for t in ("orders", "customer", "nation", "region", "lineitem")])
+        one = F.xxhash64("path", "length", "modificationTime").cast("decimal(38,0)")
+        n, total = files.agg(F.count(F.lit(1)), F.sum(one)).first()
+        code = [inspect.getsource(m) for m in (cfg, C, clean, publish, warehouse, population, registry,
+                                               sys.modules[__name__])]
+        key = hashlib.sha1(repr((root, n, str(total), code)).encode()).hexdigest()[:16]
+        _CARPETAS[known] = f"{checkpoint_dir(spark).rstrip('/')}/regstat-fixtures/{key}"
+    return _CARPETAS[known]
+
+
+def escrito(spark: SparkSession, path: str, write) -> str:
+    """``path``, written by ``write`` unless a whole write is there."""
+    from pyspark.errors import AnalysisException
+
+    try:
+        spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
+    except AnalysisException:
+        write(path)
+    return path
 
 
-def registro_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The raw registry as the source receives it: a Latin-1 CSV file set,
-    read back with the S1 reader (header, all strings).
+def registro_csv(spark: SparkSession, sf_dir: str, detalle: bool = False) -> DataFrame:
+    """The raw registry as the source receives it: a Latin-1 CSV file set in
+    the order of the record numbers, read back with the S1 reader (header,
+    all strings).
 
     The text is derived from the test tables once per dataset and written
     to the shared checkpoint folder (``spark.checkpoint.dir``); later reads
     reuse it. Writing keeps leading/trailing blanks, which are part of the
     test cases.
     """
-    from pyspark.errors import AnalysisException
-
-    path = f"{carpeta(spark, sf_dir)}/registro"
-    try:
-        spark.read.text(f"{path}/_SUCCESS").limit(1).collect()
-    except AnalysisException:
-        (registro(spark, sf_dir).write.mode("overwrite")
+    def write(path):
+        (registro(spark, sf_dir).orderBy(F.col("HISTORIA").cast("long")).write.mode("overwrite")
          .option("header", True).option("encoding", "ISO-8859-1").option("escape", '"')
          .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False)
          .csv(path))
-    return read_registry(spark, path, header_names=list(REGISTRY_COLUMNS))
+
+    path = escrito(spark, f"{carpeta(spark, sf_dir)}/registro", write)
+    return read_registry(spark, path, header_names=list(REGISTRY_COLUMNS), detalle=detalle)
+
+
+def registro_danado_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The registry with damaged records, read back with the marks of the S1
+    reader: among the low-priority orders those of the 15th lack the last two
+    fields, those of the 16th have one too many, those of the 17th have an
+    empty identifier."""
+    def write(path):
+        raw = registro(spark, sf_dir)
+        low, day = F.col("UUID").contains("-5-LOW-"), F.substring("FEC_FILIACION", 7, 2)
+
+        def quoted(c):
+            return F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+        fields = [quoted(c) for c in REGISTRY_COLUMNS]
+        line = (F.when(low & (day == "15"), F.concat_ws(",", *fields[:-2]))
+                .when(low & (day == "16"), F.concat_ws(",", *fields, F.lit('"x"')))
+                .when(low & (day == "17"), F.concat_ws(",", F.lit(""), *fields[1:]))
+                .otherwise(F.concat_ws(",", *fields)))
+        # one column whose text holds the commas: nothing is quoted again
+        (raw.select(line.alias(",".join(REGISTRY_COLUMNS))).write.mode("overwrite")
+         .option("header", True).option("encoding", "ISO-8859-1").option("sep", "\u0001").option("quote", "\u0000")
+         .option("ignoreLeadingWhiteSpace", False).option("ignoreTrailingWhiteSpace", False).csv(path))
+
+    path = escrito(spark, f"{carpeta(spark, sf_dir)}/registro-danado", write)
+    return read_registry(spark, path, header_names=list(REGISTRY_COLUMNS), detalle=True)
 
 
 def hojas_poblacion(spark: SparkSession, sf_dir: str,
@@ -218,36 +243,6 @@ def hojas_poblacion(spark: SparkSession, sf_dir: str,
     return sheets
 
 
-def poblacion(spark: SparkSession, sf_dir: str, params: cfg.Params = cfg.STANDIN) -> DataFrame:
-    """Long population table (departamento, anio, total, hombres, mujeres).
-
-    Same values as ``read_population(hojas_poblacion(...))`` restricted to
-    the year range, computed from one customer aggregate (one row per
-    nation, then per region) and a generator over the years, instead of
-    re-reading every sheet.
-    """
-    customer = table(spark, sf_dir, "customer").select("c_nationkey", "c_acctbal")
-    nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_regionkey")
-    region = table(spark, sf_dir, "region").select("r_regionkey", "r_name")
-    per_region = (customer.groupBy("c_nationkey")
-                  .agg(F.count(F.lit(1)).alias("n"),
-                       F.count_if(F.col("c_acctbal") >= 0).alias("h"))
-                  .join(nation, F.col("c_nationkey") == F.col("n_nationkey"))
-                  .join(region, F.col("n_regionkey") == F.col("r_regionkey"))
-                  .groupBy("r_name").agg(F.sum("n").alias("n"), F.sum("h").alias("h"))
-                  .where(F.col("r_name") != "MIDDLE EAST"))
-    base_year = min(min(ys) for ys in params.sheet_years.values())
-    years = F.sequence(F.lit(params.first_year), F.lit(params.last_year))
-    step = F.col("anio") - F.lit(base_year)
-    total = F.col("n") * 1000 + F.col("n") * (step * 7)
-    men = F.col("h") * 1000 + F.col("h") * (step * 7)
-    return (per_region.select(F.col("r_name").alias("departamento"), "n", "h",
-                              F.explode(years).alias("anio"))
-            .select("departamento", F.col("anio").cast("int").alias("anio"),
-                    total.cast("bigint").alias("total"), men.cast("bigint").alias("hombres"),
-                    (total - men).cast("bigint").alias("mujeres")))
-
-
 def poblacion_desde_hojas(spark: SparkSession, sf_dir: str,
                           params: cfg.Params = cfg.STANDIN) -> DataFrame:
     """S2 over the wide stand-in sheets."""

@@ -112,9 +112,9 @@ def test_peak_month_tie_and_chunk_threshold(spark):
 
 
 def test_breakdowns_sum_to_total_and_shares_bounded(spark):
-    from regstat.sources import standard as S
+    from regstat.plans import catalog as K
     from tests.conftest import SF_SMALL
-    fact = S.casos(spark, SF_SMALL)
+    fact = K._fact(spark, SF_SMALL)
     total = fact.count()
     for fn in (M.distribucion_sexo, M.provincias):
         assert fn(fact).agg(F.sum("casos")).collect()[0][0] == total
@@ -123,9 +123,9 @@ def test_breakdowns_sum_to_total_and_shares_bounded(spark):
 
 
 def test_top5_is_prefix_of_full_ranking(spark):
-    from regstat.sources import standard as S
+    from regstat.plans import catalog as K
     from tests.conftest import SF_SMALL
-    fact = S.casos(spark, SF_SMALL)
+    fact = K._fact(spark, SF_SMALL)
     full = [r["departamento"] for r in M.ordenar_ranking(M.ranking_departamentos(fact)).collect()]
     top = [r["departamento"] for r in W.top_departamentos(fact, 3).orderBy("posicion").collect()]
     assert top == full[:3]
@@ -133,10 +133,10 @@ def test_top5_is_prefix_of_full_ranking(spark):
 
 @pytest.mark.parametrize("parts", [1, 7])
 def test_partition_independence(spark, parts):
-    from regstat.sources import standard as S
+    from regstat.plans import catalog as K
     from tests.conftest import SF_SMALL
-    fact = S.casos(spark, SF_SMALL)
-    pob = S.poblacion(spark, SF_SMALL, cfg.STANDIN)
+    fact = K._fact(spark, SF_SMALL)
+    pob = K._pob(spark, SF_SMALL)
     a = sorted(map(tuple, T.tendencia_regresion(fact, pob).collect()))
     b = sorted(map(tuple, T.tendencia_regresion(fact.repartition(parts), pob).collect()))
     assert a == b
