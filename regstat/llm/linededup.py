@@ -8,25 +8,25 @@ document id, then line number) is removed. Lines of equal sets are one class.
    (any total order of the words is exact; this one puts rare words first).
 2. Prefix filter: a class posts only its n - ceil(0.8 n) + 1 rarest words;
    matching lines share one of them. Postings are packed into parts of
-   bounded size by word; words with very many postings are cut into blocks,
-   each pair of blocks a group of its own.
+   bounded size by word.
 3. In a part, the classes under a word are compared pair by pair with the
    length filter, the positional filter and two parity bitmaps of 128 and 64
-   bits (every differing bit is a differing word, so they reject safely).
-   Every pair that passes is sent on. Where only the removal of lines is
-   asked for (``drop_lines``), a class keeps its nearest earlier candidates
-   per word (``keep``; four times as many if it has over ``LONG`` words) and
-   whether there were more.
-4. Verification compares the words themselves, whose texts one pass gathers,
-   for every distinct pair. A pair of classes that matches is a link; each
-   line tells how many its class has, and how many of them to earlier ones.
-   For removal: first each class's nearest candidate, then the other kept
-   ones; classes without a match that had more candidates go round again with
-   all of them, so no removal is lost.
+   bits (every differing bit is a differing word, so they reject safely). No
+   pair leaves the task: what does is each class that has a candidate, once
+   per word. A word with more than ``HOT`` classes is not compared there; its
+   classes go to all pairs of their blocks of that size.
+4. The words of these classes are gathered in one pass and meet again by word
+   (or pair of blocks). There each pair is verified on the words' 64-bit
+   hashes, under the first word that both prefixes share and nowhere else, and
+   only sums leave the task: per class its links, those to earlier lines, and
+   the nearest of these. Rows grow with classes and words, not with pairs.
 5. Line records go straight from the documents to a table; a class's first
    place is a minimum with partial sums, and a line looks it up in a join
    that can be split. Every line is removed that is a later line of its class
    or whose class has an earlier match.
+
+Words and classes are told apart by hashes: words by 53 bits in the order and
+64 in verification, classes by the sum of their words' 64-bit mixes.
 """
 
 from __future__ import annotations
@@ -41,16 +41,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regstat.llm.common import written
+from regstat.llm.common import give_back, released, written
 from regstat.llm.wordcache import blocks
 
 NUM, DEN = 4, 5
 BUCKETS = 1 << 17          # of the word counts
 SLICE = 1 << 13            # of them summed together
-BLOOM_WORDS = 1 << 17      # 64-bit words of the filter of wanted lines
-PART_POSTINGS = 250_000    # postings of a part, about
-LONG = 160
-HOT = 1_000_000            # postings of a word in one group at most, about
+BLOOM_WORDS = 1 << 14, 1 << 22  # least and most 64-bit words of the filter of wanted lines (32 MB)
+PART_POSTINGS = 150_000    # postings of a part, about
+HOT = 4096                 # classes of a word compared in one group
+PAIRS = 100_000            # pairs verified at once
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
 
@@ -141,11 +141,10 @@ def pieces(texts: pa.Array):
             at, lines = to, k + 1
 
 
-def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None, some: np.ndarray | None = None):
+def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None):
     """The lines that have words: text (row), line number in it, number of
     distinct words, class, and all lines' word numbers, sorted within a line.
-    A number's order is rarity (if given), then 53 hash bits. With a filter
-    ``some``, lines without a word in it, or one cut into blocks, are left out."""
+    A number's order is rarity (if given), then 53 hash bits."""
     s, h = words_in(b, off)
     number = h & MASK
     if rarity is not None:
@@ -154,11 +153,6 @@ def line_sets(b: np.ndarray, off: np.ndarray, rarity: np.ndarray | None = None,
     row, before = np.searchsorted(off, s, "right") - 1, np.searchsorted(feeds, s)
     new = np.ones(len(s), bool)
     new[1:] = (row[1:] != row[:-1]) | (before[1:] != before[:-1])
-    if some is not None and len(s):
-        hit = _in(some, _hash(number)) | (number >> np.uint64(53) > int(16 * np.log2(HOT)))
-        first = np.flatnonzero(new)
-        stays = np.repeat(np.logical_or.reduceat(hit, first), np.diff(first, append=len(s)))
-        row, before, new, number = row[stays], before[stays], new[stays], number[stays]
     row, before = row[new], before[new]
     known, at = np.unique(number, return_inverse=True)
     bits = len(known).bit_length()
@@ -197,59 +191,50 @@ def word_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     kind = "slice int, counts binary"   # a task's counts are a few rows, summed slice by slice
     out = np.zeros(BUCKETS, np.int64)
-    for r in docs.select("text").mapInArrow(run, kind).groupBy("slice").applyInArrow(add, kind).collect():
+    for r in docs.select("text").mapInArrow(released(run), kind).groupBy("slice").applyInArrow(add, kind).collect():
         out[r["slice"] * SLICE:(r["slice"] + 1) * SLICE] = np.frombuffer(r["counts"], np.int64)
     return out, int(out.sum())
 
 
 PACKED = np.dtype([("g", "<i8"), ("cls", "<i8"), ("doc", "<i8"), ("b0", "<u8"), ("b1", "<u8"), ("b2", "<u8"),
-                   ("line", "<i4"), ("n", "<i4"), ("pos", "<i4"), ("side", "i1")])
+                   ("line", "<i4"), ("n", "<i4"), ("pos", "<i4")])
 
 
-def _postings(cls: np.ndarray, doc: np.ndarray, line: np.ndarray, n: np.ndarray, flat: np.ndarray, parts: int):
-    """Packed postings of lines of distinct classes (``flat``: their word
-    numbers), their parts and their lines."""
-    start = np.cumsum(n) - n
-    bit = np.uint64(1) << (flat & 63).astype(np.uint64)
+def bitmaps(flat: np.ndarray, start: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Parity bitmaps of 64, 64 and 64 bits of word sets given as runs of ``flat``."""
+    one = np.uint64(1) << (flat & 63).astype(np.uint64)
     second = (flat & 64).astype(bool)
-    b0 = np.bitwise_xor.reduceat(np.where(second, np.uint64(0), bit), start)
-    b1 = np.bitwise_xor.reduceat(np.where(second, bit, np.uint64(0)), start)
-    b2 = np.bitwise_xor.reduceat(np.uint64(1) << (flat >> 7 & 63).astype(np.uint64), start)
+    return (np.bitwise_xor.reduceat(np.where(second, np.uint64(0), one), start),
+            np.bitwise_xor.reduceat(np.where(second, one, np.uint64(0)), start),
+            np.bitwise_xor.reduceat(np.uint64(1) << (flat >> 7 & 63).astype(np.uint64), start))
+
+
+def _part_of(g: np.ndarray, parts: int) -> np.ndarray:
+    h = np.ascontiguousarray(g).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)
+    return (h % np.uint64(parts)).astype(np.int64)
+
+
+def _postings(cls: np.ndarray, doc: np.ndarray, line: np.ndarray, n: np.ndarray, flat: np.ndarray) -> np.ndarray:
+    """Packed postings of lines of distinct classes (``flat``: their word numbers)."""
+    start = np.cumsum(n) - n
+    b0, b1, b2 = bitmaps(flat, start)
     prefix = n - -(-NUM * n // DEN) + 1
     row = np.repeat(np.arange(len(n)), prefix)
     pos = np.arange(len(row)) - np.repeat(np.cumsum(prefix) - prefix, prefix)
-    word = flat[start[row] + pos]
     out = np.empty(len(row), PACKED)
-    out["g"], out["cls"], out["doc"], out["line"] = word, cls[row], doc[row], line[row]
-    out["n"], out["pos"], out["side"] = n[row], pos, 2
+    out["g"], out["cls"], out["doc"], out["line"] = flat[start[row] + pos], cls[row], doc[row], line[row]
+    out["n"], out["pos"] = n[row], pos
     out["b0"], out["b1"], out["b2"] = b0[row], b1[row], b2[row]
-    # words with very many postings: block pairs (i, j), on group keys of their own
-    rarity = word >> 53
-    hot = np.flatnonzero(rarity > int(16 * np.log2(HOT)))
-    if len(hot):
-        more, of = [], []
-        for i in hot.tolist():
-            m = int(2 ** (int(rarity[i]) / 16) // HOT) + 1
-            own = int(out["cls"][i]) % m
-            for other in range(m):
-                r = out[i:i + 1].copy()
-                lo, hi = min(own, other), max(own, other)
-                r["g"] = xxhash.xxh3_64_intdigest(f"{int(word[i])}/{lo}/{hi}".encode()) - (1 << 63)
-                r["side"] = 2 if lo == hi else int(own == hi)
-                more.append(r)
-                of.append(row[i])
-        keep = np.ones(len(out), bool)
-        keep[hot] = False
-        out, row = np.concatenate([out[keep], *more]), np.concatenate([row[keep], of])
-    part = (out["g"].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)) % np.uint64(parts)
-    part = part.astype(np.int64)
-    return out, part, row
-
-
-def _by_part(rows: np.ndarray, part: np.ndarray, parts: int) -> list[bytes]:
+    return out
+
+
+def _by_part(rows: np.ndarray, parts: int) -> tuple[np.ndarray, list[bytes]]:
+    """The parts that have rows, and their rows."""
+    part = _part_of(rows["g"], parts)
     rows = rows[np.argsort(part, kind="stable")]
-    edges = np.concatenate([[0], np.cumsum(np.bincount(part, minlength=parts))])
-    return [rows[edges[p]:edges[p + 1]].tobytes() for p in range(parts)]
+    known, size = np.unique(part, return_counts=True)
+    edges = np.concatenate([[0], np.cumsum(size)])
+    return known, [rows[edges[i]:edges[i + 1]].tobytes() for i in range(len(known))]
 
 
 def _order(g: np.ndarray, cls: np.ndarray, doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -282,9 +267,11 @@ def _ordered(rows: np.ndarray) -> dict[str, np.ndarray]:
 
 
 def _shifts(col: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The candidates of one part: y, x (row numbers, x the earlier), dist;
-    every y once per step."""
-    g, b0, b1, b2, side = (col[c] for c in ("g", "b0", "b1", "b2", "side"))
+    """The candidates among rows that are in order: y, x (row numbers, x the
+    earlier), and the differing bits; every y once per step. With ``side``
+    (blocks 0 and 1, or 2 for both) only pairs of different blocks."""
+    g, b0, b1, b2 = (col[c] for c in ("g", "b0", "b1", "b2"))
+    side = col.get("side")
     n = col["n"].astype(np.int64)
     left = n - col["pos"]              # words from the shared one on
     size = len(g)
@@ -296,99 +283,18 @@ def _shifts(col: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
         both, small, large = n[x] + n[y], np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
         need = -(-NUM * both // (NUM + DEN))
         ok = (DEN * small >= NUM * large) & (np.minimum(left[x], left[y]) >= need)
-        ok &= (side[x] == 2) | (side[x] != side[y])
+        if side is not None:
+            ok &= (side[x] == 2) | (side[x] != side[y])
         at = np.flatnonzero(ok)
         dist = (np.bitwise_count(b0[x[at]] ^ b0[y[at]]).astype(np.int32)
                 + np.bitwise_count(b1[x[at]] ^ b1[y[at]]))
         differ = (both - 2 * need)[at]
         fine = (dist <= differ) & (np.bitwise_count(b2[x[at]] ^ b2[y[at]]) <= differ)
         at, dist = at[fine], dist[fine].astype(np.int32)
-        yield y[at], x[at].astype(np.int32), dist
+        yield y[at], x[at], dist
         shift += 1
 
 
-def _pairs(col: dict[str, np.ndarray], only: np.ndarray | None = None):
-    """All candidates of one part (y, x, dist), or those whose class is in the
-    filter ``only``, about PART_POSTINGS at a time."""
-    asked = None if only is None else _in(only, _hash(col["cls"]))
-    found, many = [], 0
-    for y, x, dist in _shifts(col):
-        if asked is not None:
-            some = asked[y]
-            y, x, dist = y[some], x[some], dist[some]
-        found.append((y, x, dist))
-        many += len(y)
-        if many >= PART_POSTINGS:
-            yield tuple(np.concatenate(c) for c in zip(*found))
-            found, many = [], 0
-    if many:
-        yield tuple(np.concatenate(c) for c in zip(*found))
-
-
-def _compare(rows: np.ndarray, keep: int):
-    """The distinct rows of one part in order, and arrays y, x (row numbers),
-    dist, more: the nearest earlier candidates of every row."""
-    col = _ordered(rows)
-    size = len(col["g"])
-    long = np.flatnonzero(col["n"] > LONG)
-    slot = np.full(size, -1, np.int64)
-    slot[long] = np.arange(len(long))
-    count = np.zeros(size, np.int64)
-
-    def table(k, m):
-        return np.full((k, m), 1 << 20, np.int32), np.full((k, m), -1, np.int32)
-
-    short_best, long_best = table(keep, size), table(4 * keep, len(long))
-
-    def put(best, ys, xs, dist):       # every y once per shift
-        near, who = best
-        for k in range(len(near)):
-            old, was = near[k, ys], who[k, ys]
-            better = dist <= old
-            near[k, ys], dist = np.where(better, dist, old), np.where(better, old, dist)
-            who[k, ys], xs = np.where(better, xs, was), np.where(better, was, xs)
-
-    for ys, xs, dist in _shifts(col):
-        count[ys] += 1
-        is_long = slot[ys] >= 0
-        put(short_best, ys[~is_long], xs[~is_long], dist[~is_long])
-        if is_long.any():
-            put(long_best, slot[ys[is_long]], xs[is_long], dist[is_long])
-    k1, y1 = np.nonzero(short_best[1] >= 0)
-    k2, y2 = np.nonzero(long_best[1] >= 0)
-    y = np.concatenate([y1, long[y2]])
-    x = np.concatenate([short_best[1][k1, y1], long_best[1][k2, y2]])
-    dist = np.concatenate([short_best[0][k1, y1], long_best[0][k2, y2]])
-    return col, y, x, dist, count[y] > np.where(col["n"][y] > LONG, 4 * keep, keep)
-
-
-def _hash(numbers: np.ndarray) -> np.ndarray:
-    """Place of a class or a group in a filter."""
-    h = np.ascontiguousarray(numbers).view(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
-    return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
-
-
-def _in(bits: np.ndarray, h: np.ndarray) -> np.ndarray:
-    return (bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)).astype(bool)
-
-
-def _bits(rows: DataFrame, hashes) -> np.ndarray:
-    """A filter of fixed size with a bit for every row's hash."""
-    def fill(batches):
-        bits = np.zeros(BLOOM_WORDS, np.uint64)
-        for batch in batches:
-            h = hashes(batch)
-            np.bitwise_or.at(bits, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
-        at = np.flatnonzero(bits)
-        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["w", "bits"])
-
-    out = np.zeros(BLOOM_WORDS, np.uint64)
-    for r in (rows.mapInArrow(fill, "w long, bits long").groupBy("w")
-              .agg(F.expr("bit_or(bits)").alias("bits")).collect()):  # at most BLOOM_WORDS rows
-        out[r["w"]] = r["bits"] & ((1 << 64) - 1)
-    return out
-
-
 def line_records(docs: DataFrame) -> DataFrame:
     """Every line that has words: y (class), doc, line, n, no_id; written."""
     def run(batches):
@@ -402,29 +308,55 @@ def line_records(docs: DataFrame) -> DataFrame:
                     [pa.array(cls), pa.array(doc_ids[row + a]), pa.array((line + before).astype(np.int64)),
                      pa.array(n.astype(np.int32)), pa.array(nulls[row + a])], ["y", "doc", "line", "n", "no_id"])
 
-    return written(docs.mapInArrow(run, "y long, doc long, line long, n int, no_id boolean"), "lines")
+    return written(docs.mapInArrow(released(run), "y long, doc long, line long, n int, no_id boolean"), "lines")
+
+
+ASKED = np.dtype([("cls", "<i8"), ("doc", "<i8"), ("line", "<i8"), ("g", "<i8"), ("pair", "<i8"), ("side", "<i8")])
+
+
+def _asked(col: dict[str, np.ndarray]) -> np.ndarray:
+    """Of a part's rows in order, the classes with a candidate, per word; all
+    classes of a hot word, per pair of blocks that holds theirs."""
+    g, cls = col["g"], col["cls"]
+    size = np.diff(np.flatnonzero(np.r_[True, g[1:] != g[:-1], True])) if len(g) else np.zeros(0, np.int64)
+    size = np.repeat(size, size)
+    few = np.flatnonzero(size <= HOT)
+    cool = {c: v[few] for c, v in col.items()}
+    paired = np.zeros(len(few), bool)
+    for y, x, _ in _shifts(cool):
+        paired[y] = paired[x] = True
+    at, pair, side = [few[paired]], [np.full(paired.sum(), -1)], [np.full(paired.sum(), 2)]
+    hot = np.flatnonzero(size > HOT)
+    if len(hot):
+        m = -(-size[hot] // HOT)
+        row = np.repeat(hot, m)
+        other = np.arange(len(row)) - np.repeat(np.cumsum(m) - m, m)
+        many = np.repeat(m, m)
+        own = (np.ascontiguousarray(cls[row]).view(np.uint64) % many.astype(np.uint64)).astype(np.int64)
+        at.append(row)
+        pair.append(np.minimum(own, other) * many + np.maximum(own, other))
+        side.append(np.where(own == other, 2, own > other))
+    at = np.concatenate(at)
+    out = np.empty(len(at), ASKED)
+    for c in ("cls", "doc", "line", "g"):
+        out[c] = col[c][at]
+    out["pair"], out["side"] = np.concatenate(pair), np.concatenate(side)
+    return out
 
 
-def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int | None,
-               only: tuple[np.ndarray, np.ndarray] | None = None) -> DataFrame:
-    """One written table: the candidate pairs, once per shared word (y, x,
-    dist, more, g: the word's group), and the place of every class in a pair
-    (y, doc, line; x null). All pairs without ``keep``, else the nearest ones
-    of each class; with ``only``, filters of classes and groups, all pairs of
-    those classes in those groups."""
+def asked_classes(docs: DataFrame, counts: np.ndarray, words: int) -> DataFrame:
+    """cls, doc, line (a class and its first place), g, pair, side (a word, or
+    a pair of blocks of it, under which it is to be compared); written."""
     parts = max(1, words // 4 // PART_POSTINGS + 1)
-    sc = docs.sparkSession.sparkContext
-    shared = sc.broadcast(counts)
-    asked, groups = (sc.broadcast(f) for f in only) if only else (None, None)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def post(batches):
         rare = rarities(shared.value)
-        wanted = None if groups is None else groups.value
         held, size = [], 0
         for batch in batches:
             doc_ids = pc.fill_null(batch.column("doc_id").cast(pa.int64()), LAST).to_numpy()
             for a, b, off, before in pieces(batch.column("text")):
-                row, line, n, cls, numbers = line_sets(b, off, rare, wanted)
+                row, line, n, cls, numbers = line_sets(b, off, rare)
                 if len(row):
                     held.append((doc_ids[row + a], line + before, n, cls, numbers))
                     size += len(b)
@@ -439,40 +371,24 @@ def candidates(docs: DataFrame, counts: np.ndarray, words: int, keep: int | None
         first = np.concatenate([[True], cls[order][1:] != cls[order][:-1]])
         chosen = np.zeros(len(cls), bool)
         chosen[order[first]] = True
-        rows, part, _ = _postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
-                                  numbers[np.repeat(chosen, n)], parts)
-        if groups is not None:
-            some = _in(groups.value, _hash(rows["g"]))
-            rows, part = rows[some], part[some]
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.arange(parts, dtype=np.int32)), pa.array(_by_part(rows, part, parts), pa.binary())],
-            ["part", "data"])
-
-    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, data = _by_part(_postings(cls[chosen], doc[chosen], line[chosen], n[chosen],
+                                        numbers[np.repeat(chosen, n)]), parts)
+        return pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(data, pa.binary())],
+                                          ["part", "data"])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data = np.concatenate([np.frombuffer(d.as_buffer(), PACKED) for b in batches for d in b.column("data")])
-        if keep is None or asked is not None:
-            col = _ordered(data)
-            found = ((*pair, None) for pair in _pairs(col, None if asked is None else asked.value))
-        else:
-            col, *near = _compare(data, keep)
-            found = [near]
+        col = _ordered(data)
         del data
-        paired = np.zeros(len(col["g"]), bool)
-        for y, x, dist, more in found:
-            paired[y] = paired[x] = True
-            yield rows(col["cls"][y], x=col["cls"][x], dist=dist, more=more, g=None if keep is None else col["g"][y])
-        _, first = np.unique(col["cls"][paired], return_index=True)
-        yield rows(*(col[c][paired][first] for c in ("cls", "doc", "line")))
-
-    def rows(y, doc=None, line=None, **more):
-        columns = {"y": y, "doc": doc, "line": line} | more
-        return pa.RecordBatch.from_arrays(
-            [pa.nulls(len(y), t) if columns.get(c) is None else pa.array(np.ascontiguousarray(columns[c])).cast(t)
-             for c, t in kinds.items()], list(kinds))
+        out = _asked(col)
+        del col
+        give_back()
+        for a in range(0, len(out), PART_POSTINGS):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.ascontiguousarray(out[c][a:a + PART_POSTINGS])) for c in ASKED.names], list(ASKED.names))
 
-    kinds = {c: pa.int64() for c in ("y", "doc", "line", "x", "g")} | {"dist": pa.int32(), "more": pa.bool_()}
-    return written(docs.mapInArrow(post, "part int, data binary").groupBy("part").applyInArrow(
-        join, "y long, doc long, line long, x long, g long, dist int, more boolean"), "candidates")
+    return written(docs.mapInArrow(released(post), "part int, data binary").groupBy("part").applyInArrow(
+        compare, ", ".join(f"{c} long" for c in ASKED.names)), "asked")
 
 
 def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
@@ -480,129 +396,210 @@ def _place(doc: np.ndarray, line: np.ndarray) -> np.ndarray:
     h = doc.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + line.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
     h ^= h >> np.uint64(29)
     h *= np.uint64(0xBF58476D1CE4E5B9)
-    return (h >> np.uint64(20)) % np.uint64(64 * BLOOM_WORDS)
+    return h >> np.uint64(20)
 
 
-def texts_of(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """cls, text of the lines at the places ``wanted`` (doc, line): a filter
-    of fixed size with a bit per place is broadcast, whatever hits it is
-    looked up by its class."""
-    sc = docs.sparkSession.sparkContext
+def _filter(places: DataFrame) -> np.ndarray:
+    """A filter with a bit for every place (doc, line): about 32 bits for each,
+    as far as its greatest size allows."""
+    least, most = BLOOM_WORDS
+    size = min(most, max(least, 1 << (places.count() // 2).bit_length()))
+
+    def fill(batches):
+        bits = np.zeros(size, np.uint64)
+        for batch in batches:
+            h = _place(batch.column("doc").to_numpy(), batch.column("line").to_numpy()) % np.uint64(64 * size)
+            np.bitwise_or.at(bits, (h >> np.uint64(6)).astype(np.int64), np.uint64(1) << (h & np.uint64(63)))
+        at = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(bits[at].view(np.int64))], ["w", "bits"])
+
+    out = np.zeros(size, np.uint64)
+    rows = places.mapInArrow(fill, "w long, bits long").groupBy("w").agg(F.expr("bit_or(bits)").alias("bits"))
+    for part in rows.toArrow().to_batches():       # at most ``size`` rows of 16 bytes
+        out[part.column("w").to_numpy()] = part.column("bits").to_numpy().view(np.uint64)
+    return out
+
 
-    bits = _bits(wanted, lambda b: _place(b.column("doc").to_numpy(), b.column("line").to_numpy()))
-    bloom = sc.broadcast(bits)
+def words_of_classes(docs: DataFrame, places: DataFrame) -> DataFrame:
+    """cls, words (the sorted 64-bit hashes of its words, packed) of the lines
+    at ``places`` (doc, line): a broadcast filter with a bit per place picks
+    the lines; what it lets through besides is looked up by its class."""
+    shared = docs.sparkSession.sparkContext.broadcast(_filter(places))
 
     def run(batches):
-        bits = bloom.value
+        bits = shared.value
+        size = np.uint64(64 * len(bits))
         for batch in batches:
             said = []
             for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text")):
                 lines = (t.as_py() or "").split("\n")
-                h = _place(np.array([LAST if d is None else d], np.int64), np.arange(len(lines)))
-                said += [lines[k] for k in np.flatnonzero(_in(bits, h)).tolist()]
-            said = pa.array(said, pa.string())
-            for a, b, off, _ in pieces(said):
-                row, _, _, cls, _ = line_sets(b, off)
-                yield pa.RecordBatch.from_arrays([pa.array(cls), said.take(pa.array(row + a))], ["cls", "text"])
+                h = _place(np.array([LAST if d is None else d], np.int64), np.arange(len(lines))) % size
+                hit = bits[(h >> np.uint64(6)).astype(np.int64)] >> (h & np.uint64(63)) & np.uint64(1)
+                said += [lines[k] for k in np.flatnonzero(hit).tolist()]
+            for _, b, off, _ in pieces(pa.array(said, pa.string())):
+                cls = line_sets(b, off)[3]          # lines with words, in order
+                start, h = words_in(b, off)
+                row = np.searchsorted(off, start, "right") - 1
+                order = np.lexsort((h, row))
+                row, h = row[order], h[order]
+                new = np.ones(len(h), bool)
+                new[1:] = (row[1:] != row[:-1]) | (h[1:] != h[:-1])
+                row, h = row[new], h[new]
+                edges = np.flatnonzero(np.r_[True, row[1:] != row[:-1], True]) if len(row) else [0]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(cls), pa.array([h[i:j].tobytes() for i, j in zip(edges, edges[1:])], pa.binary())],
+                    ["cls", "words"])
+
+    return docs.mapInArrow(released(run), "cls long, words binary").dropDuplicates(["cls"])
+
+
+class Sets:
+    """Word sets as sorted rows of one array, for look-ups of many at once."""
+
+    def __init__(self, values: list[np.ndarray]):
+        self.n = np.array([len(v) for v in values], np.int64)
+        self.start = np.cumsum(self.n) - self.n
+        known, flat = np.unique(np.concatenate(values), return_inverse=True)
+        self.bits = len(known).bit_length()
+        row = np.repeat(np.arange(len(values)), self.n)
+        self.key = np.sort(row << self.bits | flat)
+        self.known = known
+
+    def held(self, of: np.ndarray, into: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each pair (of, into): which of the first ``most`` members of
+        ``of`` are members of ``into`` (flat, with the pair's number)."""
+        pair = np.repeat(np.arange(len(of)), most)
+        at = np.arange(len(pair)) - np.repeat(np.cumsum(most) - most, most) + self.start[of][pair]
+        want = into[pair] << self.bits | self.key[at] & ((1 << self.bits) - 1)
+        found = np.searchsorted(self.key, want)
+        found[found == len(self.key)] = 0
+        return self.key[found] == want, pair
+
+    def place(self, row: np.ndarray, value: np.ndarray) -> np.ndarray:
+        """Position of a value within its row's sorted members."""
+        want = row << self.bits | np.searchsorted(self.known, value)
+        return np.searchsorted(self.key, want) - self.start[row]
+
+
+def count_links(table: pa.Table, rarity: np.ndarray) -> pa.Table:
+    """The verified links among the classes of ``table`` (rows of ASKED with
+    their words), summed per class: y, n_links, n_earlier, near_d, near_x."""
+    data = {c: table[c].to_numpy() for c in ASKED.names}
+    classes, first, row = np.unique(data["cls"], return_index=True, return_inverse=True)
+    words = table["words"].combine_chunks().take(pa.array(first))
+    hashes = [np.frombuffer(w.as_buffer(), np.uint64) for w in words]
+    exact = Sets(hashes)
+    numbers = Sets([np.unique(h & MASK | rarity[(h >> np.uint64(47)).astype(np.int64)]) for h in hashes])
+    order = np.lexsort((data["cls"], data["line"], data["doc"], data["pair"], data["g"]))
+    row, g, pair = row[order], data["g"][order], data["pair"][order]
+    group = np.zeros(len(row), np.int64)
+    group[1:] = np.cumsum((g[1:] != g[:-1]) | (pair[1:] != pair[:-1]))
+    b0, b1, b2 = bitmaps(numbers.known[numbers.key & ((1 << numbers.bits) - 1)], numbers.start)
+    pos = numbers.place(row, g.view(np.uint64))
+    col = {"g": group, "n": numbers.n[row], "pos": pos, "b0": b0[row], "b1": b1[row], "b2": b2[row],
+           "side": data["side"][order]}
+    links, earlier = np.zeros(len(classes), np.int64), np.zeros(len(classes), np.int64)
+    near_d, near_x = np.full(len(classes), 1 << 40, np.int64), np.zeros(len(classes), np.int64)
+
+    def verify(y, x):
+        # only under the first word that both share: no word before it is in the other set
+        before, of = numbers.held(row[x], row[y], pos[x])
+        alone = np.ones(len(x), bool)
+        alone[of[before]] = False
+        y, x = row[y[alone]], row[x[alone]]
+        hit, of = exact.held(x, y, exact.n[x])
+        common = np.bincount(of[hit], minlength=len(x))
+        both = exact.n[x] + exact.n[y]
+        ok = (NUM + DEN) * common >= NUM * both
+        y, x, d = y[ok], x[ok], (both - 2 * common)[ok]
+        np.add.at(links, y, 1)
+        np.add.at(links, x, 1)
+        np.add.at(earlier, y, 1)
+        by = np.lexsort((classes[x], d, y))
+        y, x, d = y[by], x[by], d[by]
+        best = np.ones(len(y), bool)
+        best[1:] = y[1:] != y[:-1]
+        y, x, d = y[best], classes[x[best]], d[best]
+        better = (d < near_d[y]) | ((d == near_d[y]) & (x < near_x[y]))
+        near_d[y[better]], near_x[y[better]] = d[better], x[better]
+
+    held, many = [], 0
+    for y, x, _ in _shifts(col):
+        held.append((y, x))
+        many += len(y)
+        if many >= PAIRS:
+            verify(*map(np.concatenate, zip(*held)))
+            held, many = [], 0
+    if many:
+        verify(*map(np.concatenate, zip(*held)))
+    some = np.flatnonzero(links)
+    none = earlier[some] == 0
+    return pa.table({"y": pa.array(classes[some]), "n_links": pa.array(links[some]), "n_earlier": pa.array(earlier[some]),
+                     "near_d": pa.array(near_d[some], mask=none), "near_x": pa.array(near_x[some], mask=none)})
 
-    return written(docs.mapInArrow(run, "cls long, text string").dropDuplicates(["cls"]), "texts")
 
+def linked_classes(docs: DataFrame) -> DataFrame:
+    """y, n_links, n_earlier, match_id of every class with a verified link."""
+    counts, words = word_counts(docs)
+    asked = asked_classes(docs, counts, words)
+    places = written(asked.groupBy("cls").agg(F.first("doc").alias("doc"), F.first("line").alias("line")), "places")
+    joined = asked.join(words_of_classes(docs, places), "cls")
+    rows = asked.count()
+    parts = max(1, rows // 20_000)
+    shared = docs.sparkSession.sparkContext.broadcast(counts)
 
-def verified(pairs: DataFrame, texts: DataFrame) -> DataFrame:
-    """The pairs (y, x, dist) whose word sets match, by the words themselves."""
-    def run(batches):
-        for batch in batches:
-            ok, last, words = [], None, set()
-            for a, b in zip(batch.column("ty").to_pylist(), batch.column("tx").to_pylist()):
-                if b != last:
-                    last, words = b, set(b.split())
-                a = set(a.split())
-                ok.append((NUM + DEN) * len(a & words) >= NUM * (len(a) + len(words)))
-            yield batch.filter(pa.array(ok, pa.bool_())).select(["y", "x", "dist"])
+    def count(t: pa.Table) -> pa.Table:
+        out = count_links(t, rarities(shared.value))
+        give_back()
+        return out
 
-    both = (pairs.join(texts.select(F.col("cls").alias("y"), F.col("text").alias("ty")), "y")
-            .join(texts.select(F.col("cls").alias("x"), F.col("text").alias("tx")), "x"))
-    return written(both.select("y", "x", "dist", "ty", "tx").mapInArrow(run, "y long, x long, dist int"), "verified")
+    sums = (joined.withColumn("_part", F.pmod(F.xxhash64("g", "pair"), F.lit(parts)).cast("int"))
+            .groupBy("_part").applyInArrow(count, "y long, n_links long, n_earlier long, near_d long, near_x long"))
+    near = F.min(F.when(F.col("near_d").isNotNull(), F.struct("near_d", "near_x")))
+    return written(sums.groupBy("y").agg(F.sum("n_links").alias("n_links"), F.sum("n_earlier").alias("n_earlier"),
+                                         near["near_x"].alias("match_id")), "links")
 
 
 def removal(lines: DataFrame, linked: DataFrame) -> DataFrame:
-    """The lines with what is known of their class (``linked``: y and more;
-    null if nothing) and whether they are a later line of it."""
+    """The lines with what is known of their class (``linked``; null if
+    nothing) and whether they are a later line of it."""
     first = lines.groupBy("y").agg(F.min(F.struct("doc", "line")).alias("first"), F.count(F.lit(1)).alias("_n"))
     of_class = written(first.join(linked, "y", "left").filter(
-        (F.col("_n") > 1) | F.col("n_earlier").isNotNull()).drop("_n"), "classes")
+        (F.col("_n") > 1) | F.col("n_links").isNotNull()).drop("_n"), "classes")
     later = F.coalesce(F.struct("doc", "line") > F.col("first"), F.lit(False))
     return (lines.join(of_class, "y", "left").withColumn("later", later).drop("first"))
 
 
-def matched_lines(docs: DataFrame, keep: int | None = None) -> DataFrame:
+def matched_lines(docs: DataFrame) -> DataFrame:
     """One row per line that has words: doc_id, line_no, n_words, class_id,
-    match_id (the nearest class with an earlier line that matches, or null),
-    n_earlier (matching classes with an earlier line), n_links (all matching
-    classes), removed. A pair of classes is one link, however many lines they
-    have. ``keep`` has no effect here: all pairs are found.
+    match_id (of the matching classes with an earlier line the one with the
+    fewest differing words, or null), n_earlier (matching classes with an
+    earlier line), n_links (all matching classes), removed. A pair of classes
+    is one link, however many lines they have.
 
     A null text has no lines; blank lines are no rows and are never removed.
-    Rows with the same doc_id are one document's; a null doc_id comes last in
-    the order. Other columns are ignored; an empty table gives an empty result.
+    Rows with the same doc_id are one document's, so of two equal rows the
+    lines stand at the same place and neither removes the other; a null doc_id
+    comes last in the order. Other columns are ignored; an empty table gives
+    an empty result.
     """
     docs = docs.select("doc_id", "text")
-    table = candidates(docs, *word_counts(docs), None)
-    texts = texts_of(docs, table.filter("x is null").select("doc", "line"))
-    links = verified(table.filter("x is not null").select("y", "x", "dist").distinct(), texts)
-    near = F.when(F.col("earlier"), F.struct("dist", "other"))
-    linked = (links.select("y", F.lit(True).alias("earlier"), "dist", F.col("x").alias("other"))
-              .unionByName(links.select(F.col("x").alias("y"), F.lit(False).alias("earlier"), "dist",
-                                        F.col("y").alias("other")))
-              .groupBy("y").agg(F.count(F.lit(1)).alias("n_links"), F.count_if("earlier").alias("n_earlier"),
-                                F.min(near)["other"].alias("match_id")))
     kind = docs.schema["doc_id"].dataType
     n_earlier, n_links = (F.coalesce(c, F.lit(0)) for c in ("n_earlier", "n_links"))
-    return (removal(line_records(docs), linked)
+    return (removal(line_records(docs), linked_classes(docs))
             .select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"),
                     F.col("line").cast("int").alias("line_no"), F.col("n").alias("n_words"),
                     F.col("y").alias("class_id"), "match_id", n_earlier.alias("n_earlier"),
                     n_links.alias("n_links"), (F.col("later") | (n_earlier > 0)).alias("removed")))
 
 
-def removed_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
-    """doc_id, line_no, class_id of the lines that ``matched_lines`` calls
-    removed. One earlier match of a class is enough, so the links beyond it
-    are not counted."""
-    docs = docs.select("doc_id", "text")
-    counts, words = word_counts(docs)
-    matches, open_, only = None, None, None
-    while True:
-        table = candidates(docs, counts, words, keep, only)
-        pairs = table.filter("x is not null")
-        if open_ is not None:
-            pairs = pairs.join(open_, "y", "left_semi")
-        texts = texts_of(docs, table.filter("x is null").select("doc", "line"))
-        best = pairs.groupBy("y").agg(F.min(F.struct("dist", "x")).alias("b")).select("y", "b.x", "b.dist")
-        good = verified(best, texts).select("y")
-        rest = written(pairs.join(good, "y", "left_anti").groupBy("y", "x", "dist")
-                       .agg(F.max("more").alias("more")), "rest")
-        if not rest.isEmpty():
-            good = good.unionByName(verified(rest.select("y", "x", "dist"), texts).select("y").distinct())
-        matches = good if matches is None else matches.unionByName(good)
-        open_ = written(rest.filter("more").select("y").distinct().join(good, "y", "left_anti"), "open")
-        if open_.isEmpty():
-            break
-        groups = pairs.filter("more").join(open_, "y", "left_semi")
-        only = (_bits(open_, lambda b: _hash(b.column("y").to_numpy())),
-                _bits(groups.select("g"), lambda b: _hash(b.column("g").to_numpy())))
-    kind = docs.schema["doc_id"].dataType
-    return (removal(line_records(docs), matches.withColumn("n_earlier", F.lit(1)))
-            .filter(F.col("later") | F.col("n_earlier").isNotNull())
-            .select(F.when(~F.col("no_id"), F.col("doc")).cast(kind).alias("doc_id"),
-                    F.col("line").cast("int").alias("line_no"), F.col("y").alias("class_id")))
-
-
-def drop_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
+def drop_lines(docs: DataFrame) -> DataFrame:
     """The documents without their removed lines, all columns kept; n_chars
     (if there) follows the text. Documents that lose every line with words
-    go; documents that had none stay as they are."""
-    gone = (removed_lines(docs, keep).groupBy(F.col("doc_id").alias("_of"))
+    go; documents that had none (null, empty, blank) stay as they are. Rows
+    that share a doc_id, or have none, lose the lines found removed under that
+    id; an empty table gives an empty result."""
+    gone = (matched_lines(docs).filter("removed").groupBy(F.col("doc_id").alias("_of"))
             .agg(F.collect_set(F.struct("line_no", "class_id")).alias("_gone")))
     names = docs.columns
     schema = T.StructType(list(docs.schema.fields))
@@ -633,4 +630,4 @@ def drop_lines(docs: DataFrame, keep: int = 2) -> DataFrame:
             yield pa.RecordBatch.from_arrays(list(columns.values()), names).filter(pa.array(stays))
 
     joined = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_of")), "left").drop("_of")
-    return joined.mapInArrow(run, schema)
+    return joined.mapInArrow(released(run), schema)

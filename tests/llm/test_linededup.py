@@ -1,6 +1,7 @@
 """Line dedup against comparing every line with every earlier one."""
 
 import sys
+import time
 
 import numpy as np
 import pyarrow as pa
@@ -63,8 +64,8 @@ def test_line_dedup_brute_force(spark, edge_docs):
         assert got == brute(rows)
 
 
-def test_near_copies_round_again(spark, monkeypatch):
-    """Clusters of variants, and words that are cut into blocks."""
+def test_near_copies_and_hot_words(spark, monkeypatch):
+    """Clusters of variants, and words whose classes are cut into blocks."""
     rng = np.random.default_rng(5)
     vocab = [f"w{i}" for i in range(60)]
     rows = []
@@ -76,17 +77,80 @@ def test_near_copies_round_again(spark, monkeypatch):
         rows.append((i, " ".join(line) + "\nx y " + vocab[i % 60]))
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
     want = brute(rows)
-    rounds, candidates = [], linededup.candidates
-
-    def counted(*a, **b):
-        rounds.append(a[-1] is not None)
-        return candidates(*a, **b)
-
-    monkeypatch.setattr(linededup, "candidates", counted)
-    monkeypatch.setattr(linededup, "LONG", 10 ** 9)
-    got = {(r.doc_id, r.line_no): r.removed for r in linededup.matched_lines(docs, keep=1).collect()}
-    assert got == want and any(want.values())
-    assert len(rounds) <= 2
+    whole = linededup.matched_lines(docs).collect()
+    assert {(r.doc_id, r.line_no): r.removed for r in whole} == want and any(want.values())
+    asked, sizes = linededup._asked, []
+    for hot, step in ((7, 10), (60, 100_000)):
+        monkeypatch.setattr(linededup, "PAIRS", step)
+        out = []
+        for part in linededup_parts(docs):
+            monkeypatch.setattr(linededup, "HOT", hot)
+            out.append(asked(part))
+        sizes.append(sum(map(len, out)))
+        got = links_of(docs, np.concatenate(out))
+        assert got == {r.class_id: (r.n_links, r.n_earlier, r.match_id) for r in whole if r.n_links}
+    assert sizes[0] > sizes[1]
+
+
+def prepared(docs):
+    """(lines of distinct classes, word hashes by class, rarity) without Spark."""
+    rows = docs.select("doc_id", "text").collect()
+    texts = pa.array([r.text for r in rows])
+    counts = np.zeros(linededup.BUCKETS, np.int64)
+    for _, b, off, _ in linededup.pieces(texts):
+        counts += np.bincount((linededup.words_in(b, off)[1] >> np.uint64(47)).astype(np.int64), minlength=linededup.BUCKETS)
+    rare, lines, words = linededup.rarities(counts), [], {}
+    for a, b, off, before in linededup.pieces(texts):
+        row, line, n, cls, numbers = linededup.line_sets(b, off, rare)
+        lines.append((np.array([rows[i + a].doc_id for i in row]), line + before, n, cls, numbers))
+    for r in rows:
+        for x in r.text.split("\n"):
+            (_, b, off, _), = linededup.pieces(pa.array([x]))
+            words[int(linededup.line_sets(b, off)[3][0])] = np.unique(linededup.words_in(b, off)[1]).tobytes()
+    return [np.concatenate(c) for c in zip(*lines)], words, rare
+
+
+def linededup_parts(docs):
+    (doc, line, n, cls, numbers), _, _ = prepared(docs)
+    order = np.lexsort((line, doc, cls))
+    one = np.zeros(len(cls), bool)
+    one[order[np.r_[True, cls[order][1:] != cls[order][:-1]]]] = True
+    _, data = linededup._by_part(linededup._postings(cls[one], doc[one], line[one], n[one], numbers[np.repeat(one, n)]), 3)
+    return [linededup._ordered(np.frombuffer(d, linededup.PACKED)) for d in data]
+
+
+def links_of(docs, asked):
+    """Links summed over three groups of words, as the tasks do."""
+    _, words, rare = prepared(docs)
+    out = {}
+    for k in range(3):
+        rows = asked[(asked["g"] + asked["pair"]) % 3 == k]
+        table = pa.table({c: np.ascontiguousarray(rows[c]) for c in rows.dtype.names}).append_column(
+            "words", pa.array([words[c] for c in rows["cls"].tolist()], pa.binary()))
+        for r in linededup.count_links(table, rare).to_pylist():
+            n, e, near = out.get(r["y"], (0, 0, (1 << 50, None)))
+            mine = (1 << 50, None) if r["near_x"] is None else (r["near_d"], r["near_x"])
+            out[r["y"]] = n + r["n_links"], e + r["n_earlier"], min(near, mine)
+    return {y: (n, e, near[1]) for y, (n, e, near) in out.items()}
+
+
+def test_a_hot_word_takes_bounded_time():
+    """One word, the rarest of its lines, under 50,000 classes: no class meets all others in a task."""
+    (_, b, off, _), = linededup.pieces(pa.array(["hot"]))
+    rare = np.full(linededup.BUCKETS, 1 << 53, np.uint64)
+    rare[int(linededup.words_in(b, off)[1][0] >> np.uint64(47))] = 0
+    text, found = "\n".join(f"hot a{i} b{i}" for i in range(50_000)), []
+    for _, b, off, before in linededup.pieces(pa.array([text])):
+        _, ln, k, c, num = linededup.line_sets(b, off, rare)
+        found.append((c, np.zeros(len(ln), np.int64), ln + before, k, num))
+    rows = linededup._postings(*(np.concatenate(c) for c in zip(*found)))
+    begun = time.time()
+    out = linededup._asked(linededup._ordered(rows))
+    assert time.time() - begun < 20
+    m = -(-50_000 // linededup.HOT)
+    assert len(np.unique(out["cls"])) == 50_000 and len(out) == 50_000 * m
+    sizes = np.unique(out["pair"], return_counts=True)[1]
+    assert len(sizes) == m * (m + 1) // 2 and sizes.max() < 2.3 * linededup.HOT
 
 
 def test_every_link_is_counted(spark):
@@ -117,15 +181,22 @@ def test_every_link_is_counted(spark):
     assert sum({r.class_id: r.n_earlier for r in got}.values()) == sum(map(len, links.values())) // 2
 
 
-def test_removed_lines_are_those_of_all_links(spark, monkeypatch):
-    """One match is enough for removal; the second round loses none."""
-    rng = np.random.default_rng(7)
-    rows = [(i, "\n".join(" ".join(f"w{v}" for v in rng.integers(i % 3, 16, 11)) for _ in range(3))) for i in range(200)]
-    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
-    monkeypatch.setattr(linededup, "LONG", 10 ** 9)
-    want = {p for p, gone in brute(rows).items() if gone}
-    got = [(r.doc_id, r.line_no) for r in linededup.removed_lines(docs, keep=1).collect()]
-    assert set(got) == want and len(got) == len(want) and want
+def test_rows_do_not_grow_with_the_pairs(spark, monkeypatch):
+    """A family of near copies: what leaves a task is per class and word."""
+    seen, kept = {}, linededup.written
+
+    def counted(df, name):
+        out = kept(df, name)
+        seen[name] = out.count()
+        return out
+    monkeypatch.setattr(linededup, "written", counted)
+    sizes = []
+    for family in (100, 400):
+        rows = [(i, " ".join([f"w{j}" for j in range(30)] + [f"own{i}"])) for i in range(family)]
+        got = linededup.matched_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+        assert {r.n_links for r in got} == {family - 1} and sum(not r.removed for r in got) == 1
+        sizes.append(dict(seen))
+    assert all(sizes[1][k] <= 4 * sizes[0][k] for k in ("asked", "places", "links"))
 
 
 def test_line_records_do_not_go_to_the_parts(spark, monkeypatch):
@@ -143,32 +214,7 @@ def test_line_records_do_not_go_to_the_parts(spark, monkeypatch):
     monkeypatch.setattr(linededup, "written", seen)
     assert linededup.matched_lines(docs).filter("removed").count() == 50 * 40 - 1
     tables = {name: (n, columns) for name, n, columns in sent}
-    assert tables["lines"][0] == 50 * 41 and tables["candidates"][0] < 50
-
-
-def test_block_pairs_lose_nothing():
-    """A hot word's classes in blocks give the same candidates."""
-    rng = np.random.default_rng(2)
-    text = "\n".join(" ".join(f"c{int(v)}" for v in rng.integers(0, 12, 9)) for _ in range(200))
-    (_, b, off, _), = linededup.pieces(pa.array([text]))
-    _, line, n, cls, numbers = linededup.line_sets(b, off, linededup.rarities(np.full(linededup.BUCKETS, 50.0)))
-    one = np.isin(np.arange(len(cls)), np.unique(cls, return_index=True)[1])
-    lines = cls[one], line[one], np.zeros(one.sum(), int), n[one], numbers[np.repeat(one, n)]
-
-    def pairs():
-        rows, part, _ = linededup._postings(*lines, 3)
-        out = set()
-        for p in range(3):
-            col, y, x, _, _ = linededup._compare(rows[part == p], 300)
-            out |= {(int(col["cls"][a]), int(col["cls"][b])) for a, b in zip(y, x)}
-        return out
-
-    whole, hot = pairs(), linededup.HOT
-    linededup.HOT = 12
-    try:
-        assert pairs() == whole and whole
-    finally:
-        linededup.HOT = hot
+    assert tables["lines"][0] == 50 * 41 and tables["asked"][0] < 50
 
 
 def test_drop_lines(spark, edge_docs, empty_docs):
