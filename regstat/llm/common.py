@@ -55,6 +55,29 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def released(run):
+    """The function on batches, giving freed memory back to the system when
+    its task ends: Python workers are reused, and what one stage freed would
+    count beside what the next one needs."""
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            give_back()
+    return whole
+
+
+def give_back() -> None:
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only glibc has it
+    if trim is not None:
+        trim(0)
+
+
 def buckets_for(rows: int, per_bucket: int) -> int:
     return max(1, -(-int(rows) // per_bucket))
 

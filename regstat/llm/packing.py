@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from regstat.llm.common import gapless_rank, written
+from regstat.llm.common import gapless_rank, released, written
 from regstat.llm.wordcache import WordCache, blocks, words_of
 
 CAPACITY, END_ID = 1024, 2
@@ -85,7 +85,7 @@ class Encoder:
                                     mergeable_ranks=ranks, special_tokens={})
             self._ids, self._piece = bpe.encode_ordinary, bpe._encode_single_piece
             self.marks = {c: array("I", self._ids(c)).tobytes() for c in ".,;:!?"}
-        self.words = WordCache(self._word, 700_000) if ranks is not None else None
+        self.words = WordCache(self._word, 150_000) if ranks is not None else None
         self.added, self.splitter = {}, None    # tokenizers splits by itself
         if ranks is not None:
             self.added = {t["content"]: array("I", [t["id"]]).tobytes() for t in spec.get("added_tokens") or []}
@@ -160,7 +160,7 @@ def tokenised_pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPAC
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return docs.select("doc_id", "text").mapInArrow(
-        run, f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
+        released(run), f"doc_id {kind}, piece int, start long, length long, ids_crc32 long")
 
 
 def best_fit_runs(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int, int]]:

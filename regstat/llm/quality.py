@@ -7,9 +7,9 @@ that the dictionaries count along the whole text; the normalised difference
 plain compression ratio, goes through a logistic calibration fitted on other
 labelled texts: a score from 0 to 1, higher if label 1 is likelier.
 
-The classifier is fitted on a bounded sample of labelled rows (``SAMPLE``
-rows of either label, each at most ``MAX_TEXT`` characters), chosen by a hash
-of the text, equal texts once; every text is then scored whole.
+The classifier is fitted on a bounded sample of labelled rows: whole texts in
+the order of their hashes, equal texts once, of either label at most ``SAMPLE``
+rows and ``SAMPLE_BYTES`` bytes together. Every text is then scored whole.
 """
 
 from __future__ import annotations
@@ -24,9 +24,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regstat.llm.common import written
+from regstat.llm.common import released, written
 
-SAMPLE, MAX_TEXT = 3000, 20_000
+SAMPLE, SAMPLE_BYTES = 3000, 24_000_000
 DICT_BYTES, FRAME, LEVEL = 64 * 1024, 2048, 3
 THRESHOLD = 0.7
 
@@ -116,22 +116,35 @@ def fit(good: list[str], bad: list[str], good_share: float) -> Classifier:
     return out
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Classifier:
+def chosen(rows: list, most: int) -> list:
+    """The rows, in their order, that fit into ``most`` bytes together; one
+    that does not fit is passed over."""
+    out, held = [], 0
+    for r in rows:
+        if held + r["_size"] <= most:
+            out.append(r)
+            held += r["_size"]
+    return out
+
+
+def train(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, most: int = SAMPLE_BYTES) -> Classifier:
     """Fit on labelled rows that are not held out. The sample on the driver is
-    at most 2 * ``sample`` * MAX_TEXT characters, whatever the tables hold."""
+    at most 2 * ``most`` bytes of whole texts, whatever the tables hold."""
     known = (labels.select(F.col("doc_id").alias("_id"), F.col("quality").alias("_q"))
              .filter("_id is not null and _q in (0, 1)").filter(~held_out(F.col("_id"))))
     share = known.agg(F.avg(F.col("_q").cast("double"))).first()[0]
     texts = docs.filter("text is not null and text <> ''").select(
         F.col("doc_id").alias("_id"), F.xxhash64("text").alias("_h"), "text")
     # equal texts once; the sample's (hash, id) rows first, then only its texts
-    distinct = written(texts.select("_id", "_h").join(known, "_id")
-                       .groupBy("_q", "_h").agg(F.min("_id").alias("_id")), "labelled")
-    picked = (distinct.filter("_q = 1").orderBy("_h").limit(sample)
-              .unionByName(distinct.filter("_q = 0").orderBy("_h").limit(sample)))
+    distinct = written(texts.select("_id", "_h", F.octet_length("text").alias("_size")).join(known, "_id")
+                       .groupBy("_q", "_h").agg(F.min(F.struct("_id", "_size")).alias("_r"))
+                       .select("_q", "_h", "_r._id", "_r._size"), "labelled")
+    rows = [r for label in (1, 0)
+            for r in chosen(distinct.filter(f"_q = {label}").orderBy("_h").limit(sample).collect(), most)]
+    picked = docs.sparkSession.createDataFrame(
+        [tuple(r) for r in rows], T.StructType(distinct.schema.fields)).select("_q", "_h", "_id")
     got = (texts.join(F.broadcast(picked), ["_id", "_h"])
-           .groupBy("_q", "_h").agg(F.min(F.substring("text", 1, MAX_TEXT)).alias("_text"))
-           .orderBy("_q", "_h").collect())
+           .groupBy("_q", "_h").agg(F.min("text").alias("_text")).orderBy("_q", "_h").collect())
     texts = [[r["_text"] for r in got if r["_q"] == label] for label in (1, 0)]
     return fit(*texts, 0.5 if share is None else share)
 
@@ -149,7 +162,7 @@ def score_documents(docs: DataFrame, model: Classifier, out: str = "score") -> D
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(scores, pa.float64())],
                                              [*batch.schema.names, out])
 
-    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
+    return docs.mapInArrow(released(run), T.StructType([*docs.schema.fields, T.StructField(out, T.DoubleType())]))
 
 
 def classify(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from regstat.llm.common import written
+from regstat.llm.common import released, written
 from regstat.llm.components import components
 
 SHINGLE, RADIUS, SEED, BLOCK = 3, 2, 42, 4096
@@ -75,7 +75,7 @@ def with_fingerprints(docs: DataFrame, size: int = SHINGLE) -> DataFrame:
                 [batch.column("doc_id"), pa.array(fp.view(np.int64))], ["doc_id", "fp"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
+    return docs.select("doc_id", "text").mapInArrow(released(run), f"doc_id {kind}, fp long")
 
 
 def planes_of(values: np.ndarray) -> np.ndarray:

@@ -47,15 +47,21 @@ def blocks(texts, max_chars: int = 1_500_000) -> Iterator[tuple[int, int]]:
 
 
 class WordCache(dict):
-    """word -> encoding of " " + word, made at the first look-up; beyond
-    ``limit`` entries it starts anew."""
+    """word -> encoding of " " + word, made at the first look-up. When
+    ``limit`` entries are held they become the old generation; words met again
+    are taken over from it, so frequent words stay and at most twice
+    ``limit`` entries are held."""
 
-    def __init__(self, encode, limit: int = 500_000):
+    def __init__(self, encode, limit: int = 400_000):
         super().__init__()
-        self.encode, self.limit = encode, limit
+        self.encode, self.limit, self.old = encode, limit, {}
 
     def __missing__(self, word: str):
+        out = self.old.get(word)
+        if out is None:
+            out = self.encode(" " + word)
         if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-        out = self[word] = self.encode(" " + word)
+        self[word] = out
         return out
