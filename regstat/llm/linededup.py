@@ -49,7 +49,7 @@ BUCKETS = 1 << 17          # of the word counts
 SLICE = 1 << 13            # of them summed together
 BLOOM_WORDS = 1 << 14, 1 << 22  # least and most 64-bit words of the filter of wanted lines (32 MB)
 PART_POSTINGS = 150_000    # postings of a part, about
-HOT = 4096                 # classes of a word compared in one group
+HOT = 16_384               # classes of a word compared in one group
 PAIRS = 100_000            # pairs verified at once
 LAST = (1 << 63) - 1       # place of a null doc_id in the order
 
@@ -261,15 +261,18 @@ def _order(g: np.ndarray, cls: np.ndarray, doc: np.ndarray, line: np.ndarray) ->
 
 
 def _ordered(rows: np.ndarray) -> dict[str, np.ndarray]:
-    """Columns of the distinct rows of a part, in order."""
+    """Columns of the distinct rows of a part, by word and size of the set."""
     rows = rows[_order(*(np.ascontiguousarray(rows[c]) for c in ("g", "cls", "doc", "line")))]
+    rows = rows[np.lexsort((rows["n"], rows["g"]))]
     return {c: np.ascontiguousarray(rows[c]) for c in PACKED.names}
 
 
-def _shifts(col: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """The candidates among rows that are in order: y, x (row numbers, x the
-    earlier), and the differing bits; every y once per step. With ``side``
-    (blocks 0 and 1, or 2 for both) only pairs of different blocks."""
+def _shifts(col: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The candidates among rows ordered by word and size, as two arrays of row
+    numbers. Row by row the partners stand behind it until one is too large
+    (or of another word), so a step only goes on with the rows that have one.
+    With ``side`` (blocks 0 and 1, or 2 for both) only pairs of different
+    blocks."""
     g, b0, b1, b2 = (col[c] for c in ("g", "b0", "b1", "b2"))
     side = col.get("side")
     n = col["n"].astype(np.int64)
@@ -278,20 +281,19 @@ def _shifts(col: dict[str, np.ndarray]) -> Iterator[tuple[np.ndarray, np.ndarray
     x, shift = np.arange(size - 1), 1
     while len(x):
         x = x[x + shift < size]
-        x = x[g[x] == g[x + shift]]
+        x = x[(g[x] == g[x + shift]) & (NUM * n[x + shift] <= DEN * n[x])]
         y = x + shift
-        both, small, large = n[x] + n[y], np.minimum(n[x], n[y]), np.maximum(n[x], n[y])
+        both = n[x] + n[y]
         need = -(-NUM * both // (NUM + DEN))
-        ok = (DEN * small >= NUM * large) & (np.minimum(left[x], left[y]) >= need)
+        ok = np.minimum(left[x], left[y]) >= need
         if side is not None:
             ok &= (side[x] == 2) | (side[x] != side[y])
         at = np.flatnonzero(ok)
-        dist = (np.bitwise_count(b0[x[at]] ^ b0[y[at]]).astype(np.int32)
-                + np.bitwise_count(b1[x[at]] ^ b1[y[at]]))
-        differ = (both - 2 * need)[at]
-        fine = (dist <= differ) & (np.bitwise_count(b2[x[at]] ^ b2[y[at]]) <= differ)
-        at, dist = at[fine], dist[fine].astype(np.int32)
-        yield y[at], x[at], dist
+        xs, ys, differ = x[at], y[at], (both - 2 * need)[at]
+        fine = np.bitwise_count(b0[xs] ^ b0[ys]).astype(np.int32) + np.bitwise_count(b1[xs] ^ b1[ys]) <= differ
+        xs, ys, differ = xs[fine], ys[fine], differ[fine]
+        fine = np.bitwise_count(b2[xs] ^ b2[ys]) <= differ
+        yield ys[fine], xs[fine]
         shift += 1
 
 
@@ -323,7 +325,7 @@ def _asked(col: dict[str, np.ndarray]) -> np.ndarray:
     few = np.flatnonzero(size <= HOT)
     cool = {c: v[few] for c, v in col.items()}
     paired = np.zeros(len(few), bool)
-    for y, x, _ in _shifts(cool):
+    for y, x in _shifts(cool):
         paired[y] = paired[x] = True
     at, pair, side = [few[paired]], [np.full(paired.sum(), -1)], [np.full(paired.sum(), 2)]
     hot = np.flatnonzero(size > HOT)
@@ -454,16 +456,16 @@ def words_of_classes(docs: DataFrame, places: DataFrame) -> DataFrame:
 
 
 class Sets:
-    """Word sets as sorted rows of one array, for look-ups of many at once."""
-
-    def __init__(self, values: list[np.ndarray]):
-        self.n = np.array([len(v) for v in values], np.int64)
+    """Sets of values (``row``: the set of each), sorted within one array, for
+    look-ups of many at once."""
+
+    def __init__(self, row: np.ndarray, values: np.ndarray, sets: int):
+        self.known, flat = np.unique(values, return_inverse=True)
+        self.bits = len(self.known).bit_length()
+        key = np.sort(row << self.bits | flat)
+        self.key = key[np.r_[True, key[1:] != key[:-1]]]
+        self.n = np.bincount(self.key >> self.bits, minlength=sets)
         self.start = np.cumsum(self.n) - self.n
-        known, flat = np.unique(np.concatenate(values), return_inverse=True)
-        self.bits = len(known).bit_length()
-        row = np.repeat(np.arange(len(values)), self.n)
-        self.key = np.sort(row << self.bits | flat)
-        self.known = known
 
     def held(self, of: np.ndarray, into: np.ndarray, most: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """For each pair (of, into): which of the first ``most`` members of
@@ -487,11 +489,14 @@ def count_links(table: pa.Table, rarity: np.ndarray) -> pa.Table:
     data = {c: table[c].to_numpy() for c in ASKED.names}
     classes, first, row = np.unique(data["cls"], return_index=True, return_inverse=True)
     words = table["words"].combine_chunks().take(pa.array(first))
-    hashes = [np.frombuffer(w.as_buffer(), np.uint64) for w in words]
-    exact = Sets(hashes)
-    numbers = Sets([np.unique(h & MASK | rarity[(h >> np.uint64(47)).astype(np.int64)]) for h in hashes])
-    order = np.lexsort((data["cls"], data["line"], data["doc"], data["pair"], data["g"]))
-    row, g, pair = row[order], data["g"][order], data["pair"][order]
+    hashes = np.concatenate([np.frombuffer(w.as_buffer(), np.uint64) for w in words])
+    of = np.repeat(np.arange(len(classes)), pc.binary_length(words).to_numpy() // 8)
+    exact = Sets(of, hashes, len(classes))
+    numbers = Sets(of, hashes & MASK | rarity[(hashes >> np.uint64(47)).astype(np.int64)], len(classes))
+    place = np.empty(len(row), np.int64)
+    place[np.lexsort((data["cls"], data["line"], data["doc"]))] = np.arange(len(row))
+    order = np.lexsort((numbers.n[row], data["pair"], data["g"]))
+    row, g, pair, place = row[order], data["g"][order], data["pair"][order], place[order]
     group = np.zeros(len(row), np.int64)
     group[1:] = np.cumsum((g[1:] != g[:-1]) | (pair[1:] != pair[:-1]))
     b0, b1, b2 = bitmaps(numbers.known[numbers.key & ((1 << numbers.bits) - 1)], numbers.start)
@@ -502,6 +507,7 @@ def count_links(table: pa.Table, rarity: np.ndarray) -> pa.Table:
     near_d, near_x = np.full(len(classes), 1 << 40, np.int64), np.zeros(len(classes), np.int64)
 
     def verify(y, x):
+        y, x = np.where(place[y] > place[x], y, x), np.where(place[y] > place[x], x, y)
         # only under the first word that both share: no word before it is in the other set
         before, of = numbers.held(row[x], row[y], pos[x])
         alone = np.ones(len(x), bool)
@@ -524,7 +530,7 @@ def count_links(table: pa.Table, rarity: np.ndarray) -> pa.Table:
         near_d[y[better]], near_x[y[better]] = d[better], x[better]
 
     held, many = [], 0
-    for y, x, _ in _shifts(col):
+    for y, x in _shifts(col):
         held.append((y, x))
         many += len(y)
         if many >= PAIRS:
