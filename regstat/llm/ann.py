@@ -18,8 +18,8 @@ what that asks for beyond the first round is visited. Queries that hold fewer
 than k rows of positive score then visit every bucket of one table.
 
 Every row is in a bucket of every table; buckets are cut into blocks of
-bounded size, and each block meets the queries that probe its bucket. The
-candidates are scored exactly there; a query keeps the k best of each block
+bounded size, and each block goes to the groups of queries of which one probes
+its bucket, nowhere else. The candidates are scored exactly there; a query keeps the k best of each block
 and a window merges the tables, each vector once.
 """
 
@@ -179,9 +179,8 @@ def search_embeddings(embeddings: DataFrame, step: int = STEP, k: int = K, table
     first = written(rows.filter(F.col("vec_id") % step == 0).mapInArrow(lambda b: asked(b, False), shape), "asked")
     n_query_blocks = buckets_for(first.count(), QUERY_BLOCK)
     salted = F.xxhash64("vec_id", "embedding")
-    right = (index.join(sizes, ["_t", "_bucket"])
-             .withColumn("_rb", F.pmod(salted, F.col("_nb")).cast("int"))
-             .withColumn("_qb", F.explode(F.sequence(F.lit(0), F.lit(n_query_blocks - 1)))))
+    blocks = (index.join(sizes, ["_t", "_bucket"])
+              .withColumn("_rb", F.pmod(salted, F.col("_nb")).cast("int")))
     key = ["_b", "_rb", "_qb"]
 
     def rerank(q: pa.Table, r: pa.Table) -> pa.Table:
@@ -196,9 +195,12 @@ def search_embeddings(embeddings: DataFrame, step: int = STEP, k: int = K, table
         return pa.concat_tables(parts)
 
     def visited(queries: DataFrame) -> DataFrame:
-        left = (queries.withColumn("_b", F.explode("_visit")).drop("_visit").join(sizes, "_b")
-                .withColumn("_qb", F.pmod(salted, F.lit(n_query_blocks)).cast("int"))
+        probing = (queries.withColumn("_b", F.explode("_visit")).drop("_visit")
+                   .withColumn("_qb", F.pmod(salted, F.lit(n_query_blocks)).cast("int")))
+        left = (probing.join(sizes, "_b")
                 .withColumn("_rb", F.explode(F.sequence(F.lit(0), F.col("_nb") - 1))))
+        # at most buckets x query blocks rows
+        right = blocks.join(written(probing.select("_b", "_qb").distinct(), "probed"), "_b")
         return (left.select("vec_id", "embedding", *key).groupBy(*key)
                 .cogroup(right.select("vec_id", "embedding", *key).groupBy(*key))
                 .applyInArrow(rerank, "query_id long, vec_id long, score double"))

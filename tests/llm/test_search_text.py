@@ -100,17 +100,92 @@ def test_main_text():
     assert htmltext.main_text("") == "" and htmltext.main_text("plain <") == "plain <"
 
 
+@pytest.mark.parametrize("page, text", [
+    ('<div class="content no-sidebar"><p>real text</p>', "real text"), ('<div class="has-header"><p>a</p></div>', "a"),
+    ('<div class="body"><p>the long text of the page</p></div><article class="teaser">Read more</article>',
+     "the long text of the page"),
+    ('<article><div class="search-results"><p>body</p></div></article>', "body"),
+    ('<article><p>one</p><div class="social-science"><p>two</p></div></article>', "one\n\ntwo"),
+    ('<article><p>long enough text</p></article><div class="comments"><article class="comment"><p>no, not this one at all'
+     '</p></article></div>', "long enough text"),
+    ('<main><p>text of it</p><div class="share-buttons">Tell</div><ul class="left-menu"><li>x</li></ul></main>', "text of it"),
+    ("<p>" + "very long " * 50_000, ("very long " * 50_000).strip()), ("<div>" * 3000 + "deep", "deep"),
+])
+def test_slots_by_what_they_hold(page, text):
+    assert htmltext.main_text(page) == text
+
+
 def test_extract_template(spark):
     rows = [(i, f"http://h.org/{i}", f"<div><p>Welcome to our site</p><p>text {i} of {i}</p><p>same end</p></div>")
             for i in range(20)]
     rows += [(20, None, None), (None, "http://x.org", "<p>solo"), (20, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string").selectExpr("*", "1 as text", "2 as template")
     got = {(r.page_id, r.text, r.n_chars) for r in htmltext.extract(pages).collect()}
-    assert (3, "text 3 of 3", 11) in got and (20, "", 0) in got and (None, "solo", 4) in got
+    assert (3, "Welcome to our site\n\ntext 3 of 3\n\nsame end", 42) in got
+    assert (20, "", 0) in got and (None, "solo", 4) in got
     assert htmltext.extract(pages).count() == 23
     assert htmltext.extract(pages.limit(0)).collect() == []
 
 
+def test_a_host_of_any_size_keeps_its_articles(spark):
+    """The number of a host's pages changes nothing; a shared sentence stays in the article."""
+    rows = []
+    for n in (1, 2, 7, 8, 30):
+        rows += [(1000 * n + i, f"http://h{n}.org/{i}",
+                  "<body><div class='x1'>Every page says this long sentence of the site, again and again and again.</div>"
+                  f"<div class='x2'><p>Shared sentence of the site.</p><p>text number {i} which is the page's own {i * i}</p></div>"
+                  f"<div class='x3'><a href='/'>a link {i}</a></div></body>") for i in range(n)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").repartition(3)
+    for lists in (True, False):
+        for r in htmltext.extract(pages, lists=lists).collect():
+            i = r.page_id % 1000
+            own = f"Shared sentence of the site.\n\ntext number {i} which is the page's own {i * i}"
+            if r.page_id >= 7000:
+                assert r.text == own, r
+            assert own in r.text
+
+
+def test_template_alone_finds_the_article(spark):
+    """Without the lists of names most of the given pages have the same text; on the
+    others a menu or advert without links is longer than the article."""
+    pages = table(spark, SF_SMALL, "pages")
+    both = [{r.page_id: r.text for r in htmltext.extract(pages, lists=x).collect()} for x in (True, False)]
+    same = sum(both[0][p] == both[1][p] for p in both[0])
+    assert same >= 0.85 * len(both[0]), (same, len(both[0]))
+
+
+def test_classes_are_those_of_equal_vectors(spark):
+    """Occurrence vectors by additive hashes against whole vectors, and nesting against its definition."""
+    rng = np.random.default_rng(8)
+    rows = []
+    for i in range(60):
+        tags = [f"<{t}>x</{t}>" * int(rng.integers(1, 3) if t == "p" else 1)
+                for t in ("nav", "div", "p", "b", "i") if t in ("nav", "div", "p") or rng.random() < 0.95]
+        rows.append((i, f"http://h{i % 3}.org/{i}", "".join(tags)))
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    own = pages.select("page_id", "url", "html", htmltext.F.xxhash64(htmltext.host_of(htmltext.F.col("url"))).alias("_host"),
+                       htmltext.F.xxhash64("page_id", "url").alias("_page"))
+    vectors = {}
+    for r in own.collect():
+        for t in htmltext.tokens(r.html):
+            k = htmltext.token_key(*t)
+            own_vector = vectors.setdefault((r["_host"], k), {})
+            own_vector[r.page_id] = own_vector.get(r.page_id, 0) + 1
+    want = {}
+    for (h, k), v in vectors.items():
+        if len(v) > 1:
+            want.setdefault((h, tuple(sorted(v.items()))), set()).add(k)
+    got = {}
+    for r in htmltext.occurrences(own).collect():
+        got.setdefault((r["_host"], r.n, r.s1, r.s2), set()).add(r.token)
+    assert sorted(map(sorted, got.values())) == sorted(map(sorted, want.values()))
+    # nested: whole in a gap or around it; straddling: left out
+    outer, inner, across = [(0.0, 1), (10.0, 2)], [(3.0, 3), (4.0, 4)], [(5.0, 5), (12.0, 6)]
+    ranked = [(-9, -2, outer), (-9, -2, inner), (-8, -2, across)]
+    assert htmltext.nested(ranked) == {1, 2, 3, 4}
+    assert htmltext.nested([(-9, -2, outer), (-9, -1, [(11.0, 7)])]) == {1, 2, 7}
+
+
 def test_quality_held_out(spark, edge_docs, empty_docs):
     docs, labels = table(spark, SF_CHECK, "documents"), table(spark, SF_CHECK, "labels")
     rows = {r.doc_id: r for r in quality.classify(docs, labels).collect()}
