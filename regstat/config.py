@@ -113,6 +113,12 @@ PROMPT_TEMPLATE = (
 )
 
 
+# Sketches of the star: sizes, and the errors they keep with 99 % confidence
+# (KLL, normalised rank, k = 400) or three standard errors (HLL, 2^12 registers).
+SKETCH_K, SKETCH_LG = 400, 12
+SKETCH_RANK_ERROR, SKETCH_DISTINCT_ERROR = 0.01, 0.05
+
+
 @dataclass(frozen=True)
 class Params:
     """Dataset-dependent parameters; defaults are the source's values."""

@@ -193,3 +193,37 @@ def atenciones(fact: DataFrame, departamento: str | None = None,
                  F.coalesce(med.cast("double"), F.lit(0.0)).alias("mediana"),
                  F.coalesce(F.max(v).cast("bigint"), F.lit(0).cast("bigint")).alias("maximo"),
                  F.count(v).alias("n_valores")))
+
+
+def atenciones_bocetos(bocetos: DataFrame, *por: str) -> DataFrame:
+    """A13, A15 from the stored sketches, merged to the columns ``por``
+    (departamento, anio, both or none): n_valores (exact), the approximate
+    median of the visits (its rank is within ``config.SKETCH_RANK_ERROR`` of
+    one half) and the approximate number of geographies."""
+    merged = bocetos.groupBy(*por).agg(
+        F.sum("n_valores").cast("bigint").alias("n_valores"),
+        F.kll_merge_agg_bigint("atenciones").alias("_k"), F.hll_union_agg("geografias").alias("_h"))
+    return merged.select(
+        *por, "n_valores",
+        F.when(F.col("n_valores") > 0, F.kll_sketch_get_quantile_bigint("_k", F.lit(0.5))).alias("mediana"),
+        F.hll_sketch_estimate("_h").alias("geografias"))
+
+
+def error_bocetos(bocetos: DataFrame, fact: DataFrame, geografias: DataFrame) -> DataFrame:
+    """The sketches' answers per region held against the exact ones: whether
+    the approximate median's rank and the distinct count are within their
+    bounds. The fact is reduced to counts per value first."""
+    values = (fact.where(F.col("cant_atenciones").isNotNull()).groupBy("departamento", "cant_atenciones")
+              .agg(F.count(F.lit(1)).alias("_n")))
+    exact = geografias.groupBy("departamento").agg(F.count(F.lit(1)).alias("_geo"))
+    a = atenciones_bocetos(bocetos, "departamento")
+    rank = (a.join(values, "departamento", "left").groupBy("departamento", "n_valores", "mediana", "geografias").agg(
+        F.coalesce(F.sum(F.when(F.col("cant_atenciones") < F.col("mediana"), F.col("_n"))), F.lit(0)).alias("_lt"),
+        F.coalesce(F.sum(F.when(F.col("cant_atenciones") <= F.col("mediana"), F.col("_n"))), F.lit(0)).alias("_le")))
+    e = F.lit(cfg.SKETCH_RANK_ERROR) * F.col("n_valores")
+    half = F.col("n_valores") / 2
+    return (rank.join(exact, "departamento", "left").select(
+        "departamento", "n_valores",
+        F.coalesce((F.col("_lt") <= half + e) & (F.col("_le") >= half - e), F.col("n_valores") == 0).alias("mediana_en_cota"),
+        (F.abs(F.col("geografias") - F.col("_geo")) <= F.lit(cfg.SKETCH_DISTINCT_ERROR) * F.col("_geo"))
+        .alias("geografias_en_cota")))

