@@ -4,12 +4,16 @@ gapless ranks."""
 from __future__ import annotations
 
 import tempfile
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 _LOCAL_DIRS: dict[str, str] = {}
+_SEEN: set = set()
+#: folder of written intermediates, and how long they are kept
+WRITTEN, KEEP_HOURS = "regstat-llm", 48.0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +39,25 @@ def shared_dir(spark: SparkSession) -> str:
         folder = _LOCAL_DIRS[key]
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(folder)
-    return folder.rstrip("/")
+    folder = folder.rstrip("/")
+    if (sc.applicationId, folder) not in _SEEN:
+        _SEEN.add((sc.applicationId, folder))
+        expire(spark, folder)
+    return folder
+
+
+def expire(spark: SparkSession, folder: str, hours: float = KEEP_HOURS) -> int:
+    """Remove what ``written`` left in ``folder`` more than ``hours`` ago;
+    results read later than that must be written again. Returns how many."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/{WRITTEN}")
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not files.exists(path):
+        return 0
+    limit = 1000 * (time.time() - 3600 * hours)
+    old = [s.getPath() for s in files.listStatus(path) if s.getModificationTime() < limit]
+    for p in old:
+        files.delete(p, True)
+    return len(old)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
@@ -43,7 +65,7 @@ def written(df: DataFrame, name: str) -> DataFrame:
     lineage is cut, several readers compute it once, and a lost executor
     costs nothing that was written."""
     spark = df.sparkSession
-    path = f"{shared_dir(spark)}/regstat-llm/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/{WRITTEN}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
