@@ -13,7 +13,7 @@ import public_tokenizers
 
 from regstat.deploy import ship_package
 from regstat.llm import linededup, packing, quality, simhash
-from regstat.llm.common import shared_dir, table
+from regstat.llm.common import WRITTEN, shared_dir, table
 
 
 def quality_filter(spark, docs, sf_dir):
@@ -53,10 +53,15 @@ ORACLE_SQL = None
 
 
 def run(spark, sf_dir):
-    """Apply all stages to ``documents``; the last one's rows."""
+    """Apply all stages to ``documents``; the last one's rows.
+
+    Null and empty texts are scored, stay if they reach the threshold, lose no
+    lines and are packed as their end mark; repeated rows are documents each
+    until near-dedup keeps one; an empty table gives an empty result; extra
+    columns go along until packing, which returns its own."""
     out = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        path = f"{shared_dir(spark)}/corpus-pipeline/{name}-{uuid.uuid4().hex}"
+        path = f"{shared_dir(spark)}/{WRITTEN}/pipeline-{name}-{uuid.uuid4().hex}"
         stage(spark, out, sf_dir).write.parquet(path)
         out = spark.read.parquet(path)
     return STAGES[-1][1](spark, out, sf_dir)
