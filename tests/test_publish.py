@@ -168,3 +168,40 @@ def test_sketches_merge_upwards(spark):
     whole = M.atenciones_bocetos(sketches).collect()[0]
     assert whole["n_valores"] == 12_001
     assert M.atenciones_bocetos(sketches, "departamento", "anio").count() == 4
+
+
+RETRY = '''
+import sys
+from pyspark import TaskContext
+from regstat.operators import clean as CL, publish as PUB
+from regstat.session import get_session
+from regstat.sources.registry import REGISTRY_COLUMNS
+spark = get_session("local[2,4]", 2, extra={"spark.checkpoint.dir": sys.argv[1] + "/ckpt"})
+rows = [tuple(f"u{i}" if c == "UUID" else "20230105" if c == "FEC_FILIACION" and i % 4 else "2023" if c == "FEC_FILIACION"
+              else "LIMA-LIMA-X" if c == "LUGAR_RESIDENCIA" else "1" for c in REGISTRY_COLUMNS) for i in range(40)]
+raw = spark.createDataFrame(rows, ", ".join(f"{c} string" for c in REGISTRY_COLUMNS)).repartition(2)
+
+def flaky(batches):
+    for b in batches:
+        yield b
+    if TaskContext.get().attemptNumber() == 0:
+        raise RuntimeError("first try")
+
+clean = CL.limpiar_nacional(raw).mapInPandas(flaky, CL.limpiar_nacional(raw).schema)
+pob = spark.createDataFrame([("LIMA", 2023, 9, 4, 5)], "departamento string, anio int, total long, hombres long, mujeres long")
+PUB.cargar(spark, clean, pob, sys.argv[1] + "/estrella")
+print("AUDIT", PUB.publicacion(spark, sys.argv[1] + "/estrella")["auditoria"])
+'''
+
+
+def test_retried_tasks_do_not_count_twice(scratch_dir):
+    import ast
+    import subprocess
+    import sys
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    run = subprocess.run([sys.executable, "-c", RETRY, scratch_dir], cwd=root, capture_output=True, text=True, timeout=240,
+                         env=os.environ | {"PYTHONPATH": root})
+    line = [x for x in run.stdout.splitlines() if x.startswith("AUDIT ")]
+    assert line, run.stderr[-2000:]
+    audit = ast.literal_eval(line[0][6:])
+    assert (audit["leidos"], audit["insertados"], audit["fecha_corta"], audit["anio_2023"]) == (40, 30, 10, 30)
