@@ -484,11 +484,15 @@ class Sets:
 
 
 def count_links(table: pa.Table, rarity: np.ndarray) -> pa.Table:
-    """The verified links among the classes of ``table`` (rows of ASKED with
-    their words), summed per class: y, n_links, n_earlier, near_d, near_x."""
-    data = {c: table[c].to_numpy() for c in ASKED.names}
-    classes, first, row = np.unique(data["cls"], return_index=True, return_inverse=True)
-    words = table["words"].combine_chunks().take(pa.array(first))
+    """The verified links among the classes of ``table`` (cls, doc, line,
+    words, and ``at``: the g, pair and side under which each is compared),
+    summed per class: y, n_links, n_earlier, near_d, near_x."""
+    classes = table["cls"].to_numpy()
+    where = table["at"].combine_chunks()
+    row = np.repeat(np.arange(len(classes)), pc.list_value_length(where).to_numpy())
+    data = {c: pc.struct_field(where.flatten(), c).to_numpy() for c in ("g", "pair", "side")}
+    data |= {c: table[c].to_numpy()[row] for c in ("doc", "line")} | {"cls": classes[row]}
+    words = table["words"].combine_chunks()
     hashes = np.concatenate([np.frombuffer(w.as_buffer(), np.uint64) for w in words])
     of = np.repeat(np.arange(len(classes)), pc.binary_length(words).to_numpy() // 8)
     exact = Sets(of, hashes, len(classes))
@@ -549,9 +553,12 @@ def linked_classes(docs: DataFrame) -> DataFrame:
     counts, words = word_counts(docs)
     asked = asked_classes(docs, counts, words)
     places = written(asked.groupBy("cls").agg(F.first("doc").alias("doc"), F.first("line").alias("line")), "places")
-    joined = asked.join(words_of_classes(docs, places), "cls")
-    rows = asked.count()
-    parts = max(1, rows // 20_000)
+    parts = max(1, asked.count() // 20_000)
+    # a class and its words go to a part once, however many words of it meet there
+    of_part = (asked.withColumn("_part", F.pmod(F.xxhash64("g", "pair"), F.lit(parts)).cast("int"))
+               .groupBy("_part", "cls").agg(F.first("doc").alias("doc"), F.first("line").alias("line"),
+                                            F.collect_list(F.struct("g", "pair", "side")).alias("at")))
+    joined = of_part.join(words_of_classes(docs, places), "cls")
     shared = docs.sparkSession.sparkContext.broadcast(counts)
 
     def count(t: pa.Table) -> pa.Table:
@@ -559,8 +566,7 @@ def linked_classes(docs: DataFrame) -> DataFrame:
         give_back()
         return out
 
-    sums = (joined.withColumn("_part", F.pmod(F.xxhash64("g", "pair"), F.lit(parts)).cast("int"))
-            .groupBy("_part").applyInArrow(count, "y long, n_links long, n_earlier long, near_d long, near_x long"))
+    sums = (joined.groupBy("_part").applyInArrow(count, "y long, n_links long, n_earlier long, near_d long, near_x long"))
     near = F.min(F.when(F.col("near_d").isNotNull(), F.struct("near_d", "near_x")))
     return written(sums.groupBy("y").agg(F.sum("n_links").alias("n_links"), F.sum("n_earlier").alias("n_earlier"),
                                          near["near_x"].alias("match_id")), "links")

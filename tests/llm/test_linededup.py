@@ -5,6 +5,7 @@ import time
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 from regstat.llm import linededup
 from regstat.llm.common import table
@@ -124,9 +125,13 @@ def links_of(docs, asked):
     _, words, rare = prepared(docs)
     out = {}
     for k in range(3):
-        rows = asked[(asked["g"] + asked["pair"]) % 3 == k]
-        table = pa.table({c: np.ascontiguousarray(rows[c]) for c in rows.dtype.names}).append_column(
-            "words", pa.array([words[c] for c in rows["cls"].tolist()], pa.binary()))
+        own = {}
+        for r in asked[(asked["g"] + asked["pair"]) % 3 == k]:
+            own.setdefault(int(r["cls"]), (int(r["doc"]), int(r["line"]), []))[2].append(
+                {c: int(r[c]) for c in ("g", "pair", "side")})
+        table = pa.table({"cls": pa.array(list(own)), "doc": pa.array([v[0] for v in own.values()]),
+                          "line": pa.array([v[1] for v in own.values()]), "at": pa.array([v[2] for v in own.values()]),
+                          "words": pa.array([words[c] for c in own], pa.binary())})
         for r in linededup.count_links(table, rare).to_pylist():
             n, e, near = out.get(r["y"], (0, 0, (1 << 50, None)))
             mine = (1 << 50, None) if r["near_x"] is None else (r["near_d"], r["near_x"])
@@ -181,6 +186,35 @@ def test_every_link_is_counted(spark):
     assert sum({r.class_id: r.n_earlier for r in got}.values()) == sum(map(len, links.values())) // 2
 
 
+def test_long_lines_go_to_a_part_once(spark, monkeypatch):
+    """Near copies of a long line share many rare words; their words are not shipped for each."""
+    rng = np.random.default_rng(1)
+    base = [f"w{i}" for i in rng.permutation(6000)]
+    rows = [(i, " ".join(base + [f"own{i}"])) for i in range(3)] + [(9, "short line here")]
+    seen, count = [], linededup.count_links
+
+    def counted(t, rarity):
+        seen.append((t.num_rows, pc.sum(pc.list_value_length(t["at"])).as_py()))
+        return count(t, rarity)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: (r.n_links, r.n_earlier, r.removed) for r in linededup.matched_lines(docs).collect()}
+    assert got == {0: (2, 0, False), 1: (2, 1, True), 2: (2, 2, True), 9: (0, 0, False)}
+    counts, words = linededup.word_counts(docs)
+    asked = linededup.asked_classes(docs, counts, words).toArrow()
+    own = {}
+    for r in asked.to_pylist():
+        own.setdefault(r["cls"], (r["doc"], r["line"], []))[2].append({c: r[c] for c in ("g", "pair", "side")})
+    text = {}
+    for _, x in rows[:3]:
+        (_, b, off, _), = linededup.pieces(pa.array([x]))
+        text[int(linededup.line_sets(b, off)[3][0])] = np.unique(linededup.words_in(b, off)[1]).tobytes()
+    table = pa.table({"cls": pa.array(list(own)), "doc": pa.array([v[0] for v in own.values()]),
+                      "line": pa.array([v[1] for v in own.values()]), "at": pa.array([v[2] for v in own.values()]),
+                      "words": pa.array([text[c] for c in own], pa.binary())})
+    out = counted(table, linededup.rarities(counts))
+    assert seen[0][0] == 3 and seen[0][1] > 1500 and sorted(out["n_links"].to_pylist()) == [2, 2, 2]
+
+
 def test_rows_do_not_grow_with_the_pairs(spark, monkeypatch):
     """A family of near copies: what leaves a task is per class and word."""
     seen, kept = {}, linededup.written
