@@ -1,6 +1,6 @@
 """Print a one-line summary of the final (AQE) physical plan of every key:
 exchanges, join strategies, top-k pruning, Python stages, reused exchanges
-and the columns each scan reads. Usage: python tools/plan_report.py [sf_dir]"""
+and the columns each scan reads. Usage: python tools/plan_report.py [sf_dir [key ...]]"""
 
 from __future__ import annotations
 
@@ -21,7 +21,10 @@ def main() -> None:
     from regstat.plans.catalog import queries
     sf = sys.argv[1] if len(sys.argv) > 1 else "/root/testdata/sf0.01"
     spark = get_session("local[8]", 8)
+    wanted = set(sys.argv[2:])
     for name, fn in sorted(queries().items()):
+        if wanted and name not in wanted:
+            continue
         df = fn(spark, sf)
         df.collect()
         plan = df._jdf.queryExecution().executedPlan().toString()
