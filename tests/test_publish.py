@@ -1,6 +1,7 @@
 """Loads, publication, reloads, validated writes, file order and row groups."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -68,6 +69,37 @@ def test_observed_audit_equals_a_recount(spark):
     assert got["leidos"] == got["insertados"] + sum(got[m] for m in PUB.MOTIVOS)
 
 
+def test_a_load_reads_its_source_once(spark, scratch_dir):
+    src, out = os.path.join(scratch_dir, "in"), os.path.join(scratch_dir, "estrella")
+    write(src, "a.csv", [record(i, "20230105" if i % 4 else "2023") for i in range(40)])
+    clean, read = clean_of(spark, src), spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            read.add(len(b))
+            yield b
+    star = PUB.cargar(spark, clean.mapInPandas(counted, clean.schema),
+                      spark.createDataFrame([("LIMA", 2023, 9, 4, 5)], POB), out)
+    assert read.value == 40
+    assert star["fact_casos"].count() == 30 and star["bocetos"].first()["n_valores"] == 30
+    assert os.listdir(os.path.join(out, PUB.ETAPA)) == []
+    os.makedirs(os.path.join(out, PUB.ETAPA, "carga=c1"))  # as a load that failed leaves it
+    assert PUB.limpiar_versiones(spark, out, 3600) == []
+    assert PUB.limpiar_versiones(spark, out, 0) == [f"{out}/{PUB.ETAPA}/carga=c1"]
+
+
+def method_sizes(df):
+    mode = df.sparkSession._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("codegen")
+    return [int(n) for n in re.findall(r"maxMethodCodeSize:(\d+)", df._jdf.queryExecution().explainString(mode))]
+
+
+def test_cleaning_is_short_enough_to_be_compiled(spark):
+    """The JVM interprets methods of over 8000 bytes."""
+    clean = CL.limpiar_nacional(S.registro_csv(spark, SF_SMALL, detalle=True), K.P)
+    sizes = method_sizes(PUB._observada(clean, K.P)[1].where("valido"))
+    assert sizes and max(sizes) < 8000
+
+
 def test_one_of_two_concurrent_loads_wins(spark, scratch_dir):
     out = os.path.join(scratch_dir, "estrella")
     star = K._star(spark, SF_SMALL)
