@@ -100,6 +100,20 @@ def test_cleaning_is_short_enough_to_be_compiled(spark):
     assert sizes and max(sizes) < 8000
 
 
+def test_dimension_keys_are_hashed_set_by_set(spark, scratch_dir, monkeypatch):
+    src, seen = os.path.join(scratch_dir, "in"), []
+    write(src, "a.csv", [record(i, f"2023{i % 12 + 1:02d}05", f"LIMA-LIMA-X{i % 10}") for i in range(120)])
+    monkeypatch.setattr(WH, "materializar", lambda df: seen.append(df) or df)
+    WH.dimensiones(clean_of(spark, src).where("valido"))
+    assert "SortAggregate" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
+def test_registry_text_is_made_after_the_sort(spark):
+    plan = S.registro_ordenado(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    above, below = plan.split("rangepartitioning", 1)
+    assert "lpad(" in above and "lpad(" not in below
+
+
 def test_one_of_two_concurrent_loads_wins(spark, scratch_dir):
     out = os.path.join(scratch_dir, "estrella")
     star = K._star(spark, SF_SMALL)
