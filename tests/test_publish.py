@@ -192,6 +192,11 @@ def test_region_filter_reaches_the_fact_scan(spark):
         assert ids == sorted(ids)
 
 
+def test_chunks_read_the_fact_once(spark):
+    chunks = K.Q["chunks_todos"](spark, SF_SMALL)  # the cube is built by now
+    assert not [f for f in chunks.inputFiles() if "/fact_casos/" in f]
+
+
 def test_fixture_is_in_record_order(spark):
     rows = (S.registro_csv(spark, SF_SMALL, detalle=True).select("_orden", F.col("HISTORIA").cast("long").alias("h"))
             .orderBy("_orden").collect())
