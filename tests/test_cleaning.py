@@ -120,3 +120,23 @@ def test_registry_by_header_name_and_quotes(spark, scratch_dir):
     with open(f"{scratch_dir}/m.csv", "w", encoding="latin-1") as f:
         f.write('A,B\n"l1\nl2",3\n')
     assert read_registry(spark, f"{scratch_dir}/m.csv", multi_line=True).collect()[0]["A"] == "l1\nl2"
+
+
+def test_texts_that_need_no_trim_skip_the_searches(spark):
+    """The searches of the white-space set and of the quote are the last
+    branches of a choice, and the choice changes no text."""
+    ends = ["", *C.JS_SPACE_CHARS, *"!~a9\"-", "\x00", "\x1f", "\x7f", "\x85", "\xa1", "\xff", " x　", "é", "\U0001f600"]
+    texts = [None, *dict.fromkeys(a + m + b for a in ends for m in ("", "5", 'a "b" c', "-12") for b in ends)]
+    df = spark.createDataFrame([(t,) for t in texts], "t string").repartition(4)
+    spaces = F.lit(C.JS_SPACE_CHARS)
+    trimmed = F.btrim("t", spaces)
+    cleaned = F.replace(F.btrim(F.coalesce("t", F.lit("")), spaces), F.lit('"'), F.lit(""))
+    number = F.coalesce(
+        F.when((F.ascii("t") > 32) & (F.ascii(F.right("t", F.lit(1))) > 32), F.col("t").try_cast("int")),
+        F.regexp_extract("t", C.INT_PREFIX_PATTERN, 1).try_cast("int"))
+    pairs = [(C.js_trim("t"), trimmed), (C.clean_text("t"), cleaned), (C.clean_text("t", upper=True), F.upper(cleaned)),
+             (C.lenient_int("t"), number)]
+    for got, want in pairs:
+        assert df.where(~got.eqNullSafe(want)).collect() == []
+    plan = df.select(C.clean_text("t").alias("x"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "ELSE trim(" in plan and 'THEN replace(' in plan and 'Contains(' in plan
